@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, warc
+from sweepgrid.llm import exact_dedup, media, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media_columns": media.op2_media_columns,
         "op4_warc_bundles": warc.op4_warc_bundles,
+        "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     }
 
