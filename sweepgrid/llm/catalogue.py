@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, media, packing, warc
+from sweepgrid.llm import exact_dedup, media, packing, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_media_columns": media.op2_media_columns,
         "op4_warc_bundles": warc.op4_warc_bundles,
         "op5_packing": packing.op5_packing,
