@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, media, packing, substring, warc
+from sweepgrid.llm import exact_dedup, lm, media, packing, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_bundles": warc.op4_warc_bundles,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_lm_interpolation": lm.op7_lm_interpolation,
     }
 
 

@@ -55,7 +55,7 @@ def shuffle_files_dropped(spark: SparkSession):
 
 def estimated_bytes(df: DataFrame) -> int:
     """Bytes of the input as the optimiser sees them; counted where it only guesses."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 1 << 50:
         return size
     return int(df.selectExpr("coalesce(sum(octet_length(text)), 0L) AS n").first()["n"])
