@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, lm, media, packing, substring, warc
+from sweepgrid.llm import exact_dedup, lm, media, packing, pii, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_media_columns": media.op2_media_columns,
+        "op3_pii_boosted": pii.op3_pii_boosted,
         "op4_warc_bundles": warc.op4_warc_bundles,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
