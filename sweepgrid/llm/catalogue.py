@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, lm, media, packing, pii, substring, warc
+from sweepgrid.llm import exact_dedup, lm, media, near, packing, pii, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_near_join": near.op10_near_join,
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_media_columns": media.op2_media_columns,
         "op3_pii_boosted": pii.op3_pii_boosted,
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_lm_interpolation": lm.op7_lm_interpolation,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
