@@ -13,8 +13,11 @@ their own; an empty table gives no pieces. Further columns are left alone.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,17 @@ from sweepgrid.llm.shared import materialise, table
 from sweepgrid.llm.words import slices
 
 #: Words whose ids a worker keeps at most; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+
+
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_ALPHABET = _alphabet()
 
 
 def default_tokenizer() -> str:
@@ -40,13 +53,21 @@ class WordTokenizer:
     """Ids of whole texts from a tokenizer whose pieces never cross ASCII white space.
 
     Texts are split at white space, each distinct word is encoded once, and ids are laid out by
-    array operations. ``encode`` is the same as encoding each text whole.
+    array operations. A word is taken apart further where its pieces are sure to part: a tail of
+    ``.,;:!?`` after a letter or digit. ASCII capitals are lowered first, as the tokenizer does;
+    words that may hold a special token are left as they are. Words of lower-case letters only are
+    one piece for the tokenizer and go to its model directly, as bytes in its alphabet; whether
+    that gives the same ids is tried on a few words first. ``encode`` is the same as encoding each
+    text whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        probe = ("a", "lower", "été", "straße", "漢字", "слово", "ñandú", "x" * 40)
+        self.direct = all(self._direct(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -54,41 +75,62 @@ class WordTokenizer:
         self.known.clear()
         self.ids, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.known), len(words)
+        while k + n > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[k : k + n] = sizes
+        self.known.update(zip(words, range(k, k + n)))
+        self.used += len(ids)
+
+    def _direct(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET))]
+
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self._clear()
-        for begin in range(0, len(words), 20_000):
-            part = words[begin : begin + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            for word, ids in zip(part, found):
-                k = len(self.known)
-                if k >= len(self.start):
-                    self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[k], self.size[k] = self.used, len(ids)
-                self.known[word] = k
-                self.used += len(ids)
+        letters, other = [], []
+        for w in words:
+            plain = self.direct and w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))
+            (letters if plain else other).append(w)
+        for begin in range(0, len(letters), 20_000):
+            part = letters[begin : begin + 20_000]
+            self._keep(part, [self._direct(w) for w in part])
+        for begin in range(0, len(other), 2000):
+            part = other[begin : begin + 2000]
+            self._keep(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+
+    def _keep(self, words: list[str], found: list[list[int]]) -> None:
+        self._put(words, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _parts(self, word: str) -> tuple[str, str]:
+        core = word.rstrip(".,;:!?")
+        if core and len(core) < len(word) and core[-1].isalnum() and "<|" not in word:
+            return core, word[len(core) :]
+        return word, ""
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each text)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat, at = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
         at = at - at[0]
+        special = pc.match_substring(flat, "<|")
+        flat = pc.ascii_lower(flat) if not pc.any(special).as_py() else pc.if_else(special, flat, pc.ascii_lower(flat))
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w and w not in self.known]
+        parts = [self._parts(w) for w in coded.dictionary.to_pylist()]
+        new = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in self.known))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self._clear()
+            new = list(dict.fromkeys(p for pair in parts for p in pair if p))
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self._clear()
-                new = [w for w in words if w]
             self._learn(new)
-        slot = np.fromiter((self.known[w] if w else -1 for w in words), np.int64, len(words))
-        of = slot[np.asarray(coded.indices).astype(np.int64)] if len(words) else np.zeros(0, np.int64)
+        slot = np.fromiter((self.known[p] if p else -1 for pair in parts for p in pair), np.int64, 2 * len(parts)).reshape(-1, 2)
+        of = slot[np.asarray(coded.indices)].reshape(-1)
         start, size = np.where(of >= 0, self.start[of], 0), np.where(of >= 0, self.size[of], 0)
         sums = np.concatenate([[0], np.cumsum(size)])
-        per_text = np.diff(sums[at])
+        per_text = np.diff(sums[2 * at])
         ids = self.ids[np.repeat(start - sums[:-1], size) + np.arange(sums[-1])]
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(per_text), np.uint32(end_id))
@@ -131,7 +173,7 @@ def pieces(tokens: DataFrame, length: int = 2048, carry: tuple[str, ...] = ("doc
     schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", start BIGINT, length BIGINT, ids_crc32 BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT, ids BINARY"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             at, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
             count = (at + n - 1) // length - at // length + 1
             row = np.repeat(np.arange(len(n)), count)
