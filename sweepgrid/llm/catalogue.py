@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, lm, media, near, packing, pii, substring, toxicity, warc
+from sweepgrid.llm import exact_dedup, lm, media, mixing, near, packing, pii, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_lm_interpolation": lm.op7_lm_interpolation,
+        "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_bundles": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_warc_bundles": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
