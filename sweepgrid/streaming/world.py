@@ -1,0 +1,91 @@
+"""The world map as a stream: one sequential state per map."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from sweepgrid.operators.worldmap import MAX_DRIFT, OBS_CAP
+
+CELL = ("ix", "iy", "n", "ng", "gsum", "gsq", "zmax", "gmin")
+OUT = "map_id string, frame bigint, ix bigint, iy bigint, n bigint, ng bigint, gsum double, gsq double, zmax double, gmin double, dz double"
+
+
+class WorldState:
+    """Cells of one map, fed a sweep at a time; drift against the map so far is taken out of each sweep."""
+
+    def __init__(self, res: float = 0.4, trust: float = 20.0, reach: float = 90.0, common: int = 40, align: bool = True):
+        self.res, self.trust, self.reach, self.common, self.align = res, trust, reach, common, align
+        self.cells = pd.DataFrame({c: pd.Series(dtype="int64" if c in ("ix", "iy", "n", "ng") else "float64") for c in CELL})
+
+    def sweep(self, t: pd.DataFrame) -> pd.DataFrame:
+        """Cells of one sweep of points (x, y for the gate; wx, wy, wz; lab)."""
+        t = t[t["x"] ** 2 + t["y"] ** 2 <= self.trust**2]
+        g = t["lab"].isin((0, 1))
+        z = t["wz"].where(g)
+        d = pd.DataFrame({"ix": np.floor(t["wx"] / self.res).astype("int64"), "iy": np.floor(t["wy"] / self.res).astype("int64"), "n": 1, "ng": g.astype("int64"), "gsum": z.fillna(0.0), "gsq": (z * z).fillna(0.0), "zmax": t["wz"], "gmin": z})
+        return d.groupby(["ix", "iy"], as_index=False).agg(n=("n", "sum"), ng=("ng", "sum"), gsum=("gsum", "sum"), gsq=("gsq", "sum"), zmax=("zmax", "max"), gmin=("gmin", "min"))
+
+    def ingest(self, t: pd.DataFrame, x: float, y: float) -> float:
+        new = self.sweep(t)
+        dz = self._drift(new) if self.align else 0.0
+        if dz:
+            new["gsq"] += 2 * dz * new["gsum"] + new["ng"] * dz * dz
+            new["gsum"] += new["ng"] * dz
+            new["zmax"] += dz
+            new["gmin"] += dz
+        both = pd.concat([self.cells, new], ignore_index=True)
+        both = both.groupby(["ix", "iy"], as_index=False).agg(n=("n", "sum"), ng=("ng", "sum"), gsum=("gsum", "sum"), gsq=("gsq", "sum"), zmax=("zmax", "max"), gmin=("gmin", "min"))
+        far = ((both["ix"] + 0.5) * self.res - x) ** 2 + ((both["iy"] + 0.5) * self.res - y) ** 2 > self.reach**2
+        self.cells = both[~far].reset_index(drop=True)
+        return dz
+
+    def _drift(self, new: pd.DataFrame) -> float:
+        both = self.cells[self.cells["ng"] >= 3].merge(new[new["ng"] >= 3], on=["ix", "iy"])
+        if len(both) < self.common:
+            return 0.0
+        dz = float(np.median(both["gsum_x"] / both["ng_x"] - both["gsum_y"] / both["ng_y"]))
+        return dz if abs(dz) <= MAX_DRIFT else 0.0
+
+    def result(self, map_id: str, frame: int, dz: float) -> pd.DataFrame:
+        return self.cells.assign(map_id=map_id, frame=frame, dz=dz, n=self.cells["n"].clip(upper=OBS_CAP))[["map_id", "frame", *CELL, "dz"]]
+
+
+def world_map(points: DataFrame, **options) -> DataFrame:
+    """Final cells of each map from points (map_id, frame, x, y, wx, wy, wz, lab, tx, ty), frames in order."""
+
+    def work(t: pd.DataFrame) -> pd.DataFrame:
+        state, dz = WorldState(**options), 0.0
+        for _, s in t.groupby("frame", sort=True):
+            dz = state.ingest(s, float(s["tx"].iloc[0]), float(s["ty"].iloc[0]))
+        return state.result(t["map_id"].iloc[0], int(t["frame"].max()), dz)
+
+    return points.groupBy("map_id").applyInPandas(work, OUT)
+
+
+STATE = "ix array<bigint>, iy array<bigint>, n array<bigint>, ng array<bigint>, gsum array<double>, gsq array<double>, zmax array<double>, gmin array<double>"
+
+
+def world_stream(points: DataFrame, **options) -> DataFrame:
+    """The same over a stream of sweeps: after each micro-batch, the map's cells. A row with a null ``lab``
+    and ``frame`` -1 resets its map."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        world = WorldState(**options)
+        if state.exists:
+            world.cells = pd.DataFrame(dict(zip(CELL, state.get)))
+        t = pd.concat(list(batches), ignore_index=True)
+        if (t["frame"] < 0).any():
+            world = WorldState(**options)
+            t = t[t["frame"] >= 0]
+        dz = 0.0
+        for _, s in t.groupby("frame", sort=True):
+            dz = world.ingest(s, float(s["tx"].iloc[0]), float(s["ty"].iloc[0]))
+        state.update(tuple(world.cells[c].tolist() for c in CELL))
+        yield world.result(key[0], int(t["frame"].max()) if len(t) else -1, dz)
+
+    return points.groupBy("map_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
