@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOXEL, MIN_POINTS, MAX_POINTS, SAMPLE = 0.30, 20, 6000, 256
 
@@ -42,7 +43,7 @@ def cluster_points(points: DataFrame, keys: list[str], voxel: float = VOXEL, lea
 
     A sweep is the unit of work and bounded by the sensor.
     """
-    schema = points.schema.add("cluster_id", "bigint")
+    schema = T.StructType([*points.schema.fields, T.StructField("cluster_id", T.LongType())])
 
     def work(t: pd.DataFrame) -> pd.DataFrame:
         xyz = t[["x", "y", "z"]].to_numpy(float)
@@ -152,7 +153,7 @@ def geometric_classifier(extents: pd.DataFrame) -> np.ndarray:
 
 def classify(extents: DataFrame, model: Classifier = geometric_classifier, least: float = 0.5) -> DataFrame:
     """Adds cls and score = 1 - p(background) to clusters; rows below ``least`` and background go."""
-    schema = extents.schema.add("cls", "int").add("score", "double")
+    schema = T.StructType([*extents.schema.fields, T.StructField("cls", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:

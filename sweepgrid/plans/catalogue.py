@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from sweepgrid.plans import detection, mapping, terrain
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return mapping.QUERIES | terrain.QUERIES | detection.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return mapping.ORACLES | terrain.ORACLES | detection.ORACLES
+
+
