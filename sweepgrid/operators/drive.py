@@ -167,7 +167,7 @@ def tracked(scores: DataFrame, keys: list[str], order: str, value: str, alpha: f
 
     The fold is sequential by nature; it runs inside one expression over a key's ordered values.
     """
-    rows = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("v")))).alias("s"))
+    rows = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("v")))).alias("__rows"))
     start = F.array().cast("array<struct<k:bigint,ema:double,cls:int>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -178,4 +178,4 @@ def tracked(scores: DataFrame, keys: list[str], order: str, value: str, alpha: f
         near = ((F.least(plain, held) == 0) & (F.abs(now - 1.0) <= band)) | ((F.least(plain, held) == 1) & (F.abs(now - 2.0) <= band))
         return F.concat(acc, F.array(F.struct(x["k"].cast("bigint").alias("k"), now.alias("ema"), F.when(keep & near, held).otherwise(plain).alias("cls"))))
 
-    return rows.select(*keys, F.explode(F.aggregate("s", start, step)).alias("r")).select(*keys, F.col("r.k").alias(order), "r.ema", "r.cls")
+    return rows.select(*keys, F.explode(F.aggregate("__rows", start, step)).alias("r")).select(*keys, F.col("r.k").alias(order), "r.ema", "r.cls")

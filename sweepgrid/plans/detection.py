@@ -213,7 +213,7 @@ def suggest_params(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_points(fx.points(spark, d).where("lab NOT IN (0, 1) AND z > -1.0"), ["frame"])
+    return cluster.cluster_points(fx.points(spark, d).where("lab NOT IN (0, 1) AND z > -1.0"), ["frame"], voxel=0.5, least=8)
 
 
 @_add("q_cluster")
