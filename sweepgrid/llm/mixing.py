@@ -93,7 +93,7 @@ def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int) -> DataFra
 
 def mixed(docs: DataFrame, carry: tuple[str, ...] = (), fraction: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
     """One row per document and epoch taken: the carried columns, __id, __domain, __lang, __source,
-    __n (tokens), __epoch, __taken (tokens taken) and leaf_budget."""
+    __n (tokens), __epoch, __taken (tokens taken) and __budget (the leaf's)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("__id"), domain_of().alias("__domain"), F.col("lang").alias("__lang"), F.col("source").alias("__source"),
@@ -102,7 +102,7 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), fraction: float = 1.0, m
     base = materialise(base.where("__n > 0"), "mixing")
     leaves = materialise(leaf_budgets(base.groupBy(*_LEAF).agg(F.sum("__n").alias("tokens")), fraction, max_epochs), "leaves")
     small = leaves.count() <= broadcast_leaves
-    leaves = leaves.select(*_LEAF, "leaf_budget", F.expr("leaf_budget div tokens").alias("__whole"), F.expr("leaf_budget % tokens").alias("__rest"))
+    leaves = leaves.select(*_LEAF, F.col("leaf_budget").alias("__budget"), F.expr("leaf_budget div tokens").alias("__whole"), F.expr("leaf_budget % tokens").alias("__rest"))
     key = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit("null"))), "UTF-8"))
     rows = _joined(base, leaves, _LEAF, small=small).withColumn("__key", key).withColumn("__range", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
     totals = rows.where("__rest > 0").groupBy(*_LEAF, "__rest", "__range").agg(F.sum("__n").alias("__sum"))
@@ -115,7 +115,7 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), fraction: float = 1.0, m
     last = rows.where("__range < __end").withColumn("__ahead", F.lit(0).cast("bigint")).unionByName(inside.where("__ahead < __rest"))
     last = last.withColumn("__epoch", F.col("__whole")).withColumn("__taken", F.when(F.col("__range") == F.col("__end"), F.least("__n", F.col("__rest") - F.col("__ahead"))).otherwise(F.col("__n")))
     whole = rows.where("__whole > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__whole") - 1))).withColumn("__taken", F.col("__n"))
-    columns = [*[F.col(f"`{c}`") for c in carry], "__id", *_LEAF, "__n", "__epoch", "__taken", "leaf_budget"]
+    columns = [*[F.col(f"`{c}`") for c in carry], "__id", *_LEAF, "__n", "__epoch", "__taken", "__budget"]
     return whole.select(*columns).unionByName(last.select(*columns))
 
 
@@ -133,7 +133,7 @@ def keep_mix(docs: DataFrame, fraction: float = 0.8, max_epochs: int = 1) -> Dat
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(table(spark, sf_dir, "documents"))
-    return out.select(F.col("__id").alias("doc_id"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__taken").alias("taken"), "leaf_budget")
+    return out.select(F.col("__id").alias("doc_id"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__taken").alias("taken"), F.col("__budget").alias("leaf_budget"))
 
 
 def _fill_sql(name: str, of: str, parent: str, child: str, weights: str, out: str) -> str:

@@ -97,14 +97,14 @@ def test_media_members_fail_by_themselves(tmp_path):
 def test_mixing_budgets(spark, fraction, epochs):
     r = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(r.randint(0, 30))), r.choice(["en", "en", "de", None]), r.choice(["src0"] * 5 + ["src1", "src2", "src7", "own", None])) for i in range(400)] + [(None, "a b", "en", "src0"), (5, None, "en", "src0"), (3, "a b c", "en", "src0")]
-    docs = spark.createDataFrame([(*x, "q") for x in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, tokens STRING")
+    docs = spark.createDataFrame([(*x, "q", "z") for x in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, tokens STRING, leaf_budget STRING")
     got = mixing.mixed(docs, (), fraction, epochs).collect()
     total = sum(len((t or "").split()) for _, t, _, _ in rows)
     assert sum(g["__taken"] for g in got) == min(int(total * fraction), total * epochs)
     leaf = {}
     for g in got:
         k = g["__domain"], g["__lang"], g["__source"]
-        leaf.setdefault(k, [0, g["leaf_budget"], 0])
+        leaf.setdefault(k, [0, g["__budget"], 0])
         leaf[k][0] += g["__taken"]
         leaf[k][2] += g["__taken"] < g["__n"]
     assert all(a == b and cut <= 1 for a, b, cut in leaf.values())
