@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.llm.shared import estimated_bytes, materialise, shuffle_files_dropped, table
-from sweepgrid.llm.words import Words, mix
+from sweepgrid.llm.words import Words, mix, slices
 
 FOLDS, HELD_OUT, TUNED_ON = 10, 0, 1
 #: Bytes of input, as stored, in a group of documents and behind a shard of hashes.
-GROUP_BYTES, SHARD_BYTES = 5 << 20, 8 << 20
+GROUP_BYTES, SHARD_BYTES = 3 << 20, 6 << 20
 #: Upper bounds of context frequency of each bucket but the last; bucket 0 is the unseen context.
 BUCKETS = np.array([0, 1, 2, 4, 8, 16, 64, 256, 1024, 8192, 65536, 1 << 20], np.int64)
 #: Steps of the logarithm of a probability in the sufficient statistics, and how many there are.
@@ -51,13 +51,18 @@ class Tokens:
     """Word and bigram hashes of some documents; each ends with an end token and starts after a begin mark."""
 
     def __init__(self, texts: pa.Array):
-        words = Words(texts, lower=True)
-        self.count = words.count + 1
+        # words are hashed a slice at a time, as that takes many times the bytes of the text
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for piece in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+            words = Words(piece.column("text"), lower=True)
+            hashes.append(words.hash)
+            counts.append(words.count)
+        self.count = np.concatenate(counts) + 1
         ends = np.cumsum(self.count) - 1
         self.word = np.empty(int(self.count.sum()), np.uint64)
         inner = np.ones(len(self.word), bool)
         inner[ends] = False
-        self.word[inner] = words.hash
+        self.word[inner] = np.concatenate(hashes)
         self.word[ends] = _END
         before = np.empty_like(self.word)
         if len(before):
