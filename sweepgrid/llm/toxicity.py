@@ -37,7 +37,7 @@ from sweepgrid.llm.words import slices
 HELD_OUT = 2
 THRESHOLD = 0.3
 #: Labelled rows used for learning at most, and mined terms at most.
-LABELLED, TERMS = 24_000, 600
+LABELLED, TERMS = 16_000, 400
 #: A general lexicon; everything else is mined.
 LEXICON = ("bastard", "clown", "crap", "disgusting", "dumb", "filth", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "shut up", "stupid", "trash", "vermin", "worthless")
 STEMS = (4, 5, 6, 7)
@@ -104,30 +104,33 @@ class LabelModel:
     """Accuracies of binary voters for a latent class, with shared weight for correlated voters."""
 
     def __init__(self, votes: np.ndarray, gold: np.ndarray, rounds: int = 25, prior: float = 1.0):
-        n, m = votes.shape
-        v = np.concatenate([votes, (gold == 1)[:, None]], 1).astype(float)
-        known = np.ones_like(v)
-        known[:, m] = gold >= 0
+        v, given, known = votes.astype(np.float32), (gold == 1).astype(float), (gold >= 0).astype(float)
+        n = len(v)
         q = np.where(gold >= 0, np.where(gold == 1, 0.9, 0.02), np.clip(0.02 + 0.45 * votes.sum(1), 0.02, 0.95))
-        weight = np.ones(m + 1)
+        both = (v.T @ v).astype(float)
         for _ in range(rounds):
             self.share = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
-            positive, negative = (q[:, None] * known).sum(0), ((1 - q)[:, None] * known).sum(0)
-            self.hit = np.clip(((q[:, None] * v * known).sum(0) + prior) / (positive + 2 * prior), 1e-4, 1 - 1e-4)
-            self.false = np.clip((((1 - q)[:, None] * v * known).sum(0) + 0.1 * prior) / (negative + 2 * prior), 1e-6, 1 - 1e-4)
-            mean = q[:, None] * self.hit + (1 - q)[:, None] * self.false
-            residual = (v - mean) * known
-            spread = np.sqrt(np.maximum((residual**2).mean(0), 1e-9))
-            self.correlation = (residual.T @ residual) / n / np.outer(spread, spread)
+            up, down = (v.T @ q.astype(np.float32)).astype(float), (v.T @ (1 - q).astype(np.float32)).astype(float)
+            positive, negative = q.sum(), (1 - q).sum()
+            self.hit = np.clip((up + prior) / (positive + 2 * prior), 1e-4, 1 - 1e-4)
+            self.false = np.clip((down + 0.1 * prior) / (negative + 2 * prior), 1e-6, 1 - 1e-4)
+            # votes less what the class explains, multiplied out so that only voters by voters is stored
+            mixed = np.outer(up, self.hit) + np.outer(down, self.false)
+            rest = both - mixed - mixed.T + (q * q).sum() * np.outer(self.hit, self.hit) + ((1 - q) ** 2).sum() * np.outer(self.false, self.false)
+            cross = (q * (1 - q)).sum() * np.outer(self.hit, self.false)
+            rest += cross + cross.T
+            spread = np.sqrt(np.maximum(np.diag(rest), 1e-9 * n))
+            self.correlation = rest / np.outer(spread, spread)
             tied = np.where(np.abs(self.correlation) > 0.2, np.abs(self.correlation), 0.0)
             np.fill_diagonal(tied, 1.0)
-            tied[m], tied[:, m] = 0.0, 0.0
-            tied[m, m] = 1.0
-            weight = 1.0 / tied.sum(1)
-            odds = v * np.log(self.hit / self.false) + (1 - v) * np.log((1 - self.hit) / (1 - self.false))
-            z = np.log(self.share / (1 - self.share)) + (odds * known * weight).sum(1)
+            self.weight = 1.0 / tied.sum(1)
+            right = (q * given).sum(), ((1 - q) * given).sum()
+            self.gold = np.clip((right[0] + prior) / ((q * known).sum() + 2 * prior), 1e-3, 1 - 1e-3), np.clip((right[1] + 0.1 * prior) / (((1 - q) * known).sum() + 2 * prior), 1e-5, 1 - 1e-3)
+            on, off = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
+            z = np.log(self.share / (1 - self.share)) + (off * self.weight).sum() + v @ ((on - off) * self.weight).astype(np.float32)
+            z = z + known * np.where(given > 0, np.log(self.gold[0] / self.gold[1]), np.log((1 - self.gold[0]) / (1 - self.gold[1])))
             q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        self.posterior, self.weight = q, weight
+        self.posterior = q
 
 
 class Linear:
