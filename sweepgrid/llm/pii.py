@@ -82,7 +82,10 @@ _NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 GENERATORS = (
     ("email", re.compile(r"[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]| dot | DOT "), re.compile(rf"{_NAME}\s?(?:[\[({{<]\s?(?:at|AT)\s?[\])}}>]| at | AT |@)\s?{_LABEL}(?:\s?(?:[\[({{<]\s?(?:dot|DOT)\s?[\])}}>]| dot | DOT |\.)\s?{_LABEL}){{1,4}}")),
-    ("phone", _DIGIT, re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z])")),
+    # a well-formed number or card inside a longer run of digits that the base pattern takes whole and drops
+    ("phone", _DIGIT, re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
+    ("card", _DIGIT, re.compile(r"(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])")),
+    ("phone", _DIGIT, re.compile(r"(?<!\+[0-9] )(?<!\+[0-9]{2} )(?<!\+[0-9]{3} )(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z])")),
     ("phone", _DIGIT, re.compile(r"(?<![0-9A-Za-z+])00[1-9][0-9]?[ .()-][ .()0-9-]{6,18}[0-9](?![0-9A-Za-z])")),
     ("card", _DIGIT, re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ .\-_/]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])")),
     ("card", _DIGIT, re.compile(r"(?<![0-9A-Za-z.-])3[0-9]{3}[ .\-_/][0-9]{6}[ .\-_/][0-9]{5}(?![0-9A-Za-z])")),
@@ -117,7 +120,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     tail = re.split(r"\W+", s)[-1].lower()
     return [
         KINDS.index(kind), len(s), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
-        float(len(digits) >= 12 and luhn(digits)), len(set(digits)) / max(1, len(digits)), s.count("."), s.count("-"), s.count(" "),
+        float(len(digits) >= 12 and luhn(digits)), len(set(digits)) / max(1, len(digits)), s.count("."), s.count("-"), s.count(" "), float(s[:1] == "+"),
         float("(" in s or "[" in s), max((int(g) for g in groups if len(g) <= 6), default=0), float(any(len(g) > 1 and g[0] == "0" for g in groups)),
         float(digits[:1] == "0"), float(digits[:1] in "3456" and bool(digits)), float(bool(re.search(r"[\[({<]\s?(?:at|AT)\s?[\])}>]", s))), float(bool(re.search(r"[\[({<]\s?(?:dot|DOT)\s?[\])}>]", s))),
         float(tail in ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info")), len(tail),
@@ -144,14 +147,14 @@ def compose(seed: int = 11, each: int = EXAMPLES) -> list[tuple[str, str, bool]]
     four = lambda s: r.choice((".", "_", "/", " - ", ". ", "  ")).join(s[i : i + 4] for i in range(0, 16, 4))
     good = {
         "email": lambda: f"{word()}{r.choice(('', '.', '_'))}{word()}{r.choice((' [at] ', '[at]', ' (at) ', ' at ', '(AT)', ' AT '))}{host()}{r.choice((' [dot] ', '[dot]', ' dot ', '(dot)', ' DOT '))}{r.choice(('com', 'org', 'net', 'de', 'fr', 'es'))}",
-        "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({})-{}-{}", "001 {} {} {}", "0049 {} {}{}")).format(str(r.randint(201, 989)), str(r.randint(200, 999)), _digits(r, 4)),
-        "card": lambda: four(_card(r, True)),
+        "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({})-{}-{}", "001 {} {} {}", "0049 {} {}{}", "+1 ({}) {}-{} " + _card(r, True), "+34 {} {}-{} " + _digits(r, 12))).format(str(r.randint(201, 989)), str(r.randint(200, 999)), _digits(r, 4)),
+        "card": lambda: r.choice((four(_card(r, True)), f"{_digits(r, 3)}-{_digits(r, 4)} {_card(r, True)}", f"{_card(r, True)} {_digits(r, r.randint(5, 12))}")),
         "ip": lambda: r.choice(("[.]", "(.)", "[dot]", " . ")).join(str(r.randint(1, 255)) for _ in range(4)),
     }
     bad = {
         "email": lambda: r.choice((f"{word()} at {word()} {word()} dot {word()}", f"{word()} at {word()}. {word().title()}", f"{word()} at the {word()} dot {word()}", f"look at {word()} dot {word()}")),
         "phone": lambda: r.choice((f"{r.randint(1900, 2099)}-{_digits(r, 4)}-{_digits(r, 3)}", f"{_digits(r, 3)} {_digits(r, 3)} {_digits(r, 3)}", f"{_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}", f"{_digits(r, 4)}.{_digits(r, 4)}.{_digits(r, 4)}", f"{_digits(r, 2)}.{_digits(r, 3)}.{_digits(r, 3)}", f"{_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)}")),
-        "card": lambda: four(_card(r, False)),
+        "card": lambda: r.choice((four(_card(r, False)), f"{_digits(r, 3)}-{_digits(r, 4)} {_card(r, False)}", _card(r, False), _digits(r, r.choice((13, 14, 17, 18, 19))))),
         "ip": lambda: r.choice((".".join(str(r.randint(256, 999)) for _ in range(4)), f"{r.randint(1, 9)}. {r.randint(1, 9)}. {r.randint(1, 9)}. {r.randint(1, 9)}", "[.]".join(str(r.randint(300, 999)) for _ in range(4)))),
     }
     out = []
@@ -171,8 +174,12 @@ def trained(examples: int = EXAMPLES, precision: float = PRECISION) -> Calibrate
     for text, kind, positive in compose(each=examples):
         for k, a, b in candidates(text, base_spans(text)):
             rows.append(features(text, k, a, b))
-            labels.append(float(positive and k == kind))
-    return Calibrated(np.array(rows), np.array(labels), precision)
+            # a good example may hold several spans; digits beside it count by their own form
+            d = re.sub("[^0-9]", "", text[a:b])
+            labels.append(float(positive and k == kind and (k != "card" or luhn(d)) or positive and k == "card" and kind == "phone" and luhn(d)))
+    model = Calibrated(np.array(rows), np.array(labels), precision)
+    model.threshold = max(model.threshold, 0.5)  # never less likely than not, however well the examples part
+    return model
 
 
 def select(texts: list[str], model: Calibrated) -> Iterator[tuple[list, list]]:

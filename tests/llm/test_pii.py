@@ -78,3 +78,10 @@ def test_result(spark):
     assert next(g for g in got if g.doc_id == 4).spans == "" and by_text
     assert next(g for g in got if g.doc_id is None).redacted == "call [phone] now"
     assert pii.pii_spans(spark.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
+
+
+def test_spans_that_a_longer_run_hides(spark):
+    rows = [(1, "anea +1 (269) 555-3296 4111111111111111 and"), (2, "order 20240131123456789012 and 4111111111111112"), (3, "x 555-3296 4111111111111111.")]
+    got = {g.doc_id: g for g in pii.pii_spans(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got[1].spans == "card:23:39,phone:5:22" and got[1].n_phone == got[1].n_card == 0
+    assert got[2].spans == "" and got[3].spans == "card:11:27"
