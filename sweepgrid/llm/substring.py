@@ -18,7 +18,7 @@ No text meets more than the shards that can hold its phrases, so the work grows
 
 Defined cases: a null text has no words; a null ``doc_id`` is neither smaller nor larger than any
 other, so such rows lose nothing and cost others nothing; rows that share a ``doc_id`` are judged
-each by itself against smaller ids; an empty table gives an empty result. Further columns are left
+each by itself against smaller ids (they are told apart by a 32-bit hash of the text); an empty table gives an empty result. Further columns are left
 alone.
 """
 
@@ -39,7 +39,7 @@ from sweepgrid.llm.words import Words, mix, ngrams, slices
 
 WINDOW, PHRASE = 13, 6
 #: Documents of one anchor from which its windows are keyed one by one and salted.
-HOT_DOCS = 1000
+HOT_DOCS = 20_000
 SALTS = 8
 #: Segments after which a shard is compiled.
 SHARD_SEGMENTS = 20_000
@@ -89,15 +89,15 @@ def _anchors(window: int, phrase: int):
     return work
 
 
-_SEGMENT = pa.schema([("key", pa.int64()), ("phase", pa.int32()), ("doc_id", pa.int64()), ("last_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("seg", pa.binary())])
-SEGMENT = "key BIGINT, phase INT, doc_id BIGINT, last_id BIGINT, th BIGINT, start INT, seg BINARY"
+_SEGMENT = pa.schema([("key", pa.int64()), ("phase", pa.int32()), ("doc_id", pa.int64()), ("last_id", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("seg", pa.binary())])
+SEGMENT = "key BIGINT, phase INT, doc_id BIGINT, last_id BIGINT, th INT, start INT, seg BINARY"
 #: Votes of a salted window, segments that vote and are searched, salted windows that are only searched.
 VOTE, BOTH, SEARCH = 0, 1, 2
 
 
 def _segments(window: int, phrase: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(b.filter(pc.is_valid(b.column("doc_id"))) for b in batches):
             words = Words(batch.column("text"))
             at, anchor = window_anchors(words, window, phrase)
             owner = np.searchsorted(words.first, at, "right") - 1
@@ -213,7 +213,7 @@ class Shard:
                 yield doc, th, start + a, start + b
 
 
-_RANGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+_RANGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def _locate(window: int, shard_segments: int):
@@ -267,7 +267,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone, digest, kept_text = [], [], []
         for d in range(batch.num_rows):
             first, n = int(words.first[d]), int(words.count[d])
-            mine = [(r["a"], r["b"]) for r in (ranges[d].as_py() or ()) if r["th"] == ths[d]]
+            mine = [(r["a"], r["b"]) for r in (ranges[d].as_py() or ()) if r["th"] == ths[d] and ids[d].is_valid]
             if mine:
                 keep = np.ones(n, bool)
                 for a, b in mine:
@@ -285,20 +285,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot_docs: int = HOT_DOCS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = rows.where("doc_id IS NOT NULL")
-    # dealt by anchor once: the counts and the join below share this exchange
-    anchors = known.mapInArrow(_anchors(window, phrase), "h BIGINT, doc_id BIGINT").repartition("h")
+    # The key is never null, so that no filter on it keeps the two joins from sharing one exchange
+    # of the texts; the same goes for the anchors, dealt once for their counts and the join.
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("key")
+    rows = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    anchors = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(window, phrase), "h BIGINT NOT NULL, doc_id BIGINT NOT NULL").repartition("h")
     recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     recurring = recurring.select("h", (F.col("n") > hot_docs).alias("is_hot"))
-    of_doc = anchors.join(recurring, "h").groupBy("doc_id").agg(
+    of_doc = anchors.join(recurring, "h").groupBy(F.col("doc_id").alias("key")).agg(
         F.collect_set(F.when(~F.col("is_hot"), F.col("h"))).alias("plain"),
         F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"),
     )
-    segments = known.join(of_doc, "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "text", "plain", "hot").mapInArrow(_segments(window, phrase), SEGMENT)
-    ranges = segments.repartition("key").sortWithinPartitions("key", "phase").mapInArrow(_locate(window, shard_segments), "doc_id BIGINT, th BIGINT, a INT, b INT")
-    of_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("th", "a", "b")).alias("ranges"))
-    joined = rows.join(of_doc, "doc_id", "left").select("doc_id", F.xxhash64("text").alias("th"), "text", "ranges")
+    segments = rows.join(of_doc, "key").select("doc_id", F.hash("text").alias("th"), "text", "plain", "hot").mapInArrow(_segments(window, phrase), SEGMENT)
+    ranges = segments.repartition("key").sortWithinPartitions("key", "phase").mapInArrow(_locate(window, shard_segments), "doc_id BIGINT NOT NULL, th INT, a INT, b INT")
+    of_doc = ranges.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("th", "a", "b")).alias("ranges"))
+    joined = rows.join(of_doc, "key", "left").select("doc_id", F.hash("text").alias("th"), "text", "ranges")
     return joined.mapInArrow(_cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING")
 
 
