@@ -30,7 +30,13 @@ from sweepgrid.llm.shared import materialise, table
 from sweepgrid.llm.words import slices
 
 #: Words whose ids a worker keeps at most; beyond that it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: Bytes of text encoded at once: the more, the fewer distinct words are looked up again.
+SLICE_BYTES = 6 << 20
+
+
+#: Partitions up to which their offsets are broadcast.
+BROADCAST_PARTS = 500_000
 
 
 def _alphabet() -> dict[int, str]:
@@ -146,7 +152,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = WordTokenizer(path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", SLICE_BYTES):
             ids, sizes = encoder.encode(batch.column("__text"), end_id)
             ends = np.cumsum(sizes)
             raw = ids.astype("<u4").tobytes()
@@ -163,8 +169,10 @@ def offsets(tokens: DataFrame) -> DataFrame:
     """Each document's global offset: prefix sums over the partitions' totals, a row per partition."""
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return tokens.join(base, "part").withColumn("at", F.col("base") + F.col("begin")).drop("base", "begin", "part")
+    base = materialise(totals.select("part", F.coalesce(before, F.lit(0)).alias("base")), "offsets")
+    # a row per partition: broadcast while that is small, else joined by key
+    side = F.broadcast(base) if base.count() <= BROADCAST_PARTS else base
+    return tokens.join(side, "part").withColumn("at", F.col("base") + F.col("begin")).drop("base", "begin", "part")
 
 
 def pieces(tokens: DataFrame, length: int = 2048, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
