@@ -65,6 +65,17 @@ def nn_truth(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ok", "pk", "sk", "ln", "d2", F.coalesce("t_lab", F.lit(7)).alias("cls"))
 
 
+@_add("q_nn_truth_whole", f"""WITH {PTS}, p AS (SELECT * FROM points WHERE ok % 3 = 0), t AS (SELECT frame, x, y, z, lab, ok*10 + ln AS tid FROM points WHERE ok % 3 <> 0),
+j AS (SELECT p.ok, p.pk, p.sk, p.ln, (p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)+(p.z-t.z)*(p.z-t.z) AS d2, t.lab, t.tid FROM p JOIN t ON p.frame = t.frame AND abs(p.x-t.x) <= 0.5 AND abs(p.y-t.y) <= 0.5),
+b AS (SELECT ok, pk, sk, ln, min({{'d2': d2, 'tid': tid, 'lab': lab}}) AS best FROM j WHERE d2 <= 0.25 GROUP BY ALL) SELECT p.ok, p.pk, p.sk, p.ln, best.d2 AS d2, coalesce(best.lab, 7)::INT AS cls FROM p LEFT JOIN b USING (ok, pk, sk, ln)""")
+def nn_truth_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As nn_truth, with all the rest of the cloud as truth."""
+    p = fx.points(spark, d)
+    t = p.where("ok % 3 <> 0").withColumn("tid", F.col("ok") * 10 + F.col("ln"))
+    out = evaluate.nearest(p.where("ok % 3 = 0"), t, ["frame"], 0.5, ["ok", "pk", "sk", "ln"], ["tid", "lab"])
+    return out.select("ok", "pk", "sk", "ln", "d2", F.coalesce("t_lab", F.lit(7)).alias("cls"))
+
+
 @_add("q_heading_bins", f"WITH {fx.boxes_sql()}, y AS (SELECT id, yaw - 1.2::DOUBLE + (id % 17) * 0.11::DOUBLE AS a FROM boxes), w AS (SELECT *, 2*pi()/12 AS w FROM y), m AS (SELECT *, a + w/2 - floor((a + w/2)/(2*pi()))*(2*pi()) AS s FROM w), b AS (SELECT *, cast(floor(s/w) as int) % 12 AS bin FROM m), r AS (SELECT *, a - bin*w + pi() AS q FROM b) SELECT id, bin, round((q - floor(q/(2*pi()))*(2*pi()) - pi())/w, 6) + 0.0 AS residual FROM r")
 def heading_bins(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("yaw") - F.lit(1.2) + F.col("id") % 17 * F.lit(0.11)

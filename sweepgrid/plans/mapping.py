@@ -198,6 +198,13 @@ def map_merge(spark: SparkSession, d: str) -> DataFrame:
     return grid.merge_maps(grid.quantise(p.where("frame < 4"), 0.2), grid.quantise(p.where("frame >= 4 AND frame < 6"), 0.2))
 
 
+@_add("q_map_merge_whole", f"WITH {PTS} SELECT {_cell('x', 0.2)} AS ix, {_cell('y', 0.2)} AS iy, {_AGG} FROM points GROUP BY ALL")
+def map_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As map_merge, over all frames."""
+    p = fx.points(spark, d)
+    return grid.merge_maps(grid.quantise(p.where("frame < 4"), 0.2), grid.quantise(p.where("frame >= 4"), 0.2))
+
+
 @_add("q_accumulate", f"WITH {PTS}, {fx.poses_sql()}, {_WORLD} SELECT {_cell('wx', 0.4)} AS ix, {_cell('wy', 0.4)} AS iy, count(*) AS n, least(count(*), 40) AS n_capped, count(*) FILTER (lab IN (0,1)) AS ng, round(sum(CASE WHEN lab IN (0,1) THEN {_W} ELSE 0 END), 3) AS gw, max(wz) AS zmax FROM w WHERE x*x+y*y <= 400 AND lab NOT IN (5, 6) GROUP BY ALL")
 def accumulate(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps at their poses, moving things held out, in one aggregation."""
