@@ -2,10 +2,12 @@
 
 1. Texts with the same set of word shingles are one item (the row with the smallest id stands for
    it), so copies never meet each other.
-2. Each item has ``trees`` labels of ``longest`` MinHash values. In the forest of their sorted
-   prefix tries, items meet below a node when their labels share its prefix. The prefix is shortened
-   from ``longest`` until 1 - (1 - t^k)^trees, the chance that two items at the threshold t share a
-   prefix of k in some tree, reaches the target recall.
+2. Each item has ``trees`` labels of ``longest`` MinHash values. The labels of a tree are sorted, so
+   that its prefix trie is read off the common prefixes of neighbours, and every item climbs from its
+   leaf: always as far as the depth k at which 1 - (1 - t^k)^trees, the chance that two items at the
+   threshold t share a prefix in some tree, reaches the target recall; then on to ``shortest`` while
+   the node holds ``room`` items at most. Items meet below the node where their climb ends, so pairs
+   with few others around them meet by shorter prefixes than those in crowded nodes.
 3. Items that meet, directly or through others, form a cell (connected components over star edges
    from each node's smallest item). A cell holds every candidate pair of its items.
 4. Each cell is verified exactly, in square blocks of at most ``block`` items: all pairs' common
@@ -37,6 +39,8 @@ from sweepgrid.llm.words import Words, mix, ngrams, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 24, 10, 0.995
+#: The depth that an item may climb to, and the most items of a node that it climbs to beyond depth().
+SHORTEST, ROOM = 5, 8
 #: Items of one block of a cell.
 BLOCK = 512
 _COLUMNS = 4096
@@ -64,11 +68,10 @@ def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
 
 
-def permutations(trees: int, longest: int, k: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The (a, b) of the first k of ``longest`` permutations of every tree."""
+def permutations(trees: int, longest: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The (a, b) of ``longest`` permutations of every tree."""
     r = np.random.default_rng(seed)
-    both = r.integers(0, 1 << 31, trees * longest, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, trees * longest, dtype=np.uint32)
-    return tuple(np.ascontiguousarray(x.reshape(trees, longest)[:, :k].reshape(-1)) for x in both)
+    return r.integers(0, 1 << 31, trees * longest, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, trees * longest, dtype=np.uint32)
 
 
 def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,15 +83,47 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nodes(sig: np.ndarray, trees: int) -> np.ndarray:
-    """The key of the trie node at the label's depth that the item is below, in each tree."""
-    prefix = sig.reshape(trees, -1).astype(np.uint64)
-    acc = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    for j in range(prefix.shape[1]):
-        acc = mix(acc + prefix[:, j])
+def roots(labels: np.ndarray, shortest: int) -> np.ndarray:
+    """Per item and tree (labels are item, tree, value): the key of the node at depth ``shortest``."""
+    acc = np.broadcast_to(np.arange(1, labels.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), labels.shape[:2])
+    for j in range(shortest):
+        acc = mix(acc + labels[:, :, j])
     return acc
 
 
+def meet(root: np.ndarray, label: np.ndarray, ids: np.ndarray, size: np.ndarray, least: int, shortest: int, room: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between items that meet, from rows sorted by root and label (the values after the root's).
+
+    Every row climbs from its leaf to depth ``least``, and on to ``shortest`` while the node holds
+    ``room`` rows at most. Nodes at ``least`` are stars around their smallest id; in smaller ones
+    beyond it, each pair meets whose sizes allow the threshold.
+    """
+    n, longest = len(root), shortest + label.shape[1]
+    if n < 2:
+        return ids[:0], ids[:0]
+    # values in common with the row before
+    shared = np.zeros(n, np.int64)
+    same = root[1:] == root[:-1]
+    shared[1:] = np.where(same, shortest + np.logical_and.accumulate(label[1:] == label[:-1], 1).sum(1), 0)
+    reach = np.full(n, longest)
+    for d in range(longest - 1, shortest - 1, -1):
+        node = np.cumsum(shared < d)
+        held = np.bincount(node)[node]
+        reach = np.where((d >= least) | (held <= room), d, reach)
+    new = shared < reach
+    node, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    first = np.minimum.reduceat(ids, starts)[node]
+    star = (reach >= least) & (ids != first)
+    a, b = [ids[star]], [first[star]]
+    small = reach < least
+    for o in range(1, min(room, n)):
+        x, y = size[:-o], size[o:]
+        pick = small[:-o] & (node[:-o] == node[o:]) & (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (ids[:-o] != ids[o:])
+        a.append(ids[:-o][pick])
+        b.append(ids[o:][pick])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def set_keys(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """128 bits, in two halves, that identify each set of shingles."""
     ends = np.cumsum(size)
@@ -96,24 +131,66 @@ def set_keys(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return [mix(x[ends] - x[ends - size]).view(np.int64) for x in sums]
 
 
-def _items(n: int, trees: int, longest: int, k: int):
-    """Per row: its set's key and size, and the trie node it is below in each tree."""
+def _items(n: int, trees: int, longest: int):
+    """Per row: its set's key and size, and its label in each tree."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = permutations(trees, longest, k)
+        a, b = permutations(trees, longest)
         for batch in slices(batches):
             flat, size = shingles(Words(batch.column("text")), n)
-            below = [nodes(signature(flat[e - s : e], a, b), trees).tobytes() if s else b"" for e, s in zip(np.cumsum(size).tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in set_keys(flat, size)), pa.array(size), pa.array(below, pa.binary())], names=["doc_id", "set_a", "set_b", "n", "below"])
+            labels = [signature(flat[e - s : e], a, b).tobytes() if s else b"" for e, s in zip(np.cumsum(size).tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in set_keys(flat, size)), pa.array(size), pa.array(labels, pa.binary())], names=["doc_id", "set_a", "set_b", "n", "labels"])
 
     return work
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.frombuffer(x, np.int64) for x in batch.column("below").to_pylist()]
-        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), batch.column("rep_id").take(pa.array(rows))], names=["node", "id"])
+def _fixed(raw: np.ndarray, rows: int) -> pa.Array:
+    """Binary values of equal length, from their bytes in a row."""
+    width = raw.nbytes // max(rows, 1)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def _leaves(trees: int, longest: int, shortest: int):
+    """One row per item and tree: the root, and the values after it, most significant byte first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.uint32).reshape(-1, trees, longest)
+            rows = pa.array(np.repeat(np.arange(len(labels)), trees))
+            rest = np.ascontiguousarray(labels[:, :, shortest:]).astype(">u4")
+            yield pa.RecordBatch.from_arrays([pa.array(roots(labels, shortest).reshape(-1).view(np.int64)), _fixed(rest, len(labels) * trees), batch.column("rep_id").take(rows), batch.column("n").take(rows)], names=["root", "label", "id", "n"])
+
+    return work
+
+
+def _climb(least: int, longest: int, shortest: int, room: int, threshold: float):
+    """Edges of items that meet, from rows sorted by root and label; a root's rows come one after the other."""
+
+    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        label = np.frombuffer(b"".join(t.column("label").to_pylist()), ">u4").reshape(t.num_rows, longest - shortest)
+        a, b = meet(t.column("root").to_numpy(), label, t.column("id").to_numpy(), t.column("n").to_numpy(), least, shortest, room, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root = batch.column("root").to_numpy()
+            if held and held[-1].column("root")[-1].as_py() != root[0]:
+                yield edges(held)
+                held = []
+            other = np.flatnonzero(root != root[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield edges([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield edges(held)
+
+    return work
 
 
 def _sets(n: int):
@@ -189,7 +266,7 @@ def _verify(threshold: float):
     return work
 
 
-def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK, shortest: int = SHORTEST, room: int = ROOM) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_linked_rows, n_copies, rep_id, n_shingles.
 
     ``rep_id`` is the row that stands for all with the same shingles, of which there are
@@ -197,16 +274,16 @@ def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, t
     ``n_linked_rows`` all other rows; ``class_id`` is the smallest id that links lead to.
     """
     k = depth(trees, longest, threshold, recall)
+    shortest = min(shortest, k)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = materialise(rows.mapInArrow(_items(n, trees, longest, k), "doc_id BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, below BINARY"), "items")
+    keyed = materialise(rows.mapInArrow(_items(n, trees, longest), "doc_id BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, labels BINARY"), "items")
     full = keyed.where("n > 0 AND doc_id IS NOT NULL")
     # the row that stands for a set; of the sets that repeated ids would stand for, the first by hash
-    sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.min("below").alias("below"))
-    of = materialise(sets.groupBy("rep_id").agg(F.min(F.struct("set_a", "set_b", "n_copies", "below")).alias("s")).select("rep_id", "s.*"), "sets")
-    below = materialise(of.select("rep_id", "below").mapInArrow(_nodes, "node BIGINT, id BIGINT"), "trie-nodes")
-    first = below.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first")
-    stars = below.join(first, "node").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    cells = components(stars).withColumnRenamed("label", "cell")
+    sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.min("n").alias("n"), F.min("labels").alias("labels"))
+    of = materialise(sets.groupBy("rep_id").agg(F.min(F.struct("set_a", "set_b", "n_copies", "n", "labels")).alias("s")).select("rep_id", "s.*"), "sets")
+    leaves = of.select("rep_id", "n", "labels").mapInArrow(_leaves(trees, longest, shortest), "root BIGINT, label BINARY, id BIGINT, n BIGINT")
+    met = leaves.repartition("root").sortWithinPartitions("root", "label").mapInArrow(_climb(k, longest, shortest, room, threshold), "a BIGINT, b BIGINT")
+    cells = components(met).withColumnRenamed("label", "cell")
     # places within a cell: dealt evenly by a hash, so that a block holds about ``block`` items
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("items"))
     placed = cells.join(sizes, "cell").select("id", "cell", F.ceil(F.col("items") / block).cast("int").alias("blocks")).withColumn("place", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -219,7 +296,7 @@ def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, t
     verified = materialise(pairs.groupBy("cell", "x", "y").applyInArrow(_verify(threshold), "id BIGINT, to BIGINT, links BIGINT, linked_rows BIGINT"), "links")
     counts = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
     classes = components(verified.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    joined = keyed.drop("below").join(of.drop("below"), ["set_a", "set_b"], "left").join(counts.withColumnRenamed("id", "rep_id"), "rep_id", "left").join(classes.withColumnRenamed("id", "rep_id"), "rep_id", "left")
+    joined = keyed.drop("labels").join(of.drop("labels", "n"), ["set_a", "set_b"], "left").join(counts.withColumnRenamed("id", "rep_id"), "rep_id", "left").join(classes.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     mine = F.coalesce(F.col("rep_id"), F.col("doc_id"))
     return joined.select(
         "doc_id",

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from sweepgrid.llm import near
 from sweepgrid.llm.components import components
@@ -86,3 +88,56 @@ def test_components(spark):
             label[a] = label[b] = m
     got = {x.id: x.label for x in components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()}
     assert got == {v: x for v, x in label.items() if any(v in e and e[0] != e[1] for e in edges)}
+
+
+def edges_of(labels, sizes, least=7, shortest=near.SHORTEST, room=near.ROOM):
+    """Pairs of items (by place) that meet in some tree."""
+    met = set()
+    root = near.roots(labels, shortest)
+    for t in range(labels.shape[1]):
+        rest = labels[:, t, shortest:]
+        order = np.lexsort((*rest.T[::-1], root[:, t]))
+        a, b = near.meet(root[order, t], rest[order], order, sizes[order], least, shortest, room, 0.8)
+        met |= {frozenset(e) for e in zip(a.tolist(), b.tolist())}
+    return met
+
+
+def components_of(edges):
+    label = {}
+    find = lambda v: v if label.setdefault(v, v) == v else find(label[v])
+    for a, b in map(tuple, edges):
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    return {v: find(v) for v in list(label)}
+
+
+def test_measured_recall_at_the_threshold():
+    """Isolated pairs at a similarity of exactly 0.8, whose prefixes have room to be shortened."""
+    r, pairs = np.random.default_rng(8), 3000
+    a, b = near.permutations(near.TREES, near.LONGEST)
+    sets = []
+    for _ in range(pairs):
+        x = r.integers(0, 1 << 64, 100, dtype=np.uint64)
+        sets += [x[:90], x[10:]]
+    labels = np.stack([near.signature(x, a, b) for x in sets]).reshape(-1, near.TREES, near.LONGEST)
+    met = edges_of(labels, np.full(len(sets), 90))
+    assert sum(frozenset((2 * i, 2 * i + 1)) in met for i in range(pairs)) / pairs >= 0.999
+
+
+def test_climb_against_brute_force():
+    """Labels of few values, so that nodes of all depths are crowded."""
+    r = np.random.default_rng(3)
+    labels = r.integers(0, 2, (300, 2, 10)).astype(np.uint32)
+    sizes = r.choice([50, 60, 90], 300)
+    met = edges_of(labels, sizes, least=7, shortest=5, room=12)
+    linked = components_of(met)
+    for t in range(2):
+        count = {d: Counter(tuple(x[t, :d]) for x in labels) for d in (5, 6)}
+        assert {c for c in count[6].values() if c <= 12} and {c for c in count[5].values() if c > 12}
+        for i, j in combinations(range(300), 2):
+            same = next((d for d in range(10) if labels[i, t, d] != labels[j, t, d]), 10)
+            short = any(same >= d and count[d][tuple(labels[i, t, :d])] <= 12 for d in (5, 6))
+            if short and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]):
+                assert frozenset((i, j)) in met
+            elif same >= 7 and not short:
+                assert linked[i] == linked[j]
