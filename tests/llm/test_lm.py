@@ -88,3 +88,49 @@ def test_blobs():
     assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
     counts = np.array([0, 1, 254, 255, 256, 10**12])
     assert (lm.unpack_counts(lm.pack_counts(counts), 6) == counts).all()
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_orders_against_brute_force(spark, order):
+    data = rows(4)
+    grams, contexts, singles = Counter(), Counter(), Counter()
+    padded = lambda t: ["<s>"] * (order - 1) + split(t)
+    each = lambda t, m: ((tuple(w[i - m + 1 : i]), w[i]) for w in [padded(t)] for i in range(order - 1, len(w)))
+    for d, t in data:
+        if fold(d):
+            singles.update(split(t))
+            for m in range(2, order + 1):
+                grams.update(each(t, m))
+                contexts.update(c for c, _ in each(t, m))
+    n, v = sum(singles.values()), len(singles)
+    captured = {}
+    real = lm._score
+    try:
+        lm._score = lambda *a: captured.setdefault("w", a) and real(*a)
+        docs = spark.createDataFrame(data, "doc_id BIGINT, text STRING")
+        got = lm.lm_scores(docs, group_bytes=3000, shard_bytes=3000, order=order).collect()
+    finally:
+        lm._score = real
+    weights, longer = np.array(captured["w"][2]), captured["w"][3]
+    assert len(longer) == order - 2 and all(x[0] == 0 and 0 < max(x) <= 1 for x in longer)
+    want = []
+    for d, t in data:
+        p = []
+        for c, w in each(t, 2):
+            k = int(np.searchsorted(lm.BUCKETS, contexts[c]))
+            p.append(weights[k, 0] * grams[c, w] / max(contexts[c], 1) + weights[k, 1] * singles[w] / n + weights[k, 2] / (v + 1))
+        for m, share in zip(range(3, order + 1), longer):
+            for i, (c, w) in enumerate(each(t, m)):
+                s = share[int(np.searchsorted(lm.BUCKETS, contexts[c]))]
+                p[i] = s * grams[c, w] / max(contexts[c], 1) + (1 - s) * p[i]
+        want.append(sum(map(math.log10, p)))
+    assert sorted(g.score for g in got) == pytest.approx(sorted(want))
+
+
+def test_trigrams_tell_what_bigrams_cannot(spark):
+    """The word after "x" depends on the word before it."""
+    r = random.Random(7)
+    data = [(i, " ".join(f"{a} x {a}{a}" for a in r.choices("abcdefgh", k=20))) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id BIGINT, text STRING")
+    held = [sum(g.score for g in lm.lm_scores(docs, order=o).collect() if g.held_out) for o in (2, lm.ORDER)]
+    assert held[1] > held[0] * 0.8
