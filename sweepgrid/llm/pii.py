@@ -77,11 +77,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# Generators of candidates: (kind, what a text must hold, pattern).
-_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
+# Generators of candidates: (kind, what a text must hold for the pattern to match at all, pattern).
+_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 GENERATORS = (
-    ("email", re.compile(r"[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]| dot | DOT "), re.compile(rf"{_NAME}\s?(?:[\[({{<]\s?(?:at|AT)\s?[\])}}>]| at | AT |@)\s?{_LABEL}(?:\s?(?:[\[({{<]\s?(?:dot|DOT)\s?[\])}}>]| dot | DOT |\.)\s?{_LABEL}){{1,4}}")),
+    ("email", re.compile(r"[\[({<]\s?(?:at|AT)\s?[\])}>]| at | AT |@"), re.compile(rf"{_NAME}\s?(?:[\[({{<]\s?(?:at|AT)\s?[\])}}>]| at | AT |@)\s?{_LABEL}(?:\s?(?:[\[({{<]\s?(?:dot|DOT)\s?[\])}}>]| dot | DOT |\.)\s?{_LABEL}){{1,4}}")),
     # a well-formed number or card inside a longer run of digits that the base pattern takes whole and drops
     ("phone", _DIGIT, re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
     ("card", _DIGIT, re.compile(r"(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])")),
@@ -125,6 +125,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         float(digits[:1] == "0"), float(digits[:1] in "3456" and bool(digits)), float(bool(re.search(r"[\[({<]\s?(?:at|AT)\s?[\])}>]", s))), float(bool(re.search(r"[\[({<]\s?(?:dot|DOT)\s?[\])}>]", s))),
         float(tail in ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info")), len(tail),
         *(float(any(w in CUES[k] for w in cue)) for k in (*KINDS, "other")), float(any(w in CUES[kind] for w in cue)),
+        float(kind == "email" and bool(re.match("[A-Za-z0-9%+-]+[._0-9]", s))), float(kind == "email" and bool(re.search("[.][ \\t\\n]", s))),
         float(before[-1:].isalnum()), float(text[b : b + 1].isalnum()), float(text[b : b + 2].strip()[:1] in ("%", "€", "$", "/", "=") and bool(text[b : b + 2].strip())), float(before.rstrip()[-1:] in ("=", "/", "#", "$", "€", "§")),
     ]
 
@@ -145,14 +146,15 @@ def compose(seed: int = 11, each: int = EXAMPLES) -> list[tuple[str, str, bool]]
     word = lambda: "".join(r.choice(("an", "the", "or", "en", "ti", "sch", "que", "re", "do", "el", "in", "st")) for _ in range(r.randint(1, 4)))
     host = lambda: r.choice(("example", word(), word() + "-" + word()))
     four = lambda s: r.choice((".", "_", "/", " - ", ". ", "  ")).join(s[i : i + 4] for i in range(0, 16, 4))
+    plain = lambda name: f"{name}{r.choice((' at ', ' at ', ' AT '))}{host()}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'es'))}"
     good = {
-        "email": lambda: f"{word()}{r.choice(('', '.', '_'))}{word()}{r.choice((' [at] ', '[at]', ' (at) ', ' at ', '(AT)', ' AT '))}{host()}{r.choice((' [dot] ', '[dot]', ' dot ', '(dot)', ' DOT '))}{r.choice(('com', 'org', 'net', 'de', 'fr', 'es'))}",
+        "email": lambda: plain(f"{word()}{r.choice(('.', '_', ''))}{word()}") if r.random() < 0.2 else f"{word()}{r.choice(('', '.', '_'))}{word()}{r.choice((' [at] ', '[at]', ' (at) ', ' at ', '(AT)', ' AT '))}{host()}{r.choice((' [dot] ', '[dot]', ' dot ', '(dot)', ' DOT '))}{r.choice(('com', 'org', 'net', 'de', 'fr', 'es'))}",
         "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({})-{}-{}", "001 {} {} {}", "0049 {} {}{}", "+1 ({}) {}-{} " + _card(r, True), "+34 {} {}-{} " + _digits(r, 12))).format(str(r.randint(201, 989)), str(r.randint(200, 999)), _digits(r, 4)),
         "card": lambda: r.choice((four(_card(r, True)), f"{_digits(r, 3)}-{_digits(r, 4)} {_card(r, True)}", f"{_card(r, True)} {_digits(r, r.randint(5, 12))}")),
         "ip": lambda: r.choice(("[.]", "(.)", "[dot]", " . ")).join(str(r.randint(1, 255)) for _ in range(4)),
     }
     bad = {
-        "email": lambda: r.choice((f"{word()} at {word()} {word()} dot {word()}", f"{word()} at {word()}. {word().title()}", f"{word()} at the {word()} dot {word()}", f"look at {word()} dot {word()}")),
+        "email": lambda: r.choice((f"{word()} at {word()} {word()} dot {word()}", f"{word()} at {word()}. {word().title()}", f"{word()} at the {word()} dot {word()}", f"look at {word()} dot {word()}", plain(r.choice(("look", "stay", "found", "read", "shop", word()))), f"{word()} at {word()}.{word()}")),
         "phone": lambda: r.choice((f"{r.randint(1900, 2099)}-{_digits(r, 4)}-{_digits(r, 3)}", f"{_digits(r, 3)} {_digits(r, 3)} {_digits(r, 3)}", f"{_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}", f"{_digits(r, 4)}.{_digits(r, 4)}.{_digits(r, 4)}", f"{_digits(r, 2)}.{_digits(r, 3)}.{_digits(r, 3)}", f"{_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)}")),
         "card": lambda: r.choice((four(_card(r, False)), f"{_digits(r, 3)}-{_digits(r, 4)} {_card(r, False)}", _card(r, False), _digits(r, r.choice((13, 14, 17, 18, 19))))),
         "ip": lambda: r.choice((".".join(str(r.randint(256, 999)) for _ in range(4)), f"{r.randint(1, 9)}. {r.randint(1, 9)}. {r.randint(1, 9)}. {r.randint(1, 9)}", "[.]".join(str(r.randint(300, 999)) for _ in range(4)))),

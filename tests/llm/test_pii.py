@@ -85,3 +85,25 @@ def test_spans_that_a_longer_run_hides(spark):
     got = {g.doc_id: g for g in pii.pii_spans(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
     assert got[1].spans == "card:23:39,phone:5:22" and got[1].n_phone == got[1].n_card == 0
     assert got[2].spans == "" and got[3].spans == "card:11:27"
+
+
+def test_plain_at_is_proposed_and_rated(spark):
+    """The gate admits all that the pattern admits; the model decides."""
+    pattern = next(p for k, _, p in pii.GENERATORS if k == "email")
+    for text in ("jane.roe at example.org", "jane.roe AT example.org", "jane (at) example.org", "jane @ example.org", "jane@example dot org"):
+        assert pattern.fullmatch(text) and ("email", 0, len(text)) in pii.candidates(text, []), text
+    rows = [(1, "write to jane.roe at example.org today"), (2, "please look at example.org today"), (3, "we met at noon. Then we left"), (4, "contact jane.roe AT example.org, please")]
+    got = {g.doc_id: g for g in pii.pii_spans(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got[1].spans == "email:9:32" and got[4].spans == "email:8:31"
+    assert got[2].spans == "" and got[3].spans == "" and got[1].n_email == 0
+
+
+def test_plain_at_on_unseen_examples():
+    """Of plain addresses with a dotted name most are found, of plain sites few are taken for one."""
+    rows = [(t, positive) for t, kind, positive in pii.compose(seed=77, each=600) if kind == "email" and re.search(r" (?:at|AT) [a-z-]+\.[a-z]+", t)]
+    added = [bool(a) for _, a in pii.select([t for t, _ in rows], pii.trained())]
+    good = [a for a, (t, p) in zip(added, rows) if p and re.search(r"[._][a-z]+ (?:at|AT) ", t)]
+    bad = [a for a, (_, p) in zip(added, rows) if not p]
+    print("plain at:", sum(good), len(good), sum(bad), len(bad))
+    assert len(good) > 50 and sum(good) / len(good) > 0.8
+    assert len(bad) > 50 and sum(bad) / len(bad) < 0.1
