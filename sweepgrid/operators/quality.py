@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 REFERENCE_POINTS = 121_000
 
@@ -69,10 +71,30 @@ def actors(points: DataFrame, keys: list[str], least: int = 20, ego: float = 4.0
 
 
 def cores_used(samples: DataFrame, key: str, time: str, cpu: str, least: float = 0.25) -> DataFrame:
-    """(key, time, cores) between samples at least ``least`` seconds apart; negative differences count as none."""
-    w = Window.partitionBy(key).orderBy(time)
-    dt, dc = F.col(time) - F.lag(time).over(w), F.col(cpu) - F.lag(cpu).over(w)
-    return samples.withColumns({"__dt": dt, "__dc": dc}).select(key, time, F.when(F.col("__dt") >= least, F.greatest(F.col("__dc"), F.lit(0.0)) / F.col("__dt")).alias("cores"))
+    """(key, time, cores) since the last sample that was published; negative differences count as none.
+
+    A sample within ``least`` seconds of it has no value and leaves it as the baseline; one without
+    CPU seconds ends it. The fold is sequential by nature and runs over each key's ordered samples.
+    """
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(time, "ascending"), (cpu, "ascending")])
+        base, cores = None, []
+        for now, used in zip(t.column(time).to_pylist(), t.column(cpu).to_pylist()):
+            value = None
+            if used is None or now is None:
+                base = None
+            elif base is None:
+                base = now, used
+            elif now - base[0] >= least:
+                value = max(used - base[1], 0.0) / (now - base[0])
+                base = now, used
+            cores.append(value)
+        return t.select([key, time]).append_column("cores", pa.array(cores, pa.float64()))
+
+    rows = samples.select(key, F.col(time).cast("double").alias(time), F.col(cpu).cast("double").alias(cpu))
+    schema = StructType([rows.schema[key], rows.schema[time], StructField("cores", DoubleType())])
+    return rows.groupBy(key).applyInArrow(fold, schema)
 
 
 def frame_times(times: DataFrame, key: str, order: str, ms: str, last: int = 120) -> DataFrame:
