@@ -60,3 +60,7 @@ def test_label_model_estimates_accuracies():
     assert m.correlation[0, 4] > 0.9 and m.weight[0] < 0.6 < m.weight[1]
     assert (m.posterior > 0.5)[gold < 0].astype(int).tolist().count(1) > 0
     assert ((m.posterior > 0.5) == y).mean() > 0.93
+
+
+def test_sizes_are_not_lowered():
+    assert tox.LABELLED >= 24_000 and tox.TERMS >= 600
