@@ -14,9 +14,11 @@ their own; an empty table gives no pieces. Further columns are left alone.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from sweepgrid.llm.shared import materialise, table
 from sweepgrid.llm.words import slices
 
-#: Words whose ids a worker keeps at most; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps; beyond that, only those of the slice at hand stay.
+CACHE_WORDS = 600_000
 #: Bytes of text encoded at once: the more, the fewer distinct words are looked up again.
 SLICE_BYTES = 6 << 20
 
@@ -55,13 +57,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
+def plain_letters() -> str:
+    """A character class of the letters that stay as they are when a text is composed and lowered.
+
+    Only characters that were letters in Unicode 3.2 already, so that no version in use differs.
+    """
+    old, out, begin = unicodedata.ucd_3_2_0, [], None
+    for c in range(0x10000):
+        x = chr(c)
+        good = old.category(x)[0] == unicodedata.category(x)[0] == "L" and x.lower() == x and unicodedata.normalize("NFC", x) == x
+        if good and begin is None:
+            begin = x
+        elif not good and begin is not None:
+            out.append(f"{begin}-{chr(c - 1)}")
+            begin = None
+    return "".join(out)
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer whose pieces never cross ASCII white space.
 
     Texts are split at white space, each distinct word is encoded once, and ids are laid out by
     array operations. A word is taken apart further where its pieces are sure to part: a tail of
-    ``.,;:!?`` after a letter or digit. ASCII capitals are lowered first, as the tokenizer does;
-    words that may hold a special token are left as they are. Words of lower-case letters only are
+    ``.,;:!?`` after an ASCII digit or one of ``plain_letters``. Words of ASCII characters are
+    lowered first, as the tokenizer does; others are not, as composing comes before lowering. Words
+    that may hold a special token are left as they are. Words of plain letters only, composed, are
     one piece for the tokenizer and go to its model directly, as bytes in its alphabet; whether
     that gives the same ids is tried on a few words first. ``encode`` is the same as encoding each
     text whole.
@@ -74,14 +95,16 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         probe = ("a", "lower", "été", "straße", "漢字", "слово", "ñandú", "x" * 40)
         self.direct = all(self._direct(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        self.letters = re.compile(f"[{plain_letters()}]+").fullmatch
+        self.tailed = re.compile(f"(.*[0-9{plain_letters()}])([.,;:!?]+)", re.DOTALL).fullmatch
         self.known: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.known.clear()
-        self.ids, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.ids, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
 
-    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _put(self, words: Sequence[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.known), len(words)
         while k + n > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -99,7 +122,7 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         letters, other = [], []
         for w in words:
-            plain = self.direct and w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))
+            plain = self.direct and (w.isascii() and w.isalpha() or self.letters(w) and unicodedata.is_normalized("NFC", w))
             (letters if plain else other).append(w)
         for begin in range(0, len(letters), 20_000):
             part = letters[begin : begin + 20_000]
@@ -112,38 +135,62 @@ class WordTokenizer:
         self._put(words, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def _parts(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(".,;:!?")
-        if core and len(core) < len(word) and core[-1].isalnum() and "<|" not in word:
-            return core, word[len(core) :]
+        if word and word[-1] in ".,;:!?" and "<|" not in word and (m := self.tailed(word)):
+            return m[1], m[2]
         return word, ""
 
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """Where the ids of each distinct word are kept; those of new ones are found first."""
+        slots = list(map(self.known.get, words))
+        missing = [w for w, k in zip(words, slots) if k is None]
+        if not missing:
+            return np.array(slots, np.int64)
+        if len(self.known) + 2 * len(missing) > CACHE_WORDS:
+            # words that have come back stay, the others go
+            kept = [(w, k) for w, k in zip(words, slots) if k is not None]
+            of = np.array([k for _, k in kept], np.int64)
+            ids, sizes = self._laid(of), self.size[of]
+            self._clear()
+            self._put([w for w, _ in kept], ids, sizes)
+        parts = [self._parts(w) for w in missing]
+        if new := [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.known]:
+            self._learn(new)
+        both = [(w, self.known[a], self.known[b]) for w, (a, b) in zip(missing, parts) if b]
+        if both:
+            joined, core, tail = zip(*both)
+            of = np.stack([core, tail], 1).reshape(-1)
+            self._put(joined, self._laid(of), self.size[of].reshape(-1, 2).sum(1))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _laid(self, slots: np.ndarray) -> np.ndarray:
+        """The ids kept in the slots, one after the other."""
+        size = self.size[slots]
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.ids[np.repeat(self.start[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each text)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat, at = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
         at = at - at[0]
-        special = pc.match_substring(flat, "<|")
-        flat = pc.ascii_lower(flat) if not pc.any(special).as_py() else pc.if_else(special, flat, pc.ascii_lower(flat))
+        flat = pc.if_else(pc.or_(pc.match_substring(flat, "<|"), pc.invert(pc.string_is_ascii(flat))), flat, pc.ascii_lower(flat))
         coded = flat.dictionary_encode()
-        parts = [self._parts(w) for w in coded.dictionary.to_pylist()]
-        new = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self._clear()
-            new = list(dict.fromkeys(p for pair in parts for p in pair if p))
-        if new:
-            self._learn(new)
-        slot = np.fromiter((self.known[p] if p else -1 for pair in parts for p in pair), np.int64, 2 * len(parts)).reshape(-1, 2)
-        of = slot[np.asarray(coded.indices)].reshape(-1)
-        start, size = np.where(of >= 0, self.start[of], 0), np.where(of >= 0, self.size[of], 0)
-        sums = np.concatenate([[0], np.cumsum(size)])
-        per_text = np.diff(sums[2 * at])
-        ids = self.ids[np.repeat(start - sums[:-1], size) + np.arange(sums[-1])]
+        slots = self._slots(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        sums = np.concatenate([[0], np.cumsum(self.size[slots], dtype=np.int64)])
+        per_text = np.diff(sums[at])
+        ids = self._laid(slots)
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(per_text), np.uint32(end_id))
             per_text = per_text + 1
         return ids, per_text
 
 
+@cache
+def encoder_of(path: str) -> WordTokenizer:
+    """One encoder for all tasks of a Python worker, so that words it has met stay known."""
+    return WordTokenizer(path)
+
+
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Written table of (part, begin, n, ids little-endian unsigned 32 bit, doc_id, carried columns)."""
     path = tokenizer or default_tokenizer()
@@ -151,7 +198,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
     schema = "part INT, begin BIGINT, n BIGINT, ids BINARY, " + ", ".join(f"`{c}` {fields[c]}" for c in carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(path), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "__text", SLICE_BYTES):
             ids, sizes = encoder.encode(batch.column("__text"), end_id)
             ends = np.cumsum(sizes)

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -50,3 +51,25 @@ def test_pieces_are_a_partition(spark, tokenizer):
     assert sum(s.n for s in whole) == len(stream)
     assert all(len(s.ids) == 64 or s.n & (s.n - 1) == 0 for s in whole)
     assert packing.packed(spark.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
+
+
+def same(tokenizer, encoder, words):
+    for k in range(0, len(words), 50_000):
+        part = words[k : k + 50_000]
+        ids, sizes = encoder.encode(pa.array(part))
+        want = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_every_character_before_and_after_punctuation_and_marks(tokenizer):
+    encoder = packing.WordTokenizer(packing.default_tokenizer())
+    chars = [c for c in map(chr, range(1, 0x11000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    for form in ("{}", "a{}?!", "{}\u0301.", "H\u0331{};"):
+        same(tokenizer, encoder, [form.format(c) for c in chars])
+
+
+def test_mixed_scripts(tokenizer):
+    r = random.Random(5)
+    pool = [c for c in map(chr, range(1, 0x3000)) if unicodedata.category(c) != "Cn"] + list("abcABCHTWYJI.,;:!?'<|09 ") * 60 + list("\u0301\u0308\u030a\u030c\u0331\u0307") * 80
+    same(tokenizer, packing.WordTokenizer(packing.default_tokenizer()), ["".join(r.choices(pool, k=r.randint(1, 14))) for _ in range(60_000)])
