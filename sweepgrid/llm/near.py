@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-1. Texts with the same set of word shingles are one item (the row with the smallest id stands for
-   it), so copies never meet each other.
+1. Texts with the same set of word shingles are one item with a number of its own (the row with the
+   smallest id stands for it), so copies never meet each other.
 2. Each item has ``trees`` labels of ``longest`` MinHash values. The labels of a tree are sorted, so
    that its prefix trie is read off the common prefixes of neighbours, and every item climbs from its
    leaf: always as far as the depth k at which 1 - (1 - t^k)^trees, the chance that two items at the
@@ -10,22 +10,25 @@
    with few others around them meet by shorter prefixes than those in crowded nodes.
 3. Items that meet, directly or through others, form a cell (connected components over star edges
    from each node's smallest item). A cell holds every candidate pair of its items.
-4. Each cell is verified exactly, in square blocks of at most ``block`` items: all pairs' common
-   shingles are counted by matrix products, so pairs are never rows. A block returns each item's
-   links and a spanning forest of its linked pairs, and components of those are the classes.
+4. Each cell is verified exactly, in square blocks of about ``block`` items: all pairs' common
+   shingles are counted by matrix products, so pairs are never rows. Items of a cell that needs
+   several blocks are dealt to them by size class first (sizes within a factor of the threshold), and
+   blocks meet only those of their own and the next class, as others cannot link. A block returns each
+   item's links and a spanning forest of its linked pairs, and components of those are the classes.
 
 Shingles are five consecutive words ``[^\\x20\\x09-\\x0D]+``, unchanged, by 64-bit hash; a text of one
 to four words has one shingle, all its words. Pairs link at a Jaccard similarity of 0.8 or more of
 their shingle sets.
 
 Defined cases: null and wordless texts have no shingles and link to nothing, not even each other;
-rows with null ``doc_id`` are left out of the join (class null, no links); repeated ids with equal
-shingles are copies, with different shingles the row by the smaller hash of the set stands for the
-id; an empty table gives an empty result. Further columns are left alone.
+rows with null ``doc_id`` are left out of the join (class null, no links); rows that repeat an id are
+rows of their own: with equal shingles they are copies, with different ones each links by its own; an
+empty table gives an empty result. Further columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.llm.components import components
-from sweepgrid.llm.shared import materialise, table
+from sweepgrid.llm.shared import materialise, table, unused
 from sweepgrid.llm.words import Words, mix, ngrams, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -44,6 +47,7 @@ SHORTEST, ROOM = 5, 8
 #: Items of one block of a cell.
 BLOCK = 512
 _COLUMNS = 4096
+_PLACE = ("cell", "class", "place", "blocks", "before", "after")
 
 
 def depth(trees: int, longest: int, threshold: float, recall: float) -> int:
@@ -194,15 +198,17 @@ def _climb(least: int, longest: int, shortest: int, room: int, threshold: float)
 
 
 def _sets(n: int):
-    """The shingles of each row whose set is the one that its id stands for."""
+    """The shingles of each row whose set is that of the item it is joined with."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             flat, size = shingles(Words(batch.column("text")), n)
             ends = np.concatenate([[0], np.cumsum(size)]) * 8
             sets = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "cell", "place", "blocks", "copies")), sets], names=["id", "cell", "place", "blocks", "copies", "shingles"])
-            yield out.filter(pa.array(set_keys(flat, size)[0] == batch.column("set_a").to_numpy()))
+            carried = ("id", "copies", *_PLACE)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), sets], names=[*carried, "shingles"])
+            keys = set_keys(flat, size)
+            yield out.filter(pa.array((keys[0] == batch.column("set_a").to_numpy()) & (keys[1] == batch.column("set_b").to_numpy())))
 
     return work
 
@@ -231,21 +237,22 @@ _LINKS = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("links", pa.int64()
 
 def _verify(threshold: float):
     def work(keys: tuple, t: pa.Table) -> pa.Table:
-        x, y = keys[1].as_py(), keys[2].as_py()
+        step, x, y = (k.as_py() for k in keys[2:])
+        same = step == 0 and x == y
         # rows that repeat an id with equal shingles are one item
         t = t.take(pa.array(np.unique(t.column("id").to_numpy(), return_index=True)[1]))
-        ids, mine, copies = (t.column(c).to_numpy() for c in ("id", "mine", "copies"))
+        ids, side, copies = (t.column(c).to_numpy() for c in ("id", "side", "copies"))
         sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
-        rows, columns = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == int(not same))
         size = np.array([len(s) for s in sets], np.float64)
         shared = common([sets[i] for i in rows], [sets[i] for i in columns]).astype(np.float64)
         linked = shared >= threshold * (size[rows][:, None] + size[columns][None, :] - shared) - 1e-9
-        if x == y:
+        if same:
             np.fill_diagonal(linked, False)
         links, linked_rows = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         links[rows] += linked.sum(1)
         linked_rows[rows] += linked @ copies[columns]
-        if x != y:
+        if not same:
             links[columns] += linked.sum(0)
             linked_rows[columns] += linked.T @ copies[rows]
         # the smallest item of each linked group in this block
@@ -278,46 +285,78 @@ def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, t
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = materialise(rows.mapInArrow(_items(n, trees, longest), "doc_id BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, labels BINARY"), "items")
     full = keyed.where("n > 0 AND doc_id IS NOT NULL")
-    # the row that stands for a set; of the sets that repeated ids would stand for, the first by hash
     sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.min("n").alias("n"), F.min("labels").alias("labels"))
-    of = materialise(sets.groupBy("rep_id").agg(F.min(F.struct("set_a", "set_b", "n_copies", "n", "labels")).alias("s")).select("rep_id", "s.*"), "sets")
-    leaves = of.select("rep_id", "n", "labels").mapInArrow(_leaves(trees, longest, shortest), "root BIGINT, label BINARY, id BIGINT, n BIGINT")
+    # the numbers are fixed by writing them
+    of = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    leaves = of.select(F.col("id").alias("rep_id"), "n", "labels").mapInArrow(_leaves(trees, longest, shortest), "root BIGINT, label BINARY, id BIGINT, n BIGINT")
     met = leaves.repartition("root").sortWithinPartitions("root", "label").mapInArrow(_climb(k, longest, shortest, room, threshold), "a BIGINT, b BIGINT")
-    cells = components(met).withColumnRenamed("label", "cell")
-    # places within a cell: dealt evenly by a hash, so that a block holds about ``block`` items
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("items"))
-    placed = cells.join(sizes, "cell").select("id", "cell", F.ceil(F.col("items") / block).cast("int").alias("blocks")).withColumn("place", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.join(of.select(F.col("rep_id").alias("id"), "set_a", F.col("n_copies").alias("copies")), "id").withColumnRenamed("id", "doc_id")
-    active = rows.where("doc_id IS NOT NULL").join(placed, "doc_id").select("doc_id", "text", "cell", "place", "blocks", "set_a", "copies")
-    members = active.mapInArrow(_sets(n), "id BIGINT, cell BIGINT, place INT, blocks INT, copies BIGINT, shingles BINARY")
-    # every unordered pair of blocks, the block with itself included; one row in cells of one block
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("id", "cell", F.least("place", "other").alias("x"), F.greatest("place", "other").alias("y"), F.col("place").alias("mine"), "copies", "shingles")
-    verified = materialise(pairs.groupBy("cell", "x", "y").applyInArrow(_verify(threshold), "id BIGINT, to BIGINT, links BIGINT, linked_rows BIGINT"), "links")
+    cells = components(met).withColumnRenamed("label", "cell").join(of.select("id", "rep_id", "set_a", "set_b", "n", F.col("n_copies").alias("copies")), "id")
+    placed = _places(cells, threshold, block)
+    active = rows.where("doc_id IS NOT NULL").join(placed.withColumnRenamed("rep_id", "doc_id"), "doc_id")
+    members = active.select("id", "text", "set_a", "set_b", "copies", *_PLACE).mapInArrow(_sets(n), "id BIGINT, copies BIGINT, cell BIGINT, class INT, place INT, blocks INT, before INT, after INT, shingles BINARY")
+    verified = materialise(_pairs(members).groupBy("cell", "low", "step", "x", "y").applyInArrow(_verify(threshold), "id BIGINT, to BIGINT, links BIGINT, linked_rows BIGINT"), "links")
     counts = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
-    classes = components(verified.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    joined = keyed.drop("labels").join(of.drop("labels", "n"), ["set_a", "set_b"], "left").join(counts.withColumnRenamed("id", "rep_id"), "rep_id", "left").join(classes.withColumnRenamed("id", "rep_id"), "rep_id", "left")
-    mine = F.coalesce(F.col("rep_id"), F.col("doc_id"))
+    linked = components(verified.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).join(of.select("id", "rep_id"), "id")
+    # a class is named by the smallest document of its items
+    classes = linked.join(linked.groupBy("label").agg(F.min("rep_id").alias("class")), "label").select("id", "class")
+    joined = keyed.drop("labels").join(of.drop("labels", "n"), ["set_a", "set_b"], "left").join(counts, "id", "left").join(classes, "id", "left")
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("rep_id"), F.col("doc_id")))
+    known = F.col("doc_id").isNotNull() & F.col("rep_id").isNotNull()
+    count = lambda c, other: F.when(known, F.coalesce(F.col(c), F.lit(other))).otherwise(F.lit(other))
     return joined.select(
         "doc_id",
-        F.coalesce(F.col("label"), mine).alias("class_id"),
-        F.coalesce(F.col("links"), F.lit(0)).alias("n_links"),
-        (F.coalesce(F.col("linked_rows"), F.lit(0)) + F.coalesce(F.col("n_copies"), F.lit(1)) - 1).alias("n_linked_rows"),
-        F.coalesce(F.col("n_copies"), F.lit(1)).alias("n_copies"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("class"), mine)).alias("class_id"),
+        count("links", 0).alias("n_links"),
+        (count("linked_rows", 0) + count("n_copies", 1) - 1).alias("n_linked_rows"),
+        count("n_copies", 1).alias("n_copies"),
         mine.alias("rep_id"),
         F.col("n").alias("n_shingles"),
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, with all their columns.
-
-    Rows with null ids stay; of rows that repeat an id all stay if the id does.
+def _places(cells: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Adds each item's size class, its place among the blocks of the class, and how many blocks its
+    own class, the one before and the one after have. Cells of one block have one class."""
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("items"))
+    # a little wider than the threshold, so that rounding never sets linked sizes two classes apart
+    by_size = F.floor(F.log("n") / F.lit(-1.000001 * math.log(threshold))).cast("int") if threshold < 1 else F.col("n").cast("int")
+    classed = cells.join(sizes, "cell").withColumn("class", F.when(F.col("items") <= block, 0).otherwise(by_size))
+    held = classed.groupBy("cell", "class").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    for name, step in (("before", 1), ("after", -1)):
+        other = held.select("cell", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
+        held = held.join(other, ["cell", "class"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    out = classed.join(held, ["cell", "class"]).withColumn("place", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return out.select("id", "rep_id", "set_a", "set_b", "copies", *_PLACE)
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """The items of every unordered pair of blocks that can hold links, a block with itself included.
+
+    A pair is (low, step, x, y): block x of size class ``low`` and block y of class ``low + step``;
+    ``side`` tells which of the two an item belongs to.
     """
+    place, size = F.col("place"), F.col("class")
+    zero, one = F.lit(0), F.lit(1)
+    pair = lambda low, step, x, y, side: F.struct(low.alias("low"), step.alias("step"), x.alias("x"), y.alias("y"), side.alias("side"))
+    upto = lambda count: F.filter(F.sequence(zero, F.greatest(F.col(count), one) - 1), lambda o: o < F.col(count))
+    own = F.transform(upto("blocks"), lambda o: pair(size, zero, F.least(place, o), F.greatest(place, o), (o < place).cast("int")))
+    after = F.transform(upto("after"), lambda o: pair(size, one, place, o, zero))
+    before = F.transform(upto("before"), lambda o: pair(size - 1, one, o, place, one))
+    return members.withColumn("pair", F.explode(F.concat(own, after, before))).select("id", "cell", "pair.*", "copies", "shingles")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each class, with all its columns: that with the smallest ``doc_id``, a
+    null one last; rows that share it are told apart by their place in the input. Rows without words
+    have no class and stay."""
     names = docs.columns
-    kept = near_join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    same = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__id"), "left_semi")
-    return same.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in names])
+    (row,) = unused(names, "row")
+    tagged = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
+    classes = near_join(tagged.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("place"), "class_id")
+    ids = tagged.select(F.col(row).alias("place"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    kept = classes.join(ids, "place").groupBy("class_id").agg(first.alias("best")).select(F.col("best.place").alias("place"))
+    return tagged.join(kept, F.col(f"`{row}`") == F.col("place"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

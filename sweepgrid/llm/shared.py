@@ -16,13 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``names`` has, in any case of letters."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Only where that setting is absent and Spark runs in one process, as in local tests, a temporary
+    folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/sweepgrid-shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

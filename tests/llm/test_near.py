@@ -64,10 +64,47 @@ def test_against_brute_force(spark, seed, block):
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (None, None)]
     got = near.near_join(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
-    assert len(got) == 6 and {g.class_id for g in got if g.doc_id == 1} == {1}
-    kept = near.keep_one(spark.createDataFrame([(*r, "k") for r in rows], "doc_id BIGINT, text STRING, label STRING"))
-    assert kept.columns == ["doc_id", "text", "label"] and kept.where("doc_id = 1").count() == 2
+    assert len(got) == 6 and {g.class_id for g in got if g.doc_id == 1} == {1} and {g.class_id for g in got if g.doc_id is None} == {None}
+    kept = near.keep_one(spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id BIGINT, text STRING, label STRING, row INT"))
+    assert kept.columns == ["doc_id", "text", "label", "row"]
+    assert sorted((r.doc_id or 0, r.text or "", r.row) for r in kept.collect()) == [(0, "", 5), (1, "a b c d e f", 5), (2, "u v w x y z", 5)]
     assert near.near_join(spark.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
+    assert near.keep_one(spark.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
+
+
+@pytest.mark.parametrize("x,y", [("a b c d e f", "u v w x y z"), ("u v w x y z", "a b c d e f")])
+def test_an_id_that_stands_for_two_sets_loses_neither(spark, x, y):
+    got = near.near_join(spark.createDataFrame([(1, x), (1, y), (2, y), (3, y)], "doc_id BIGINT, text STRING")).collect()
+    assert sorted((g.doc_id, g.class_id, g.n_copies) for g in got) == [(1, 1, 1), (1, 1, 3), (2, 1, 3), (3, 1, 3)]
+
+
+def test_crowded_cells_of_many_sizes(spark):
+    """Chains of texts that each link to the next, over several size classes and blocks."""
+    words, rows = [f"w{i}" for i in range(400)], []
+    for i, n in enumerate(range(30, 400, 3)):
+        rows.append((i, " ".join(words[:n])))
+        rows.append((1000 + i, " ".join([*words[:n], f"x{i}"])))
+    got = near.near_join(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), block=9).collect()
+    assert sorted((g.doc_id, g.class_id, g.n_links) for g in got) == brute(rows)
+    assert len({g.class_id for g in got}) == 1
+
+
+def test_recall_on_documents(spark):
+    """All links and classes of the driver's documents, against brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = sorted((g.doc_id, g.class_id, g.n_links) for g in near.near_join(docs).collect())
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    links = sum(w[2] for w in want)
+    assert links > 0 and sum(g[2] for g in got) / links >= 0.99
+    assert sum(a == b for a, b in zip(got, want)) / len(want) >= 0.99
+
+
+def test_very_long_text(spark):
+    r = random.Random(2)
+    long = [f"w{r.randint(0, 5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:30_000] + ["changed"] + long[30_001:])), (3, " ".join(long[:20_000]))]
+    got = near.near_join(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sorted((g.doc_id, g.class_id, g.n_links) for g in got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
 
 
 def test_depth_reaches_the_recall():
