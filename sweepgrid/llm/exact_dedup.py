@@ -1,8 +1,11 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table with one row per distinct normalised text, bucketed and sorted by its
-SHA-256 digest. New data is reduced to one row per digest before any shuffle of it, anti-joined
-with the index by sort-merge on the buckets, and what is new is appended.
+SHA-256 digest. New data comes in batches by ranges of the id, so that what is stored first has the
+smallest one. Each batch is reduced to one row per digest before any shuffle of it, anti-joined with
+the index by sort-merge on the buckets, and what is new is appended. Every append adds a file to each
+bucket; ``compact`` writes them as one again. An index that no name was given for is dropped once its
+answers are written.
 
 Defined cases: a null text counts as empty; texts are equal when identical after replacing each
 run of ``[\\x20\\x09-\\x0D]`` by one space; of equal texts the row with the smallest ``doc_id``
@@ -18,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import materialise
+from sweepgrid.llm.shared import materialise, table, unused
 
 #: Characters that count as white space, as a character class.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -56,55 +59,82 @@ class DigestIndex:
             new = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
         new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
+    def add_in_batches(self, hashed: DataFrame, batches: int = 2) -> None:
+        """Append ``hashed`` by ranges of doc_id, smallest first and null last.
+
+        The bounds are approximate quantiles, so batches are about equal whatever the ids are.
+        """
+        bounds = hashed.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("b")).first()["b"] or []
+        low = F.lit(True)
+        for b in sorted(set(bounds)):
+            self.add(hashed.where(low & (F.col("doc_id") <= b)))
+            low = F.col("doc_id") > b
+        self.add(hashed.where(F.coalesce(low, F.lit(True)) | F.col("doc_id").isNull()))
+
+    def compact(self) -> None:
+        """One sorted file per bucket again."""
+        whole = f"{self.name}_compacted"
+        self.spark.sql(f"DROP TABLE IF EXISTS {whole}")
+        self.table().repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(whole)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {whole} RENAME TO {self.name}")
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``group_size`` counts the rows of this input that have the text. With an index that already
     holds a text, keep_id is the id stored there and no row of this input is kept for it.
     """
-    spark = docs.sparkSession
     hashed = materialise(digests(docs), "digests")
-    known = index.table() if index is not None else None
-    older = known.select("digest", F.col("keep_id").alias("old_id")) if known is not None else None
-    target = index or DigestIndex(spark)
+    target = index or DigestIndex(docs.sparkSession)
+    older = target.table()
     if older is not None:
-        older = materialise(older, "digest-index")
-    target.add(hashed)
-    sizes = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("first_id"))
-    kept = target.table().select("digest", "keep_id").join(sizes, "digest")
-    kept = kept.join(older, "digest", "left") if older is not None else kept.withColumn("old_id", F.lit(None).cast("bigint"))
-    kept = kept.withColumn("fresh", F.col("old_id").isNull())
-    out = hashed.join(kept, "digest").select(
+        older = materialise(older.select("digest", F.lit(False).alias("fresh")), "digest-index")
+    target.add_in_batches(hashed, batches)
+    sizes = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    known = target.table().select("digest", "keep_id").hint("merge").join(sizes, "digest")
+    known = known.join(older, "digest", "left") if older is not None else known.withColumn("fresh", F.lit(None).cast("boolean"))
+    known = materialise(known.withColumn("fresh", F.coalesce("fresh", F.lit(True))), "digest-groups")
+    if index is None:
+        target.drop()
+    return hashed.join(known, "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
         (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
-    return out
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one per normalised text.
+def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one per normalised text that the index
+    did not hold before.
 
     Rows that also share the ``doc_id`` are told apart by their place in the input.
     """
     names = docs.columns
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    tagged = materialise(
-        docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__digest", F.sha2(F.encode(normalised(), "UTF-8"), 256)), "tagged"
-    )
-    best = tagged.groupBy("__digest").agg(F.min(row).alias("best")).select(F.col("best.row").alias("__row"))
-    return tagged.join(best, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    row, digest = unused(names, "row", "digest")
+    tagged = materialise(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(digest, F.sha2(F.encode(normalised(), "UTF-8"), 256)), "tagged")
+    keys = tagged.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{row}`").alias("place"), F.col(f"`{digest}`").alias("digest"))
+    target = index or DigestIndex(docs.sparkSession)
+    older = target.table()
+    older = materialise(older.select("digest"), "digest-index") if older is not None else None
+    target.add_in_batches(keys.select("doc_id", "digest"))
+    first = keys.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best"))
+    stored = target.table().select("digest", "keep_id").hint("merge")
+    kept = first.join(stored, "digest").where(F.col("best.doc_id").eqNullSafe(F.col("keep_id")))
+    kept = kept if older is None else kept.join(older, "digest", "left_anti")
+    kept = materialise(kept.select(F.col("best.place").alias("place")), "kept-rows")
+    if index is None:
+        target.drop()
+    return tagged.join(kept, F.col(f"`{row}`") == F.col("place"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sweepgrid.llm.shared import table
-
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -119,16 +119,21 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), fraction: float = 1.0, m
     return whole.select(*columns).unionByName(last.select(*columns))
 
 
-def keep_mix(docs: DataFrame, fraction: float = 0.8, max_epochs: int = 1) -> DataFrame:
-    """The rows of ``docs`` taken, with all their columns; a row taken in part keeps that prefix of its words."""
-    names = tuple(docs.columns)
-    out = mixed(docs, names, fraction, max_epochs)
-    part = F.col("__taken") < F.col("__n")
-    words = F.regexp_extract_all(F.col("text"), F.lit("([^\\x20\\x09-\\x0D]+)"), 1)
-    out = out.withColumn("text", F.when(part, F.array_join(F.slice(words, F.lit(1), F.col("__taken").cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(part, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+def keep_mix(docs: DataFrame, fraction: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of ``docs`` taken, once for each epoch, with all their columns; a row taken in part
+    keeps that prefix of its words (and its ``n_chars``). The columns may have any names."""
+    names = docs.columns
+    own = [f"carried_{i}" for i in range(len(names))]
+    at = {n.lower(): c for n, c in zip(names, own)}
+    held = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, own)])
+    held = held.select("*", *[F.col(at[n]).alias(n) for n in ("doc_id", "text", "lang", "source")])
+    out = mixed(held, tuple(own), fraction, max_epochs)
+    part, text = F.col("__taken") < F.col("__n"), at["text"]
+    words = F.regexp_extract_all(F.col(text), F.lit("([^\\x20\\x09-\\x0D]+)"), 1)
+    out = out.withColumn(text, F.when(part, F.array_join(F.slice(words, F.lit(1), F.col("__taken").cast("int")), " ")).otherwise(F.col(text)))
+    if (chars := at.get("n_chars")) is not None:
+        out = out.withColumn(chars, F.when(part, F.length(text)).otherwise(F.col(chars)).cast(held.schema[chars].dataType))
+    return out.select(*[F.col(c).alias(n) for n, c in zip(names, own)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,38 @@ def test_index_persists(spark):
     assert sorted((g.doc_id, g.kept) for g in exact_dedup.exact_dedup(one, index).collect()) == [(5, True), (6, True), (7, False)]
     assert sorted((g.doc_id, g.keep_id, g.kept) for g in exact_dedup.exact_dedup(two, index).collect()) == [(1, 5, False), (8, 8, True), (9, 8, False)]
     assert index.table().count() == 3
+    index.compact()
+    assert sorted((r.digest, r.keep_id) for r in index.table().collect()) == sorted((hashlib.sha256(t.encode()).hexdigest(), k) for t, k in (("a", 5), ("b", 6), ("c", 8)))
+    three = spark.createDataFrame([(1, "c", 7), (2, "d", 8), (2, "d", 9)], "doc_id BIGINT, text STRING, row INT")
+    assert [(r.doc_id, r.text) for r in exact_dedup.keep_first(three, index).collect()] == [(2, "d")]
     index.drop()
 
 
+def test_batches_meet_the_index_by_anti_join(spark, monkeypatch):
+    """The second batch is anti-joined by sort-merge with what the first one stored, and none is left behind."""
+    before, seen, add = spark.catalog.listTables(), [], exact_dedup.DigestIndex.add
+
+    def watched(self, hashed):
+        known = self.table()
+        if known is not None:
+            new = hashed.groupBy("digest").agg(exact_dedup.F.min("doc_id")).join(known.select("digest").hint("merge"), "digest", "left_anti")
+            seen.append((known.count(), "SortMergeJoin" in new._jdf.queryExecution().executedPlan().toString()))
+        else:
+            seen.append((0, False))
+        add(self, hashed)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", watched)
+    docs = spark.createDataFrame([(i, f"t{i % 30}") for i in range(100)] + [(None, "t1"), (None, "new")], "doc_id BIGINT, text STRING")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == 102 and all(g.keep_id == (1 if g.doc_id is None else g.doc_id) % 30 for g in got if g.keep_id is not None)
+    assert seen == [(0, False), (30, True)] and spark.catalog.listTables() == before
+
+
+def test_extra_columns_of_any_name_come_through(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "x", 7), (2, "a", 6, "y", 8), (3, "b", 7, None, 9)], "doc_id BIGINT, text STRING, row INT, Digest STRING, __row INT")
+    assert sorted(tuple(r) for r in exact_dedup.keep_first(docs).collect()) == [(1, "a", 5, "x", 7), (3, "b", 7, None, 9)]
+
+
 def test_warc_round_trip(spark):
     r = random.Random(2)
     big = ["".join(r.choice("abc<é>\r\n") for _ in range(3000)) for _ in range(3)]

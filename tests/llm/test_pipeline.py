@@ -1,7 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
-from sweepgrid.llm import near, toxicity
+from sweepgrid.llm import mixing, near, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +55,8 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in after} == {d for d, c in classes.items() if c == d} and 1011 not in {r["doc_id"] for r in after}
     before, after = seen["mixing"]
     words = lambda t: len((t or "").split())
-    assert sum(words(r["text"]) for r in after) == int(sum(map(words, before.values())) * 0.8)
-    assert len({r["doc_id"] for r in after}) == len(after)
+    assert sum(words(r["text"]) for r in after) == sum(map(words, before.values()))
+    assert max(Counter(r["doc_id"] for r in after).values()) <= mixing.MAX_EPOCHS
     _, pieces = seen["packing"]
     at = 0
     for q in sorted(pieces, key=lambda q: (q["sequence_id"], q["offset"])):
