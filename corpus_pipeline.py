@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: toxicity, exact dedup, near dedup, mixing, packing."""
+"""From raw documents to packed sequences: toxicity, exact dedup, near dedup, mixing, packing.
+
+Each stage takes null texts as empty, keeps null, repeated and tied ids apart by their place in the
+input, reads whole texts of any length, passes extra columns of any name on, and gives an empty
+table for an empty one; what else a case means is said by the operator that the stage calls.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +14,23 @@ from sweepgrid.llm.shared import materialise, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go; empty texts stay."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
+    """Of equal texts, the row with the smallest doc_id stays, a null one last."""
     return exact_dedup.keep_first(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the row with the smallest doc_id stays."""
+    """Of each class of near copies, the row with the smallest doc_id stays; texts without words all do."""
     return near.keep_one(docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mix of the sources by the target weights, each document at most once."""
+    """A mix of the sources by the target weights, as large as its input: documents of starved leaves
+    come once for each seeded epoch, three at most, and the last one of a leaf may be a prefix."""
     return mixing.keep_mix(docs)
 
 
