@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
 1. Voters. Terms (whole words, and stems that many words begin with) are mined from a bounded
-   number of labelled training rows (``LABELLED``, the first by a hash of the id) and stand beside a
-   fixed short lexicon and pattern voters.
-2. Label model. A latent class with voter accuracies is fitted to the votes by
-   expectation-maximisation; voters whose votes stay correlated within a class share one vote
-   between them. The given label is one more voter, whose accuracy is estimated like the others'.
-3. Classifier. A linear model over the voters' counts and pattern features is trained on the
-   posterior labels and scores every document.
+   number of labelled training rows (``LABELLED``, the first by a hash of the id; near copies count
+   as one) and stand beside a fixed short lexicon and pattern voters. Every significant term votes; of
+   a stem and a word that occur in the same rows, only the stem does.
+2. Label model. A generative model with a latent class is fitted to the votes by
+   expectation-maximisation. Voters that stay correlated within a
+   class depend on one another: in each class the votes follow a forest, the maximum spanning one by
+   conditional mutual information, with a table of its own on every edge. The given label is one more
+   voter, whose accuracy is estimated like the others'.
+3. Classifier. A linear model over the voters, their number and strength, and the pattern features
+   is trained on the posterior labels and scores every document.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never read. Labels,
 language, source and ids are never inputs of a score.
@@ -31,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import table
-from sweepgrid.llm.words import slices
+from sweepgrid.llm.shared import materialise, table, unused
+from sweepgrid.llm.words import Words, ngrams, slices
 
 HELD_OUT = 2
 THRESHOLD = 0.3
-#: Labelled rows used for learning at most, and mined terms at most.
-LABELLED, TERMS = 24_000, 600
+#: Labelled rows used for learning at most.
+LABELLED = 24_000
 #: A general lexicon; everything else is mined.
 LEXICON = ("bastard", "clown", "crap", "disgusting", "dumb", "filth", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "shut up", "stupid", "trash", "vermin", "worthless")
 STEMS = (4, 5, 6, 7)
@@ -101,54 +104,128 @@ def pattern_votes(p: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Accuracies of binary voters for a latent class, with shared weight for correlated voters."""
-
-    def __init__(self, votes: np.ndarray, gold: np.ndarray, rounds: int = 25, prior: float = 1.0):
-        v, given, known = votes.astype(np.float32), (gold == 1).astype(float), (gold >= 0).astype(float)
-        n = len(v)
-        q = np.where(gold >= 0, np.where(gold == 1, 0.9, 0.02), np.clip(0.02 + 0.45 * votes.sum(1), 0.02, 0.95))
-        both = (v.T @ v).astype(float)
-        for _ in range(rounds):
-            self.share = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
-            up, down = (v.T @ q.astype(np.float32)).astype(float), (v.T @ (1 - q).astype(np.float32)).astype(float)
-            positive, negative = q.sum(), (1 - q).sum()
-            self.hit = np.clip((up + prior) / (positive + 2 * prior), 1e-4, 1 - 1e-4)
-            self.false = np.clip((down + 0.1 * prior) / (negative + 2 * prior), 1e-6, 1 - 1e-4)
-            # votes less what the class explains, multiplied out so that only voters by voters is stored
-            mixed = np.outer(up, self.hit) + np.outer(down, self.false)
-            rest = both - mixed - mixed.T + (q * q).sum() * np.outer(self.hit, self.hit) + ((1 - q) ** 2).sum() * np.outer(self.false, self.false)
-            cross = (q * (1 - q)).sum() * np.outer(self.hit, self.false)
-            rest += cross + cross.T
-            spread = np.sqrt(np.maximum(np.diag(rest), 1e-9 * n))
-            self.correlation = rest / np.outer(spread, spread)
-            tied = np.where(np.abs(self.correlation) > 0.2, np.abs(self.correlation), 0.0)
-            np.fill_diagonal(tied, 1.0)
-            self.weight = 1.0 / tied.sum(1)
+    """Binary voters of a latent class: in each class, a forest of dependences between them.
+
+    ``hit`` and ``false`` are how often each votes in the two classes; ``edges`` are (voter, voter it
+    depends on); ``posterior`` is each row's probability of class 1. ``gold`` is 1, 0 or -1 (not known).
+    """
+
+    def __init__(self, votes: np.ndarray, gold: np.ndarray, rounds: int = 25, prior: float = 1.0, tied: float = 0.2):
+        # rows of equal votes are worked on once
+        rows = np.concatenate([np.packbits(votes, 1), (gold + 1).astype(np.uint8)[:, None]], 1)
+        _, at, place, times = np.unique(rows, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        v, gold, place, n = votes[at].astype(np.float32), gold[at], place.reshape(-1), times.astype(float)
+        given, known = (gold == 1) * n, (gold >= 0) * n
+        self.prior, self.total = prior, n.sum()
+        self.all_pairs = ((v * n[:, None].astype(np.float32)).T @ v).astype(float)
+        # before anything is counted, the given label is believed, and votes where there is none
+        q = np.where(gold >= 0, np.where(gold == 1, 0.9, 0.02), np.clip(0.02 + 0.45 * v.sum(1), 0.02, 0.95))
+        for k in range(rounds):
+            w = q * n
+            self.count(v, w)
+            if k % 5 == 0:
+                self.edges = self.forest(tied)
+            self.share = float(np.clip(w.sum() / self.total, 1e-4, 1 - 1e-4))
             right = (q * given).sum(), ((1 - q) * given).sum()
             self.gold = np.clip((right[0] + prior) / ((q * known).sum() + 2 * prior), 1e-3, 1 - 1e-3), np.clip((right[1] + 0.1 * prior) / (((1 - q) * known).sum() + 2 * prior), 1e-5, 1 - 1e-3)
-            on, off = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
-            z = np.log(self.share / (1 - self.share)) + (off * self.weight).sum() + v @ ((on - off) * self.weight).astype(np.float32)
-            z = z + known * np.where(given > 0, np.log(self.gold[0] / self.gold[1]), np.log((1 - self.gold[0]) / (1 - self.gold[1])))
-            q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        self.posterior = q
+            z = np.log(self.share / (1 - self.share)) + self.evidence(v)
+            z = z + (gold >= 0) * np.where(gold == 1, np.log(self.gold[0] / self.gold[1]), np.log((1 - self.gold[0]) / (1 - self.gold[1])))
+            before, q = q, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            if k % 5 and np.abs(q - before).max() < 1e-4:
+                break
+        self.posterior = q[place]
+
+    def count(self, v: np.ndarray, w: np.ndarray) -> None:
+        """Rows, votes and pairs of votes in each class; ``w`` is the weight of each row in class 1."""
+        self.size = w.sum(), self.total - w.sum()
+        up = ((v * w[:, None].astype(np.float32)).T @ v).astype(float)
+        self.pairs = [up, np.maximum(self.all_pairs - up, 0.0)]
+        self.hit = np.clip((np.diag(self.pairs[0]) + self.prior) / (self.size[0] + 2 * self.prior), 1e-4, 1 - 1e-4)
+        self.false = np.clip((np.diag(self.pairs[1]) + 0.1 * self.prior) / (self.size[1] + 2 * self.prior), 1e-6, 1 - 1e-4)
+
+    def tables(self, i: np.ndarray, j: np.ndarray, strength: float = 4.0) -> list[np.ndarray]:
+        """For each class, P(voter i votes | voter j does not, does), drawn towards how often i votes at all."""
+        out = []
+        for size, pairs, alone in zip(self.size, self.pairs, (self.hit, self.false)):
+            with_j, both, all_i = pairs[j, j], pairs[i, j], pairs[i, i]
+            given = [((all_i - both), size - with_j), (both, with_j)]
+            out.append(np.stack([np.clip((n + strength * alone[i]) / (np.maximum(d, 0) + strength), 1e-6, 1 - 1e-6) for n, d in given]))
+        return out
+
+    def forest(self, tied: float) -> list[tuple[int, int]]:
+        """The maximum spanning forest, by conditional mutual information, of voters whose votes are correlated within the classes."""
+        m = len(self.hit)
+        total, rest, spread = np.zeros((m, m)), np.zeros((m, m)), np.zeros(m)
+        for size, pairs in zip(self.size, self.pairs):
+            p = np.clip(np.diag(pairs) / max(size, 1e-9), 1e-9, 1 - 1e-9)
+            both = pairs / max(size, 1e-9)
+            rest += size * (both - np.outer(p, p))
+            spread += size * p * (1 - p)
+            for joint, a, b in ((both, p, p), (p[:, None] - both, p, 1 - p), (p[None, :] - both, 1 - p, p), (1 - p[:, None] - p[None, :] + both, 1 - p, 1 - p)):
+                joint = np.maximum(joint, 1e-12)
+                total += size * joint * np.log(joint / np.outer(a, b))
+        self.correlation = rest / np.sqrt(np.outer(spread, spread))
+        a, b = np.nonzero(np.triu(np.abs(self.correlation) > tied, 1))
+        root = list(range(m))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        linked: list[list[int]] = [[] for _ in range(m)]
+        for k in np.lexsort([b, a, -total[a, b]]):
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                linked[a[k]].append(int(b[k]))
+                linked[b[k]].append(int(a[k]))
+        edges, seen = [], [False] * m
+        for start in range(m):
+            stack = [] if seen[start] else [start]
+            seen[start] = True
+            while stack:
+                x = stack.pop()
+                for y in linked[x]:
+                    if not seen[y]:
+                        seen[y] = True
+                        edges.append((y, x))
+                        stack.append(y)
+        return edges
+
+    def evidence(self, v: np.ndarray) -> np.ndarray:
+        """The votes' log likelihood ratio of the two classes, per row."""
+        lone, off = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
+        linear, constant = lone - off, off.sum()
+        if not self.edges:
+            return constant + v @ linear.astype(np.float32)
+        i, j = np.array(self.edges).T
+        up, down = self.tables(i, j)
+        # log ratios of the four cases of (voter j, voter i)
+        r = np.stack([np.log((1 - up) / (1 - down)), np.log(up / down)], 1)
+        constant += (r[0, 0] - off[i]).sum()
+        linear[i] += r[0, 1] - r[0, 0] - (lone - off)[i]
+        np.add.at(linear, j, r[1, 0] - r[0, 0])
+        return constant + v @ linear.astype(np.float32) + (v[:, i] * v[:, j]) @ (r[1, 1] - r[1, 0] - r[0, 1] + r[0, 0]).astype(np.float32)
 
 
 class Linear:
-    """Logistic regression by Newton's method on standardised inputs."""
+    """Logistic regression by Newton's method on standardised inputs (in single precision, solved in double)."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 25):
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+        z = np.ones((len(x), x.shape[1] + 1), np.float32)
+        z[:, :-1] = (x - self.mean.astype(np.float32)) / self.scale.astype(np.float32)
         w = np.zeros(z.shape[1])
         w[-1] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4))
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-6
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(h, z.T @ (y - p) - penalty * w)
+            p = 1 / (1 + np.exp(-np.clip((z @ w.astype(np.float32)).astype(float), -30, 30)))
+            h = ((z * (p * (1 - p) + 1e-6)[:, None].astype(np.float32)).T @ z).astype(float) + np.diag(penalty)
+            step = np.linalg.solve(h, (z.T @ (y - p).astype(np.float32)).astype(float) - penalty * w)
             w += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         self.w, self.b = w[:-1] / self.scale, float(w[-1] - (w[:-1] * self.mean / self.scale).sum())
 
@@ -157,14 +234,17 @@ class Linear:
 
 
 def inputs(hits: list[Counter], patterns: np.ndarray, strength: np.ndarray) -> np.ndarray:
-    """Inputs of the classifier: per document the sum and the largest of its terms' log odds, the
-    number of different terms, and the pattern values on a logarithmic scale."""
-    rows = np.zeros((len(hits), 4))
+    """Inputs of the classifier: per document one for each voting term, the sum and the largest of its
+    terms' log odds, the number of different terms and of hits, and the pattern values on a logarithmic scale."""
+    m = len(strength)
+    out = np.zeros((len(hits), m + 4 + patterns.shape[1]), np.float32)
     for i, c in enumerate(hits):
         if c:
-            s = np.array([strength[k] for k in c])
-            rows[i] = s.sum(), s.max(), np.log1p(len(c)), np.log1p(sum(c.values()))
-    return np.concatenate([np.clip(rows, -50, 50), np.log1p(patterns)], 1)
+            which = list(c)
+            out[i, which] = 1
+            out[i, m : m + 4] = np.clip(strength[which].sum(), -50, 50), np.clip(strength[which].max(), -50, 50), np.log1p(len(c)), np.log1p(sum(c.values()))
+    out[:, m + 4 :] = np.log1p(patterns)
+    return out
 
 
 class Model:
@@ -176,9 +256,12 @@ class Model:
     def scorer(self):
         terms = Terms(self.terms)
 
-        def score(texts: list[str]) -> np.ndarray:
-            found = [described(t, terms) for t in texts]
-            return self.linear.score(inputs([c for c, _ in found], np.array([p for _, p in found]), self.strength)) if found else np.zeros(0)
+        def score(texts: list[str], at_once: int = 2000) -> np.ndarray:
+            out = [np.zeros(0)]
+            for k in range(0, len(texts), at_once):
+                found = [described(t, terms) for t in texts[k : k + at_once]]
+                out.append(self.linear.score(inputs([c for c, _ in found], np.array([p for _, p in found]), self.strength)))
+            return np.concatenate(out)
 
         return score
 
@@ -193,48 +276,61 @@ def word_set(text: str) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k}
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of the five-word shingles of each text (of its words, where there are fewer), which near copies mostly share."""
+    for batch in slices(batches):
+        words = Words(batch.column("text"))
+        g, marks = ngrams(words.hash, 5), []
+        for a, n in zip(words.first[:-1].tolist(), words.count.tolist()):
+            least = g[a : a + n - 4].min() if n >= 5 else words.hash[a : a + n].sum(dtype=np.uint64)
+            marks.append(int(least.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(marks, pa.int64())], names=["text", "toxic", "mark"])
+
+
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            found = word_set(text or "")
-            count.update(found if wanted is None else found & wanted)
-    items = [(t, n) for t, n in count.items() if len(t) <= 60]
-    for k in range(0, len(items), 20_000):
-        part = items[k : k + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["term", "n"])
-
-
-def mined(labelled: DataFrame, positives: int, negatives: int, most: int = TERMS) -> list[str]:
-    """Terms far more frequent in toxic rows; candidates are bounded to 50,000, then counted in the others."""
-    least = max(4, positives // 500)
-    up = labelled.where("toxic = 1").mapInArrow(lambda b: _document_frequencies(b, None), "term STRING, n BIGINT").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    up = {r["term"]: r["n"] for r in up.orderBy(F.desc("n"), "term").limit(50_000).collect()}
-    wanted = frozenset(up)
-    down = labelled.where("toxic = 0").mapInArrow(lambda b: _document_frequencies(b, wanted), "term STRING, n BIGINT").groupBy("term").agg(F.sum("n").alias("n"))
-    down = {r["term"]: r["n"] for r in down.collect()}
-    rated, share = [], positives / (positives + negatives)
-    for term, n in up.items():
-        other = down.get(term, 0)
-        odds = np.log((n + 0.5) / (positives + 1)) - np.log((other + 0.5) / (negatives + 1))
-        # likelihood ratio of the term's own share of toxic rows against the share of all rows
-        both = n + other
-        ratio = 2 * (n * np.log(n / (both * share)) + (other * np.log(other / (both * (1 - share))) if other else 0.0))
-        if odds > 1.5 and ratio > SIGNIFICANT:
-            rated.append((ratio, term))
-    return [t for _, t in sorted(rated, key=lambda x: (-x[0], x[1]))[:most]]
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, terms: int = TERMS) -> Model:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            count[int(toxic)].update(word_set(text or ""))
+    for toxic, found in count.items():
+        items = list(found.items())
+        for k in range(0, len(items), 20_000):
+            part = items[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array(np.full(len(part), toxic, np.int32)), pa.array([n for _, n in part], pa.int64())], names=["term", "toxic", "n"])
+
+
+def mined(labelled: DataFrame, positives: int, negatives: int) -> list[str]:
+    """Terms far more frequent in toxic rows, the most significant first. Only these leave Spark."""
+    counted = labelled.select("text", "toxic").mapInArrow(_document_frequencies, "term STRING, toxic INT, n BIGINT")
+    up, down = F.col("up").cast("double"), F.col("down").cast("double")
+    both, share = up + down, positives / (positives + negatives)
+    counted = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("up"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("down"))
+    odds = F.log((up + 0.5) / (positives + 1)) - F.log((down + 0.5) / (negatives + 1))
+    # likelihood ratio of the term's own share of toxic rows against the share of all rows
+    ratio = 2 * (up * F.log(up / (both * share)) + F.when(down > 0, down * F.log(down / (both * (1 - share)))).otherwise(0.0))
+    good = counted.where(F.col("up") >= max(4, positives // 500)).select("term", "up", "down", ratio.alias("ratio"), odds.alias("odds")).where(f"odds > 1.5 AND ratio > {SIGNIFICANT}")
+    rows = sorted(good.collect(), key=lambda r: (-r["ratio"], r["term"]))
+    stems: dict[tuple, list[str]] = {}
+    for r in rows:
+        if r["term"].endswith("*"):
+            stems.setdefault((r["up"], r["down"]), []).append(r["term"])
+    shortest = lambda r: min((t for t in stems.get((r["up"], r["down"]), ()) if r["term"].startswith(t[:-1])), key=len, default=r["term"])
+    return list(dict.fromkeys(shortest(r) for r in rows))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     """Learn from labelled rows that are not held out, the first ``labelled`` by a hash of the id."""
     gold = labels.where(fold(F.col("doc_id")) != HELD_OUT).where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(fold(F.col("doc_id")) != HELD_OUT)
-    # at most ``labelled`` ids, so this side is bounded
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"])
+    # at most ``labelled`` ids, so this side is bounded; written, so that the documents are read once
+    chosen = rows.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    # near copies tell the same once
+    marked = chosen.mapInArrow(_marked, "text STRING, toxic INT, mark BIGINT")
+    sample = materialise(marked.groupBy("mark", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = size.get(1, 0), size.get(0, 0)
-    found = mined(sample, positives, negatives, terms) if positives >= 8 and negatives >= 8 else []
+    found = mined(sample, positives, negatives) if positives >= 8 and negatives >= 8 else []
     names = list(dict.fromkeys([*LEXICON, *found]))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, terms: i
 
     table_ = sample.mapInArrow(votes, "terms ARRAY<INT>, counts ARRAY<INT>, patterns ARRAY<DOUBLE>, toxic INT").toPandas() if positives and negatives else None
     if table_ is None:
-        strength = np.where(np.arange(len(names)) < len(LEXICON), 3.0, 0.0)
-        linear = Linear(np.zeros((2, 4 + len(PATTERNS))), np.array([0.0, 0.0]))
-        linear.w, linear.b = np.array([0.8, 0.0, 0.0, 0.0, 0.0, 0.3, 0.8, 0.0, 0.3]), -3.5
+        strength = np.full(len(names), 3.0)
+        linear = Linear(np.zeros((2, len(names) + 4 + len(PATTERNS)), np.float32), np.array([0.0, 0.0]))
+        linear.w, linear.b = np.concatenate([np.zeros(len(names)), [0.8, 0.0, 0.0, 0.0, 0.0, 0.3, 0.8, 0.0, 0.3]]), -3.5
         return Model(names, strength, linear)
     order = np.lexsort([table_["patterns"].map(tuple).map(hash), table_["toxic"]])  # the result must not depend on the order of rows
     table_ = table_.iloc[order]
@@ -261,38 +357,37 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, terms: i
     model = LabelModel(votes_, gold_)
     strength = np.zeros(len(names))
     m = int(used.sum())
-    strength[used] = (np.log(model.hit[:m] / model.false[:m]) * model.weight[:m]).clip(-1, 12)
+    strength[used] = np.log(model.hit[:m] / model.false[:m]).clip(-1, 12)
     strength[~used] = 1.0
-    x = inputs(hits, patterns, strength)
-    return Model(names, strength, Linear(x, model.posterior))
+    return Model(names, strength, Linear(inputs(hits, patterns, strength), model.posterior))
 
 
-def scored(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the carried columns of every row."""
+def scored(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), score: str = "score") -> DataFrame:
+    """The carried columns of every row, and its score."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    score_of = model
+    (text,) = unused(list(carry), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = score_of.scorer()
-        for batch in slices(batches, "__text"):
-            s = score([t or "" for t in batch.column("__text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(s), *(batch.column(c) for c in carry)], names=["__score", *carry])
+        of = model.scorer()
+        for batch in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(of([t or "" for t in batch.column(text).to_pylist()]))], names=[*carry, score])
 
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in carry])
-    return rows.mapInArrow(work, ", ".join(["__score DOUBLE", *(f"`{c}` {types[c]}" for c in carry)]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
+    return rows.mapInArrow(work, ", ".join([*(f"`{c}` {types[c]}" for c in carry), f"`{score}` DOUBLE"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = scored(docs, model or train(docs, labels), ("doc_id",))
-    return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     names = tuple(docs.columns)
-    return scored(docs, train(docs, labels), names).where(F.col("__score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
+    (score,) = unused(list(names), "score")
+    return scored(docs, train(docs, labels), names, score).where(F.col(f"`{score}`") < THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

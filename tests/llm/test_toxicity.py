@@ -57,10 +57,50 @@ def test_label_model_estimates_accuracies():
     gold = np.where(r.random(6000) < 0.5, y, -1)
     m = tox.LabelModel(votes, gold)
     assert np.allclose(m.hit[:4], [a for a, _ in rates], atol=0.08) and np.allclose(m.false[:4], [b for _, b in rates], atol=0.03)
-    assert m.correlation[0, 4] > 0.9 and m.weight[0] < 0.6 < m.weight[1]
+    assert m.correlation[0, 4] > 0.9 and [set(e) for e in m.edges] == [{0, 4}]
     assert (m.posterior > 0.5)[gold < 0].astype(int).tolist().count(1) > 0
     assert ((m.posterior > 0.5) == y).mean() > 0.93
 
 
-def test_sizes_are_not_lowered():
-    assert tox.LABELLED >= 24_000 and tox.TERMS >= 600
+def test_label_model_against_brute_force():
+    """One round of counts and posteriors on 20 rows, by products over the forest."""
+    r = np.random.default_rng(4)
+    y = r.random(20) < 0.4
+    a = np.where(y, r.random(20) < 0.8, r.random(20) < 0.2)
+    votes = np.stack([a, a ^ (r.random(20) < 0.1), np.where(y, r.random(20) < 0.7, r.random(20) < 0.3), r.random(20) < 0.5], 1)
+    m = tox.LabelModel(votes, np.full(20, -1), rounds=1)
+    q = np.clip(0.02 + 0.45 * votes.sum(1), 0.02, 0.95)
+    parent = dict(m.edges)
+    assert m.edges and all(m.correlation[e] == m.correlation[e[::-1]] and abs(m.correlation[e]) > 0.2 for e in m.edges)
+    ratio = np.zeros(20)
+    for w, alone, sign, floor, prior in ((q, m.hit, 1, 1e-4, 1.0), (1 - q, m.false, -1, 1e-6, 0.1)):
+        for i in range(4):
+            want = (sum(w[k] for k in range(20) if votes[k, i]) + prior) / (w.sum() + 2.0)
+            assert np.isclose(alone[i], np.clip(want, floor, 1 - 1e-4), rtol=1e-5)
+        for k in range(20):
+            for i in range(4):
+                p = alone[i]
+                if i in parent:
+                    same = [n for n in range(20) if votes[n, parent[i]] == votes[k, parent[i]]]
+                    p = (sum(w[n] for n in same if votes[n, i]) + 4.0 * alone[i]) / (sum(w[n] for n in same) + 4.0)
+                ratio[k] += sign * np.log(p if votes[k, i] else 1 - p)
+    assert np.allclose(m.evidence(votes.astype(np.float32)), ratio, atol=1e-3)
+    assert np.allclose(m.posterior, 1 / (1 + np.exp(-(np.log(q.mean() / (1 - q.mean())) + ratio))), atol=1e-3)
+
+
+def test_every_significant_term_votes(spark):
+    """More terms than any fixed number of slots, each in few rows."""
+    r = random.Random(9)
+    bad = [f"zq{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(650)]
+    rows = [(f"{' '.join(r.choices(bad, k=30))} plain words", 1) for _ in range(400)] + [(" ".join(f"w{r.randint(0, 50)}" for _ in range(9)), 0) for _ in range(1600)]
+    found = tox.mined(spark.createDataFrame(rows, "text STRING, toxic INT"), 400, 1600)
+    assert sum(w in found for w in bad) > 400 or any(t.startswith("zq") and t.endswith("*") for t in found)
+    assert tox.LABELLED >= 24_000
+
+
+def test_odd_columns_and_long_texts(spark):
+    rows, labels, _ = corpus(n=200)
+    docs = spark.createDataFrame([(*x, 1.5, "t", 7) for x in rows] + [(9000, "word " * 400_000 + "idiot gnarf", "en", 1.5, "t", 7)], "doc_id BIGINT, text STRING, lang STRING, score DOUBLE, __text STRING, __score INT")
+    kept = tox.keep_clean(docs, spark.createDataFrame(labels, "doc_id BIGINT, toxic INT"))
+    assert kept.columns == docs.columns
+    assert {(k.score, k["__text"], k["__score"]) for k in kept.select("score", "__text", "__score").collect()} == {(1.5, "t", 7)}
