@@ -2,7 +2,8 @@
 
 Each payload is stored losslessly as an 8-bit greyscale PNG of 64 samples a row, packed with
 others into ZIP archives (members are stored, the PNG itself is compressed). The data source
-``archive_media`` plans partitions as byte ranges of the archives from their sizes alone: a reader
+``archive_media`` plans partitions as byte ranges of the archives from their sizes alone, of those
+that a manifest (a Parquet table of archive, members, bytes) names or of all in a folder: a reader
 takes the members whose local header begins in its range, found in the archive's own directory. It
 streams them as Arrow record batches bounded in bytes, and reads each member by its offset with
 retries of its own, so one bad member never costs the others.
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from sweepgrid.llm.shared import materialise, shared_folder, table
+from sweepgrid.llm.shared import shared_folder, table
 
 UNIT = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -152,17 +154,22 @@ class ByteRange(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.range_bytes = int(options.get("range_bytes", 16 << 20))
+        self.folder, self.manifest = options["path"], options.get("manifest")
+        self.range_bytes = int(options.get("range_bytes", 64 << 20))
         self.batch_bytes = int(options.get("batch_bytes", 4 << 20))
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        fs, path = open_fs(self.folder)
-        info = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
-        out = []
-        for x in sorted((x for x in info if x.type == pafs.FileType.File and x.path.endswith(".zip")), key=lambda x: x.path):
-            out += [ByteRange(x.path, at, min(at + self.range_bytes, x.size)) for at in range(0, x.size, self.range_bytes)]
+        """A row of the manifest, or a file of the folder, for each archive: bounded by archives, not members."""
+        if self.manifest is not None:
+            fs, path = open_fs(self.manifest)
+            rows = pq.read_table(path, filesystem=fs, columns=["archive", "bytes"])
+            found = [(open_fs(a)[1], n) for a, n in zip(rows["archive"].to_pylist(), rows["bytes"].to_pylist())]
+        else:
+            fs, path = open_fs(self.folder)
+            info = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
+            found = [(x.path, x.size) for x in info if x.type == pafs.FileType.File and x.path.endswith(".zip")]
+        out = [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in sorted(found) for at in range(0, size, self.range_bytes)]
         return out or [ByteRange("", 0, 0)]
 
     def member(self, fs: pafs.FileSystem, archive: str, offset: int, size: int, crc: int) -> tuple[bytes | None, int, str | None]:
@@ -208,7 +215,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveMedia(DataSource):
-    """``spark.read.format("archive_media").load(folder)``; options range_bytes, batch_bytes, retries."""
+    """``spark.read.format("archive_media").load(folder)``; options manifest, range_bytes, batch_bytes, retries."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,8 +228,8 @@ class ArchiveMedia(DataSource):
         return ArchiveReader(dict(self.options))
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> DataFrame:
-    """Encode every row's text and write archives; the manifest (archive, members, bytes), as a written table.
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> str:
+    """Encode every row's text and write archives; the path of the manifest (archive, members, bytes).
 
     A repeated task writes archives of its own below ``attempts``; the manifest names those that count.
     """
@@ -251,17 +258,16 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20)
             yield closed()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(rows.mapInArrow(write, "archive STRING, members BIGINT, bytes BIGINT"), "media-manifest")
+    path = f"{folder}-manifest"
+    rows.mapInArrow(write, "archive STRING, members BIGINT, bytes BIGINT").write.parquet(path)
+    return path
 
 
-def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, **options) -> DataFrame:
-    """All members below ``folder``; with a manifest, only those of the archives that it names."""
+def read_archives(spark: SparkSession, folder: str, manifest: str | None = None, **options) -> DataFrame:
+    """All members below ``folder``; with a manifest, only the archives that it names are planned."""
     spark.dataSource.register(ArchiveMedia)
-    members = spark.read.format("archive_media").options(**{k: str(v) for k, v in options.items()}).load(folder)
-    if manifest is not None:
-        name = F.element_at(F.split("archive", "/"), -1)
-        members = members.join(manifest.select(name.alias("__name")), name == F.col("__name"), "left_semi")
-    return members
+    given = options if manifest is None else options | {"manifest": manifest}
+    return spark.read.format("archive_media").options(**{k: str(v) for k, v in given.items()}).load(folder)
 
 
 def described(members: DataFrame) -> DataFrame:

@@ -140,18 +140,19 @@ def read_record(bundle: str, frame_at: int, frame_bytes: int, offset: int, lengt
 def roles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """(page_id, url, payload, digest, length, kind, refers_to): which records are responses.
 
-    Only digests are grouped, with partial aggregation, and joined back; payloads of a common
-    digest are never gathered.
+    A first pass reads digests only, and keeps those of larger payloads that occur more than once,
+    with partial aggregation. It names the rows that become revisits, by page_id and digest; a second
+    pass tells each page by that key, so pages of a common payload stay dealt over all tasks.
     """
-    base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     base = base.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("length"))
-    best = base.where(F.col("length") >= least_bytes).groupBy("digest", "length").agg(F.max("page_id").alias("best"))
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("best")) & F.col("best").isNotNull(), F.lit(False))
-    return base.join(best, ["digest", "length"], "left").select(
-        "page_id", "url", "payload", "digest", "length",
-        F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(revisit, F.col("best")).alias("refers_to"),
-    )
+    keys = materialise(base.select("page_id", "digest", "length").where(F.col("length") >= least_bytes), "warc-digests")
+    best = keys.groupBy("digest", "length").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 AND best IS NOT NULL").drop("n")
+    told = keys.distinct().join(best, ["digest", "length"]).where(~F.col("page_id").eqNullSafe(F.col("best")))
+    told = materialise(told.select(F.col("page_id").alias("of"), F.col("digest").alias("same"), F.col("best").alias("refers_to")), "warc-revisits")
+    met = base.join(told, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left")
+    return met.select("page_id", "url", "payload", "digest", "length", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("kind"), "refers_to")
 
 
 def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 1000, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -209,18 +210,19 @@ def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take what their response held."""
-    responses = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("to_id"), F.col("read_digest").alias("to_digest")).agg(F.first("read_bytes").alias("to_bytes"))
-    joined = records.join(responses, (F.col("record_type") == "revisit") & F.col("refers_to").eqNullSafe(F.col("to_id")) & (F.col("header_digest") == F.col("to_digest")), "left")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take what their response held.
+
+    Only responses that some revisit names are looked up. The look-up is a sort-merge join, which
+    cuts a response with very many revisits into several tasks.
+    """
     revisit = F.col("record_type") == "revisit"
-    found = F.when(revisit, F.col("to_digest")).otherwise(F.col("read_digest"))
-    return joined.select(
-        "page_id",
-        F.when(revisit, F.col("to_bytes")).otherwise(F.col("read_bytes")).alias("payload_bytes"),
-        F.when(found != F.col("header_digest"), F.raise_error(F.lit("payload digest differs"))).otherwise(found).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    records = materialise(records.drop("html"), "warc-read")
+    named = records.where(revisit).select(F.col("refers_to").alias("to_id"), F.col("header_digest").alias("to_digest")).distinct()
+    held = records.where(~revisit).select(F.col("page_id").alias("to_id"), F.col("read_digest").alias("to_digest"), F.col("read_bytes").alias("to_bytes")).join(named, ["to_id", "to_digest"], "left_semi").groupBy("to_id", "to_digest").agg(F.first("to_bytes").alias("to_bytes"))
+    joined = records.where(revisit).join(held.hint("merge"), (F.col("refers_to") == F.col("to_id")) & (F.col("header_digest") == F.col("to_digest")), "left")
+    checked = lambda found: F.when(found.isNull() | (found != F.col("header_digest")), F.raise_error(F.lit("payload digest differs"))).otherwise(found).alias("payload_digest")
+    responses = records.where(~revisit).select("page_id", F.col("read_bytes").alias("payload_bytes"), checked(F.col("read_digest")), "record_type", "refers_to")
+    return responses.unionByName(joined.select("page_id", F.col("to_bytes").alias("payload_bytes"), checked(F.col("to_digest")), "record_type", "refers_to"))
 
 
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
