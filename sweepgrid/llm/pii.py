@@ -3,8 +3,9 @@
 Base spans are found by fixed patterns and always stay. High-recall generators propose further,
 possibly overlapping spans (obfuscated e-mail addresses, telephone numbers without a country code,
 card numbers with other separators, addresses with a port or in brackets); a boosted model with
-features of format and context rates each, and those above a threshold calibrated to a precision
-join, best first, where they overlap nothing that is already taken. The model is trained on a
+features of format and context rates each; every kind has a calibration and a threshold for its
+precision of its own, and candidates above it join, best first, where they overlap nothing that is
+already taken. Overlaps are found in sorted spans, so the work grows with the text. The model is trained on a
 bounded number of composed examples (``EXAMPLES`` of each kind and class), never on the corpus.
 
 Defined cases: a null text is empty and has no spans; positions are code points; rows with null or
@@ -18,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +111,11 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     for kind, need, pattern in GENERATORS:
         if need.search(text):
             out.update((kind, *m.span()) for m in pattern.finditer(text))
-    return sorted(x for x in out if not any(x[1] < b and a < x[2] for _, a, b in taken))
+    # of the spans that begin before an end, the one that reaches furthest tells whether any overlaps
+    spans = sorted((a, b) for _, a, b in taken)
+    begins, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    free = lambda a, b: not (k := bisect_left(begins, b)) or reach[k - 1] <= a
+    return sorted(x for x in out if free(x[1], x[2]))
 
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -179,9 +186,8 @@ def trained(examples: int = EXAMPLES, precision: float = PRECISION) -> Calibrate
             # a good example may hold several spans; digits beside it count by their own form
             d = re.sub("[^0-9]", "", text[a:b])
             labels.append(float(positive and k == kind and (k != "card" or luhn(d)) or positive and k == "card" and kind == "phone" and luhn(d)))
-    model = Calibrated(np.array(rows), np.array(labels), precision)
-    model.threshold = max(model.threshold, 0.5)  # never less likely than not, however well the examples part
-    return model
+    of = np.array([int(r[0]) for r in rows])
+    return Calibrated(np.array(rows), np.array(labels), of, precision)
 
 
 def select(texts: list[str], model: Calibrated) -> Iterator[tuple[list, list]]:
@@ -190,11 +196,15 @@ def select(texts: list[str], model: Calibrated) -> Iterator[tuple[list, list]]:
     proposed = [(i, *c) for i, t in enumerate(texts) for c in candidates(t, bases[i])]
     added: list[list] = [[] for _ in texts]
     if proposed:
-        p = model.probability(np.array([features(texts[i], k, a, b) for i, k, a, b in proposed]))
-        order = sorted((j for j in range(len(proposed)) if p[j] >= model.threshold), key=lambda j: (-p[j], proposed[j]))
+        of = np.array([KINDS.index(k) for _, k, _, _ in proposed])
+        p = model.probability(np.array([features(texts[i], k, a, b) for i, k, a, b in proposed]), of)
+        order = sorted(np.flatnonzero(p >= model.threshold[of]).tolist(), key=lambda j: (-p[j], proposed[j]))
+        taken: list[list[tuple[int, int]]] = [[] for _ in texts]  # sorted and apart
         for j in order:
             i, kind, a, b = proposed[j]
-            if not any(a < y and x < b for _, x, y, _ in added[i]):
+            at = bisect_left(taken[i], (a, b))
+            if (at == 0 or taken[i][at - 1][1] <= a) and (at == len(taken[i]) or b <= taken[i][at][0]):
+                taken[i].insert(at, (a, b))
                 added[i].append((kind, a, b, float(p[j])))
     yield from zip(bases, added)
 
