@@ -10,7 +10,8 @@ the shortest order to the longest.
 Documents are dealt into groups by a hash of their content. A group sends the distinct hashes of its
 words and n-grams, each with its counts, to the shard of the hash (orders above two in rounds of
 their own, so that only one round's hashes are on disk); shards add up over all groups and
-send each group the totals of what it asked for. Rows are blobs of sorted, delta-coded hashes, so
+send each group the totals of what it asked for. A group has a row for each shard that holds keys of
+it, so rows are never more than the distinct keys of all groups, whatever the number of shards. Rows are blobs of sorted, delta-coded hashes, so
 counts of the whole corpus move in about six bytes per distinct hash and group, and a frequent word
 is one entry per group, never a group of rows.
 
@@ -32,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import estimated_bytes, materialise, shuffle_files_dropped, table
+from sweepgrid.llm.shared import materialise, shuffle_files_dropped, table, text_bytes
 from sweepgrid.llm.words import Words, mix, slices
 
 FOLDS, HELD_OUT, TUNED_ON = 10, 0, 1
-#: Bytes of input, as stored, in a group of documents and behind a shard of hashes.
-GROUP_BYTES, SHARD_BYTES = 3 << 20, 6 << 20
+#: Bytes of text in a group of documents and behind a shard of hashes.
+GROUP_BYTES, SHARD_BYTES = 5 << 20, 10 << 20
 #: Upper bounds of context frequency of each bucket but the last; bucket 0 is the unseen context.
 BUCKETS = np.array([0, 1, 2, 4, 8, 16, 64, 256, 1024, 8192, 65536, 1 << 20], np.int64)
 #: Steps of the logarithm of a probability in the sufficient statistics, and how many there are.
@@ -106,13 +107,14 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as one byte each; those of 255 and more follow in eight, packed once more."""
+    """Counts as one byte each; those of 255 and more follow in eight, packed once more where they are many."""
     large = counts >= 255
-    return zlib.compress(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes(), 1)
+    raw = np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+    return b"1" + zlib.compress(raw, 1) if len(raw) > 64 else b"0" + raw
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(blob)
+    raw = zlib.decompress(blob[1:]) if blob[:1] == b"1" else blob[1:]
     out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     large = out == 255
     out[large] = np.frombuffer(raw, "<i8", offset=n)
@@ -144,11 +146,10 @@ def _ask(shards: int, kinds: tuple[int, ...]):
             of = fold[tokens.document] if kind != WORD else np.concatenate([fold[tokens.document], fold])
             main = np.bincount(place[(of != HELD_OUT) & (of != TUNED_ON)], minlength=len(unique))
             tuned = np.bincount(place[of == TUNED_ON], minlength=len(unique))
-            cut = np.searchsorted(unique, np.arange(shards + 1, dtype=np.uint64) << shift)
-            for s in range(shards):
-                a, b = int(cut[s]), int(cut[s + 1])
-                if b > a:
-                    rows.append((kind, s, keys[0].as_py(), b - a, pack_keys(unique[a:b]), pack_counts(main[a:b]), pack_counts(tuned[a:b])))
+            # a row for each shard that has keys of the group: never more rows than keys, however many shards there are
+            shard = (unique >> shift).astype(np.int64)
+            cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards)).tolist()
+            rows += [(kind, int(shard[a]), keys[0].as_py(), b - a, pack_keys(unique[a:b]), pack_counts(main[a:b]), pack_counts(tuned[a:b])) for a, b in zip(cut, cut[1:])]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ASK)], schema=_ASK) if rows else _ASK.empty_table()
 
     return work
@@ -314,7 +315,7 @@ def lm_scores(docs: DataFrame, group_bytes: int = GROUP_BYTES, shard_bytes: int
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``order`` words make the longest n-gram, two at least."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = estimated_bytes(rows)
+    size = text_bytes(rows)
     groups, shards = max(4, size // group_bytes), 1 << (max(4, size // shard_bytes) - 1).bit_length()
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("bucket")
     grouped = rows.select(bucket, "doc_id", "text")

@@ -67,9 +67,6 @@ def shuffle_files_dropped(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes of the input as the optimiser sees them; counted where it only guesses."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 50:
-        return size
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts."""
     return int(df.selectExpr("coalesce(sum(octet_length(text)), 0L) AS n").first()["n"])

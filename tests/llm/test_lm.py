@@ -1,9 +1,11 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sweepgrid.llm import lm
 
@@ -86,8 +88,23 @@ def test_empty_and_untrained(spark):
 def test_blobs():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 999, dtype=np.uint64))
     assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
-    counts = np.array([0, 1, 254, 255, 256, 10**12])
-    assert (lm.unpack_counts(lm.pack_counts(counts), 6) == counts).all()
+    for counts in (np.array([0, 1, 254, 255, 256, 10**12]), np.arange(500), np.zeros(0, np.int64)):
+        assert (lm.unpack_counts(lm.pack_counts(counts), len(counts)) == counts).all()
+
+
+def test_work_of_a_group_does_not_grow_with_the_shards():
+    """Rows follow the keys of the group, also where shards are many more than those of 30 GB."""
+    texts = [t for _, t in rows() if t] * 3
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    unique = len(np.unique(lm.Tokens(pa.array(texts), 3).grams[2]))
+    few, many = (lm._ask(shards, (2,))((pa.scalar(7),), table) for shards in (64, 1 << 24))
+    assert sum(few["n"].to_pylist()) == sum(many["n"].to_pylist()) == unique
+    assert few.num_rows <= 64 and many.num_rows <= unique
+    keys = lambda t: np.concatenate([lm.unpack_keys(k) for k in t["keys"].to_pylist()])
+    assert (keys(few) == keys(many)).all()
+    began = time.process_time()
+    lm._ask(1 << 30, (2,))((pa.scalar(7),), table)
+    assert time.process_time() - began < 20
 
 
 @pytest.mark.parametrize("order", [3, 4])
