@@ -8,7 +8,8 @@ sequence of words, also starts in a document with a smaller ``doc_id``.
    one document only cannot belong to a recurring window.
 2. Segments. Documents with recurring anchors emit the stretch of words of each run of windows
    with such an anchor, keyed by the anchor. Windows of very common anchors are keyed one by one
-   by their own content and dealt over salts; before the shuffle, their votes are merged per task.
+   by their own content and dealt over salts, more of them the more documents have the anchor; before
+   the shuffle, their votes are merged per task.
 3. Automata. Each task streams its segments in key order. Keys are gathered into shards of bounded
    size; in a shard the exact windows that occur in two documents are confirmed, compiled into an
    Aho-Corasick automaton (a word is one letter of the shard's own alphabet) and every segment is
@@ -17,7 +18,7 @@ sequence of words, also starts in a document with a smaller ``doc_id``.
 No text meets more than the shards that can hold its phrases, so the work grows with the input.
 
 Defined cases: a null text has no words; a null ``doc_id`` is neither smaller nor larger than any
-other, so such rows lose nothing and cost others nothing; rows that share a ``doc_id`` are judged
+other, so such rows lose nothing and cost others nothing (and pass the joins by); rows that share a ``doc_id`` are judged
 each by itself against smaller ids (they are told apart by a 32-bit hash of the text); an empty table gives an empty result. Further columns are left
 alone.
 """
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -40,7 +42,9 @@ from sweepgrid.llm.words import Words, mix, ngrams, slices
 WINDOW, PHRASE = 13, 6
 #: Documents of one anchor from which its windows are keyed one by one and salted.
 HOT_DOCS = 20_000
-SALTS = 8
+#: The salts of an anchor at that number, as a power of two; their number grows with the root of the
+#: documents', so that neither the documents of a salt nor the votes sent to all salts grow with it.
+SALT_BITS, MOST_BITS = 3, 20
 #: Segments after which a shard is compiled.
 SHARD_SEGMENTS = 20_000
 #: Windows of one segment at most; longer runs are cut.
@@ -106,14 +110,22 @@ def _segments(window: int, phrase: int):
             out: list[tuple] = []
             votes: dict[tuple[int, bytes], list[int]] = {}
             wanted = np.zeros(len(at), np.int8)
+            bits = np.zeros(len(at), np.int64)
             for name, mark in (("plain", 1), ("hot", 2)):
                 lists = batch.column(name)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(flat):
+                flat = lists.flatten()
+                if len(flat) and len(at):
                     # a set of (text, anchor) pairs, tested for all windows at once
                     of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                    there = mix(flat.view(np.uint64) + mix(of.astype(np.uint64)))
-                    wanted[np.isin(mix(anchor + mix(owner.astype(np.uint64))), there)] = mark
+                    h = (flat if mark == 1 else flat.field("h")).to_numpy(zero_copy_only=False).astype(np.int64)
+                    there = mix(h.view(np.uint64) + mix(of.astype(np.uint64)))
+                    order = np.argsort(there)
+                    mine = mix(anchor + mix(owner.astype(np.uint64)))
+                    place = order[np.minimum(np.searchsorted(there, mine, sorter=order), len(there) - 1)]
+                    found = there[place] == mine
+                    wanted[found] = mark
+                    if mark == 2:
+                        bits[found] = flat.field("bits").to_numpy(zero_copy_only=False)[place[found]]
             pick = np.flatnonzero(wanted == 1)
             begin = pick[runs(at[pick], anchor[pick], owner[pick])] if len(pick) else pick
             length = np.diff(np.append(np.searchsorted(pick, begin), len(pick)))
@@ -123,17 +135,17 @@ def _segments(window: int, phrase: int):
             pick = np.flatnonzero(wanted == 2)
             if len(pick):
                 content = mix(ngrams(words.hash, window)[at[pick]] ^ _WINDOW_SEED)
+                spread = mix(ids.view(np.uint64)).tolist()
                 for i, c in zip(pick.tolist(), content):
                     a, o = int(at[i]), int(owner[i])
                     seg, doc = words.joined(a, a + window), int(ids[o])
-                    key = int(c) & 0x7FFFFFFFFFFFFFF8
-                    out.append((key | doc % SALTS, SEARCH, doc, 0, int(ths[o]), a - int(words.first[o]), seg))
-                    vote = votes.setdefault((key, seg), [doc, doc])
+                    salts = 1 << int(bits[i])
+                    key = int(c) & 0x7FFFFFFFFFFFFFFF & -salts
+                    out.append((key | (spread[o] & salts - 1), SEARCH, doc, 0, int(ths[o]), a - int(words.first[o]), seg))
+                    vote = votes.setdefault((key, salts, seg), [doc, doc])
                     vote[0], vote[1] = min(vote[0], doc), max(vote[1], doc)
-            for (key, seg), (low, high) in votes.items():
-                out += [(key | s, VOTE, low, high, 0, 0, seg) for s in range(SALTS)]
-            for k in range(0, len(out), 20_000):
-                part = out[k : k + 20_000]
+            every = chain(out, ((key | s, VOTE, low, high, 0, 0, seg) for (key, salts, seg), (low, high) in votes.items() for s in range(salts)))
+            while part := list(islice(every, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), _SEGMENT)], schema=_SEGMENT)
 
     return work
@@ -285,22 +297,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot_docs: int = HOT_DOCS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The key is never null, so that no filter on it keeps the two joins from sharing one exchange
     # of the texts; the same goes for the anchors, dealt once for their counts and the join.
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("key")
-    rows = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    anchors = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(window, phrase), "h BIGINT NOT NULL, doc_id BIGINT NOT NULL").repartition("h")
+    known = rows.where("doc_id IS NOT NULL").select(F.coalesce("doc_id", F.lit(0)).alias("key"), "doc_id", "text")
+    anchors = rows.where("doc_id IS NOT NULL").mapInArrow(_anchors(window, phrase), "h BIGINT NOT NULL, doc_id BIGINT NOT NULL").repartition("h")
     recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    recurring = recurring.select("h", (F.col("n") > hot_docs).alias("is_hot"))
+    more = F.least(F.floor(F.log2(F.col("n") / hot_docs) / 2), F.lit(MOST_BITS - SALT_BITS)).cast("int")
+    recurring = recurring.select("h", F.when(F.col("n") > hot_docs, SALT_BITS + more).alias("bits"))
     of_doc = anchors.join(recurring, "h").groupBy(F.col("doc_id").alias("key")).agg(
-        F.collect_set(F.when(~F.col("is_hot"), F.col("h"))).alias("plain"),
-        F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"),
+        F.collect_set(F.when(F.col("bits").isNull(), F.col("h"))).alias("plain"),
+        F.collect_set(F.when(F.col("bits").isNotNull(), F.struct("h", "bits"))).alias("hot"),
     )
-    segments = rows.join(of_doc, "key").select("doc_id", F.hash("text").alias("th"), "text", "plain", "hot").mapInArrow(_segments(window, phrase), SEGMENT)
+    segments = known.join(of_doc, "key").select("doc_id", F.hash("text").alias("th"), "text", "plain", "hot").mapInArrow(_segments(window, phrase), SEGMENT)
     ranges = segments.repartition("key").sortWithinPartitions("key", "phase").mapInArrow(_locate(window, shard_segments), "doc_id BIGINT NOT NULL, th INT, a INT, b INT")
     of_doc = ranges.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("th", "a", "b")).alias("ranges"))
-    joined = rows.join(of_doc, "key", "left").select("doc_id", F.hash("text").alias("th"), "text", "ranges")
-    return joined.mapInArrow(_cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING")
+    joined = known.join(of_doc, "key", "left").select("doc_id", F.hash("text").alias("th"), "text", "ranges")
+    passed = rows.where("doc_id IS NULL").select("doc_id", F.hash("text").alias("th"), "text", F.lit(None).cast("array<struct<th:int,a:int,b:int>>").alias("ranges"))
+    return joined.unionByName(passed).mapInArrow(_cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

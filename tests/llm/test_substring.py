@@ -48,3 +48,12 @@ def test_against_brute_force(spark, seed, hot, shard):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id BIGINT, text STRING")
     assert substring_dedup(docs).collect() == []
+
+
+def test_long_texts_and_extra_columns(spark):
+    r = random.Random(6)
+    long = [f"w{r.randint(0, 3000)}" for _ in range(120_000)]
+    rows = [(4, " ".join(long)), (9, " ".join(["new"] * 20 + long[500:90_000])), (None, " ".join(long)), (2, "a b"), (2, None)]
+    docs = spark.createDataFrame([(*x, 1, "q", [2]) for x in rows], "doc_id BIGINT, text STRING, key INT, h STRING, plain ARRAY<INT>")
+    got = [tuple(x) for x in substring_dedup(docs).drop("kept_text").collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
