@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,19 +164,21 @@ def point_class(ground: str = "ground", cls: str = "cls") -> Column:
 
 
 def tracked(scores: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.4, band: float = 0.15) -> DataFrame:
-    """(keys, order, ema, cls): exponential mean that carries over gaps, and classes that hold within a band of their limits.
+    """(keys, order, ema, cls): exponential mean that carries over gaps, and classes that hold near their limits.
 
-    The fold is sequential by nature; it runs inside one expression over a key's ordered values.
+    The mean is sequential by nature and folded over each key's ordered values. A class changes only
+    where the mean is ``band`` or more from both limits; nearer, the one before holds.
     """
-    rows = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("v")))).alias("__rows"))
-    start = F.array().cast("array<struct<k:bigint,ema:double,cls:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        old, held = F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["ema"]), F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["cls"])
-        now = F.when(x["v"].isNull(), old).when(old.isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * old)
-        plain = banded(now)
-        keep = held.isNotNull() & (held != UNKNOWN) & now.isNotNull() & ((F.abs(now - 1.0) <= band) | (F.abs(now - 2.0) <= band)) & (F.abs(plain - held) == 1)
-        near = ((F.least(plain, held) == 0) & (F.abs(now - 1.0) <= band)) | ((F.least(plain, held) == 1) & (F.abs(now - 2.0) <= band))
-        return F.concat(acc, F.array(F.struct(x["k"].cast("bigint").alias("k"), now.alias("ema"), F.when(keep & near, held).otherwise(plain).alias("cls"))))
-
-    return rows.select(*keys, F.explode(F.aggregate("__rows", start, step)).alias("r")).select(*keys, F.col("r.k").alias(order), "r.ema", "r.cls")
+    rows = scores.select(*keys, order, F.col(value).cast("double").alias("ema"))
+
+    def fold(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values([order, "ema"], kind="stable")
+        return t.assign(ema=t["ema"].ewm(alpha=alpha, adjust=False, ignore_na=True).mean())
+
+    # a null score carries the mean, so it never comes back; NaN stands for it within pandas
+    out = rows.groupBy(*keys).applyInPandas(fold, rows.schema).withColumn("ema", F.nanvl("ema", F.lit(None).cast("double")))
+    w = Window.partitionBy(*keys).orderBy(order)
+    near = (F.abs(F.col("ema") - 1.0) < band) | (F.abs(F.col("ema") - 2.0) < band)
+    moves = F.when((F.row_number().over(w) == 1) | ~F.coalesce(near, F.lit(False)), banded(F.col("ema")))
+    out = out.withColumn("__moves", moves)
+    return out.select(*keys, order, "ema", F.last("__moves", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cls"))

@@ -130,7 +130,8 @@ def pr_curve(scored: DataFrame, keys: list[str], tie: str) -> DataFrame:
 
 def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the monotone envelope of a precision-recall curve, one row a group."""
-    ahead = Window.partitionBy(*keys).orderBy("rn").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the rows from here on, as a running frame from the other end: a frame that shrinks is evaluated afresh for each row
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w = Window.partitionBy(*keys).orderBy("rn")
     steps = curve.withColumn("env", F.max("precision").over(ahead)).withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
     return steps.groupBy(*keys).agg(F.sum(F.col("gain") * F.col("env")).alias("ap"), F.max("recall").alias("max_recall"), F.count(F.lit(1)).alias("detections"))

@@ -106,7 +106,7 @@ def visibility(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     p = points.withColumn("r", r).where("r > 1e-3").withColumns({"az": azimuth_bin(), "rb": F.least(F.floor(F.col("r") / RANGE_STEP), F.lit(RANGE_BINS - 1)), "t": F.col("z") / F.col("r")})
     own = p.groupBy(*keys, "az", "rb").agg(F.min("t").alias("t"))
-    beyond = Window.partitionBy(*keys, "az").orderBy("rb").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    beyond = Window.partitionBy(*keys, "az").orderBy(F.desc("rb")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return own.select(*keys, "az", "rb", F.min("t").over(beyond).alias("tmin"))
 
 
@@ -120,7 +120,7 @@ def ray_low(cells: DataFrame, vis: DataFrame, x: str = "cx", y: str = "cy", keys
     probe = cells.withColumn("__r", r).withColumns({"az": azimuth_bin(x, y), "__b": F.least(F.floor((F.col("__r") + RANGE_STEP) / RANGE_STEP) + 1, F.lit(RANGE_BINS - 1))})
     side = vis.select(*keys, "az", F.col("rb").alias("__b"), "tmin", F.lit(1).alias("__kind"))
     both = probe.withColumn("__kind", F.lit(0)).unionByName(side, allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys, "az").orderBy("__b", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, "az").orderBy(F.desc("__b"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("tmin", F.min("tmin").over(ahead)).where("__kind = 0")
     return both.withColumn("zray", F.col("tmin") * F.col("__r")).drop("__kind", "__b", "__r", "az", "tmin")
 

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sweepgrid.functions.geometry import is_ground
+
 REFERENCE_POINTS = 121_000
+NOISE_RADIUS, MAX_NOISE = 8.0, 0.040
 
 
 def half_sweeps(points: DataFrame, frame: str = "frame") -> DataFrame:
@@ -17,7 +20,13 @@ def half_sweeps(points: DataFrame, frame: str = "frame") -> DataFrame:
 
 
 def capture_checks(points: DataFrame, metadata: DataFrame, intensity: Column, walker: Column, frame: str = "frame") -> DataFrame:
-    """(check, value, ok): one row a check over the points and the metadata table (frame, inside, depth)."""
+    """(check, value, ok): one row a check over the points and the metadata table (frame, inside, depth).
+
+    The last one is the ground's scatter in millimetres about the plane of each sweep within
+    ``NOISE_RADIUS``, against the roughness that still counts as drivable; without ground there it passes.
+    """
+    ground = points.where(is_ground() & (F.col("x") * F.col("x") + F.col("y") * F.col("y") < NOISE_RADIUS * NOISE_RADIUS))
+    noise = plane_residual(ground, [frame]).agg(F.median("residual").alias("noise"))
     per = points.groupBy(frame).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") < -1e-3).cast("double")).alias("share"), F.count_if(walker).alias("walkers"), F.avg(intensity).alias("mean_i"), F.avg((intensity > 0.9).cast("double")).alias("saturated"), F.max("lab").alias("lab"))
     a = per.agg(
         F.count(F.lit(1)).alias("frames"), F.count_if((F.col("share") < 0.01) | (F.col("share") > 0.99)).alias("half"), F.sum("walkers").alias("walkers"), F.avg("n").alias("density"),
@@ -25,7 +34,7 @@ def capture_checks(points: DataFrame, metadata: DataFrame, intensity: Column, wa
     )
     m = metadata.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("inside") > 0).alias("inside"), F.countDistinct(F.when(F.col("depth") != 0, F.col("depth"))).alias("depths"))
     both = per.select(frame).join(metadata.select(frame), frame, "full").select(F.lit(1)).agg(F.count(F.lit(1)).alias("known"))
-    one = a.join(F.broadcast(m)).join(F.broadcast(both))  # three tables of one row
+    one = a.join(F.broadcast(m)).join(F.broadcast(both)).join(F.broadcast(noise))  # four tables of one row
     rows = [
         ("half_sweeps", F.col("half"), F.col("half") == 0),
         ("pedestrians", F.col("walkers"), F.col("walkers") > 0),
@@ -34,6 +43,7 @@ def capture_checks(points: DataFrame, metadata: DataFrame, intensity: Column, wa
         ("metadata", F.col("rows"), (F.col("rows") == F.col("frames")) & (F.col("known") == F.col("frames"))),
         ("density", F.floor("density"), F.col("density") >= 0.7 * REFERENCE_POINTS),
         ("intensity", F.rint(F.col("saturated") * 1000), F.col("saturated") < 0.5),
+        ("range_noise", F.rint(F.col("noise") * 1000), F.coalesce(F.col("noise") <= MAX_NOISE, F.lit(True))),
     ]
     packed = F.array(*[F.struct(F.lit(n).alias("check"), v.cast("bigint").alias("value"), ok.alias("ok")) for n, v, ok in rows])
     return one.select(F.explode(packed).alias("r")).select("r.*")

@@ -79,11 +79,12 @@ def ground_surfaces(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bilinear(cells: DataFrame, raster: DataFrame, keys: list[str], values: list[str], x: str = "cx", y: str = "cy", res: float = RES) -> DataFrame:
-    """Adds each raster value at the cells' places, by equality joins with the four taps."""
+    """Adds each raster value at the cells' places, by equality joins with the four taps; null where a
+    sweep has no raster."""
     from pyspark.sql import functions as F
 
     box = raster.groupBy(*keys).agg(F.min("gx").alias("__ox"), F.min("gy").alias("__oy"), (F.max("gx") - F.min("gx") + 1).alias("__nx"), (F.max("gy") - F.min("gy") + 1).alias("__ny"))
-    c = cells.join(box, keys)
+    c = cells.join(box, keys, "left")
     clip = lambda v, o, n: F.least(F.greatest(F.col(v) / res - F.col(o), F.lit(0.0)), F.col(n) - 1.001)
     c = c.withColumns({"__fx": clip(x, "__ox", "__nx"), "__fy": clip(y, "__oy", "__ny")})
     c = c.withColumns({"__ix": F.floor("__fx"), "__iy": F.floor("__fy")}).withColumns({"__ux": F.col("__fx") - F.floor("__fx"), "__uy": F.col("__fy") - F.floor("__fy")})
@@ -91,7 +92,7 @@ def bilinear(cells: DataFrame, raster: DataFrame, keys: list[str], values: list[
     for dx in (0, 1):
         for dy in (0, 1):
             tap = raster.select(*keys, F.col("gx").alias("__gx"), F.col("gy").alias("__gy"), *[F.col(v).alias(f"__{v}{dx}{dy}") for v in values])
-            c = c.withColumns({"__gx": F.col("__ix") + F.col("__ox") + dx, "__gy": F.col("__iy") + F.col("__oy") + dy}).join(tap, [*keys, "__gx", "__gy"]).drop("__gx", "__gy")
+            c = c.withColumns({"__gx": F.col("__ix") + F.col("__ox") + dx, "__gy": F.col("__iy") + F.col("__oy") + dy}).join(tap, [*keys, "__gx", "__gy"], "left").drop("__gx", "__gy")
             share = (F.col("__ux") if dx else 1 - F.col("__ux")) * (F.col("__uy") if dy else 1 - F.col("__uy"))
             total = {v: t + share * F.col(f"__{v}{dx}{dy}") for v, t in total.items()}
     out = c.withColumns(total)

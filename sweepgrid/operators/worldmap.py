@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepgrid.functions.geometry import cell, is_ground, point_weight
-from sweepgrid.operators.grid import merge_maps, quantise
+from sweepgrid.functions.geometry import is_ground, point_weight
+from sweepgrid.operators.grid import quantise
 
 TRUST, PRUNE, MAX_DRIFT, OBS_CAP = 20.0, 90.0, 0.50, 40
 #: (resolution, half extent) of each tier in metres.
@@ -24,15 +24,22 @@ def weight(range_dims: int = 2) -> Column:
     return point_weight(r2 if range_dims == 2 else r2 + F.col("z") * F.col("z"))
 
 
+#: Accumulated moments: how many (or how much weight), sum, sum of squares; and the extremes.
+MOMENTS = (("n", "zsum", "zsq"), ("ng", "gsum", "gsq"), ("gw", "gwz", "gwz2"))
+EXTREMES = ("zmin", "zmax", "zomin", "gmin")
+
+
 def shift_z(cells: DataFrame, dz: Column | float) -> DataFrame:
-    """Cells as if every point had been higher by ``dz``."""
-    dz = F.lit(dz) if isinstance(dz, float) else dz
-    new = {}
-    for count, one, two in (("n", "zsum", "zsq"), ("ng", "gsum", "gsq"), ("gw", "gwz", "gwz2")):
-        if one in cells.columns:
-            new |= {two: F.col(two) + 2 * dz * F.col(one) + F.col(count) * dz * dz, one: F.col(one) + F.col(count) * dz}
-    new |= {c: F.col(c) + dz for c in ("zmin", "zmax", "zomin", "gmin") if c in cells.columns}
-    return cells.withColumns(new)
+    """Cells as if every point had been higher by ``dz``: first and second moments by the binomial formula."""
+    d = F.lit(dz) if isinstance(dz, float) else dz
+    has = set(cells.columns)
+    moved = {c: F.col(c) + d for c in EXTREMES if c in has}
+    for m0, m1, m2 in MOMENTS:
+        if {m1, m2} & has:
+            k0, k1 = F.col(m0) * d, F.col(m1)
+            moved[m1] = k1 + k0
+            moved[m2] = F.col(m2) + d * (k1 + k1 + k0)
+    return cells.withColumns(moved)
 
 
 def drift(world: DataFrame, sweep: DataFrame, keys: tuple[str, ...] = (), least: int = 3, common: int = 40, weighted: bool = False) -> DataFrame:
@@ -94,11 +101,3 @@ def in_extent(cells: DataFrame, origin: tuple[float, float], tiers: tuple = TIER
 
 def map_stats(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count(F.lit(1)).alias("cells"), F.median("n").alias("median_obs"), F.percentile("n", F.lit(0.9)).alias("p90_obs"), F.avg((F.col("n") == 1).cast("int")).alias("single_share"))
-
-
-def merged(*maps: DataFrame) -> DataFrame:
-    return merge_maps(*maps)
-
-
-def world_cell(res: float) -> tuple[Column, Column]:
-    return cell("wx", res), cell("wy", res)

@@ -47,29 +47,22 @@ def points_in_box(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("id", "frame", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lab") == 6).alias("walkers"))
 
 
-@_add("q_box_corners", f"WITH {fx.boxes_sql()}, k(i, sx, sy) AS (VALUES (0, 1, 1), (1, 1, -1), (2, -1, -1), (3, -1, 1)) SELECT id, i, round(cx + cos(yaw)*l*(sx/2.0::DOUBLE) - sin(yaw)*w*(sy/2.0::DOUBLE), 6) + 0.0 AS x, round(cy + sin(yaw)*l*(sx/2.0::DOUBLE) + cos(yaw)*w*(sy/2.0::DOUBLE), 6) + 0.0 AS y FROM boxes, k")
+@_add("q_box_corners", f"WITH {fx.boxes_sql()}, k(i, sx, sy, sz) AS (VALUES (0, 1, 1, -1), (1, 1, -1, -1), (2, -1, -1, -1), (3, -1, 1, -1), (4, 1, 1, 1), (5, 1, -1, 1), (6, -1, -1, 1), (7, -1, 1, 1)) SELECT id, i, round(cx + cos(yaw)*l*(sx/2.0::DOUBLE) - sin(yaw)*w*(sy/2.0::DOUBLE), 6) + 0.0 AS x, round(cy + sin(yaw)*l*(sx/2.0::DOUBLE) + cos(yaw)*w*(sy/2.0::DOUBLE), 6) + 0.0 AS y, round(cz + h*(sz/2.0::DOUBLE), 6) + 0.0 AS z FROM boxes, k")
 def box_corners(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d)
-    c = b.select("id", F.posexplode(geo.corners({k: F.col(k) for k in evaluate.BOX})).alias("i", "p")).where("i < 4")
-    return c.select("id", "i", (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
+    c = b.select("id", F.posexplode(geo.corners({k: F.col(k) for k in evaluate.BOX})).alias("i", "p"))
+    return c.select("id", "i", *[(F.round(f"p.{k}", 6) + 0.0).alias(k) for k in "xyz"])
 
 
-@_add("q_nn_truth", f"""WITH {PTS}, p AS (SELECT * FROM points WHERE ok % 3 = 0), t AS (SELECT frame, x, y, z, lab, ok*10 + ln AS tid FROM points WHERE ok % 3 = 1),
+_NN = f"""WITH {PTS}, p AS (SELECT * FROM points WHERE ok % 3 = 0), t AS (SELECT frame, x, y, z, lab, ok*10 + ln AS tid FROM points WHERE ok % 3 <> 0),
 j AS (SELECT p.ok, p.pk, p.sk, p.ln, (p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)+(p.z-t.z)*(p.z-t.z) AS d2, t.lab, t.tid FROM p JOIN t ON p.frame = t.frame AND abs(p.x-t.x) <= 0.5 AND abs(p.y-t.y) <= 0.5),
-b AS (SELECT ok, pk, sk, ln, min({{'d2': d2, 'tid': tid, 'lab': lab}}) AS best FROM j WHERE d2 <= 0.25 GROUP BY ALL) SELECT p.ok, p.pk, p.sk, p.ln, best.d2 AS d2, coalesce(best.lab, 7)::INT AS cls FROM p LEFT JOIN b USING (ok, pk, sk, ln)""")
-def nn_truth(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the cloud takes its class from the nearest of another third, within half a metre."""
-    p = fx.points(spark, d)
-    t = p.where("ok % 3 = 1").withColumn("tid", F.col("ok") * 10 + F.col("ln"))
-    out = evaluate.nearest(p.where("ok % 3 = 0"), t, ["frame"], 0.5, ["ok", "pk", "sk", "ln"], ["tid", "lab"])
-    return out.select("ok", "pk", "sk", "ln", "d2", F.coalesce("t_lab", F.lit(7)).alias("cls"))
+b AS (SELECT ok, pk, sk, ln, min({{'d2': d2, 'tid': tid, 'lab': lab}}) AS best FROM j WHERE d2 <= 0.25 GROUP BY ALL) SELECT p.ok, p.pk, p.sk, p.ln, best.d2 AS d2, coalesce(best.lab, 7)::INT AS cls FROM p LEFT JOIN b USING (ok, pk, sk, ln)"""
 
 
-@_add("q_nn_truth_whole", f"""WITH {PTS}, p AS (SELECT * FROM points WHERE ok % 3 = 0), t AS (SELECT frame, x, y, z, lab, ok*10 + ln AS tid FROM points WHERE ok % 3 <> 0),
-j AS (SELECT p.ok, p.pk, p.sk, p.ln, (p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)+(p.z-t.z)*(p.z-t.z) AS d2, t.lab, t.tid FROM p JOIN t ON p.frame = t.frame AND abs(p.x-t.x) <= 0.5 AND abs(p.y-t.y) <= 0.5),
-b AS (SELECT ok, pk, sk, ln, min({{'d2': d2, 'tid': tid, 'lab': lab}}) AS best FROM j WHERE d2 <= 0.25 GROUP BY ALL) SELECT p.ok, p.pk, p.sk, p.ln, best.d2 AS d2, coalesce(best.lab, 7)::INT AS cls FROM p LEFT JOIN b USING (ok, pk, sk, ln)""")
-def nn_truth_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As nn_truth, with all the rest of the cloud as truth."""
+@_add("q_nn_truth", _NN)
+@_add("q_nn_truth_whole", _NN)
+def nn_truth(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the cloud takes its class from the nearest of all the rest, within half a metre."""
     p = fx.points(spark, d)
     t = p.where("ok % 3 <> 0").withColumn("tid", F.col("ok") * 10 + F.col("ln"))
     out = evaluate.nearest(p.where("ok % 3 = 0"), t, ["frame"], 0.5, ["ok", "pk", "sk", "ln"], ["tid", "lab"])

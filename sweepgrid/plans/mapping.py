@@ -192,15 +192,13 @@ def shift_z(spark: SparkSession, d: str) -> DataFrame:
     return worldmap.shift_z(grid.quantise(fx.points(spark, d), 0.4), 0.25)
 
 
-@_add("q_map_merge", f"WITH {PTS} SELECT {_cell('x', 0.2)} AS ix, {_cell('y', 0.2)} AS iy, {_AGG} FROM points WHERE frame < 6 GROUP BY ALL")
-def map_merge(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.points(spark, d)
-    return grid.merge_maps(grid.quantise(p.where("frame < 4"), 0.2), grid.quantise(p.where("frame >= 4 AND frame < 6"), 0.2))
+_MERGED = f"WITH {PTS} SELECT {_cell('x', 0.2)} AS ix, {_cell('y', 0.2)} AS iy, {_AGG} FROM points GROUP BY ALL"
 
 
-@_add("q_map_merge_whole", f"WITH {PTS} SELECT {_cell('x', 0.2)} AS ix, {_cell('y', 0.2)} AS iy, {_AGG} FROM points GROUP BY ALL")
-def map_merge_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As map_merge, over all frames."""
+@_add("q_map_merge", _MERGED)
+@_add("q_map_merge_whole", _MERGED)
+def map_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two maps, of the first sweeps and of the others, merged by cell."""
     p = fx.points(spark, d)
     return grid.merge_maps(grid.quantise(p.where("frame < 4"), 0.2), grid.quantise(p.where("frame >= 4"), 0.2))
 

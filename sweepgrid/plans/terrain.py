@@ -60,7 +60,7 @@ def class_mix_bands(spark: SparkSession, d: str) -> DataFrame:
 @_add("q_payloads")
 def payloads(spark: SparkSession, d: str) -> DataFrame:
     cells = _driven(spark, d).withColumn("frame", F.lit(0))
-    return sinks.payloads(sinks.window(cells, 0.0, 0.0, 0.4, 16.0))
+    return sinks.payloads(sinks.window(cells, 0.0, 0.0, 0.4))
 
 
 @_add("q_traversable_flat", f"""WITH {PTS}, c AS (SELECT {_cell('x', 0.4)} AS ix, {_cell('y', 0.4)} AS iy, {_AGG} FROM points GROUP BY ALL),
@@ -103,8 +103,13 @@ f2 AS (SELECT g.frame, g.ri, g.ai, 1.4826::DOUBLE*median(abs(agl-md)) AS mad FRO
 sectors AS (SELECT p.frame, p.ri, p.ai, sqrt(a*a+b*b) AS slope, CASE WHEN n > 4 THEN mad ELSE 0 END AS rough, CASE WHEN n > 4 THEN a*mx+b*my+c ELSE 0 END AS h, coalesce(n, 0) AS n FROM planes p LEFT JOIN f1 USING (frame, ri, ai) LEFT JOIN f2 USING (frame, ri, ai))"""
 
 
-def _sectors(spark: SparkSession, d: str) -> DataFrame:
+#: All sweeps as one, so that sectors hold enough points to be graded.
+_POOLED = PTS.replace("cast(sk%10 as int) frame", "0 AS frame")
+
+
+def _sectors(spark: SparkSession, d: str, pooled: bool = False) -> DataFrame:
     p = fx.points(spark, d)
+    p = p.withColumn("frame", F.lit(0)) if pooled else p
     planes = drive.sector_planes(p, ("frame",))
     return drive.sector_stats(drive.remove_ground(p, planes, ("frame",)), planes, ("frame",))
 
@@ -129,7 +134,7 @@ scored AS (SELECT *, CASE WHEN valid THEN greatest(rough/0.020::DOUBLE, step/(0.
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return drive.polar_score(drive.sector_step(_sectors(spark, d), ("frame",)))
+    return drive.polar_score(drive.sector_step(_sectors(spark, d, pooled=True), ("frame",)))
 
 
 @_add("q_sector_step", f"WITH {PTS}, {_STEP} SELECT frame, ri, ai, round(step, 7) + 0.0 AS step FROM feat")
@@ -137,19 +142,19 @@ def sector_step(spark: SparkSession, d: str) -> DataFrame:
     return drive.sector_step(_sectors(spark, d), ("frame",)).select("frame", "ri", "ai", (F.round("step", 7) + 0.0).alias("step"))
 
 
-@_add("q_polar_drivability", f"WITH {PTS}, {_STEP} SELECT frame, ri, ai, n, round(score, 7) + 0.0 AS score, votes, CASE WHEN score IS NULL THEN 3 WHEN score <= 1 THEN 0 WHEN score <= 2 THEN 1 ELSE 2 END AS cls FROM scored")
+@_add("q_polar_drivability", f"WITH {_POOLED}, {_STEP} SELECT frame, ri, ai, n, round(score, 7) + 0.0 AS score, votes, CASE WHEN score IS NULL THEN 3 WHEN score <= 1 THEN 0 WHEN score <= 2 THEN 1 ELSE 2 END AS cls FROM scored")
 def polar_drivability(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("frame", "ri", "ai", "n", (F.round("score", 7) + 0.0).alias("score"), "votes", drive.banded(F.col("score")).alias("cls"))
 
 
-@_add("q_polar_smooth", f"""WITH {PTS}, {_STEP}, mv5(dr, da) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (0, 0)),
+@_add("q_polar_smooth", f"""WITH {_POOLED}, {_STEP}, mv5(dr, da) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (0, 0)),
 sm AS (SELECT s.frame, s.ri, s.ai, median(o.score) AS smooth FROM scored s, mv5, scored o WHERE o.frame = s.frame AND o.ri = least(greatest(s.ri + dr, 0), 23) AND o.ai = (s.ai + da + 72) % 72 GROUP BY ALL)
 SELECT s.frame, s.ri, s.ai, CASE WHEN s.score IS NOT NULL THEN round(smooth, 7) + 0.0 END AS smooth FROM scored s LEFT JOIN sm USING (frame, ri, ai)""")
 def polar_smooth(spark: SparkSession, d: str) -> DataFrame:
     return drive.polar_smooth(_scored(spark, d), ("frame",)).select("frame", "ri", "ai", (F.round("smooth", 7) + 0.0).alias("smooth"))
 
 
-@_add("q_kerb", f"WITH {PTS}, {_STEP} SELECT frame, ri, ai, n FROM scored WHERE valid AND round(step, 6) BETWEEN 0.06 AND 0.30 AND rough < 0.12 AND slope_deg < 20.0")
+@_add("q_kerb", f"WITH {_POOLED}, {_STEP} SELECT frame, ri, ai, n FROM scored WHERE valid AND round(step, 6) BETWEEN 0.06 AND 0.30 AND rough < 0.12 AND slope_deg < 20.0")
 def kerb(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).withColumn("step", F.round("step", 6)).where(drive.kerb()).select("frame", "ri", "ai", "n")
 
@@ -167,15 +172,18 @@ def point_class(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("q_ema_tracker", """WITH e AS (SELECT user_id, list({'k': event_id, 'v': CASE WHEN event_id % 7 = 0 THEN NULL ELSE value/100 END} ORDER BY event_id) AS l FROM events GROUP BY user_id),
 f AS (SELECT user_id, unnest(list_transform(range(1, len(l)+1), lambda i: l[i].k)) AS event_id,
- unnest(list_transform(range(1, len(l)+1), lambda i: list_reduce(list_transform(l[1:i], lambda e: e.v), lambda a, b: CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b ELSE 0.4::DOUBLE*b + (1 - 0.4::DOUBLE)*a END))) AS ema FROM e)
-SELECT user_id, event_id, round(ema, 6) AS ema FROM f""")
+ unnest(list_transform(range(1, len(l)+1), lambda i: list_reduce(list_transform(l[1:i], lambda e: e.v), lambda a, b: CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b ELSE 0.4::DOUBLE*b + (1 - 0.4::DOUBLE)*a END))) AS ema FROM e),
+g AS (SELECT *, row_number() OVER w AS rn, coalesce(abs(ema - 1) < 0.15 OR abs(ema - 2) < 0.15, false) AS near, CASE WHEN ema IS NULL THEN 3 WHEN ema <= 1 THEN 0 WHEN ema <= 2 THEN 1 ELSE 2 END AS band FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, round(ema, 6) AS ema, last_value(CASE WHEN rn = 1 OR NOT near THEN band END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cls FROM g""")
 def ema_tracker(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value") / 100).alias("v"))
-    return drive.tracked(e, ["user_id"], "event_id", "v").select("user_id", "event_id", F.round("ema", 6).alias("ema"))
+    return drive.tracked(e, ["user_id"], "event_id", "v").select("user_id", "event_id", F.round("ema", 6).alias("ema"), "cls")
 
 
-@_add("q_cpu_delta", """WITH t AS (SELECT user_id AS pid, event_id, epoch_us(ts)/1e6 AS t, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cpu FROM events)
-SELECT pid, t, round(CASE WHEN t - lag(t) OVER w >= 0.25 THEN greatest(cpu - lag(cpu) OVER w, 0)/(t - lag(t) OVER w) END, 6) AS cores FROM t WINDOW w AS (PARTITION BY pid ORDER BY t)""")
+@_add("q_cpu_delta", """WITH t AS (SELECT user_id AS pid, event_id, epoch_us(ts)/1e6 AS t, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cpu FROM events),
+l AS (SELECT pid, list({'t': t, 'cpu': cpu, 'bt': t, 'bc': cpu, 'v': NULL::DOUBLE} ORDER BY t, cpu) AS l FROM t GROUP BY pid),
+f AS (SELECT pid, unnest(list_transform(range(1, len(l)+1), lambda i: list_reduce(l[1:i], lambda a, b: {'t': b.t, 'cpu': b.cpu, 'bt': CASE WHEN b.t - a.bt >= 0.25 THEN b.t ELSE a.bt END, 'bc': CASE WHEN b.t - a.bt >= 0.25 THEN b.cpu ELSE a.bc END, 'v': CASE WHEN b.t - a.bt >= 0.25 THEN greatest(b.cpu - a.bc, 0)/(b.t - a.bt) END}))) AS s FROM l)
+SELECT pid, s.t AS t, round(s.v, 6) AS cores FROM f""")
 def cpu_delta(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -203,9 +211,15 @@ def half_sweeps(spark: SparkSession, d: str) -> DataFrame:
     return quality.half_sweeps(fx.points(spark, d)).select("frame", F.round("share", 9).alias("share"), "half")
 
 
+_NOISE = """np AS (SELECT frame, x, y, z FROM points WHERE lab IN (0,1) AND x*x+y*y < 64), nm AS (SELECT frame, count(*) n, avg(x) mx, avg(y) my, avg(z) mz FROM np GROUP BY ALL HAVING count(*) >= 50),
+nd AS (SELECT frame, n, x-mx AS x, y-my AS y, z-mz AS z FROM np JOIN nm USING (frame)), ns AS (SELECT frame, first(n) n, sum(x*x) xx, sum(x*y) xy, sum(y*y) yy, sum(x*z) xz, sum(y*z) yz, sum(z*z) zz FROM nd GROUP BY ALL),
+nf AS (SELECT *, (xz*yy-yz*xy)/(xx*yy-xy*xy) AS a, (xx*yz-xy*xz)/(xx*yy-xy*xy) AS b FROM ns), r AS (SELECT sqrt(greatest(zz-a*xz-b*yz, 0)/n) AS residual, degrees(atan(sqrt(a*a+b*b))) AS tilt_deg FROM nf)"""
+
+
 @_add("q_quality_checks", f"""WITH {PTS}, p AS (SELECT frame, count(*) n, avg((y < -1e-3)::INT) s, count(*) FILTER (lab=6) w, avg((lab/7.0::DOUBLE > 0.9)::INT) sat, max(lab) l FROM points GROUP BY ALL),
-a AS (SELECT count(*) frames, count(*) FILTER (s < 0.01 OR s > 0.99) half, sum(w) walkers, avg(n) density, avg(sat) sat, count(*) FILTER (l > 0) labelled FROM p)
-SELECT unnest(['half_sweeps','pedestrians','depressions','grid_labels','metadata','density','intensity']) AS "check", unnest([half, walkers, 4, labelled, 10, floor(density), round_even(sat*1000, 0)]::BIGINT[]) AS value, unnest([half = 0, walkers > 0, true, labelled = frames, frames = 10, density >= 84700, sat < 0.5]) AS ok FROM a""")
+a AS (SELECT count(*) frames, count(*) FILTER (s < 0.01 OR s > 0.99) half, sum(w) walkers, avg(n) density, avg(sat) sat, count(*) FILTER (l > 0) labelled FROM p),
+{_NOISE}, z AS (SELECT median(residual) AS noise FROM r)
+SELECT unnest(['half_sweeps','pedestrians','depressions','grid_labels','metadata','density','intensity','range_noise']) AS "check", unnest([half, walkers, 4, labelled, 10, floor(density), round_even(sat*1000, 0), round_even(noise*1000, 0)]::BIGINT[]) AS value, unnest([half = 0, walkers > 0, true, labelled = frames, frames = 10, density >= 84700, sat < 0.5, coalesce(noise <= 0.04, true)]) AS ok FROM a, z""")
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     meta = spark.range(fx.FRAMES).select(F.col("id").cast("int").alias("frame"), (F.col("id") % 2).alias("inside"), (F.col("id") % 5 / F.lit(4.0)).alias("depth"))
     return quality.capture_checks(fx.points(spark, d), meta, F.col("lab") / F.lit(7.0), F.col("lab") == 6)
@@ -216,9 +230,7 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return sinks.report(quality_checks(spark, d))
 
 
-@_add("q_range_noise", f"""WITH {PTS}, p AS (SELECT frame, x, y, z FROM points WHERE lab IN (0,1) AND x*x+y*y < 64), m AS (SELECT frame, count(*) n, avg(x) mx, avg(y) my, avg(z) mz FROM p GROUP BY ALL HAVING count(*) >= 50),
-d AS (SELECT frame, n, x-mx AS x, y-my AS y, z-mz AS z FROM p JOIN m USING (frame)), s AS (SELECT frame, first(n) n, sum(x*x) xx, sum(x*y) xy, sum(y*y) yy, sum(x*z) xz, sum(y*z) yz, sum(z*z) zz FROM d GROUP BY ALL),
-f AS (SELECT *, (xz*yy-yz*xy)/(xx*yy-xy*xy) AS a, (xx*yz-xy*xz)/(xx*yy-xy*xy) AS b FROM s), r AS (SELECT sqrt(greatest(zz-a*xz-b*yz, 0)/n) AS residual, degrees(atan(sqrt(a*a+b*b))) AS tilt_deg FROM f)
+@_add("q_range_noise", f"""WITH {PTS}, {_NOISE}
 SELECT count(*) AS frames, round(median(residual), 6) AS residual, round(median(tilt_deg), 6) AS tilt_deg FROM r""")
 def range_noise(spark: SparkSession, d: str) -> DataFrame:
     p = fx.points(spark, d).where(geo.is_ground() & (F.col("x") * F.col("x") + F.col("y") * F.col("y") < 64))

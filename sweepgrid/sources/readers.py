@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ def object_labels(spark: SparkSession, path: str) -> DataFrame:
 def calibration(spark: SparkSession, path: str) -> DataFrame:
     """(frame, name, values) of lines ``name: number …``."""
     f = _lines(spark, path).where(F.col("value").contains(":"))
-    parts = F.split(F.trim(F.substring_index("value", ":", -1)), " +")
+    parts = F.split(F.trim(F.regexp_extract("value", ":(.*)$", 1)), " +")
     return f.select("frame", F.trim(F.substring_index("value", ":", 1)).alias("name"), F.transform(parts, lambda v: v.try_cast("double")).alias("values"))
 
 
@@ -108,25 +109,31 @@ def decode_ids(values: np.ndarray) -> np.ndarray:
     return v.astype(np.int64) if as_numbers else v.view(np.uint32).astype(np.int64)
 
 
-def _array(content: bytes) -> np.ndarray:
+def _array(content: bytes, fields: tuple[str, ...] = ()) -> np.ndarray:
+    """The point array of an archive, or its named fields if it is structured; absent fields are left out."""
     with np.load(io.BytesIO(content), allow_pickle=False) as z:
-        name = next((k for k in ("points", "data", "arr_0", "pointcloud", "lidar") if k in z.files), None)
+        name = next((k for k in ("points", "data", "arr_0", "pointcloud", "lidar", "xyz") if k in z.files), None)
         if name is None:
             raise ValueError(f"no point array among {z.files}")
         a = z[name]
     if a.dtype.names:
-        a = np.stack([a[n].astype(np.float64) for n in a.dtype.names], 1)
+        a = np.stack([a[n].astype(np.float64) for n in fields or a.dtype.names if n in a.dtype.names], 1)
     if a.ndim != 2 or a.shape[1] < 3:
         raise ValueError(f"points of shape {a.shape}")
     return a
 
 
-def simulator_scan(spark: SparkSession, path: str, pattern: str = "lidar_*.npz", mirror: bool = True) -> DataFrame:
-    """(frame, pid, x, y, z, intensity), y mirrored to a right-handed frame; intensities above 1 are scaled to it."""
+def simulator_scan(spark: SparkSession, path: str, pattern: str = "lidar_*.npz", mirror: bool = True, intensity: int | str = 3) -> DataFrame:
+    """(frame, pid, x, y, z, intensity), y mirrored to a right-handed frame; intensities above 1 are scaled to it.
+
+    ``intensity`` is a column's place, or the field's name in structured arrays. Arrays of six columns
+    and more are a semantic sensor's, whose fourth is an angle, and have none.
+    """
 
     def decode(b: bytes) -> pd.DataFrame:
-        a = _array(b).astype(np.float64)
-        i = a[:, 3] if a.shape[1] > 3 else np.zeros(len(a))
+        a = _array(b, ("x", "y", "z", intensity if isinstance(intensity, str) else "intensity")).astype(np.float64)
+        at = intensity if isinstance(intensity, int) else 3
+        i = a[:, at] if at < a.shape[1] < 6 else np.zeros(len(a))
         top = i.max(initial=0.0)
         return pd.DataFrame({"x": a[:, 0], "y": -a[:, 1] if mirror else a[:, 1], "z": a[:, 2], "intensity": i / top if top > 1.001 else i})
 
@@ -154,11 +161,41 @@ def road_pixels(pixels: DataFrame) -> DataFrame:
     return pixels.select("frame", "u", "v", (F.col("blue") > 0).alias("road"), (F.col("red") > 0).alias("valid"))
 
 
-def synthetic_scene(spark: SparkSession, n: int = 22_000, block: int = 700, seed: int = 0) -> DataFrame:
-    """Flat ground and five dense blocks, from hashes of the row number, so it is the same on any cluster."""
+def synthetic_scene(spark: SparkSession, n: int = 20_000, objects: int = 6, points: int = 600, seed: int = 0) -> DataFrame:
+    """(x, y, z, obj, pid): rippled ground and a ring of upright boxes on it, from hashes of the row
+    number, so it is the same on any cluster."""
     unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    ground = spark.range(n).select((unit(1) * 80 - 40).alias("x"), (unit(2) * 80 - 40).alias("y"), (unit(3) * 0.08 - 1.94).alias("z"))
-    places = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((12, 3), (18, -4), (25, 6), (-14, 5), (8, -9))])
-    at = F.element_at(places, (F.col("id") / block).cast("int") + 1)
-    blocks = spark.range(5 * block).select((at[0] + unit(4) * 4 - 2).alias("x"), (at[1] + unit(5) * 1.8 - 0.9).alias("y"), (unit(6) * 1.65 - 1.85).alias("z"))
-    return ground.withColumn("obj", F.lit(0)).unionByName(blocks.withColumn("obj", F.lit(1))).withColumn("pid", F.monotonically_increasing_id())
+    x, y = unit(1) * 64 - 32, unit(2) * 64 - 32
+    ground = spark.range(n).select("id", x.alias("x"), y.alias("y"), (F.sin(x / 5) * 0.01 - 1.8 + unit(3) * 0.02).alias("z"), F.lit(0).alias("obj"))
+    which = F.floor(F.col("id") / points)
+    angle, far = which * (2 * math.pi / objects), 10 + 2 * which
+    boxes = spark.range(objects * points).select(
+        (F.col("id") + n).alias("id"), (F.cos(angle) * far + unit(4) * 3 - 1.5).alias("x"), (F.sin(angle) * far + unit(5) * 1.6 - 0.8).alias("y"), (unit(6) * 1.4 - 1.75).alias("z"), (which + 1).cast("int").alias("obj"),
+    )
+    return ground.unionByName(boxes).withColumnRenamed("id", "pid")
+
+
+def split_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """(drive, V2C, R0, P2, width, height) of drives whose calibration lies in two files, one row a drive.
+
+    A drive is the folder that holds ``calib_cam_to_cam.txt``; without the other file V2C is null.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "calib_*_to_cam.txt").text(path)
+    numbers = F.transform(F.split(F.trim(F.regexp_extract("value", "^[^:]*:(.*)$", 1)), " +"), lambda v: v.try_cast("double"))
+    rows = lines.select(F.regexp_extract(F.input_file_name(), "^(.*)/[^/]+$", 1).alias("drive"), F.regexp_extract(F.input_file_name(), "([^/]+)[.]txt$", 1).alias("file"), F.substring_index("value", ":", 1).alias("name"), numbers.alias("v"))
+    take = lambda file, name: F.first(F.when((F.col("file") == file) & (F.col("name") == name), F.col("v")), ignorenulls=True)
+    of = rows.groupBy("drive").agg(take("calib_velo_to_cam", "R").alias("r"), take("calib_velo_to_cam", "T").alias("t"), take("calib_cam_to_cam", "R_rect_00").alias("R0"), take("calib_cam_to_cam", "P_rect_02").alias("P2"), take("calib_cam_to_cam", "S_rect_02").alias("s"), F.max((F.col("file") == "calib_cam_to_cam").cast("int")).alias("known"))
+    rigid = F.concat(*[x for k in range(3) for x in (F.slice("r", 3 * k + 1, 3), F.slice("t", k + 1, 1))])
+    return of.where("known = 1").select("drive", rigid.alias("V2C"), "R0", "P2", F.col("s")[0].cast("int").alias("width"), F.col("s")[1].cast("int").alias("height"))
+
+
+def frame_stems(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
+    """(stem, frame) of the files below a folder, in order of the stems; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    return files.select(stem.alias("stem"), F.regexp_extract(stem, _FRAME, 1).cast("bigint").alias("frame")).orderBy("stem")
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Proposals of all shards that ``sinks.write_shards`` wrote below a folder."""
+    return spark.read.parquet(path).drop("shard")
