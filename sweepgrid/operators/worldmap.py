@@ -51,6 +51,13 @@ def drift(world: DataFrame, sweep: DataFrame, keys: tuple[str, ...] = (), least:
     return out.withColumn("dz", F.when((F.col("common") >= common) & (F.abs("dz") <= MAX_DRIFT), F.col("dz")).otherwise(0.0))
 
 
+def point_drift(world: DataFrame, points: DataFrame, keys: tuple[str, ...] = (), least: int = 3, common: int = 100) -> DataFrame:
+    """As ``drift``, by ground points (keys, ix, iy, z) instead of cells: the median of map height minus point."""
+    side = world.where(F.col("ng") >= least).select("ix", "iy", (F.col("gsum") / F.col("ng")).alias("__have"))
+    out = points.join(side, ["ix", "iy"]).groupBy(*keys).agg(F.median(F.col("__have") - F.col("z")).alias("dz"), F.count(F.lit(1)).alias("common"))
+    return out.withColumn("dz", F.when((F.col("common") >= common) & (F.abs("dz") <= MAX_DRIFT), F.col("dz")).otherwise(0.0))
+
+
 def prune(cells: DataFrame, x: float, y: float, res: float, reach: float = PRUNE) -> DataFrame:
     """Cells whose centre is within ``reach`` of the sensor."""
     dx, dy = (F.col("ix") + 0.5) * res - x, (F.col("iy") + 0.5) * res - y

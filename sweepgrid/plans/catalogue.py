@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.plans import detection, mapping, terrain
+from sweepgrid.plans import detection, labelling, mapping, terrain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return mapping.QUERIES | terrain.QUERIES | detection.QUERIES
+    return mapping.QUERIES | terrain.QUERIES | detection.QUERIES | labelling.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return mapping.ORACLES | terrain.ORACLES | detection.ORACLES
+    return mapping.ORACLES | terrain.ORACLES | detection.ORACLES | labelling.ORACLES
 
 

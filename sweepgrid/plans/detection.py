@@ -101,16 +101,6 @@ def instances(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("cz", "l", "w", "h")])
 
 
-@_add("q_eigenvalues")
-def eigenvalues(spark: SparkSession, d: str) -> DataFrame:
-    """Eigenvalues of each cluster's covariance, in closed form."""
-    e = _embedded(spark, d)
-    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    c = e.groupBy("label").agg(*[F.covar_pop(a, b).alias(a + b) for a, b in pairs])
-    v = geo.eigenvalues3({a + b: F.col(a + b) for a, b in pairs})
-    return c.select("label", *[x.alias(f"l{k}") for k, x in enumerate(v)])
-
-
 @_add("q_canonical", f"""WITH {_E3}, {_YAW}, t AS (SELECT e.id, e.label, e.x, e.y, e.z, yaw, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz FROM e JOIN yaw USING (label) WINDOW w AS (PARTITION BY e.label)),
 r AS (SELECT *, cos(yaw)*dx + sin(yaw)*dy AS u, cos(yaw)*dy - sin(yaw)*dx AS v FROM t), sc AS (SELECT *, greatest(sqrt(max(u*u+v*v+dz*dz) OVER (PARTITION BY label)), 1e-6) AS s FROM r)
 SELECT id, label, round(u/s, 6) + 0.0 AS fx, round(v/s, 6) + 0.0 AS fy, round(dz/s, 6) + 0.0 AS fz, round(sqrt(x*x+y*y+z*z)/50.0, 6) AS frange FROM sc""")

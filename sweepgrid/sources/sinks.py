@@ -35,6 +35,22 @@ def payloads(cells: DataFrame, frame: str = "frame") -> DataFrame:
     return cells.select(frame, "dx", "dy", "mm", "cls").groupBy(frame).applyInPandas(work, f"{frame} {dict(cells.dtypes)[frame]}, n bigint, payload string")
 
 
+def exported(points: DataFrame, order: list[str], frame: str = "frame", scale: float = 50.0) -> DataFrame:
+    """(frame, n, document): a JSON document of each sweep for a viewer, bounded by the sensor or a subsample before.
+
+    Coordinates are 2 cm in short integers, half-way cases to the even one, followed by the classes;
+    both are base64 of little-endian numbers.
+    """
+
+    def work(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(order)
+        xyz = np.clip(np.round(t[["x", "y", "z"]].to_numpy(float) * scale), -32768, 32767).astype("<i2")
+        doc = pd.Series({"frame": int(t[frame].iloc[0]), "n": len(t), "scale": scale, "xyz": base64.b64encode(xyz.tobytes()).decode(), "cls": base64.b64encode(t["lab"].to_numpy().astype("u1").tobytes()).decode()})
+        return pd.DataFrame({frame: [t[frame].iloc[0]], "n": [len(t)], "document": [doc.to_json()]})
+
+    return points.select(frame, *order, "x", "y", "z", "lab").groupBy(frame).applyInPandas(work, f"{frame} {dict(points.dtypes)[frame]}, n bigint, document string")
+
+
 def write_shards(proposals: DataFrame, path: str, frames: int = 500) -> None:
     """Proposals in directories of ``frames`` frames each."""
     proposals.withColumn("shard", F.expr(f"frame div {frames}")).write.mode("overwrite").partitionBy("shard").parquet(path)
