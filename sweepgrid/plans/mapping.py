@@ -246,21 +246,41 @@ def worldmap_seq(spark: SparkSession, d: str) -> DataFrame:
     return world_map(w.select(F.concat(F.lit("m"), (F.col("ok") % 2).cast("string")).alias("map_id"), F.col("frame").cast("bigint").alias("frame"), "x", "y", "wx", "wy", "wz", "lab", "tx", "ty"))
 
 
-@_add("q_stream_map")
-def stream_map(spark: SparkSession, d: str) -> DataFrame:
-    """The same sweeps as a file stream, one micro-batch of all that is there; the last state of each map."""
-    import uuid
+@_add("q_world_plain", f"WITH {PTS}, {fx.poses_sql()}, {_WORLD} SELECT {_cell('wx', 0.4)} AS ix, {_cell('wy', 0.4)} AS iy, least(count(*), 40) AS n, count(*) FILTER (lab IN (0,1)) AS ng, sum(CASE WHEN lab IN (0,1) THEN wz ELSE 0 END) AS gsum, round(sum(CASE WHEN lab IN (0,1) THEN {_W} ELSE 0 END), 3) AS gw, max(wz) AS zmax FROM w WHERE x*x+y*y <= 400 AND lab NOT IN (5, 6) GROUP BY ALL")
+def world_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Sweeps merged one after the other into a table, weighted, without what moves, and with drift left alone."""
+    from sweepgrid.streaming.tables import WorldTable
 
-    from sweepgrid.streaming.world import world_stream
+    world = WorldTable(spark, align=False)
+    world.ingest_all(fx.points(spark, d).withColumn("moving", F.col("lab").isin(5, 6)), fx.poses(spark))
+    return world.read().select("ix", "iy", F.least("n", F.lit(worldmap.OBS_CAP)).alias("n"), "ng", "gsum", F.round("gw", 3).alias("gw"), "zmax")
 
-    name = f"m{uuid.uuid4().hex}"
-    schema = fx.table(spark, d, "lineitem").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
-    li = stream.selectExpr("l_orderkey ok", "l_partkey pk", "l_suppkey sk", "cast(l_linenumber as bigint) ln", "cast(l_quantity as bigint) q")
-    p = li.selectExpr("*", f"{fx._H1} h1", f"{fx._H2} h2", f"{fx._H3} h3").selectExpr(*fx._columns(fx.NEAR))
-    poses = fx.poses(spark)
-    w = geo.transform(p, poses).join(poses.select("frame", "tx", "ty"), "frame")
-    w = w.select(F.concat(F.lit("m"), (F.col("ok") % 2).cast("string")).alias("map_id"), F.col("frame").cast("bigint").alias("frame"), "x", "y", "wx", "wy", "wz", "lab", "tx", "ty")
-    q = world_stream(w).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+
+def _tier_sql(name: str, test: str, x: float, y: float) -> str:
+    return f"""{name}p AS (SELECT lvl, side, z, lab, cast(floor((x-{x})/res) as bigint) + side//2 AS tx, cast(floor((y-{y})/res) as bigint) + side//2 AS ty, round_even({x}/res, 0)::BIGINT AS wx, round_even({y}/res, 0)::BIGINT AS wy FROM points, t WHERE {test}),
+{name} AS (SELECT lvl::INT AS lvl, tx - side//2 + wx AS ix, ty - side//2 + wy AS iy, count(*) AS n, max(z) AS zmax, count(*) FILTER (lab IN (0,1)) AS ng, sum(CASE WHEN lab IN (0,1) THEN z ELSE 0 END) AS gsum FROM {name}p WHERE tx >= 0 AND tx < side AND ty >= 0 AND ty < side GROUP BY ALL)"""
+
+
+@_add("q_tier_ingest", f"WITH {WIDE}, t(lvl, res, side) AS (VALUES {_TIERS}), {_tier_sql('a', 'frame < 5', 0.0, 0.0)}, {_tier_sql('b', 'frame >= 5', 4.0, 2.0)}, u AS (SELECT * FROM a WHERE {_KEEP} UNION ALL SELECT * FROM b) SELECT lvl, ix, iy, sum(n)::BIGINT AS n, max(zmax) AS zmax, sum(ng)::BIGINT AS ng, sum(gsum) AS gsum FROM u GROUP BY ALL")
+def tier_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Two groups of sweeps into tiers that move with the sensor in between."""
+    from sweepgrid.streaming.tables import ingest_tiers
+
+    p = fx.points(spark, d, fx.WIDE)
+    first = ingest_tiers(None, p.where("frame < 5"), (0.0, 0.0))
+    return ingest_tiers(first, p.where("frame >= 5"), (4.0, 2.0), align=False).select("lvl", "ix", "iy", "n", "zmax", "ng", "gsum")
+
+
+@_add("q_stream_map")
+def stream_map(spark: SparkSession, d: str) -> DataFrame:
+    """Sweeps as a stream of files, one a micro-batch, merged into a table with drift taken out; the map after the last."""
+    from sweepgrid.sources.workspace import work_folder
+    from sweepgrid.streaming.tables import WorldTable
+
+    folder, p = work_folder(spark, "sweeps"), fx.points(spark, d).withColumn("moving", F.col("lab").isin(5, 6))
+    for f in range(fx.FRAMES):  # files in the order of their frames
+        p.where(F.col("frame") == f).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    world = WorldTable(spark)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    world.into(stream, fx.poses(spark), f"{folder}/checkpoint").awaitTermination()
+    return world.read().select("ix", "iy", F.least("n", F.lit(worldmap.OBS_CAP)).alias("n"), "ng", "gsum", F.round("gw", 3).alias("gw"), "zmax")

@@ -9,6 +9,7 @@ from sweepgrid.functions import geometry as geo
 from sweepgrid.operators import cluster, drive, evaluate, grid, raster, worldmap
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import readers
+from sweepgrid.streaming.tables import WorldTable, ingest_tiers
 from sweepgrid.streaming.world import world_map, world_stream
 
 SF = "/root/testdata/sf0.001"
@@ -214,20 +215,96 @@ def test_readers(spark, tmp_path):
     assert readers.odometry(spark, str(tmp_path / "poses.txt"), tr).first().tx == 5
     with pytest.raises(ValueError):
         readers.odometry(spark, str(tmp_path / "poses.txt"), None)
-    assert readers.synthetic_scene(spark, 1000, 50).count() == 1250
+    assert readers.synthetic_scene(spark, 1000, 5, 50).count() == 1250
 
 
 def test_stream_equals_batch(spark, tmp_path):
     poses = fx.poses(spark)
     w = geo.transform(fx.points(spark, SF), poses).join(poses.select("frame", "tx", "ty"), "frame")
     w = w.select(F.lit("m").alias("map_id"), F.col("frame").cast("bigint").alias("frame"), "x", "y", "wx", "wy", "wz", "lab", "tx", "ty")
-    for k in range(4):
-        w.where(f"frame = {k}").coalesce(1).write.parquet(str(tmp_path / f"in/frame={k}x"))
+    for k in range(4):  # a file and so a micro-batch for each sweep, in order
+        w.where(f"frame = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     want = world_map(w.where("frame < 4"), common=5)
-    stream = spark.readStream.schema(w.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(w.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     q = world_stream(stream, common=5).writeStream.outputMode("update").format("memory").queryName("world_test").trigger(availableNow=True).start()
     q.awaitTermination()
+    assert len([x for x in q.recentProgress if x["numInputRows"]]) == 4
     last = spark.table("world_test").where("frame = 3")
     assert want.count() > 50
     key = lambda d: sorted((r.ix, r.iy, r.n, r.ng, round(r.gsum, 6)) for r in d.collect())
     assert key(last) == key(want)
+
+
+def test_table_equals_one_task(spark, tmp_path):
+    """The map as a table, sweep by sweep, is the map that one task folds; also as a stream of one sweep a micro-batch."""
+    poses = fx.poses(spark)
+    p = fx.points(spark, SF).where("frame < 4").withColumn("z", F.col("z") + F.col("frame") * 0.125)
+    w = geo.transform(p, poses).join(poses.select("frame", "tx", "ty"), "frame")
+    w = w.select(F.lit("m").alias("map_id"), F.col("frame").cast("bigint").alias("frame"), "x", "y", "wx", "wy", "wz", "lab", "tx", "ty")
+    want = world_map(w, common=5, res=4.0)
+    key = lambda d: sorted((r.ix, r.iy, min(r.n, 40), r.ng, round(r.gsum, 6)) for r in d.collect())
+    table = WorldTable(spark, str(tmp_path / "a"), res=4.0, common=5)
+    table.ingest_all(p, poses)
+    assert key(table.read()) == key(want) and table.version == 4 and any(table.drifts.values())
+    for k in range(4):
+        p.where(f"frame = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streamed = WorldTable(spark, str(tmp_path / "b"), res=4.0, common=5)
+    q = streamed.into(spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), poses, str(tmp_path / "c"))
+    q.awaitTermination()
+    assert streamed.version == 4 and key(streamed.read()) == key(want) and streamed.drifts == table.drifts
+    streamed.reset()
+    assert streamed.read() is None
+    # what moves is held out
+    none = WorldTable(spark, str(tmp_path / "d"))
+    none.ingest_all(p.withColumn("moving", F.lit(True)), poses)
+    assert none.version == 0 or none.read().isEmpty()
+
+
+def test_tiers_take_drift_out(spark):
+    r = np.random.default_rng(3)
+    p = spark.createDataFrame(pd.DataFrame(r.uniform(-8, 8, (4000, 2)), columns=["x", "y"]).assign(z=1.0, lab=0))
+    one = ((0.5, 10.0),)
+    first = ingest_tiers(None, p, (0.0, 0.0), one)
+    both = ingest_tiers(first, p.withColumn("z", F.lit(1.2)), (0.0, 0.0), one)
+    assert both.agg(F.sum("n")).first()[0] == 8000 and both.where("abs(gsum / ng - 1.0) > 1e-9").isEmpty()
+    raw = ingest_tiers(first, p.withColumn("z", F.lit(1.2)), (0.0, 0.0), one, align=False)
+    assert raw.where("abs(gsum / ng - 1.1) > 1e-9").isEmpty()
+
+
+def test_split_calibration_and_named_fields(spark, tmp_path):
+    drive_ = tmp_path / "day/calib"
+    drive_.mkdir(parents=True)
+    (drive_ / "calib_velo_to_cam.txt").write_text("calib_time: 15-Mar-2012 11:37:16\nR: 1 2 3 4 5 6 7 8 9\nT: 10 11 12\n")
+    (drive_ / "calib_cam_to_cam.txt").write_text("R_rect_00: 1 0 0 0 1 0 0 0 1\nP_rect_02: 1 2 3 4 5 6 7 8 9 10 11 12\nS_rect_02: 1242 375\n")
+    c = readers.split_calibration(spark, str(tmp_path / "day")).first()
+    assert c.V2C == [1, 2, 3, 10, 4, 5, 6, 11, 7, 8, 9, 12] and c.P2[-1] == 12 and (c.width, c.height) == (1242, 375)
+    (tmp_path / "gt").mkdir()
+    for n in ("um_000002", "um_000001"):
+        (tmp_path / f"gt/{n}.png").write_bytes(b"x")
+    assert [(r.stem, r.frame) for r in readers.frame_stems(spark, str(tmp_path / "gt")).collect()] == [("um_000001", 1), ("um_000002", 2)]
+    a = np.array([(1.0, 9.0, 2.0, 3.0, 0.5)], [("x", "f8"), ("ring", "f8"), ("y", "f8"), ("z", "f8"), ("intensity", "f8")])
+    (tmp_path / "npz").mkdir()
+    with open(tmp_path / "npz/lidar_000001.npz", "wb") as f:
+        np.savez(f, xyz=a)
+    with open(tmp_path / "npz/lidar_000002.npz", "wb") as f:
+        np.savez(f, points=np.arange(6.0).reshape(1, 6))
+    s = readers.simulator_scan(spark, str(tmp_path / "npz")).orderBy("frame").collect()
+    assert [(r.x, r.y, r.z, r.intensity) for r in s] == [(1.0, -2.0, 3.0, 0.5), (0.0, -1.0, 2.0, 0.0)]
+    from sweepgrid.sources import sinks
+
+    sinks.write_shards(spark.createDataFrame([(1, 2), (700, 3)], "frame INT, n INT"), str(tmp_path / "shards"))
+    assert sorted(tuple(r) for r in readers.read_shards(spark, str(tmp_path / "shards")).collect()) == [(1, 2), (700, 3)]
+
+
+def test_bilinear_keeps_cells_without_a_raster(spark):
+    cells = spark.createDataFrame([(1, 0.1, 0.1), (2, 0.1, 0.1)], "frame INT, cx DOUBLE, cy DOUBLE")
+    r = spark.createDataFrame([(1, x, y, float(x + y)) for x in range(3) for y in range(3)], "frame INT, gx BIGINT, gy BIGINT, height DOUBLE")
+    got = {g.frame: g.height for g in raster.bilinear(cells, r, ["frame"], ["height"]).collect()}
+    assert got[1] == pytest.approx(0.8) and got[2] is None
+
+
+def test_classes_hold_near_their_limits(spark):
+    """A mean within the band of either limit keeps the class before, whatever that is."""
+    values = [0.5, 1.1, 1.2, 1.9, 2.05, 0.95, 0.2, None, 2.6]
+    got = drive.tracked(spark.createDataFrame([(0, k, v) for k, v in enumerate(values)], "s INT, k BIGINT, v DOUBLE"), ["s"], "k", "v", alpha=1.0).orderBy("k").collect()
+    assert [g.cls for g in got] == [0, 0, 1, 1, 1, 1, 0, 0, 2]
