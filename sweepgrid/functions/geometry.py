@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,20 @@ def project(x: Column, y: Column, z: Column, camera: list[list[float]], extrinsi
     return u / safe, v / safe, d
 
 
+def to_lidar(x: Column, y: Column, z: Column, rectify: list[list[float]], extrinsic: list[list[float]]) -> list[Column]:
+    """A rectified camera's coordinates in the sensor's frame: Rᵀ (R0⁻¹ p - t), with [R | t] the extrinsic."""
+    back = np.linalg.inv(np.array(rectify, float))
+    raw = [F.lit(float(r[0])) * x + F.lit(float(r[1])) * y + F.lit(float(r[2])) * z for r in back]
+    d = [v - F.lit(float(row[3])) for v, row in zip(raw, extrinsic)]
+    return [sum((F.lit(float(extrinsic[k][i])) * d[k] for k in range(1, 3)), F.lit(float(extrinsic[0][i])) * d[0]) for i in range(3)]
+
+
+def label_box(rectify: list[list[float]], extrinsic: list[list[float]]) -> dict[str, Column]:
+    """A labelled object (cx, cy, cz: bottom centre in the camera's frame, y down; h, w, l; ry) as a box of the sensor's frame."""
+    x, y, z = to_lidar(F.col("cx"), F.col("cy") - F.col("h") / 2, F.col("cz"), rectify, extrinsic)
+    return {"cx": x, "cy": y, "cz": z, "l": F.col("l"), "w": F.col("w"), "h": F.col("h"), "yaw": wrap(-F.col("ry") - F.lit(math.pi / 2))}
+
+
 def in_box(x: Column, y: Column, z: Column, box: dict[str, Column], margin: float = 0.0) -> Column:
     """Whether a point is in an oriented box grown by ``margin``."""
     dx, dy, c, s = x - box["cx"], y - box["cy"], F.cos(box["yaw"]), F.sin(box["yaw"])

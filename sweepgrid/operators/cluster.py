@@ -62,9 +62,9 @@ def connected_voxels(voxels: DataFrame, keys: list[str]) -> DataFrame:
     smallest label around a voxel, until none changes. Rounds are cut off in the checkpoint folder."""
     spark = voxels.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+        from sweepgrid.sources.workspace import work_folder
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoint"))
     place = ["vx", "vy", "vz"]
     now = voxels.select(*keys, *place).distinct().withColumn("label", F.struct(*place)).checkpoint()
     around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import cluster, evaluate, quality
-from sweepgrid.plans.mapping import PTS, WIDE
+from sweepgrid.operators import cluster, drive, evaluate, quality
+from sweepgrid.plans.mapping import EXTRINSIC, PTS, WIDE
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
 
@@ -69,6 +69,18 @@ def nn_truth(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ok", "pk", "sk", "ln", "d2", F.coalesce("t_lab", F.lit(7)).alias("cls"))
 
 
+_LABELS = "labels3 AS (SELECT p_partkey AS id, (p_partkey % 41 - 20)*1.0::DOUBLE AS cx, 1.5::DOUBLE + (p_partkey % 4)/8.0::DOUBLE AS cy, 5.0::DOUBLE + p_partkey % 37 AS cz, 1.5::DOUBLE AS h, 1.0::DOUBLE + (p_partkey % 4)/4.0::DOUBLE AS w, 2.0::DOUBLE + (p_partkey % 8)/4.0::DOUBLE AS l, (p_partkey % 25 - 12)*0.25::DOUBLE AS ry FROM part)"
+
+
+@_add("q_label_boxes", f"WITH {_LABELS}, c AS (SELECT *, cx + 0.004 AS a, cy - h/2 + 0.076 AS b, cz + 0.27 AS e, -ry - pi()/2 + pi() AS s FROM labels3) SELECT id, round(e, 6) AS cx, round(-a, 6) + 0.0 AS cy, round(-b, 6) + 0.0 AS cz, l, w, h, round(s - floor(s/(2*pi()))*(2*pi()) - pi(), 6) + 0.0 AS yaw FROM c")
+def label_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Objects labelled in the camera's frame as boxes of the sensor's."""
+    k = F.col("p_partkey")
+    o = fx.table(spark, d, "part").select(k.alias("id"), ((k % 41 - 20) * F.lit(1.0)).alias("cx"), (F.lit(1.5) + k % 4 / F.lit(8.0)).alias("cy"), (F.lit(5.0) + k % 37).alias("cz"), F.lit(1.5).alias("h"), (F.lit(1.0) + k % 4 / F.lit(4.0)).alias("w"), (F.lit(2.0) + k % 8 / F.lit(4.0)).alias("l"), ((k % 25 - 12) * F.lit(0.25)).alias("ry"))
+    box = geo.label_box([[1, 0, 0], [0, 1, 0], [0, 0, 1]], EXTRINSIC)
+    return o.select("id", *[e.alias(c) if c in "lwh" else (F.round(e, 6) + 0.0).alias(c) for c, e in box.items()])
+
+
 @_add("q_heading_bins", f"WITH {fx.boxes_sql()}, y AS (SELECT id, yaw - 1.2::DOUBLE + (id % 17) * 0.11::DOUBLE AS a FROM boxes), w AS (SELECT *, 2*pi()/12 AS w FROM y), m AS (SELECT *, a + w/2 - floor((a + w/2)/(2*pi()))*(2*pi()) AS s FROM w), b AS (SELECT *, cast(floor(s/w) as int) % 12 AS bin FROM m), r AS (SELECT *, a - bin*w + pi() AS q FROM b) SELECT id, bin, round((q - floor(q/(2*pi()))*(2*pi()) - pi())/w, 6) + 0.0 AS residual FROM r")
 def heading_bins(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("yaw") - F.lit(1.2) + F.col("id") % 17 * F.lit(0.11)
@@ -207,7 +219,9 @@ def suggest_params(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_points(fx.points(spark, d).where("lab NOT IN (0, 1) AND z > -1.0"), ["frame"], voxel=0.5, least=8)
+    p = fx.points(spark, d)
+    above = drive.remove_ground(p, drive.sector_planes(p, ("frame",)), ("frame",)).where("NOT ground")
+    return cluster.cluster_points(above.select(*p.columns, "agl"), ["frame"], voxel=0.35, least=8)
 
 
 @_add("q_cluster")

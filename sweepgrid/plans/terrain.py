@@ -225,7 +225,7 @@ def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     return quality.capture_checks(fx.points(spark, d), meta, F.col("lab") / F.lit(7.0), F.col("lab") == 6)
 
 
-@_add("q_quality_report")
+@_add("q_quality_report", f"""WITH c AS ({ORACLES['q_quality_checks']}) SELECT count(*) FILTER (NOT ok) AS failed, to_json(list({{'check': "check", 'value': value, 'ok': ok}} ORDER BY "check"))::VARCHAR AS report FROM c""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return sinks.report(quality_checks(spark, d))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,11 +74,15 @@ def camera(calib: DataFrame) -> DataFrame:
     return calib.groupBy("frame").pivot("name", ["P2", "R0_rect", "Tr_velo_to_cam"]).agg(F.first("values"))
 
 
-def odometry(spark: SparkSession, path: str, tr: np.ndarray | None) -> DataFrame:
+def odometry(spark: SparkSession, path: str, tr: np.ndarray | str | None) -> DataFrame:
     """Poses of a trajectory file (12 numbers a line) in the sensor's frame: Tr⁻¹ · T · Tr.
 
-    A trajectory is a small text file of one row a frame and is read on the driver.
+    ``tr`` is the matrix or the path of a calibration file that has it. A trajectory is a small text
+    file of one row a frame and is read on the driver.
     """
+    if isinstance(tr, str):
+        row = calibration(spark, tr).where("name = 'Tr'").select("values").first()
+        tr = None if row is None else np.array(row["values"], float)
     if tr is None:
         raise ValueError("the calibration has no Tr")
     t = np.eye(4)
@@ -151,6 +156,75 @@ def simulator_semantic(spark: SparkSession, path: str, pattern: str = "semantic_
     return _rows(_files(spark, path, pattern), decode, "x double, y double, z double, obj bigint, tag bigint")
 
 
+def simulator_frames(spark: SparkSession, root: str, meta: DataFrame, mount_z: float = 2.4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, semantic points, poses) of the frames of a capture that have a scan of both kinds and a row of metadata.
+
+    Poses are (frame, r00 … r22, tx, ty, tz) of the sensor, ``mount_z`` above the vehicle's origin, with y
+    to the left.
+    """
+    from sweepgrid.functions.geometry import mirrored_rotation
+
+    raw, semantic = simulator_scan(spark, f"{root}/raw_lidar"), simulator_semantic(spark, f"{root}/semantic_lidar")
+    both = raw.select("frame").distinct().join(semantic.select("frame").distinct(), "frame")
+    known = meta.withColumn("frame", F.col("sample_id").cast("bigint")).join(both, "frame", "left_semi")
+    r = mirrored_rotation(F.col("ego_roll"), F.col("ego_pitch"), F.col("ego_yaw"))
+    lift = [row[2] * mount_z for row in r]
+    turn = [c.alias(f"r{i}{j}") for i, row in enumerate(r) for j, c in enumerate(row)]
+    poses = known.select("frame", *turn, (F.col("ego_x") + lift[0]).alias("tx"), (lift[1] - F.col("ego_y")).alias("ty"), (F.col("ego_z") + lift[2]).alias("tz"))
+    keep = lambda d: d.join(known.select("frame"), "frame", "left_semi")
+    return keep(raw), keep(semantic), poses
+
+
+def decode_png(content: bytes) -> np.ndarray:
+    """(rows, columns, channels) of an 8-bit PNG without palette or interlacing."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG image")
+    at, head, data = 8, b"", b""
+    while at < len(content):
+        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + size]
+        head, data = (body, data) if kind == b"IHDR" else (head, data + body) if kind == b"IDAT" else (head, data)
+        at += 12 + size
+    width, height, depth, colour = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9]
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or channels is None or head[12]:
+        raise ValueError("not a plain 8-bit image")
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * channels)
+    out, above = np.zeros((height, width, channels), np.uint8), np.zeros((width, channels), np.int64)
+    for i in range(height):
+        kind, now = int(lines[i, 0]), lines[i, 1:].reshape(width, channels).astype(np.int64)
+        if kind == 1:
+            now = now.cumsum(0)
+        elif kind == 2:
+            now = now + above
+        elif kind in (3, 4):
+            left = corner = np.zeros(channels, np.int64)
+            for j in range(width):
+                up = above[j]
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    near = np.abs(np.stack([p - left, p - up, p - corner]))
+                    guess = np.choose(near.argmin(0), [left, up, corner])
+                now[j] = left = (now[j] + guess) & 255
+                corner = up
+        above = now & 255
+        out[i] = above
+    return out
+
+
+def road_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
+    """(frame, u, v, road, valid) of ground-truth images: blue marks the road, red what is labelled at all."""
+
+    def decode(b: bytes) -> pd.DataFrame:
+        a = decode_png(b)
+        v, u = np.indices(a.shape[:2]).reshape(2, -1)
+        return pd.DataFrame({"u": u, "v": v, "road": (a[:, :, 2] > 0).reshape(-1), "valid": (a[:, :, 0] > 0).reshape(-1)}).astype({"u": "int32", "v": "int32"})
+
+    return _rows(_files(spark, path, pattern), decode, "u int, v int, road boolean, valid boolean").drop("pid")
+
+
 def complete_frames(scans: DataFrame, meta: DataFrame, key: str = "frame") -> DataFrame:
     """Frames that have both a scan and a row of metadata, in order."""
     return scans.select(key).distinct().join(meta.select(F.col("sample_id").cast("bigint").alias(key)), key, "left_semi").orderBy(key)

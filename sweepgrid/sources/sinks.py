@@ -59,7 +59,7 @@ def write_shards(proposals: DataFrame, path: str, frames: int = 500) -> None:
 def report(checks: DataFrame) -> DataFrame:
     """(failed, report): how many checks fail, and all of them as JSON. A capture has a handful."""
     row = F.struct("check", "value", "ok")
-    return checks.agg(F.count_if(~F.col("ok")).alias("failed"), F.to_json(F.sort_array(F.collect_list(row))).alias("report"))
+    return checks.agg(F.count_if(~F.col("ok")).alias("failed"), F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def strided(frames: DataFrame, stride: int, column: str = "frame") -> DataFrame:

@@ -1,5 +1,6 @@
 import io
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -308,3 +309,52 @@ def test_classes_hold_near_their_limits(spark):
     values = [0.5, 1.1, 1.2, 1.9, 2.05, 0.95, 0.2, None, 2.6]
     got = drive.tracked(spark.createDataFrame([(0, k, v) for k, v in enumerate(values)], "s INT, k BIGINT, v DOUBLE"), ["s"], "k", "v", alpha=1.0).orderBy("k").collect()
     assert [g.cls for g in got] == [0, 0, 1, 1, 1, 1, 0, 0, 2]
+
+
+def test_boxes_of_labels_and_back(spark):
+    r = np.random.default_rng(1)
+    a = 0.02
+    rect = [[math.cos(a), -math.sin(a), 0.0], [math.sin(a), math.cos(a), 0.0], [0.0, 0.0, 1.0]]
+    ext = [[0.0, -1.0, 0.0, -0.004], [0.0, 0.0, -1.0, -0.076], [1.0, 0.0, 0.0, -0.27]]
+    p = r.normal(size=(20, 3)) * 10
+    cam = (np.array(rect) @ (np.array(ext)[:, :3] @ p.T + np.array(ext)[:, 3:])).T
+    d = spark.createDataFrame(pd.DataFrame(cam, columns=["x", "y", "z"]))
+    back = d.select(*[c.alias(n) for c, n in zip(geo.to_lidar(F.col("x"), F.col("y"), F.col("z"), rect, ext), "abc")]).toPandas().to_numpy()
+    assert np.allclose(back, p)
+    one = spark.createDataFrame([(1.0, 2.0, 10.0, 1.5, 1.6, 3.9, 0.5)], "cx DOUBLE, cy DOUBLE, cz DOUBLE, h DOUBLE, w DOUBLE, l DOUBLE, ry DOUBLE")
+    b = one.select(*[c.alias(n) for n, c in geo.label_box(np.eye(3).tolist(), ext).items()]).first()
+    assert (b.cx, b.cy, b.cz) == pytest.approx((10.27, -1.004, -1.326)) and b.yaw == pytest.approx(-0.5 - math.pi / 2)
+
+
+def test_images_and_capture_frames(spark, tmp_path):
+    r = np.random.default_rng(6)
+    image = r.integers(0, 256, (9, 7, 3), dtype=np.uint8)
+    image[:3, :, 2] = 0
+    lines, above = b"", np.zeros((7, 3), int)
+    for i, row in enumerate(image.astype(int)):
+        left, corner = np.vstack([np.zeros((1, 3), int), row[:-1]]), np.vstack([np.zeros((1, 3), int), above[:-1]])
+        p = left + above - corner
+        near = np.abs(np.stack([p - left, p - above, p - corner]))
+        guess = [0 * row, left, above, (left + above) // 2, np.choose(near.argmin(0), [left, above, corner])][i % 5]
+        lines += bytes([i % 5]) + ((row - guess) & 255).astype(np.uint8).tobytes()
+        above = row
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (7).to_bytes(4, "big") + (9).to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (readers.decode_png(png) == image).all()
+    (tmp_path / "gt").mkdir()
+    (tmp_path / "gt/um_000003.png").write_bytes(png)
+    px = readers.road_images(spark, str(tmp_path / "gt")).collect()
+    assert len(px) == 63 and all(x.frame == 3 and x.road == (image[x.v, x.u, 2] > 0) and x.valid == (image[x.v, x.u, 0] > 0) for x in px)
+    for folder, name, n in (("raw_lidar", "lidar", (1, 2, 3)), ("semantic_lidar", "semantic", (1, 2))):
+        (tmp_path / folder).mkdir()
+        for k in n:
+            with open(tmp_path / folder / f"{name}_{k:06d}.npz", "wb") as f:
+                np.savez(f, points=np.ones((2, 4 if name == "lidar" else 6), np.float32))
+    meta = spark.createDataFrame([(1.0, 5.0, 6.0, 0.5, 0.0, 0.0, 0.0), (3.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "sample_id DOUBLE, ego_x DOUBLE, ego_y DOUBLE, ego_z DOUBLE, ego_roll DOUBLE, ego_pitch DOUBLE, ego_yaw DOUBLE")
+    raw, semantic, poses = readers.simulator_frames(spark, str(tmp_path), meta)
+    assert {x.frame for x in raw.collect()} == {x.frame for x in semantic.collect()} == {1}
+    q = poses.first()
+    assert (q.frame, q.tx, q.ty, q.tz, q.r00) == (1, 5.0, -6.0, pytest.approx(2.9), 1.0)
+    (tmp_path / "calib.txt").write_text("P0: 1 2 3\nTr: 1 0 0 0 0 1 0 0 0 0 1 0\n")
+    (tmp_path / "poses.txt").write_text("1 0 0 5 0 1 0 6 0 0 1 7\n")
+    assert readers.odometry(spark, str(tmp_path / "poses.txt"), str(tmp_path / "calib.txt")).first().tz == 7
