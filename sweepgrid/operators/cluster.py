@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sweepgrid.operators.order import numbered
+
 VOXEL, MIN_POINTS, MAX_POINTS, SAMPLE = 0.30, 20, 6000, 256
 
 
@@ -117,10 +119,15 @@ def sample(points: DataFrame, keys: list[str], ids: list[str], n: int = SAMPLE,
 
 
 def split_blocks(frames: DataFrame, column: str = "frame", blocks: int = 20, val: float = 0.1, test: float = 0.1, seed: int | None = None) -> DataFrame:
-    """(column, block, split): near-equal runs of frames, dealt whole to train, val and test."""
-    b = frames.select(column).distinct().withColumn("block", F.ntile(blocks).over(Window.orderBy(column)))
+    """(column, block, split): near-equal runs of frames, the first ones longer by one, dealt whole to train, val and test."""
+    b = numbered(frames.select(column).distinct(), [], column)
+    whole = b.agg(F.count(F.lit(1)).alias("__n"))
+    b = b.join(F.broadcast(whole)).withColumns({"__q": F.expr(f"__n div {blocks}"), "__r": F.col("__n") % blocks})  # one row
+    long = F.col("__r") * (F.col("__q") + 1)
+    block = F.when(F.col("rn") <= long, F.expr("(rn - 1) div (__q + 1)") + 1).otherwise(F.col("__r") + F.expr("(rn - 1 - __r * (__q + 1)) div __q") + 1)
+    b = b.select(column, block.cast("int").alias("block"))
     key = F.col("block") if seed is None else F.xxhash64(F.lit(seed), "block")
-    order = b.select("block").distinct().withColumn("__o", F.row_number().over(Window.orderBy(key, "block")))
+    order = b.select("block").distinct().withColumn("__o", F.row_number().over(Window.orderBy(key, "block")))  # a row a block
     nv, nt = round(blocks * val), round(blocks * test)
     split = F.when(F.col("__o") <= nv, "val").when(F.col("__o") <= nv + nt, "test").otherwise("train")
     return b.join(order, "block").select(column, "block", split.alias("split"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweepgrid.operators import order
+
 BOX = ("cx", "cy", "cz", "l", "w", "h", "yaw")
 
 
@@ -120,20 +122,24 @@ def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: f
     return detections.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(work, schema)
 
 
-def pr_curve(scored: DataFrame, keys: list[str], tie: str) -> DataFrame:
-    """(keys, rn, tp, fp, recall, precision) by falling score; ``n_gt`` is the number of boxes to find."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), tie)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = scored.withColumns({"rn": F.row_number().over(w), "ctp": F.sum(F.col("tp").cast("bigint")).over(run)})
+def pr_curve(scored: DataFrame, keys: list[str], tie: str, parts: int = order.PARTS) -> DataFrame:
+    """(keys, rn, tp, fp, recall, precision) by falling score; ``n_gt`` is the number of boxes to find.
+
+    A class may hold most detections, so its order is cut into parts (column ``__part``).
+    """
+    out = order.running(order.in_parts(scored, keys, "score", True, parts), keys, [F.desc_nulls_last("score"), F.col(tie)], {"rn": F.lit(1), "ctp": F.col("tp").cast("bigint")})
     return out.withColumns({"recall": F.try_divide(F.col("ctp"), F.col("n_gt")), "precision": F.col("ctp") / F.col("rn")})
 
 
 def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the monotone envelope of a precision-recall curve, one row a group."""
+    by = [*keys, "__part"]
     # the rows from here on, as a running frame from the other end: a frame that shrinks is evaluated afresh for each row
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = Window.partitionBy(*keys).orderBy("rn")
-    steps = curve.withColumn("env", F.max("precision").over(ahead)).withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
+    ahead = Window.partitionBy(*by).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    best = curve.groupBy(*by).agg(F.max("precision").alias("__m")).withColumn("__later", F.max("__m").over(later)).drop("__m")
+    # recall grows by one box found
+    steps = curve.join(best, by).withColumn("env", F.greatest(F.max("precision").over(ahead), "__later")).withColumn("gain", F.try_divide(F.col("tp").cast("double"), F.col("n_gt")))
     return steps.groupBy(*keys).agg(F.sum(F.col("gain") * F.col("env")).alias("ap"), F.max("recall").alias("max_recall"), F.count(F.lit(1)).alias("detections"))
 
 

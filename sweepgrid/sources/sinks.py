@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepgrid.operators.order import numbered
+
 
 def quantised(value: Column, scale: float = 1000.0, most: int = 32_000) -> Column:
     """Millimetres in a short integer, clamped, towards zero."""
@@ -64,9 +66,7 @@ def report(checks: DataFrame) -> DataFrame:
 
 def strided(frames: DataFrame, stride: int, column: str = "frame") -> DataFrame:
     """Every ``stride``-th frame in order."""
-    from pyspark.sql import Window
-
-    kept = frames.select(column).distinct().withColumn("__r", F.row_number().over(Window.orderBy(column))).where((F.col("__r") - 1) % stride == 0)
+    kept = numbered(frames.select(column).distinct(), [], column).where((F.col("rn") - 1) % stride == 0)
     return frames.join(kept.select(column), column, "left_semi")
 
 

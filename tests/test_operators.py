@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import cluster, drive, evaluate, grid, raster, worldmap
+from sweepgrid.operators import cluster, drive, evaluate, grid, order, raster, worldmap
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import readers
 from sweepgrid.streaming.tables import WorldTable, ingest_tiers
@@ -358,3 +358,17 @@ def test_images_and_capture_frames(spark, tmp_path):
     (tmp_path / "calib.txt").write_text("P0: 1 2 3\nTr: 1 0 0 0 0 1 0 0 0 0 1 0\n")
     (tmp_path / "poses.txt").write_text("1 0 0 5 0 1 0 6 0 0 1 7\n")
     assert readers.odometry(spark, str(tmp_path / "poses.txt"), str(tmp_path / "calib.txt")).first().tz == 7
+
+
+@pytest.mark.parametrize("parts", [2, 64])
+def test_numbers_in_parts(spark, parts):
+    """One key with most rows, ties, nulls in order and key, and parts that stay empty."""
+    r = np.random.default_rng(7)
+    rows = [(0, i, float(r.integers(0, 40))) for i in range(900)] + [(1, 900, 2.0), (None, 901, 1.0), (None, 902, 0.5), (0, 903, None), (0, 904, None)]
+    d = spark.createDataFrame(rows, "k INT, id INT, v DOUBLE")
+    for down in (False, True):
+        got = {x.id: x.rn for x in order.numbered(d, ["k"], "v", [F.col("id")], down, parts).collect()}
+        for key in (0, 1, None):
+            mine = sorted((x for x in rows if x[0] == key), key=lambda x: (x[2] is None, 0 if x[2] is None else -x[2] if down else x[2], x[1]))
+            assert [got[x[1]] for x in mine] == list(range(1, len(mine) + 1))
+    assert order.numbered(d.where("false"), [], "v", parts=parts).collect() == []
