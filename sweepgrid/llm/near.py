@@ -356,7 +356,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = tagged.select(F.col(row).alias("place"), F.col("doc_id").cast("bigint").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
     kept = classes.join(ids, "place").groupBy("class_id").agg(first.alias("best")).select(F.col("best.place").alias("place"))
-    return tagged.join(kept, F.col(f"`{row}`") == F.col("place"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return tagged.join(kept.withColumnRenamed("place", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

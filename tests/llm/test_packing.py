@@ -30,7 +30,7 @@ def test_ids_are_those_of_whole_texts(tokenizer, monkeypatch):
         monkeypatch.undo()
 
 
-def test_pieces_are_a_partition(spark, tokenizer):
+def test_pieces_are_a_partition(spark, tokenizer, monkeypatch):
     rows = list(zip([None, 5, 5, *range(10, 500)], texts(2)))
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id BIGINT, text STRING, part INT").repartition(5)
     got = packing.packed(docs, length=64).collect()
@@ -47,6 +47,10 @@ def test_pieces_are_a_partition(spark, tokenizer):
             current = []
         stream += ids
     assert sorted(docs_seen) == want
+    # offsets joined by key, as beyond the broadcast's bound, place the pieces alike
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", 0)
+    key = lambda rows: sorted((p.sequence_id, p.offset, p.length, p.ids_crc32) for p in rows)
+    assert key(packing.packed(docs, length=64).collect()) == key(got)
     whole = packing.sequences(packing.packed(docs, length=64), 64).collect()
     assert sum(s.n for s in whole) == len(stream)
     assert all(len(s.ids) == 64 or s.n & (s.n - 1) == 0 for s in whole)

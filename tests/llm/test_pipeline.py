@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from sweepgrid.llm import mixing, near, toxicity
 
 
@@ -66,7 +67,41 @@ def test_stages(spark, folder):
 
 
 def test_run(spark, folder):
+    """The whole run packs what the stages, one by one, leave: the same documents with as many tokens."""
     import corpus_pipeline as p
+    from sweepgrid.llm.packing import default_tokenizer
+    from tokenizers import Tokenizer
 
-    got = p.run(spark, folder)
-    assert got.count() > 100 and toxicity.THRESHOLD == 0.3
+    got = [r.asDict() for r in p.run(spark, folder).collect()]
+    left = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/out-mixing").collect()]  # written by test_stages
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    want = sorted((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in left)
+    assert sorted((g["doc_id"], g["doc_tokens"]) for g in got if g["start"] == 0) == want
+    assert sum(g["length"] for g in got) == sum(n for _, n in want)
+    assert toxicity.THRESHOLD == 0.3
+
+
+def test_columns_of_any_name_pass_through(spark, folder):
+    import corpus_pipeline as p
+
+    own = {"__row": 5, "__digest": "d", "__score": 0.5, "__n": 7, "__id": 8, "__taken": 9, "row": 1, "score": 2.0, "digest": "x", "place": 3, "class_id": 4, "label": "l"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 OR doc_id >= 1000")
+    for k, v in own.items():
+        docs = docs.withColumn(k, F.lit(v))
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns[-len(own) :] == list(own), name
+    rows = docs.collect()
+    assert len(rows) > 20 and all(r[k] == v for r in rows for k, v in own.items())
+
+
+def test_empty_and_odd_documents(spark, folder):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.where("false"), folder).collect() == [], name
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "you idiot moron scum", None, "s", 1), (5, "a b c d e f " * 20_000, "en", "s1", 2), (5, "a b c d e f " * 20_000, "en", "s1", 2)], docs.schema)
+    for name, stage in p.STAGES[:-1]:
+        odd = stage(spark, odd, folder)
+    assert [r.doc_id for r in odd.where("doc_id IS NOT NULL").collect()] == [5]
