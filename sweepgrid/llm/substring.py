@@ -18,7 +18,7 @@ sequence of words, also starts in a document with a smaller ``doc_id``.
 No text meets more than the shards that can hold its phrases, so the work grows with the input.
 
 Defined cases: a null text has no words; a null ``doc_id`` is neither smaller nor larger than any
-other, so such rows lose nothing and cost others nothing (and pass the joins by); rows that share a ``doc_id`` are judged
+other, so such rows lose nothing and cost others nothing (they are dealt by their text); rows that share a ``doc_id`` are judged
 each by itself against smaller ids (they are told apart by a 32-bit hash of the text); an empty table gives an empty result. Further columns are left
 alone.
 """
@@ -297,11 +297,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot_docs: int = HOT_DOCS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The key is never null, so that no filter on it keeps the two joins from sharing one exchange
-    # of the texts; the same goes for the anchors, dealt once for their counts and the join.
-    known = rows.where("doc_id IS NOT NULL").select(F.coalesce("doc_id", F.lit(0)).alias("key"), "doc_id", "text")
-    anchors = rows.where("doc_id IS NOT NULL").mapInArrow(_anchors(window, phrase), "h BIGINT NOT NULL, doc_id BIGINT NOT NULL").repartition("h")
+    # of the texts; the same goes for the anchors, dealt once for their counts and the join. Rows
+    # without an id are dealt by their text; what they happen to meet is not theirs and left alone.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text)).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    anchors = rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(window, phrase), "h BIGINT NOT NULL, doc_id BIGINT NOT NULL").repartition("h")
     recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     more = F.least(F.floor(F.log2(F.col("n") / hot_docs) / 2), F.lit(MOST_BITS - SALT_BITS)).cast("int")
     recurring = recurring.select("h", F.when(F.col("n") > hot_docs, SALT_BITS + more).alias("bits"))
@@ -309,12 +310,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         F.collect_set(F.when(F.col("bits").isNull(), F.col("h"))).alias("plain"),
         F.collect_set(F.when(F.col("bits").isNotNull(), F.struct("h", "bits"))).alias("hot"),
     )
-    segments = known.join(of_doc, "key").select("doc_id", F.hash("text").alias("th"), "text", "plain", "hot").mapInArrow(_segments(window, phrase), SEGMENT)
+    segments = rows.join(of_doc, "key").select("doc_id", F.hash("text").alias("th"), "text", "plain", "hot").mapInArrow(_segments(window, phrase), SEGMENT)
     ranges = segments.repartition("key").sortWithinPartitions("key", "phase").mapInArrow(_locate(window, shard_segments), "doc_id BIGINT NOT NULL, th INT, a INT, b INT")
     of_doc = ranges.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("th", "a", "b")).alias("ranges"))
-    joined = known.join(of_doc, "key", "left").select("doc_id", F.hash("text").alias("th"), "text", "ranges")
-    passed = rows.where("doc_id IS NULL").select("doc_id", F.hash("text").alias("th"), "text", F.lit(None).cast("array<struct<th:int,a:int,b:int>>").alias("ranges"))
-    return joined.unionByName(passed).mapInArrow(_cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING")
+    joined = rows.join(of_doc, "key", "left").select("doc_id", F.hash("text").alias("th"), "text", "ranges")
+    return joined.mapInArrow(_cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept_text STRING")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
