@@ -143,7 +143,7 @@ def _items(n: int, trees: int, longest: int):
         for batch in slices(batches):
             flat, size = shingles(Words(batch.column("text")), n)
             labels = [signature(flat[e - s : e], a, b).tobytes() if s else b"" for e, s in zip(np.cumsum(size).tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in set_keys(flat, size)), pa.array(size), pa.array(labels, pa.binary())], names=["doc_id", "set_a", "set_b", "n", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(pa.array(x) for x in set_keys(flat, size)), pa.array(size), pa.array(labels, pa.binary())], names=["doc_id", "mark", "set_a", "set_b", "n", "labels"])
 
     return work
 
@@ -280,10 +280,16 @@ def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, t
     ``n_copies``; ``n_links`` counts the other shingle sets at the threshold or above,
     ``n_linked_rows`` all other rows; ``class_id`` is the smallest id that links lead to.
     """
+    return _joined(docs, n, threshold, trees, longest, recall, block, shortest, room).drop("group", "mark")
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, trees: int, longest: int, recall: float, block: int, shortest: int, room: int) -> DataFrame:
+    """As near_join, with a number of its own for each class (``group``, null without words) and a hash of each text (``mark``)."""
     k = depth(trees, longest, threshold, recall)
     shortest = min(shortest, k)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = materialise(rows.mapInArrow(_items(n, trees, longest), "doc_id BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, labels BINARY"), "items")
+    marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    keyed = materialise(marked.mapInArrow(_items(n, trees, longest), "doc_id BIGINT, mark BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, labels BINARY"), "items")
     full = keyed.where("n > 0 AND doc_id IS NOT NULL")
     sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.min("n").alias("n"), F.min("labels").alias("labels"))
     # the numbers are fixed by writing them
@@ -298,7 +304,7 @@ def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, t
     counts = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
     linked = components(verified.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).join(of.select("id", "rep_id"), "id")
     # a class is named by the smallest document of its items
-    classes = linked.join(linked.groupBy("label").agg(F.min("rep_id").alias("class")), "label").select("id", "class")
+    classes = linked.join(linked.groupBy("label").agg(F.min("rep_id").alias("class")), "label").select("id", "label", "class")
     joined = keyed.drop("labels").join(of.drop("labels", "n"), ["set_a", "set_b"], "left").join(counts, "id", "left").join(classes, "id", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("rep_id"), F.col("doc_id")))
     known = F.col("doc_id").isNotNull() & F.col("rep_id").isNotNull()
@@ -311,6 +317,8 @@ def near_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, t
         count("n_copies", 1).alias("n_copies"),
         mine.alias("rep_id"),
         F.col("n").alias("n_shingles"),
+        F.coalesce("label", "id").alias("group"),
+        "mark",
     )
 
 
@@ -346,17 +354,21 @@ def _pairs(members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` of each class, with all its columns: that with the smallest ``doc_id``, a
-    null one last; rows that share it are told apart by their place in the input. Rows without words
-    have no class and stay."""
+    """One document of each class, with all its columns: that with the smallest ``doc_id``, by a hash of
+    the text where classes hold several texts of that id.
+
+    Rows without words or without an id have no class and stay; rows that repeat both id and text are
+    one document and stay or go together.
+    """
     names = docs.columns
-    (row,) = unused(names, "row")
-    tagged = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
-    classes = near_join(tagged.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("place"), "class_id")
-    ids = tagged.select(F.col(row).alias("place"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
-    kept = classes.join(ids, "place").groupBy("class_id").agg(first.alias("best")).select(F.col("best.place").alias("place"))
-    return tagged.join(kept.withColumnRenamed("place", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    of, mark = unused(names, "kept_of", "kept_mark")
+    all_ = _joined(docs, SHINGLE, THRESHOLD, TREES, LONGEST, RECALL, BLOCK, SHORTEST, ROOM).where("doc_id IS NOT NULL")
+    first = all_.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*")
+    # wordless texts in full: each is a document of its own
+    kept = first.unionByName(all_.where("group IS NULL").select("doc_id", "mark").distinct()).toDF(of, mark)
+    hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = docs.join(kept, (F.col("doc_id").cast("bigint") == F.col(of)) & (hashed == F.col(mark)), "left_semi")
+    return same.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

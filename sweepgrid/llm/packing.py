@@ -32,7 +32,7 @@ from sweepgrid.llm.shared import materialise, table
 from sweepgrid.llm.words import slices
 
 #: Words whose ids a worker keeps; beyond that, only those of the slice at hand stay.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Bytes of text encoded at once: the more, the fewer distinct words are looked up again.
 SLICE_BYTES = 6 << 20
 
@@ -187,7 +187,7 @@ class WordTokenizer:
 
 @cache
 def encoder_of(path: str) -> WordTokenizer:
-    """One encoder for all tasks of a Python worker, so that words it has met stay known."""
+    """One tokenizer for all tasks of a Python worker."""
     return WordTokenizer(path)
 
 
@@ -199,6 +199,8 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = encoder_of(path), TaskContext.get().partitionId(), 0
+        # what it has learned goes with the task: a worker waits for its next one with empty hands
+        encoder._clear()
         for batch in slices(batches, "__text", SLICE_BYTES):
             ids, sizes = encoder.encode(batch.column("__text"), end_id)
             ends = np.cumsum(sizes)
@@ -207,6 +209,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
             columns = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), packed]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carry], names=["part", "begin", "n", "ids", *carry])
             at += int(ends[-1])
+        encoder._clear()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
     return materialise(docs.select(*[F.col(f"`{c}`") for c in carry], text).mapInArrow(work, schema.rstrip(", ")), "tokens")

@@ -67,7 +67,11 @@ def test_odd_rows(spark):
     assert len(got) == 6 and {g.class_id for g in got if g.doc_id == 1} == {1} and {g.class_id for g in got if g.doc_id is None} == {None}
     kept = near.keep_one(spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id BIGINT, text STRING, label STRING, row INT"))
     assert kept.columns == ["doc_id", "text", "label", "row"]
-    assert sorted((r.doc_id or 0, r.text or "", r.row) for r in kept.collect()) == [(0, "", 5), (1, "a b c d e f", 5), (2, "u v w x y z", 5)]
+    one = (1, "a b c d e f", 5)  # twice, the same document
+    assert sorted((r.doc_id or 0, r.text or "", r.row) for r in kept.collect()) == [(0, "", 5), (0, "a b c d e f", 5), one, one, (2, "u v w x y z", 5)]
+    near_ = " ".join(f"w{i}" for i in range(60))
+    pair = near.keep_one(spark.createDataFrame([(1, near_), (1, near_ + " end"), (1, "other words here for one more text"), (7, ""), (8, None)], "doc_id BIGINT, text STRING")).collect()
+    assert sorted((r.doc_id, (r.text or "").startswith("other")) for r in pair) == [(1, False), (1, True), (7, False), (8, False)]
     assert near.near_join(spark.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
     assert near.keep_one(spark.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
 
