@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, lm, media, mixing, near, packing, pii, substring, toxicity, warc
+from sweepgrid.llm import exact_dedup, lm, media, mixing, near, packing, pii, runs, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_near_join": near.op10_near_join,
+        "op13_periodic_runs": runs.op13_periodic_runs,
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_media_columns": media.op2_media_columns,
         "op3_pii_boosted": pii.op3_pii_boosted,
