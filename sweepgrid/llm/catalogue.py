@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepgrid.llm import exact_dedup, lm, media, mixing, near, packing, pii, runs, substring, tokens, toxicity, warc
+from sweepgrid.llm import conversations, exact_dedup, lm, media, mixing, near, packing, pii, runs, substring, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_near_join": near.op10_near_join,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_token_counts": tokens.op12_token_counts,
         "op13_periodic_runs": runs.op13_periodic_runs,
         "op1_substring_dedup": substring.op1_substring_dedup,
