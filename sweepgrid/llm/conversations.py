@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import table
+from sweepgrid.llm.shared import materialise, table
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 _WHITE = " \t\n\x0b\x0c\r"
@@ -234,7 +234,8 @@ def plans(turns: DataFrame) -> DataFrame:
 
         return _packed(rows(), schema)
 
-    told = signs.repartitionByRange(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(segments, ddl)
+    # read by both branches below, so written once
+    told = materialise(signs.repartitionByRange(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(segments, ddl), "conversation-segments")
     edge, width = told.where("border"), 1
     while width < parts:
         width *= _FAN
