@@ -7,6 +7,11 @@ is null, never infinity.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+from operator import mul
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +21,65 @@ RES0, CLASSES = 0.05, 8
 BOUNDS = (10.0, 25.0, 50.0)
 DRIVE_LEVEL = 3
 HIST = [f"h{k}" for k in range(CLASSES)]
-#: How each accumulator combines.
-RULES = {"n": "sum", "zmin": "min", "zmax": "max", "zomin": "min", "zsum": "sum", "zsq": "sum", "ng": "sum", "gmin": "min", "gsum": "sum", "gsq": "sum", "gw": "sum", "gwz": "sum", "gwz2": "sum", **dict.fromkeys(HIST, "sum")}
 AZIMUTHS, RANGE_BINS, RANGE_STEP = 2048, 202, 0.5
 
 
+class Kept(NamedTuple):
+    """What a cell keeps of a family of its points: their sum of (weight times) height to a power, or an extreme height.
+
+    Families are ``all``, ``ground``, ``other`` (not ground), ``weighted`` (ground, by weight) and a class by its number.
+    """
+
+    family: str | int
+    rule: str
+    power: int = 1
+
+
+#: The accumulators of a cell; binning, merging and shifting all follow from these rows.
+FIELDS = {
+    "n": Kept("all", "sum", 0), "zmin": Kept("all", "min"), "zmax": Kept("all", "max"), "zomin": Kept("other", "min"), "zsum": Kept("all", "sum"), "zsq": Kept("all", "sum", 2),
+    "ng": Kept("ground", "sum", 0), "gmin": Kept("ground", "min"), "gsum": Kept("ground", "sum"), "gsq": Kept("ground", "sum", 2),
+    **{h: Kept(k, "sum", 0) for k, h in enumerate(HIST)},
+    "gw": Kept("weighted", "sum", 0), "gwz": Kept("weighted", "sum"), "gwz2": Kept("weighted", "sum", 2),
+}
+
+
 def accumulators(weight: Column | None = None) -> list[Column]:
-    z, g = F.col("z"), is_ground()
-    zero = lambda c: F.sum(F.when(g, c).otherwise(F.lit(0.0)))
-    out = [
-        F.count(F.lit(1)).alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.min(F.when(~g, z)).alias("zomin"),
-        F.sum("z").alias("zsum"), F.sum(z * z).alias("zsq"), F.count_if(g).alias("ng"), F.min(F.when(g, z)).alias("gmin"), zero(z).alias("gsum"), zero(z * z).alias("gsq"),
-        *[F.count_if(F.col("lab") == k).alias(h) for k, h in enumerate(HIST)],
-    ]
-    if weight is not None:
-        out += [zero(weight).alias("gw"), zero(weight * z).alias("gwz"), zero(weight * z * z).alias("gwz2")]
+    z, out = F.col("z"), []
+    for name, kept in FIELDS.items():
+        if kept.family == "weighted" and weight is None:
+            continue
+        member = {"all": F.lit(True), "other": ~is_ground()}.get(kept.family, F.col("lab") == kept.family if isinstance(kept.family, int) else is_ground())
+        if kept.rule != "sum":
+            value = getattr(F, kept.rule)(F.when(member, z))
+        elif kept.power == 0 and kept.family != "weighted":
+            value = F.count_if(member)
+        else:
+            term = weight if kept.family == "weighted" else F.lit(1.0)
+            for _ in range(kept.power):
+                term = term * z
+            value = F.sum(F.when(member, term).otherwise(F.lit(0.0)))
+        out.append(value.alias(name))
     return out
 
 
+def shifted(cells: DataFrame, dz: Column) -> DataFrame:
+    """Cells as if every point had been higher by ``dz``: extremes move, and a sum of powers follows from the
+    lower powers of its family by the binomial theorem."""
+    has = {name: kept for name, kept in FIELDS.items() if name in cells.columns}
+    sums = {(kept.family, kept.power): F.col(name) for name, kept in has.items() if kept.rule == "sum"}
+    moved = {}
+    for name, kept in has.items():
+        if kept.rule != "sum":
+            moved[name] = F.col(name) + dz
+        elif kept.power:
+            total = F.col(name)
+            for j in range(kept.power - 1, -1, -1):
+                total = total + sums[kept.family, j] * reduce(mul, [dz] * (kept.power - j)) * comb(kept.power, j)
+            moved[name] = total
+    return cells.withColumns(moved)
+
+
 def quantise(points: DataFrame, res: float = RES0, keys: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
     """Cells (keys, ix, iy) with their accumulators."""
     return points.withColumns({"ix": cell("x", res), "iy": cell("y", res)}).groupBy(*keys, "ix", "iy").agg(*accumulators(weight))
@@ -41,8 +87,8 @@ def quantise(points: DataFrame, res: float = RES0, keys: tuple[str, ...] = (), w
 
 def merge(cells: DataFrame, keys: list[str | Column], fields: list[str] | None = None) -> DataFrame:
     """Combine cells that share ``keys``; ``fields`` keeps only those accumulators."""
-    have = [f for f in RULES if f in cells.columns and (fields is None or f in fields)]
-    return cells.groupBy(*keys).agg(*[getattr(F, RULES[f])(f).alias(f) for f in have])
+    have = [f for f in FIELDS if f in cells.columns and (fields is None or f in fields)]
+    return cells.groupBy(*keys).agg(*[getattr(F, FIELDS[f].rule)(f).alias(f) for f in have])
 
 
 def merge_maps(*maps: DataFrame, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:

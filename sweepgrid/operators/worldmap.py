@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepgrid.functions.geometry import is_ground, point_weight
-from sweepgrid.operators.grid import quantise
+from sweepgrid.operators.grid import quantise, shifted
 
 TRUST, PRUNE, MAX_DRIFT, OBS_CAP = 20.0, 90.0, 0.50, 40
 #: (resolution, half extent) of each tier in metres.
@@ -24,22 +24,9 @@ def weight(range_dims: int = 2) -> Column:
     return point_weight(r2 if range_dims == 2 else r2 + F.col("z") * F.col("z"))
 
 
-#: Accumulated moments: how many (or how much weight), sum, sum of squares; and the extremes.
-MOMENTS = (("n", "zsum", "zsq"), ("ng", "gsum", "gsq"), ("gw", "gwz", "gwz2"))
-EXTREMES = ("zmin", "zmax", "zomin", "gmin")
-
-
 def shift_z(cells: DataFrame, dz: Column | float) -> DataFrame:
-    """Cells as if every point had been higher by ``dz``: first and second moments by the binomial formula."""
-    d = F.lit(dz) if isinstance(dz, float) else dz
-    has = set(cells.columns)
-    moved = {c: F.col(c) + d for c in EXTREMES if c in has}
-    for m0, m1, m2 in MOMENTS:
-        if {m1, m2} & has:
-            k0, k1 = F.col(m0) * d, F.col(m1)
-            moved[m1] = k1 + k0
-            moved[m2] = F.col(m2) + d * (k1 + k1 + k0)
-    return cells.withColumns(moved)
+    """Cells as if every point had been higher by ``dz``."""
+    return shifted(cells, F.lit(dz) if isinstance(dz, float) else dz)
 
 
 def drift(world: DataFrame, sweep: DataFrame, keys: tuple[str, ...] = (), least: int = 3, common: int = 40, weighted: bool = False) -> DataFrame:
@@ -58,10 +45,15 @@ def point_drift(world: DataFrame, points: DataFrame, keys: tuple[str, ...] = (),
     return out.withColumn("dz", F.when((F.col("common") >= common) & (F.abs("dz") <= MAX_DRIFT), F.col("dz")).otherwise(0.0))
 
 
+def within(x: float, y: float, res: float, reach: float = PRUNE) -> Column:
+    """Whether a cell's centre is within ``reach`` of the sensor."""
+    dx, dy = (F.col("ix") + 0.5) * res - x, (F.col("iy") + 0.5) * res - y
+    return dx * dx + dy * dy <= reach * reach
+
+
 def prune(cells: DataFrame, x: float, y: float, res: float, reach: float = PRUNE) -> DataFrame:
     """Cells whose centre is within ``reach`` of the sensor."""
-    dx, dy = (F.col("ix") + 0.5) * res - x, (F.col("iy") + 0.5) * res - y
-    return cells.where(dx * dx + dy * dy <= reach * reach)
+    return cells.where(within(x, y, res, reach))
 
 
 def near(cells: DataFrame, x: float, y: float, res: float, radius: float) -> DataFrame:

@@ -60,7 +60,6 @@ b AS (SELECT ok, pk, sk, ln, min({{'d2': d2, 'tid': tid, 'lab': lab}}) AS best F
 
 
 @_add("q_nn_truth", _NN)
-@_add("q_nn_truth_whole", _NN)
 def nn_truth(spark: SparkSession, d: str) -> DataFrame:
     """A third of the cloud takes its class from the nearest of all the rest, within half a metre."""
     p = fx.points(spark, d)

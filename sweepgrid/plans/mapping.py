@@ -196,7 +196,6 @@ _MERGED = f"WITH {PTS} SELECT {_cell('x', 0.2)} AS ix, {_cell('y', 0.2)} AS iy,
 
 
 @_add("q_map_merge", _MERGED)
-@_add("q_map_merge_whole", _MERGED)
 def map_merge(spark: SparkSession, d: str) -> DataFrame:
     """Two maps, of the first sweeps and of the others, merged by cell."""
     p = fx.points(spark, d)
@@ -237,16 +236,60 @@ def frame_mirror(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.max("y").alias("my"))
 
 
-@_add("q_worldmap_seq")
+def _chain(rows: str, frames: int, res: float, common: int, tag: str = "") -> str:
+    """CTEs of a map over frames in order: the drift of each against the map before, then the map with it taken out.
+
+    A fixed chain of steps, as the drift of a sweep needs the map of all sweeps before it."""
+    out = [f"{tag}s AS MATERIALIZED (SELECT frame, {_cell('wx', res)} AS ix, {_cell('wy', res)} AS iy, count(*) AS n, count(*) FILTER (lab IN (0,1)) AS ng, sum(CASE WHEN lab IN (0,1) THEN wz ELSE 0 END) AS gsum, sum(CASE WHEN lab IN (0,1) THEN wz*wz ELSE 0 END) AS gsq, max(wz) AS zmax, min(CASE WHEN lab IN (0,1) THEN wz END) AS gmin FROM w WHERE x*x+y*y <= 400 AND lab NOT IN (5, 6) AND {rows} GROUP BY ALL)"]
+    for k in range(frames):
+        drift = f"SELECT CASE WHEN count(*) >= {common} AND abs(median(m.gsum/m.ng - s.gsum/s.ng)) <= 0.5 THEN median(m.gsum/m.ng - s.gsum/s.ng) ELSE 0.0 END AS dz FROM {tag}m{k - 1} m JOIN {tag}s s USING (ix, iy) WHERE s.frame = {k} AND m.ng >= 3 AND s.ng >= 3"
+        out.append(f"{tag}d{k} AS MATERIALIZED ({drift if k else 'SELECT 0.0::DOUBLE AS dz'})")
+        moved = f"SELECT ix, iy, n, ng, gsum + ng*dz AS gsum, gsq + 2*gsum*dz + ng*(dz*dz) AS gsq, zmax + dz AS zmax, gmin + dz AS gmin FROM {tag}s, {tag}d{k} WHERE frame = {k}"
+        both = f"SELECT ix, iy, n, ng, gsum, gsq, zmax, gmin FROM {tag}m{k - 1} UNION ALL {moved}" if k else moved
+        near = f"pow((ix+0.5)*{res}::DOUBLE - {k * 0.5}, 2) + pow((iy+0.5)*{res}::DOUBLE - {k * 0.25}, 2) <= 8100"
+        out.append(f"{tag}m{k} AS MATERIALIZED (SELECT ix, iy, sum(n)::BIGINT AS n, sum(ng)::BIGINT AS ng, sum(gsum) AS gsum, sum(gsq) AS gsq, max(zmax) AS zmax, min(gmin) AS gmin FROM ({both}) WHERE {near} GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+#: Sweeps whose heights creep up by a 32nd of a metre each, so that there is drift to take out.
+_CREEP = _WORLD.replace("r20*x + r21*y + r22*z + tz AS wz", "r20*x + r21*y + r22*z + tz + p.frame/32.0::DOUBLE AS wz")
+
+
+def _creeping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fx.points(spark, d).withColumn("moving", F.col("lab").isin(5, 6)), fx.poses(spark).withColumn("tz", F.col("tz") + F.col("frame") / F.lit(32.0))
+
+
+_SEQ = "SELECT '{m}' AS map_id, ix, iy, least(n, 40) AS n, ng, round(gsum, 6) AS gsum, round(gsq, 6) AS gsq, round(zmax, 6) AS zmax, round(gmin, 6) AS gmin FROM {m}m9"
+
+
+@_add("q_worldmap_seq", f"WITH {PTS}, {fx.poses_sql()}, {_CREEP}, {_chain('ok % 2 = 0', 10, 1.6, 40, 'm0')}, {_chain('ok % 2 = 1', 10, 1.6, 40, 'm1')} {_SEQ.format(m='m0')} UNION ALL {_SEQ.format(m='m1')}")
 def worldmap_seq(spark: SparkSession, d: str) -> DataFrame:
-    """The sequential map with drift compensation; two maps, of even and odd orders."""
-    from sweepgrid.streaming.world import world_map
+    """Sweeps one after the other with drift taken out, in cells of 1.6 m; two maps, of even and odd orders."""
+    from sweepgrid.streaming.tables import WorldTable
 
-    w = geo.transform(fx.points(spark, d), fx.poses(spark)).join(fx.poses(spark).select("frame", "tx", "ty"), "frame")
-    return world_map(w.select(F.concat(F.lit("m"), (F.col("ok") % 2).cast("string")).alias("map_id"), F.col("frame").cast("bigint").alias("frame"), "x", "y", "wx", "wy", "wz", "lab", "tx", "ty"))
+    points, poses = _creeping(spark, d)
+    out = []
+    for k in (0, 1):
+        world = WorldTable(spark, res=1.6)
+        world.ingest_all(points.where(F.col("ok") % 2 == k), poses)
+        out.append(world.read().select(F.lit(f"m{k}").alias("map_id"), "ix", "iy", F.least("n", F.lit(worldmap.OBS_CAP)).alias("n"), "ng", *[F.round(c, 6).alias(c) for c in ("gsum", "gsq", "zmax", "gmin")]))
+    return out[0].unionByName(out[1])
 
 
-@_add("q_world_plain", f"WITH {PTS}, {fx.poses_sql()}, {_WORLD} SELECT {_cell('wx', 0.4)} AS ix, {_cell('wy', 0.4)} AS iy, least(count(*), 40) AS n, count(*) FILTER (lab IN (0,1)) AS ng, sum(CASE WHEN lab IN (0,1) THEN wz ELSE 0 END) AS gsum, round(sum(CASE WHEN lab IN (0,1) THEN {_W} ELSE 0 END), 3) AS gw, max(wz) AS zmax FROM w WHERE x*x+y*y <= 400 AND lab NOT IN (5, 6) GROUP BY ALL")
+@_add("q_world_drift", f"WITH {PTS}, {fx.poses_sql()}, {_CREEP}, {_chain('true', 10, 1.6, 40)} " + " UNION ALL ".join(f"SELECT {k} AS frame, round(dz, 9) + 0.0 AS dz FROM d{k}" for k in range(10)))
+def world_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The drift that was taken out of each sweep, against the map of the sweeps before it."""
+    from sweepgrid.streaming.tables import WorldTable
+
+    world = WorldTable(spark, res=1.6)
+    world.ingest_all(*_creeping(spark, d))
+    return spark.createDataFrame(sorted(world.drifts.items()), "frame INT, dz DOUBLE").select("frame", (F.round("dz", 9) + 0.0).alias("dz"))
+
+
+_PLAIN = f"WITH {PTS}, {fx.poses_sql()}, {_WORLD} SELECT {_cell('wx', 0.4)} AS ix, {_cell('wy', 0.4)} AS iy, least(count(*), 40) AS n, count(*) FILTER (lab IN (0,1)) AS ng, sum(CASE WHEN lab IN (0,1) THEN wz ELSE 0 END) AS gsum, round(sum(CASE WHEN lab IN (0,1) THEN {_W} ELSE 0 END), 3) AS gw, max(wz) AS zmax FROM w WHERE x*x+y*y <= 400 AND lab NOT IN (5, 6) GROUP BY ALL"
+
+
+@_add("q_world_plain", _PLAIN)
 def world_plain(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps merged one after the other into a table, weighted, without what moves, and with drift left alone."""
     from sweepgrid.streaming.tables import WorldTable
@@ -284,3 +327,19 @@ def stream_map(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     world.into(stream, fx.poses(spark), f"{folder}/checkpoint").awaitTermination()
     return world.read().select("ix", "iy", F.least("n", F.lit(worldmap.OBS_CAP)).alias("n"), "ng", "gsum", F.round("gw", 3).alias("gw"), "zmax")
+
+
+@_add("q_keyed_map", _PLAIN)
+def keyed_map(spark: SparkSession, d: str) -> DataFrame:
+    """Sweeps as a stream, a file a micro-batch, into tiles of keyed state; the map as it lies in the state store."""
+    from sweepgrid.sources.workspace import work_folder
+    from sweepgrid.streaming import keyed
+
+    folder, p = work_folder(spark, "keyed"), fx.points(spark, d).withColumn("map_id", F.lit("m")).withColumn("moving", F.col("lab").isin(5, 6))
+    sweeps = spark.range(fx.FRAMES).select(F.lit("m").alias("map_id"), F.col("id").cast("int").alias("frame"))
+    for low, high in ((0, 4), (4, fx.FRAMES)):
+        for name, rows in (("points", p), ("sweeps", sweeps)):
+            rows.where(F.col("frame").between(low, high - 1)).repartition(1).write.mode("append").parquet(f"{folder}/{name}")
+    streams = [spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}") for name, rows in (("points", p), ("sweeps", sweeps))]
+    keyed.KeyedMap().start(*streams, keyed.with_previous(fx.poses(spark)), f"{folder}/checkpoint").awaitTermination()
+    return keyed.read(spark, f"{folder}/checkpoint").select("ix", "iy", F.least("n", F.lit(worldmap.OBS_CAP)).alias("n"), "ng", "gsum", F.round("gw", 3).alias("gw"), "zmax")

@@ -1,17 +1,21 @@
 """The world map as a table of cells: each sweep is merged by Spark jobs, whatever the map's size.
 
 Sweeps follow one another, as the drift of each is measured against the map so far; within a sweep all
-work is joins and aggregations over cells. Every sweep writes a version of the map and reads the one
-before, so a repeated micro-batch gives the same version again, and a lost executor costs its tasks only.
+work is joins and aggregations over the cells of the tiles it touches. A version counts once its manifest is
+written, so a killed run resumes at the last one, and a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
 from sweepgrid.operators import grid, worldmap
+from sweepgrid.sources.store import Store
 from sweepgrid.sources.workspace import work_folder
 
 POSITION = ("tx", "ty", "tz")
@@ -29,55 +33,134 @@ def sweep_cells(points: DataFrame, poses: DataFrame, res: float = 0.4, trust: fl
 
 
 class WorldTable:
-    """Versions of one map in a folder: ``version-<k>`` holds the cells after k sweeps."""
+    """One map in a folder, which any process can go on with.
+
+    ``cells/<name>/tile=…`` hold cells by square tiles; ``manifest/<version>`` names the files of each tile and is
+    written last, so a version is there whole or not at all. A sweep reads and rewrites the tiles that it touches.
+    Other tiles keep their files: those out of reach leave the manifest, and those that the circle of ``reach`` cuts
+    keep the sensor's position, by which their cells are filtered when they are read. Sweeps of a named source, and
+    micro-batches of a stream, are counted in the manifest with the cells, so what is repeated after a failure begins
+    with the first sweep that is not in the map. The ``kept`` last versions stay readable.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, res: float = 0.4, reach: float = worldmap.PRUNE, common: int = 40, align: bool = True, weighted: bool = False):
-        self.spark, self.folder = spark, folder or work_folder(spark, "world")
-        self.res, self.reach, self.common, self.align, self.weighted = res, reach, common, align, weighted
-        self.version, self.drifts = 0, {}
-        self.empty: DataFrame | None = None
+    def __init__(self, spark: SparkSession, folder: str | None = None, res: float = 0.4, reach: float = worldmap.PRUNE, common: int = 40, align: bool = True, weighted: bool = False, tile: int = 64, kept: int = 3):
+        self.spark, self.folder = spark, (folder or work_folder(spark, "world")).rstrip("/")
+        self.res, self.reach, self.common, self.align, self.weighted, self.tile, self.kept = res, reach, common, align, weighted, tile, kept
+        self.store, self.drifts = Store(spark, self.folder), {}
+
+    @property
+    def state(self) -> dict:
+        """The last committed version: its number, ``tiles`` (files and positions yet to prune by), ``sources``."""
+        names = [n for n in self.store.names("manifest") if not n.startswith(".")]
+        return self.store.get(f"manifest/{names[-1]}") if names else {"version": 0, "tiles": {}, "sources": {}}
+
+    @property
+    def version(self) -> int:
+        return self.state["version"]
+
+    def _tiles(self, tiles: dict) -> DataFrame | None:
+        """Cells of tiles of a manifest, without those that a sensor's position since has left out of reach."""
+        if not tiles:
+            return None
+        out = self.spark.read.parquet(*[f"{self.folder}/cells/{t['files']}/tile={k}" for k, t in sorted(tiles.items())])
+        cuts: dict[tuple, list[str]] = {}
+        for k, t in tiles.items():
+            for x, y in t["cuts"]:
+                cuts.setdefault((x, y), []).append(k)
+        for (x, y), names in cuts.items():
+            out = out.where(~tile_of(self.tile).isin(names) | worldmap.within(x, y, self.res, self.reach))
+        return out
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/version-{self.version}") if self.version else None
+        """The cells of the map; None while it is empty."""
+        return self._tiles(self.state["tiles"])
 
     def reset(self) -> None:
-        """The next sweep begins a new map."""
-        self.version, self.drifts = 0, {}
-
-    def ingest(self, cells: DataFrame, x: float, y: float, frame: int | None = None) -> float:
-        """Merge one sweep's cells, seen from (x, y); the drift that was taken out of it."""
-        world, dz = self.read(), 0.0
+        """The next sweep begins a new map; its sources begin again too."""
+        now = self.state
+        self._commit({"version": now["version"] + 1, "tiles": {}, "sources": {}})
+        self.drifts = {}
+
+    def _commit(self, state: dict) -> None:
+        self.store.put(f"manifest/{state['version']:012d}", state)
+        old = [n for n in self.store.names("manifest") if not n.startswith(".")][: -self.kept]
+        if old:
+            held = {t["files"] for n in self.store.names("manifest")[-self.kept :] for t in self.store.get(f"manifest/{n}")["tiles"].values()}
+            for name in old:
+                for files in {t["files"] for t in self.store.get(f"manifest/{name}")["tiles"].values()} - held:
+                    self.store.remove(f"cells/{files}")
+                self.store.remove(f"manifest/{name}")
+
+    def ingest(self, cells: DataFrame, x: float, y: float, frame: int | None = None, touched: list[str] | None = None, source: str | None = None, batch: int = 0) -> float:
+        """Merge one sweep's cells, seen from (x, y), and commit; the drift that was taken out of it.
+
+        ``touched`` names the cells' tiles where the caller knows them; the sensor bounds their number.
+        """
+        now = self.state
+        if touched is None:
+            touched = [r[0] for r in cells.select(tile_of(self.tile)).distinct().collect()]
+        # a tile that was cut often is rewritten, so that it is read by a filter of bounded size
+        touched = set(touched) | {k for k, t in now["tiles"].items() if len(t["cuts"]) >= 64}
+        world, dz = self._tiles({k: t for k, t in now["tiles"].items() if k in touched}), 0.0
         if world is not None and self.align:
             row = worldmap.drift(world, cells, common=self.common, weighted=self.weighted).first()
             dz = float(row["dz"]) if row is not None and row["dz"] is not None else 0.0
         new = worldmap.shift_z(cells, dz) if dz else cells
         merged = new if world is None else grid.merge_maps(world, new.select(*world.columns))
-        kept = worldmap.prune(merged, x, y, self.res, self.reach)
-        kept.write.mode("overwrite").parquet(f"{self.folder}/version-{self.version + 1}")
-        self.version += 1
+        name = f"{now['version'] + 1:012d}-{uuid.uuid4().hex[:12]}"
+        kept = worldmap.prune(merged, x, y, self.res, self.reach).withColumn("tile", tile_of(self.tile))
+        kept.repartition("tile").write.partitionBy("tile").parquet(f"{self.folder}/cells/{name}")
+        tiles = {n.removeprefix("tile="): {"files": name, "cuts": []} for n in self.store.names(f"cells/{name}") if n.startswith("tile=")}
+        for k, t in now["tiles"].items():
+            if k not in touched and (place := _place(k, x, y, self.res * self.tile, self.reach)) != "out":
+                tiles[k] = {"files": t["files"], "cuts": t["cuts"] + ([[x, y]] if place == "cut" else [])}
+        sources = now["sources"] | ({source: [batch, frame]} if source is not None else {})
+        self._commit({"version": now["version"] + 1, "tiles": tiles, "sources": sources, "frame": frame, "dz": dz})
         self.drifts[frame] = dz
         return dz
 
-    def ingest_all(self, points: DataFrame, poses: DataFrame) -> None:
-        """All sweeps in order of their frames. The loop is over sweeps, each of which needs the map after the one before."""
-        where = {r["frame"]: (r["tx"], r["ty"]) for r in poses.select("frame", "tx", "ty").collect()}
-        frames = sorted(r["frame"] for r in points.select("frame").distinct().collect())
-        cells = sweep_cells(points, poses, self.res)
-        for f in frames:
-            self.ingest(cells.where(F.col("frame") == f).drop("frame"), *where[f], f)
+    def ingest_all(self, points: DataFrame, poses: DataFrame, source: str | None = None, batch: int = 0) -> None:
+        """All sweeps in order of their frames, each after the map of the one before. Points are read once.
+
+        Sweeps of a named ``source`` that the map has already are left out.
+        """
+        done = self.state["sources"].get(source) if source is not None else None
+        if done is not None and done[0] > batch:
+            return
+        if done is not None and done[0] == batch:
+            points = points.where(F.col("frame") > done[1])
+        staged = f"staged/{uuid.uuid4().hex}"
+        cells = sweep_cells(points, poses, self.res).withColumn("tile", tile_of(self.tile))
+        cells.repartition("frame").write.partitionBy("frame", "tile").parquet(f"{self.folder}/{staged}")
+        sweeps = points.select("frame").distinct().join(poses.select("frame", "tx", "ty"), "frame").orderBy("frame")
+        for f, x, y in sweeps.toLocalIterator():
+            touched = [n.removeprefix("tile=") for n in self.store.names(f"{staged}/frame={f}") if n.startswith("tile=")]
+            if touched:
+                self.ingest(self.spark.read.parquet(f"{self.folder}/{staged}/frame={f}").drop("tile"), x, y, f, touched, source, batch)
+        self.store.remove(staged)
 
     def into(self, stream: DataFrame, poses: DataFrame, checkpoint: str, **trigger):
-        """A streaming query that merges each micro-batch's sweeps; a repeated batch begins at the version it began at before."""
-        begun: dict[int, tuple[int, dict]] = {}
+        """A streaming query that merges each micro-batch's sweeps, each once, also after a failure amid a batch."""
 
         def step(batch: DataFrame, batch_id: int) -> None:
-            self.version, drifts = begun.setdefault(batch_id, (self.version, dict(self.drifts)))
-            self.drifts = dict(drifts)
-            self.ingest_all(batch, poses)
+            self.ingest_all(batch, poses, checkpoint, batch_id)
 
         return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def tile_of(side: int) -> Column:
+    """The name of the square tile that holds a cell (ix, iy)."""
+    return F.concat_ws("_", *[F.floor(F.col(c) / side).cast("string") for c in ("ix", "iy")])
+
+
+def _place(tile: str, x: float, y: float, side: float, reach: float) -> str:
+    """Whether a circle of ``reach`` around (x, y) leaves a tile ``out``, holds it whole (``in``) or cuts it (``cut``)."""
+    ends = [(int(k) * side - c, int(k) * side + side - c) for k, c in zip(tile.split("_"), (x, y))]
+    far = math.hypot(*[max(abs(a), abs(b)) for a, b in ends])
+    near = math.hypot(*[0.0 if a <= 0.0 <= b else min(abs(a), abs(b)) for a, b in ends])
+    return "out" if near > reach else "in" if far <= reach else "cut"
+
+
 def ingest_tiers(world: DataFrame | None, points: DataFrame, position: tuple[float, float], tiers: tuple = worldmap.TIERS, align: bool = True) -> DataFrame:
     """Tier cells (lvl, ix, iy, …) after one more sweep of world points (x, y, z, lab) seen from ``position``.
 

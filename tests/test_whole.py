@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_map_merge_holds_every_point(spark):
-    merged = catalogue.queries()["q_map_merge_whole"](spark, SF)
+    merged = catalogue.queries()["q_map_merge"](spark, SF)
     assert merged.agg(F.sum("n")).first()[0] == fx.points(spark, SF).count()
 
 
@@ -26,5 +26,5 @@ def test_nn_truth_reads_every_row(spark):
         best = min((n for n in near if n[0] <= 0.25), default=(None, None, 7, None))
         want[p["ok"], p["pk"], p["sk"], p["ln"]] = best[2]
         thirds.add(best[3])
-    got = {(r.ok, r.pk, r.sk, r.ln): r.cls for r in catalogue.queries()["q_nn_truth_whole"](spark, SF).collect()}
+    got = {(r.ok, r.pk, r.sk, r.ln): r.cls for r in catalogue.queries()["q_nn_truth"](spark, SF).collect()}
     assert got == want and thirds >= {1, 2}
