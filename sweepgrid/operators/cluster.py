@@ -43,7 +43,7 @@ def voxel_labels(ix: np.ndarray, iy: np.ndarray, iz: np.ndarray) -> np.ndarray:
 def cluster_points(points: DataFrame, keys: list[str], voxel: float = VOXEL, least: int = MIN_POINTS, most: int = MAX_POINTS) -> DataFrame:
     """Adds cluster_id per sweep: 0, 1, … by the clusters' smallest voxel; null outside the size limits.
 
-    A sweep is the unit of work and bounded by the sensor.
+    A sweep is the unit of work and bounded by the sensor; ``tiles.clusters`` does the same to clouds of any size.
     """
     schema = T.StructType([*points.schema.fields, T.StructField("cluster_id", T.LongType())])
 
@@ -59,26 +59,6 @@ def cluster_points(points: DataFrame, keys: list[str], voxel: float = VOXEL, lea
     return points.groupBy(*keys).applyInPandas(work, schema)
 
 
-def connected_voxels(voxels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, vx, vy, vz, label) of any number of voxels, without gathering a sweep: each round takes the
-    smallest label around a voxel, until none changes. Rounds are cut off in the checkpoint folder."""
-    spark = voxels.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        from sweepgrid.sources.workspace import work_folder
-
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoint"))
-    place = ["vx", "vy", "vz"]
-    now = voxels.select(*keys, *place).distinct().withColumn("label", F.struct(*place)).checkpoint()
-    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    while True:
-        sent = now.withColumn("m", F.explode(around)).select(*keys, *[(F.col(c) + F.col(f"m.{c[1]}")).alias(c) for c in place], F.col("label").alias("near"))
-        least = sent.groupBy(*keys, *place).agg(F.min("near").alias("near"))
-        after = now.join(least, [*keys, *place]).select(*keys, *place, F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")).checkpoint()
-        if after.where("changed").isEmpty():
-            return after.drop("changed")
-        now = after.drop("changed")
-
-
 def pca_yaw(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, mx, my, yaw): direction of most spread in plan, pointing where the third moment is positive."""
     mean = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepgrid.operators import order
+from sweepgrid.sources.workspace import written
 
 BOX = ("cx", "cy", "cz", "l", "w", "h", "yaw")
 
@@ -83,43 +85,64 @@ def with_iou(pairs: DataFrame, left: str = "a_", right: str = "b_") -> DataFrame
     return near.unionByName(flagged.where("NOT __near OR __near IS NULL").withColumn("iou", F.lit(0.0))).drop("__near")
 
 
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], columns: dict[str, Column], bucket: float = 8.0) -> DataFrame:
+    """(keys, columns, iou) of pairs of boxes of ``a`` and ``b`` with equal keys that can overlap; ``columns`` are of a_… and b_….
+
+    Boxes are dealt to the buckets of their extent; a pair that shares several comes from the first one.
+    """
+    sides = []
+    for s, boxes in (("a_", a), ("b_", b)):
+        reach = F.sqrt(F.col("l") * F.col("l") + F.col("w") * F.col("w")) / 2
+        span = {f"__{c}": F.sequence(F.floor((F.col(f"c{c}") - reach) / bucket), F.floor((F.col(f"c{c}") + reach) / bucket)) for c in "xy"}
+        own = boxes.withColumns(span).select(*keys, *[F.col(c).alias(s + c) for c in boxes.columns if c not in keys], *[F.col(c)[0].alias(f"{s}{c}") for c in span], "__x", "__y")
+        sides.append(own.withColumn("__x", F.explode("__x")).withColumn("__y", F.explode("__y")))
+    pairs = sides[0].join(sides[1], [*keys, "__x", "__y"])
+    first = [F.col(f"__{c}") == F.greatest(f"a___{c}", f"b___{c}") for c in "xy"]
+    return with_iou(pairs.where(first[0] & first[1]).select(*keys, *[e.alias(n) for n, e in columns.items()], *[s + c for s in ("a_", "b_") for c in BOX])).select(*keys, *columns, "iou")
+
+
 def nms(detections: DataFrame, keys: list[str], threshold: float, id_column: str = "id") -> DataFrame:
-    """Per group, best score first, drop boxes that overlap a kept one by the threshold or more; 0 keeps all."""
+    """Per group, best score first, drop boxes that overlap a kept one by the threshold or more; 0 keeps all.
+
+    Rounds on the graph of overlaps give the greedy order's result: a box that no open box beats stays, and what it
+    overlaps goes; so a group of any size is never one task. Ties go to the smaller id, null scores come last.
+    """
     if threshold <= 0:
         return detections
-
-    def work(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["score", id_column], ascending=[False, True])
-        b, alive, keep = t[list(BOX)].to_numpy(float), np.ones(len(t), bool), []
-        for i in range(len(t)):
-            if alive[i]:
-                keep.append(i)
-                rest = np.flatnonzero(alive[i + 1 :]) + i + 1
-                alive[rest] = box_iou(np.repeat(b[i : i + 1], len(rest), 0), b[rest]) < threshold
-        return t.iloc[keep]
-
-    return detections.groupBy(*keys).applyInPandas(work, detections.schema)
+    node, score = [*keys, id_column], [F.coalesce(f"{s}score", F.lit(float("-inf"))) for s in ("a_", "b_")]
+    i, j = F.col(f"a_{id_column}"), F.col(f"b_{id_column}")
+    narrow = detections.select(*node, "score", *BOX)
+    pairs = overlaps(narrow, narrow, keys, {"better": i, "worse": j, "ahead": (score[0] > score[1]) | (score[0] == score[1]) & (i < j)})
+    edges, gone = written(pairs.where(F.col("ahead") & (F.col("iou") >= threshold)).select(*keys, "better", "worse"), "overlaps"), []
+    while not edges.isEmpty():
+        ends = {c: edges.select(*keys, F.col(c).alias(id_column)).distinct() for c in ("better", "worse")}
+        stay = ends["better"].join(ends["worse"], node, "left_anti").withColumnRenamed(id_column, "better")
+        gone.append(written(edges.join(stay, [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias(id_column)).distinct(), "suppressed"))
+        for c in ("better", "worse"):
+            edges = edges.join(gone[-1].withColumnRenamed(id_column, c), [*keys, c], "left_anti")
+        edges = written(edges, "overlaps")
+    for g in gone:
+        detections = detections.join(g, node, "left_anti")
+    return detections
 
 
 def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """(keys, id, score, tp, gt_id, iou): best score first, each detection takes its best free box of the group."""
-    schema = ", ".join(f"{k} {dict(detections.dtypes)[k]}" for k in keys) + ", id bigint, score double, tp boolean, gt_id bigint, iou double"
-
-    def work(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["score", "id"], ascending=[False, True])
-        g = g.sort_values("id")
-        box, gid, free, rows = g[list(BOX)].to_numpy(float), g["id"].to_numpy(), np.ones(len(g), bool), []
-        for r in d.itertuples(index=False):
-            own = np.array([[getattr(r, c) for c in BOX]], float)
-            iou = np.where(free, box_iou(np.repeat(own, len(g), 0), box), -1.0) if len(g) else np.zeros(0)
-            j = int(iou.argmax()) if len(iou) else -1
-            hit = j >= 0 and iou[j] >= threshold
-            if hit:
-                free[j] = False
-            rows.append((*(getattr(r, k) for k in keys), r.id, r.score, hit, gid[j] if hit else None, float(iou[j]) if hit else None))
-        return pd.DataFrame(rows, columns=[*keys, "id", "score", "tp", "gt_id", "iou"]).astype({"gt_id": "Int64"})
-
-    return detections.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(work, schema)
+    """(keys, id, score, tp, gt_id, iou): best score first, each detection takes its best free box of the group.
+
+    By rounds: a detection whose best free box no better open detection could take has it for certain. The best open one
+    always is such a detection, mostly many are. Ties go to the smaller id, of detections and of boxes.
+    """
+    pairs = overlaps(detections.select(*keys, "id", "score", *BOX), truth.select(*keys, "id", *BOX), keys, {"id": F.col("a_id"), "score": F.coalesce("a_score", F.lit(float("-inf"))), "gt_id": F.col("b_id")})
+    pairs, won = written(pairs.where(F.col("iou") >= threshold), "candidates"), []
+    while not pairs.isEmpty():
+        best = pairs.groupBy(*keys, "id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("best")).select(*keys, "id", (-F.col("best.g")).alias("gt_id"), "best.iou")
+        first = pairs.groupBy(*keys, "gt_id").agg(F.max(F.struct("score", (-F.col("id")).alias("d"))).alias("first")).select(*keys, "gt_id", (-F.col("first.d")).alias("id"))
+        won.append(written(best.join(first, [*keys, "id", "gt_id"]).select(*keys, "id", "gt_id", "iou"), "matches"))
+        for c in ("id", "gt_id"):
+            pairs = pairs.join(won[-1].select(*keys, c), [*keys, c], "left_anti")
+        pairs = written(pairs, "candidates")
+    taken = detections.sparkSession.createDataFrame([], f"{''.join(f'`{k}` {dict(detections.dtypes)[k]}, ' for k in keys)}id bigint, gt_id bigint, iou double") if not won else reduce(DataFrame.unionByName, won)
+    return detections.select(*keys, "id", "score").join(taken, [*keys, "id"], "left").select(*keys, "id", "score", F.col("gt_id").isNotNull().alias("tp"), "gt_id", "iou")
 
 
 def pr_curve(scored: DataFrame, keys: list[str], tie: str, parts: int = order.PARTS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import cluster, drive, evaluate, quality
+from sweepgrid.operators import cluster, drive, evaluate, quality, tiles
 from sweepgrid.plans.mapping import EXTRINSIC, PTS, WIDE
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
@@ -259,6 +259,43 @@ def match(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.match(fx.detections(spark, d), fx.boxes(spark, d), ["frame", "cls"], 0.3)
 
 
+#: Detections and boxes without headings, whose overlap SQL can tell, in lists by group.
+_LEVEL = """d AS (SELECT id, frame, cls, cx + (id % 5 - 2)/8.0::DOUBLE AS cx, cy + (id % 3 - 1)/4.0::DOUBLE AS cy, cz, l, w, h, (cast(floor(part.p_retailprice*100) as bigint) * 7919 % 1000) / 1000.0::DOUBLE AS score FROM boxes JOIN part ON p_partkey = id WHERE id % 7 <> 0)"""
+_OVER = "greatest(least({a}.cx+{a}.l/2, {b}.cx+{b}.l/2) - greatest({a}.cx-{a}.l/2, {b}.cx-{b}.l/2), 0) * greatest(least({a}.cy+{a}.w/2, {b}.cy+{b}.w/2) - greatest({a}.cy-{a}.w/2, {b}.cy-{b}.w/2), 0) * greatest(least({a}.cz+{a}.h/2, {b}.cz+{b}.h/2) - greatest({a}.cz-{a}.h/2, {b}.cz-{b}.h/2), 0)"
+_IOU = f"{_OVER} / ({{a}}.l*{{a}}.w*{{a}}.h + {{b}}.l*{{b}}.w*{{b}}.h - {_OVER})"
+
+
+def _level(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fx.detections(spark, d).withColumn("yaw", F.lit(0.0)), fx.boxes(spark, d).withColumn("yaw", F.lit(0.0))
+
+
+@_add("q_nms_level", f"""WITH {fx.boxes_sql()}, {_LEVEL}, g AS (SELECT frame, list([d] ORDER BY score DESC, id) AS bs FROM d GROUP BY ALL),
+r AS (SELECT list_reduce(bs, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: {_IOU.format(a='k', b='x[1]')} >= 0.05)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM g), u AS (SELECT unnest(kept) AS k FROM r) SELECT k.frame AS frame, k.id AS id, k.score AS score FROM u""")
+def nms_level(spark: SparkSession, d: str) -> DataFrame:
+    """Suppression of boxes without headings, of all classes of a sweep."""
+    return evaluate.nms(_level(spark, d)[0], ["frame"], 0.05).select("frame", "id", "score")
+
+
+@_add("q_match_level", f"""WITH {fx.boxes_sql()}, {_LEVEL}, p AS (SELECT d.frame, d.id, d.score, b.id AS gt_id, {_IOU.format(a='d', b='b')} AS iou FROM d JOIN boxes b USING (frame)),
+c AS (SELECT frame, id, any_value(score) AS score, list({{'gt': gt_id, 'iou': iou}} ORDER BY iou DESC, gt_id) AS cands FROM p WHERE iou >= 0.05 GROUP BY ALL),
+g AS (SELECT frame, list([{{'id': id, 'gt': 0::BIGINT, 'iou': 0::DOUBLE, 'cands': cands}}] ORDER BY score DESC, id) AS ds FROM c GROUP BY ALL),
+r AS (SELECT frame, list_reduce(ds, lambda taken, x: list_concat(taken, list_transform(list_filter(x[1].cands, lambda k: NOT list_contains(list_transform(taken, lambda t: t.gt), k.gt))[1:1], lambda k: {{'id': x[1].id, 'gt': k.gt, 'iou': k.iou, 'cands': x[1].cands}})), [{{'id': -1::BIGINT, 'gt': -1::BIGINT, 'iou': 0::DOUBLE, 'cands': ds[1][1].cands}}]) AS taken FROM g),
+u AS (SELECT frame, unnest(taken) AS t FROM r) SELECT d.frame, d.id, d.score, u.t.gt IS NOT NULL AS tp, u.t.gt AS gt_id, round(u.t.iou, 6) AS iou FROM d LEFT JOIN u ON u.frame = d.frame AND u.t.id = d.id""")
+def match_level(spark: SparkSession, d: str) -> DataFrame:
+    """Matching of boxes without headings, of all classes of a sweep."""
+    return evaluate.match(*_level(spark, d), ["frame"], 0.05).select("frame", "id", "score", "tp", "gt_id", F.round("iou", 6).alias("iou"))
+
+
+@_add("q_cluster_cloud", f"""WITH RECURSIVE {PTS}, v AS (SELECT DISTINCT cast(floor(x/0.25::DOUBLE) as bigint) AS vx, cast(floor(y/0.25::DOUBLE) as bigint) AS vy, cast(floor(z/0.25::DOUBLE) as bigint) AS vz FROM points WHERE lab = 6),
+near AS MATERIALIZED (SELECT a.vx, a.vy, a.vz, b.vx AS ux, b.vy AS uy, b.vz AS uz FROM v a, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz) JOIN v b ON b.vx = a.vx + dx AND b.vy = a.vy + dy AND b.vz = a.vz + dz),
+seen AS (SELECT vx, vy, vz, vx AS lx, vy AS ly, vz AS lz FROM v UNION SELECT n.ux, n.uy, n.uz, s.lx, s.ly, s.lz FROM seen s JOIN near n USING (vx, vy, vz) WHERE (n.ux, n.uy, n.uz) > (s.lx, s.ly, s.lz))
+SELECT vx, vy, vz, min({{'x': lx, 'y': ly, 'z': lz}}).x AS lx, min({{'x': lx, 'y': ly, 'z': lz}}).y AS ly, min({{'x': lx, 'y': ly, 'z': lz}}).z AS lz FROM seen GROUP BY ALL""")
+def cluster_cloud(spark: SparkSession, d: str) -> DataFrame:
+    """Voxels of walkers of all sweeps in one cloud, by components across tiles of four metres."""
+    p = fx.points(spark, d).where("lab = 6").select(*[F.floor(F.col(c) / F.lit(0.25)).alias(f"v{c}") for c in "xyz"])
+    return tiles.connected(p, [], 16)
+
+
 @_add("q_detection_ap")
 def detection_ap(spark: SparkSession, d: str) -> DataFrame:
     """Average precision of matched detections by class."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import cluster, drive, evaluate, grid, order, raster, worldmap
+from sweepgrid.operators import cluster, drive, evaluate, grid, order, raster, tiles, worldmap
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import readers
 from sweepgrid.streaming.tables import ingest_tiers
@@ -98,7 +98,7 @@ def test_clusters(spark):
     sizes = pd.Series([label[tuple(map(int, b))] for b in v]).value_counts()
     assert sorted(g["count"] for g in got if g.cluster_id is not None) == sorted(int(s) for s in sizes if s >= 20)
     vox = spark.createDataFrame([(0, *map(int, b)) for b in v], "frame int, vx bigint, vy bigint, vz bigint")
-    spread = {(g.vx, g.vy, g.vz): tuple(g.label) for g in cluster.connected_voxels(vox, ["frame"]).collect()}
+    spread = {(g.vx, g.vy, g.vz): (g.lx, g.ly, g.lz) for g in tiles.connected(vox, ["frame"], 4).collect()}
     assert spread == label
 
 
