@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import evaluate, frames, labelling, worldmap
+from sweepgrid.operators import cluster, evaluate, frames, labelling, worldmap
 from sweepgrid.plans.detection import _E3, _PRED, _embedded
 from sweepgrid.plans.mapping import CAMERA, EXTRINSIC, PTS, WIDE, _cell
 from sweepgrid.sources import fixtures as fx
@@ -272,3 +272,36 @@ def label_points(spark: SparkSession, d: str) -> DataFrame:
 def export(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps as documents of 2 cm integers and classes."""
     return sinks.exported(fx.points(spark, d), ["ok", "pk", "sk", "ln"]).select("frame", "n", F.length("document").alias("characters"))
+
+
+@_add("q_scan_ranges", f"WITH {WIDE} SELECT frame::BIGINT AS frame, lab::BIGINT AS semantic, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(sk)::BIGINT AS instances FROM points WHERE frame >= 3 AND frame <> 7 AND x > -20 GROUP BY ALL")
+def scan_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """All sweeps written as scans with labels, and read back by ranges of records, from the files of the wanted frames."""
+    from sweepgrid.sources import scans
+    from sweepgrid.sources.workspace import work_folder
+
+    folder, p = work_folder(spark, "scans"), fx.points(spark, d, fx.WIDE)
+    scans.write_scans(p.select("frame", F.xxhash64("ok", "pk", "sk", "ln").alias("pid"), "x", "y", "z", F.col("lab").alias("semantic"), F.col("sk").alias("instance")), folder)
+    back = spark.read.format("scans").options(path=folder, labels=folder, rangebytes=1 << 20).load()
+    back = back.where("frame >= 3 AND frame <= 9 AND x > -20").where("frame <> 7")
+    return back.groupBy("frame", "semantic").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], F.sum("instance").alias("instances"))
+
+
+@_add("q_proposal_shards", f"""WITH {PTS}, c AS (SELECT frame, {_cell('x', 4.0)} AS ix, {_cell('y', 4.0)} AS iy, count(*) AS n, sum(x) AS sx, sum(z) AS sz FROM points GROUP BY ALL) SELECT frame, ix::FLOAT AS cx, iy::FLOAT AS cy, n::FLOAT AS n, 256 AS samples, CASE WHEN n = 256 THEN sz END AS exact FROM c""")
+def proposal_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Points by patches of four metres as proposals of 256 samples, written as shards of three frames and read back."""
+    from sweepgrid.sources import scans
+    from sweepgrid.sources.workspace import work_folder
+
+    p = fx.points(spark, d).withColumns({"ix": geo.cell("x", 4.0), "iy": geo.cell("y", 4.0)})
+    n = p.groupBy("frame", "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
+    s = cluster.sample(p, ["frame", "ix", "iy"], ["ok", "pk", "sk", "ln"], scans.SAMPLE)
+    row = F.array("x", "y", "z", F.lit(0.0), F.col("z") + 1.75)
+    lists = s.groupBy("frame", "ix", "iy").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("slot", row.alias("p")))), lambda e: e["p"])).alias("points"))
+    zero = {c: F.lit(0.0) for c in scans.META}
+    out = lists.join(n, ["frame", "ix", "iy"]).select("frame", "points", *[e.alias(c) for c, e in (zero | {"cx": F.col("ix"), "cy": F.col("iy"), "n": F.col("n")}).items()])
+    folder = work_folder(spark, "shards")
+    scans.write_proposals(out, folder, 3)
+    back = spark.read.format("proposal_shards").option("path", folder).load()
+    z = F.aggregate(F.filter("points", lambda v, k: k % scans.CHANNELS == 2), F.lit(0.0), lambda a, v: a + v)
+    return back.select("frame", "cx", "cy", "n", (F.size("points") / scans.CHANNELS).cast("int").alias("samples"), F.when(F.col("n") == scans.SAMPLE, z).alias("exact"))
