@@ -1,4 +1,4 @@
-"""Drivability of map cells and of polar sectors, ground planes by sector, and score tracking."""
+"""Drivability of map cells and of polar sectors, and score tracking."""
 
 from __future__ import annotations
 
@@ -60,39 +60,9 @@ def sector(x: str = "x", y: str = "y") -> tuple[Column, Column]:
     return F.when(near, ring), F.when(near, azimuth)
 
 
-def sector_planes(points: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("ok", "pk", "sk", "ln"), sensor_h: float = 1.73, seed_share: float = 0.25, max_slope: float = 0.35) -> DataFrame:
-    """One plane per sector with 8 points or more: (keys, ri, ai, a, b, c), z = a x + b y + c.
-
-    The lowest quarter of a sector's points are its seeds, half of them if they span over a metre.
-    The fit is the closed form of the normal equations, so it is two aggregations and a window.
-    """
-    ri, ai = sector()
-    p = points.withColumns({"ri": ri, "ai": ai}).where("ri IS NOT NULL")
-    group = Window.partitionBy(*keys, "ri", "ai")
-    p = p.withColumns({"__r": F.row_number().over(group.orderBy("z", *order)), "__n": F.count(F.lit(1)).over(group)}).where("__n >= 8")
-    seeds = F.greatest(F.floor(F.col("__n") * seed_share), F.lit(3)).cast("int")
-    p = p.withColumn("__s", seeds)
-    spread = F.max(F.when(F.col("__r") == F.col("__s"), F.col("z"))).over(group) - F.min("z").over(group)
-    p = p.withColumn("__s", F.when(spread > 1.0, F.greatest(F.expr("__s div 2").cast("int"), F.lit(3))).otherwise(F.col("__s"))).where("__r <= __s")
-    sums = {"n": F.count(F.lit(1)).cast("double")} | {k: F.sum(e) for k, e in {"sx": F.col("x"), "sy": F.col("y"), "sz": F.col("z"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y"), "xz": F.col("x") * F.col("z"), "yz": F.col("y") * F.col("z")}.items()}
-    s = p.groupBy(*keys, "ri", "ai").agg(*[e.alias(k) for k, e in sums.items()])
-    c = {k: F.col(k) for k in sums}
-    det = c["xx"] * (c["yy"] * c["n"] - c["sy"] * c["sy"]) - c["xy"] * (c["xy"] * c["n"] - c["sy"] * c["sx"]) + c["sx"] * (c["xy"] * c["sy"] - c["yy"] * c["sx"])
-    da = c["xz"] * (c["yy"] * c["n"] - c["sy"] * c["sy"]) - c["xy"] * (c["yz"] * c["n"] - c["sy"] * c["sz"]) + c["sx"] * (c["yz"] * c["sy"] - c["yy"] * c["sz"])
-    db = c["xx"] * (c["yz"] * c["n"] - c["sz"] * c["sy"]) - c["xz"] * (c["xy"] * c["n"] - c["sy"] * c["sx"]) + c["sx"] * (c["xy"] * c["sz"] - c["yz"] * c["sx"])
-    dc = c["xx"] * (c["yy"] * c["sz"] - c["yz"] * c["sy"]) - c["xy"] * (c["xy"] * c["sz"] - c["yz"] * c["sx"]) + c["xz"] * (c["xy"] * c["sy"] - c["yy"] * c["sx"])
-    s = s.withColumns({"__det": det, "__mean": c["sz"] / c["n"]})
-    flat = F.abs("__det") < 1e-12
-    s = s.withColumns({k: F.when(flat, 0.0).otherwise(F.try_divide(d, F.col("__det"))) for k, d in (("a", da), ("b", db))}).withColumn("c", F.when(flat, F.col("__mean")).otherwise(F.try_divide(dc, F.col("__det"))))
-    steep = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) > max_slope
-    s = s.withColumns({"a": F.when(steep, 0.0).otherwise(F.col("a")), "b": F.when(steep, 0.0).otherwise(F.col("b")), "c": F.when(steep, F.col("__mean")).otherwise(F.col("c"))})
-    off = (F.col("c") > 1.5 - sensor_h) | (F.col("c") < -2.0 - sensor_h)
-    s = s.withColumns({"a": F.when(off, 0.0).otherwise(F.col("a")), "b": F.when(off, 0.0).otherwise(F.col("b")), "c": F.when(off, -sensor_h).otherwise(F.col("c"))})
-    return s.select(*keys, "ri", "ai", "a", "b", "c")
-
-
 def remove_ground(points: DataFrame, planes: DataFrame, keys: tuple[str, ...] = (), sensor_h: float = 1.73, threshold: float = 0.25) -> DataFrame:
-    """Adds ri, ai, ground_z, agl (height above ground) and ground; without a plane the ground is at -sensor_h and none of it."""
+    """Adds ri, ai, ground_z, agl and ground by planes that are given (``sectors.ground_points`` fits its own); without a
+    plane the ground is at -sensor_h and none of it."""
     ri, ai = sector()
     out = points.withColumns({"ri": ri, "ai": ai}).join(planes, [*keys, "ri", "ai"], "left")
     plane = F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")
@@ -100,42 +70,6 @@ def remove_ground(points: DataFrame, planes: DataFrame, keys: tuple[str, ...] =
     return out.withColumn("agl", F.col("z") - F.col("ground_z")).withColumn("ground", F.coalesce(F.col("z") - plane < threshold, F.lit(False)))
 
 
-def sector_stats(labelled: DataFrame, planes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, ri, ai, slope, rough, h, n): slope of the plane, 1.4826 MAD of the ground's residuals, height at its centroid."""
-    by = [*keys, "ri", "ai"]
-    g = labelled.where("ground AND a IS NOT NULL")
-    first = g.groupBy(*by).agg(F.median("agl").alias("__m"), F.avg("x").alias("__x"), F.avg("y").alias("__y"), F.count(F.lit(1)).alias("n"))
-    second = g.join(first.select(*by, "__m"), by).groupBy(*by).agg((1.4826 * F.median(F.abs(F.col("agl") - F.col("__m")))).alias("__mad"))
-    out = planes.join(first, by, "left").join(second, by, "left")
-    enough = F.col("n") > 4
-    return out.select(
-        *by, F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("slope"), F.when(enough, F.col("__mad")).otherwise(0.0).alias("rough"),
-        F.when(enough, F.col("a") * F.col("__x") + F.col("b") * F.col("__y") + F.col("c")).otherwise(0.0).alias("h"), F.coalesce("n", F.lit(0)).alias("n"),
-    )
-
-
-def _neighbours(sectors: DataFrame, keys: tuple[str, ...], own: bool, clamp: bool) -> DataFrame:
-    """Rows dealt to the sectors they are neighbours of; azimuth wraps, the ring ends (or clamps to itself)."""
-    moves = [(0, 1), (0, -1), (1, 0), (-1, 0)] + ([(0, 0)] if own else [])
-    out = sectors.withColumn("__m", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a")) for r, a in moves])))
-    # a row is sent to the sector it is seen from; at the innermost and outermost ring a clamped look sees its own row
-    ring = F.col("ri") + F.col("__m.r")
-    out = out.withColumns({"__ri": ring, "__ai": F.pmod(F.col("ai") + F.col("__m.a"), F.lit(AZIMUTH))})
-    inside = out.where((F.col("__ri") >= 0) & (F.col("__ri") < RADIAL))
-    if clamp:
-        inside = inside.unionByName(out.where((F.col("__ri") < 0) | (F.col("__ri") >= RADIAL)).withColumn("__ri", F.col("ri")))
-    return inside.drop("__m")
-
-
-def sector_step(sectors: DataFrame, keys: tuple[str, ...] = (), least: int = 5) -> DataFrame:
-    """Adds step: the largest height difference to the four neighbours, both with ``least`` points."""
-    by = [*keys, "ri", "ai"]
-    seen = _neighbours(sectors.where(F.col("n") >= least).select(*by, "h"), keys, own=False, clamp=False)
-    seen = seen.select(*keys, F.col("__ri").alias("ri"), F.col("__ai").alias("ai"), F.col("h").alias("__h"))
-    step = sectors.where(F.col("n") >= least).select(*by, "h").join(seen, by).groupBy(*by).agg(F.max(F.abs(F.col("h") - F.col("__h"))).alias("step"))
-    return sectors.join(step, by, "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
-
-
 def polar_score(sectors: DataFrame, min_points: int = 20, max_rough: float = 0.020, max_step: float = 0.10, step_per_r2: float = 8e-5, max_slope_deg: float = 15.0) -> DataFrame:
     """Adds range, slope_deg, valid, score (null if not valid) and votes, the class by the number of broken limits."""
     r = F.pow((F.col("ri") + 0.5) / RADIAL, F.lit(2.0)) * MAX_RANGE
@@ -146,14 +80,6 @@ def polar_score(sectors: DataFrame, min_points: int = 20, max_rough: float = 0.0
     return out.withColumn("score", F.when(F.col("valid"), score)).withColumn("votes", F.when(~F.col("valid"), UNKNOWN).otherwise(F.least(broken, F.lit(2))))
 
 
-def polar_smooth(sectors: DataFrame, keys: tuple[str, ...] = (), value: str = "score") -> DataFrame:
-    """Adds smooth: the median over a sector and its four neighbours, where the sector itself has a value."""
-    by = [*keys, "ri", "ai"]
-    seen = _neighbours(sectors.where(F.col(value).isNotNull()).select(*by, value), keys, own=True, clamp=True)
-    mid = seen.groupBy(*keys, F.col("__ri").alias("ri"), F.col("__ai").alias("ai")).agg(F.median(value).alias("smooth"))
-    return sectors.join(mid, by, "left").withColumn("smooth", F.when(F.col(value).isNotNull(), F.col("smooth")))
-
-
 def kerb() -> Column:
     return F.col("valid") & F.col("step").between(0.06, 0.30) & (F.col("rough") < 0.12) & (F.col("slope_deg") < 20.0)
 

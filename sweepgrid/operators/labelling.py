@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweepgrid.operators import cluster, drive, evaluate, quality
+from sweepgrid.operators import cluster, evaluate, quality
+from sweepgrid.operators.sectors import ground_points
+from sweepgrid.sources.workspace import written
 
 #: Classes of the grid, in order.
 GRID = ("ground", "road", "building", "pole", "vegetation", "car", "pedestrian", "other")
@@ -138,8 +140,8 @@ def label_points(points: DataFrame, keys: list[str], table: DataFrame, model: cl
     Ground points are ground; points of no cluster are ``unclustered`` and other; a cluster that the
     model takes for nothing is ``background``. ``table`` is a class table whose class 0 is background.
     """
-    planes = drive.sector_planes(points, tuple(keys))
-    marked = drive.remove_ground(points, planes, tuple(keys)).drop("a", "b", "c", "ri", "ai")
+    # read twice below: by the ground points and by the others
+    marked = written(ground_points(points, tuple(keys)).drop("ri", "ai"), "ground")
     own = [c for c in marked.columns]
     rest = cluster.cluster_points(marked.where("NOT ground"), keys, voxel, least, most)
     boxes = quality.actors(rest.where("cluster_id IS NOT NULL"), [*keys, "cluster_id"], 1, 0.0).select(*keys, "cluster_id", F.col("mx").alias("cx"), F.col("my").alias("cy"), "cz", "l", "w", "h", "yaw")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import cluster, drive, evaluate, quality, tiles
+from sweepgrid.operators import cluster, evaluate, quality, sectors, tiles
 from sweepgrid.plans.mapping import EXTRINSIC, PTS, WIDE
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
@@ -219,7 +219,7 @@ def suggest_params(spark: SparkSession, d: str) -> DataFrame:
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
     p = fx.points(spark, d)
-    above = drive.remove_ground(p, drive.sector_planes(p, ("frame",)), ("frame",)).where("NOT ground")
+    above = sectors.ground_points(p, ("frame",)).where("NOT ground")
     return cluster.cluster_points(above.select(*p.columns, "agl"), ["frame"], voxel=0.35, least=8)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import drive, grid, quality, raster
+from sweepgrid.operators import drive, grid, quality, raster, sectors
 from sweepgrid.plans.mapping import _AGG, PTS, WIDE, _cell
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
@@ -110,8 +110,7 @@ _POOLED = PTS.replace("cast(sk%10 as int) frame", "0 AS frame")
 def _sectors(spark: SparkSession, d: str, pooled: bool = False) -> DataFrame:
     p = fx.points(spark, d)
     p = p.withColumn("frame", F.lit(0)) if pooled else p
-    planes = drive.sector_planes(p, ("frame",))
-    return drive.sector_stats(drive.remove_ground(p, planes, ("frame",)), planes, ("frame",))
+    return sectors.sectors(p, ("frame",))
 
 
 @_add("q_sector_ground", f"WITH {PTS}, {_STATS} SELECT frame, ri, ai, round(slope, 7) + 0.0 AS slope, round(rough, 7) + 0.0 AS rough, round(h, 7) + 0.0 AS h, n FROM sectors")
@@ -120,9 +119,9 @@ def sector_ground(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_add("q_ground_points", f"WITH {PTS}, {_PLANES} SELECT frame, ground, count(*) AS n, round(avg(agl), 6) AS mean_agl FROM g GROUP BY ALL")
-def ground_points(spark: SparkSession, d: str) -> DataFrame:
+def ground_share(spark: SparkSession, d: str) -> DataFrame:
     p = fx.points(spark, d)
-    g = drive.remove_ground(p, drive.sector_planes(p, ("frame",)), ("frame",))
+    g = sectors.ground_points(p, ("frame",))
     return g.groupBy("frame", "ground").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("agl"), 6).alias("mean_agl"))
 
 
@@ -134,12 +133,12 @@ scored AS (SELECT *, CASE WHEN valid THEN greatest(rough/0.020::DOUBLE, step/(0.
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return drive.polar_score(drive.sector_step(_sectors(spark, d, pooled=True), ("frame",)))
+    return drive.polar_score(sectors.sector_step(_sectors(spark, d, pooled=True), ("frame",)))
 
 
 @_add("q_sector_step", f"WITH {PTS}, {_STEP} SELECT frame, ri, ai, round(step, 7) + 0.0 AS step FROM feat")
 def sector_step(spark: SparkSession, d: str) -> DataFrame:
-    return drive.sector_step(_sectors(spark, d), ("frame",)).select("frame", "ri", "ai", (F.round("step", 7) + 0.0).alias("step"))
+    return sectors.sector_step(_sectors(spark, d), ("frame",)).select("frame", "ri", "ai", (F.round("step", 7) + 0.0).alias("step"))
 
 
 @_add("q_polar_drivability", f"WITH {_POOLED}, {_STEP} SELECT frame, ri, ai, n, round(score, 7) + 0.0 AS score, votes, CASE WHEN score IS NULL THEN 3 WHEN score <= 1 THEN 0 WHEN score <= 2 THEN 1 ELSE 2 END AS cls FROM scored")
@@ -151,7 +150,7 @@ def polar_drivability(spark: SparkSession, d: str) -> DataFrame:
 sm AS (SELECT s.frame, s.ri, s.ai, median(o.score) AS smooth FROM scored s, mv5, scored o WHERE o.frame = s.frame AND o.ri = least(greatest(s.ri + dr, 0), 23) AND o.ai = (s.ai + da + 72) % 72 GROUP BY ALL)
 SELECT s.frame, s.ri, s.ai, CASE WHEN s.score IS NOT NULL THEN round(smooth, 7) + 0.0 END AS smooth FROM scored s LEFT JOIN sm USING (frame, ri, ai)""")
 def polar_smooth(spark: SparkSession, d: str) -> DataFrame:
-    return drive.polar_smooth(_scored(spark, d), ("frame",)).select("frame", "ri", "ai", (F.round("smooth", 7) + 0.0).alias("smooth"))
+    return sectors.polar_smooth(_scored(spark, d), ("frame",)).select("frame", "ri", "ai", (F.round("smooth", 7) + 0.0).alias("smooth"))
 
 
 @_add("q_kerb", f"WITH {_POOLED}, {_STEP} SELECT frame, ri, ai, n FROM scored WHERE valid AND round(step, 6) BETWEEN 0.06 AND 0.30 AND rough < 0.12 AND slope_deg < 20.0")
@@ -163,9 +162,8 @@ def kerb(spark: SparkSession, d: str) -> DataFrame:
 def point_class(spark: SparkSession, d: str) -> DataFrame:
     """Every point with its sector's verdict."""
     p = fx.points(spark, d)
-    planes = drive.sector_planes(p, ("frame",))
-    g = drive.remove_ground(p, planes, ("frame",))
-    s = drive.polar_score(drive.sector_step(drive.sector_stats(g, planes, ("frame",)), ("frame",)))
+    s = drive.polar_score(sectors.sector_step(sectors.sectors(p, ("frame",)), ("frame",)))
+    g = drive.remove_ground(p, s.select("frame", "ri", "ai", "a", "b", "c"), ("frame",))
     lifted = g.join(s.select("frame", "ri", "ai", F.col("votes").alias("cls")), ["frame", "ri", "ai"], "left")
     return lifted.groupBy(drive.point_class().cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
