@@ -36,14 +36,14 @@ def test_batches_meet_the_index_by_anti_join(spark, monkeypatch):
     """The second batch is anti-joined by sort-merge with what the first one stored, and none is left behind."""
     before, seen, add = spark.catalog.listTables(), [], exact_dedup.DigestIndex.add
 
-    def watched(self, hashed):
+    def watched(self, hashed, run=""):
         known = self.table()
         if known is not None:
             new = hashed.groupBy("digest").agg(exact_dedup.F.min("doc_id")).join(known.select("digest").hint("merge"), "digest", "left_anti")
             seen.append((known.count(), "SortMergeJoin" in new._jdf.queryExecution().executedPlan().toString()))
         else:
             seen.append((0, False))
-        add(self, hashed)
+        add(self, hashed, run)
 
     monkeypatch.setattr(exact_dedup.DigestIndex, "add", watched)
     docs = spark.createDataFrame([(i, f"t{i % 30}") for i in range(100)] + [(None, "t1"), (None, "new")], "doc_id BIGINT, text STRING")
@@ -52,6 +52,73 @@ def test_batches_meet_the_index_by_anti_join(spark, monkeypatch):
     assert seen == [(0, False), (30, True)] and spark.catalog.listTables() == before
 
 
+@pytest.mark.parametrize("ask", ["exact_dedup", "keep_first"])
+@pytest.mark.parametrize("dies_after", [1, 2])
+def test_a_run_that_died_after_its_appends_is_repeated(spark, monkeypatch, ask, dies_after):
+    index, calls, add = exact_dedup.DigestIndex(spark, buckets=4), [], exact_dedup.DigestIndex.add
+    exact_dedup.exact_dedup(spark.createDataFrame([(50, "old")], "doc_id BIGINT, text STRING"), index)
+    docs = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)] + [(7, "old"), (30, "x" * 3_000_000), (31, "x" * 3_000_000)], "doc_id BIGINT, text STRING")
+    answer = lambda: sorted(tuple(r)[:4] for r in getattr(exact_dedup, ask)(docs, index).collect())
+
+    def dying(self, hashed, run=""):
+        add(self, hashed, run)
+        calls.append(run)
+        if len(calls) == dies_after:
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", dying)
+    with pytest.raises(RuntimeError):
+        answer()
+    assert index.table().count() > 1
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", add)
+    got = answer()
+    if ask == "keep_first":
+        assert [(i, t[:2]) for i, t in got] == [(i, f"t{i}") for i in range(5)] + [(30, "xx")]
+    else:
+        assert [g[0] for g in got if g[3]] == [0, 1, 2, 3, 4, 30] and [g[:2] for g in got if g[0] == 7 and g[1] == 50]
+    assert answer() == got and index.table().count() == 7  # and again, the same
+    other = docs.where("doc_id < 3").withColumn("doc_id", exact_dedup.F.col("doc_id") + 100)
+    assert exact_dedup.keep_first(other, index).count() == 0  # a run of its own keeps nothing that is known
+    index.drop()
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_compacting_may_die_at_any_step(spark, monkeypatch, step):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    for k in range(3):
+        index.add(exact_dedup.digests(spark.createDataFrame([(i, f"t{i}") for i in range(10 * k, 10 * k + 15)], "doc_id BIGINT, text STRING")), str(k))
+    rows, rename, recover = sorted(map(tuple, index.table().collect())), exact_dedup.DigestIndex._rename, exact_dedup.DigestIndex._recover
+    done = []
+
+    def dying(f):
+        def run(self, *a):
+            if f is recover and len(done) < 2:
+                return f(self)
+            if len(done) == step:
+                raise RuntimeError("killed")
+            done.append(1)
+            return f(self, *a)
+
+        return run
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_rename", dying(rename))
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_recover", dying(recover))
+    if step < 3:
+        with pytest.raises(RuntimeError):
+            index.compact()
+    else:
+        index.compact()
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_rename", rename)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_recover", recover)
+    again = exact_dedup.DigestIndex(spark, index.name, 2)
+    assert sorted(map(tuple, again.table().collect())) == rows
+    again.compact()
+    assert sorted(map(tuple, again.table().collect())) == rows
+    again.drop()
+    for left in ("_compacted", "_replaced"):
+        spark.sql(f"DROP TABLE IF EXISTS {index.name}{left}")
+
+
 def test_extra_columns_of_any_name_come_through(spark):
     docs = spark.createDataFrame([(1, "a", 5, "x", 7), (2, "a", 6, "y", 8), (3, "b", 7, None, 9)], "doc_id BIGINT, text STRING, row INT, Digest STRING, __row INT")
     assert sorted(tuple(r) for r in exact_dedup.keep_first(docs).collect()) == [(1, "a", 5, "x", 7), (3, "b", 7, None, 9)]
