@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
-from sweepgrid.operators import cluster, evaluate, quality, sectors, tiles
+from sweepgrid.operators import cluster, evaluate, quality, sectors, tables, tiles
 from sweepgrid.plans.mapping import EXTRINSIC, PTS, WIDE
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
@@ -40,13 +40,34 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
     return fx.points(spark, d).groupBy("frame", F.col("lab").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("q_points_in_box", f"""WITH {WIDE}, {fx.boxes_sql()}, m AS (SELECT id, b.frame, cls, ok, pk, sk, ln, lab, cos(yaw)*(x-cx) + sin(yaw)*(y-cy) AS u, cos(yaw)*(y-cy) - sin(yaw)*(x-cx) AS v, z-cz AS w, l, b.w AS wd, h FROM boxes b JOIN points p ON p.frame = b.frame AND p.x BETWEEN cx-4 AND cx+4 AND p.y BETWEEN cy-4 AND cy+4)
-SELECT id, frame, cls, count(*) AS n, count(*) FILTER (lab = 6) AS walkers FROM m WHERE abs(u) <= l/2 + 0.1 AND abs(v) <= wd/2 + 0.1 AND abs(w) <= h/2 + 0.1 GROUP BY ALL""")
+_IN_BOX = f"""WITH {WIDE}, {fx.boxes_sql()}, m AS (SELECT id, b.frame, cls, ok, pk, sk, ln, lab, cos(yaw)*(x-cx) + sin(yaw)*(y-cy) AS u, cos(yaw)*(y-cy) - sin(yaw)*(x-cx) AS v, z-cz AS w, l, b.w AS wd, h FROM boxes b JOIN points p ON p.frame = b.frame AND p.x BETWEEN cx-4 AND cx+4 AND p.y BETWEEN cy-4 AND cy+4)
+SELECT id, frame, cls, count(*) AS n, count(*) FILTER (lab = 6) AS walkers FROM m WHERE abs(u) <= l/2 + 0.1 AND abs(v) <= wd/2 + 0.1 AND abs(w) <= h/2 + 0.1 GROUP BY ALL"""
+
+
+@_add("q_points_in_box", _IN_BOX)
 def points_in_box(spark: SparkSession, d: str) -> DataFrame:
     hit = evaluate.points_in_boxes(fx.points(spark, d, fx.WIDE), fx.boxes(spark, d), ["frame"], 0.1)
     return hit.groupBy("id", "frame", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lab") == 6).alias("walkers"))
 
 
+@_add("q_box_buckets_sql", _IN_BOX)
+def box_buckets_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same in SQL, with the table function that deals a box to its buckets."""
+    tables.register(spark)
+    return spark.sql("""WITH dealt AS (SELECT b.*, t.bx, t.by FROM {boxes} b, LATERAL box_buckets(b.cx, b.cy, b.l, b.w, 0.1D, 4.0D) t),
+        held AS (SELECT d.id, d.frame, d.cls, p.lab, p.z - d.cz AS up, d.l, d.w, d.h, cos(d.yaw) * (p.x - d.cx) + sin(d.yaw) * (p.y - d.cy) AS u, cos(d.yaw) * (p.y - d.cy) - sin(d.yaw) * (p.x - d.cx) AS v
+                 FROM {points} p JOIN dealt d ON d.frame = p.frame AND d.bx = floor(p.x / 4) AND d.by = floor(p.y / 4))
+        SELECT id, frame, cls, count(*) AS n, count_if(lab = 6) AS walkers FROM held WHERE abs(u) <= l / 2 + 0.1D AND abs(v) <= w / 2 + 0.1D AND abs(up) <= h / 2 + 0.1D GROUP BY id, frame, cls""", boxes=fx.boxes(spark, d), points=fx.points(spark, d, fx.WIDE))
+
+
+@_add("q_sweep_clusters_sql")
+def sweep_clusters_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of each sweep's obstacles by the table function, from SQL; a test holds them against ``cluster_points``."""
+    tables.register(spark)
+    above = sectors.ground_points(fx.points(spark, d), ("frame",)).where("NOT ground").select("frame", "x", "y", "z")
+    return spark.sql("SELECT * FROM sweep_clusters(TABLE({above}), 0.35D, 8, 6000)", above=above)
+
+
 @_add("q_box_corners", f"WITH {fx.boxes_sql()}, k(i, sx, sy, sz) AS (VALUES (0, 1, 1, -1), (1, 1, -1, -1), (2, -1, -1, -1), (3, -1, 1, -1), (4, 1, 1, 1), (5, 1, -1, 1), (6, -1, -1, 1), (7, -1, 1, 1)) SELECT id, i, round(cx + cos(yaw)*l*(sx/2.0::DOUBLE) - sin(yaw)*w*(sy/2.0::DOUBLE), 6) + 0.0 AS x, round(cy + sin(yaw)*l*(sx/2.0::DOUBLE) + cos(yaw)*w*(sy/2.0::DOUBLE), 6) + 0.0 AS y, round(cz + h*(sz/2.0::DOUBLE), 6) + 0.0 AS z FROM boxes, k")
 def box_corners(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d)

@@ -168,16 +168,36 @@ def point_class(spark: SparkSession, d: str) -> DataFrame:
     return lifted.groupBy(drive.point_class().cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("q_ema_tracker", """WITH e AS (SELECT user_id, list({'k': event_id, 'v': CASE WHEN event_id % 7 = 0 THEN NULL ELSE value/100 END} ORDER BY event_id) AS l FROM events GROUP BY user_id),
+_TRACKED = """WITH e AS (SELECT user_id, list({'k': event_id, 'v': CASE WHEN event_id % 7 = 0 THEN NULL ELSE value/100 END} ORDER BY event_id) AS l FROM events GROUP BY user_id),
 f AS (SELECT user_id, unnest(list_transform(range(1, len(l)+1), lambda i: l[i].k)) AS event_id,
  unnest(list_transform(range(1, len(l)+1), lambda i: list_reduce(list_transform(l[1:i], lambda e: e.v), lambda a, b: CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b ELSE 0.4::DOUBLE*b + (1 - 0.4::DOUBLE)*a END))) AS ema FROM e),
 g AS (SELECT *, row_number() OVER w AS rn, coalesce(abs(ema - 1) < 0.15 OR abs(ema - 2) < 0.15, false) AS near, CASE WHEN ema IS NULL THEN 3 WHEN ema <= 1 THEN 0 WHEN ema <= 2 THEN 1 ELSE 2 END AS band FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, event_id, round(ema, 6) AS ema, last_value(CASE WHEN rn = 1 OR NOT near THEN band END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cls FROM g""")
+SELECT user_id, event_id, round(ema, 6) AS ema, last_value(CASE WHEN rn = 1 OR NOT near THEN band END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cls FROM g"""
+
+
+@_add("q_ema_tracker", _TRACKED)
 def ema_tracker(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value") / 100).alias("v"))
     return drive.tracked(e, ["user_id"], "event_id", "v").select("user_id", "event_id", F.round("ema", 6).alias("ema"), "cls")
 
 
+@_add("q_tracker_stream", _TRACKED)
+def tracker_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a stream in three micro-batches, with the mean and the class of each key in the state store."""
+    from sweepgrid.sources.workspace import work_folder
+    from sweepgrid.streaming import tracker
+
+    folder = work_folder(spark, "tracker")
+    e = fx.table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value") / 100).alias("v"))
+    low, high = e.select(F.min("event_id"), F.max("event_id")).first()
+    for k in range(3):
+        part = e.where(F.expr(f"(event_id - {low}) * 3 div ({high} - {low} + 1) = {k}")) if low is not None else e.limit(0)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    tracker.write(stream, ["user_id"], "event_id", "v", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("user_id BIGINT, event_id BIGINT, ema DOUBLE, cls INT").parquet(f"{folder}/out").withColumn("ema", F.round("ema", 6))
+
+
 @_add("q_cpu_delta", """WITH t AS (SELECT user_id AS pid, event_id, epoch_us(ts)/1e6 AS t, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cpu FROM events),
 l AS (SELECT pid, list({'t': t, 'cpu': cpu, 'bt': t, 'bc': cpu, 'v': NULL::DOUBLE} ORDER BY t, cpu) AS l FROM t GROUP BY pid),
 f AS (SELECT pid, unnest(list_transform(range(1, len(l)+1), lambda i: list_reduce(l[1:i], lambda a, b: {'t': b.t, 'cpu': b.cpu, 'bt': CASE WHEN b.t - a.bt >= 0.25 THEN b.t ELSE a.bt END, 'bc': CASE WHEN b.t - a.bt >= 0.25 THEN b.cpu ELSE a.bc END, 'v': CASE WHEN b.t - a.bt >= 0.25 THEN greatest(b.cpu - a.bc, 0)/(b.t - a.bt) END}))) AS s FROM l)

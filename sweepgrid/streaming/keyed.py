@@ -10,8 +10,8 @@ only sweeps put off clears it from the store in the meantime. Drift needs the wh
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sweepgrid.functions import geometry as geo
 from sweepgrid.operators import grid, worldmap
 
+_SETTING = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CELL = "ix BIGINT, iy BIGINT"
 VALUE = ", ".join(f"{n} {'BIGINT' if k.rule == 'sum' and k.power == 0 and k.family != 'weighted' else 'DOUBLE'}" for n, k in grid.FIELDS.items())
@@ -29,6 +30,20 @@ KEYS = ("map_id", "tier", "tx", "ty")
 _COUNTS = {n for n, k in grid.FIELDS.items() if k.rule == "sum" and k.power == 0 and k.family != "weighted"}
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB."""
+    before = spark.conf.get(_SETTING, None)
+    spark.conf.set(_SETTING, PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SETTING)
+        else:
+            spark.conf.set(_SETTING, before)
+
+
 def cells_of(points: pd.DataFrame) -> pd.DataFrame:
     """Accumulators of points (ix, iy, z, lab, w), indexed by cell."""
     z, ground, out = points["z"], points["lab"].isin(geo.GROUND), {}
@@ -138,20 +153,12 @@ class KeyedMap:
 
     def start(self, points: DataFrame, sweeps: DataFrame, poses: DataFrame, checkpoint: str, **trigger):
         """The streaming query; started again on its checkpoint, it goes on with the map. Its rows tell the cells of each tile."""
-        spark = points.sparkSession
-        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-        try:
+        with rocks(points.sparkSession):
             rows = self.tiles(points, sweeps, poses).withWatermark("ts", self.late)
             types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
             schema = ", ".join([*(f"{k} {types[k]}" for k in KEYS), "frame BIGINT", "cells BIGINT"])
             out = rows.groupBy(*KEYS).transformWithStateInPandas(TileState(self.tiers, self.reach, self.idle_ms), schema, "Update", "EventTime")
             return out.writeStream.option("checkpointLocation", checkpoint).outputMode("update").format("noop").trigger(**(trigger or {"availableNow": True})).start()
-        finally:
-            if before is None:
-                spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-            else:
-                spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def read(spark: SparkSession, checkpoint: str) -> DataFrame:
