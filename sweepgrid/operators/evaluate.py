@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,19 +102,42 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], columns: dict[str, Col
     return with_iou(pairs.where(first[0] & first[1]).select(*keys, *[e.alias(n) for n, e in columns.items()], *[s + c for s in ("a_", "b_") for c in BOX])).select(*keys, *columns, "iou")
 
 
-def nms(detections: DataFrame, keys: list[str], threshold: float, id_column: str = "id") -> DataFrame:
+#: Pairs of a group that one task goes through in order (about 50 bytes each); beyond, a group is settled by rounds.
+TASK_PAIRS = 500_000
+
+
+def _by_size(pairs: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the groups with up to ``most`` of them, and of the others."""
+    large = written(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys), "large-groups")
+    return pairs.join(large, keys, "left_anti"), pairs.join(large, keys, "left_semi")
+
+
+def nms(detections: DataFrame, keys: list[str], threshold: float, id_column: str = "id", task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Per group, best score first, drop boxes that overlap a kept one by the threshold or more; 0 keeps all.
 
-    Rounds on the graph of overlaps give the greedy order's result: a box that no open box beats stays, and what it
-    overlaps goes; so a group of any size is never one task. Ties go to the smaller id, null scores come last.
+    Only overlaps are looked at. A group of up to ``task_pairs`` is gone through in order; in a larger one, rounds on the
+    graph of overlaps give the greedy order's result: a box that no open box beats stays, and what it overlaps goes. So a
+    group of any size is never one task. Ties go to the smaller id, null scores come last.
     """
     if threshold <= 0:
         return detections
     node, score = [*keys, id_column], [F.coalesce(f"{s}score", F.lit(float("-inf"))) for s in ("a_", "b_")]
     i, j = F.col(f"a_{id_column}"), F.col(f"b_{id_column}")
     narrow = detections.select(*node, "score", *BOX)
-    pairs = overlaps(narrow, narrow, keys, {"better": i, "worse": j, "ahead": (score[0] > score[1]) | (score[0] == score[1]) & (i < j)})
-    edges, gone = written(pairs.where(F.col("ahead") & (F.col("iou") >= threshold)).select(*keys, "better", "worse"), "overlaps"), []
+    pairs = overlaps(narrow, narrow, keys, {"better": i, "worse": j, "score": score[0], "ahead": (score[0] > score[1]) | (score[0] == score[1]) & (i < j)})
+    types = dict(detections.dtypes)
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + f"`{id_column}` {types[id_column]}"
+
+    def in_order(t: pa.Table) -> pa.Table:
+        t, out = t.sort_by([("score", "descending"), ("better", "ascending")]), set()
+        for b, w in zip(t.column("better").to_pylist(), t.column("worse").to_pylist()):
+            if b not in out:  # all that beat it have been seen
+                out.add(w)
+        head = {k: t.column(k).slice(0, 1).take(pa.array(np.zeros(len(out), np.int64))) for k in keys}
+        return pa.table(head | {id_column: pa.array(list(out), t.schema.field("worse").type)})
+
+    small, edges = _by_size(written(pairs.where(F.col("ahead") & (F.col("iou") >= threshold)).select(*keys, "better", "worse", "score"), "overlaps"), keys, task_pairs)
+    gone = [written(small.groupBy(*keys).applyInArrow(in_order, schema), "suppressed")]
     while not edges.isEmpty():
         ends = {c: edges.select(*keys, F.col(c).alias(id_column)).distinct() for c in ("better", "worse")}
         stay = ends["better"].join(ends["worse"], node, "left_anti").withColumnRenamed(id_column, "better")
@@ -126,14 +150,30 @@ def nms(detections: DataFrame, keys: list[str], threshold: float, id_column: str
     return detections
 
 
-def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(keys, id, score, tp, gt_id, iou): best score first, each detection takes its best free box of the group.
 
-    By rounds: a detection whose best free box no better open detection could take has it for certain. The best open one
-    always is such a detection, mostly many are. Ties go to the smaller id, of detections and of boxes.
+    A group of up to ``task_pairs`` overlaps is gone through in order, a larger one by rounds: a detection whose best free
+    box no better open detection could take has it for certain. The best open one always is such a detection, mostly many
+    are. Ties go to the smaller id, of detections and of boxes.
     """
-    pairs = overlaps(detections.select(*keys, "id", "score", *BOX), truth.select(*keys, "id", *BOX), keys, {"id": F.col("a_id"), "score": F.coalesce("a_score", F.lit(float("-inf"))), "gt_id": F.col("b_id")})
-    pairs, won = written(pairs.where(F.col("iou") >= threshold), "candidates"), []
+    types = dict(detections.dtypes)
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "id bigint, gt_id bigint, iou double"
+    sides = [d.withColumn("id", F.col("id").cast("bigint")) for d in (detections.select(*keys, "id", "score", *BOX), truth.select(*keys, "id", *BOX))]
+    pairs = overlaps(*sides, keys, {"id": F.col("a_id"), "score": F.coalesce("a_score", F.lit(float("-inf"))), "gt_id": F.col("b_id")})
+
+    def in_order(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("score", "descending"), ("id", "ascending"), ("iou", "descending"), ("gt_id", "ascending")])
+        taken, served, rows = set(), set(), []
+        for k, (d, g) in enumerate(zip(t.column("id").to_pylist(), t.column("gt_id").to_pylist())):
+            if d not in served and g not in taken:
+                served.add(d)
+                taken.add(g)
+                rows.append(k)
+        return t.take(pa.array(rows, pa.int64())).select([*keys, "id", "gt_id", "iou"])
+
+    small, pairs = _by_size(written(pairs.where(F.col("iou") >= threshold), "candidates"), keys, task_pairs)
+    won = [written(small.groupBy(*keys).applyInArrow(in_order, schema), "matches")]
     while not pairs.isEmpty():
         best = pairs.groupBy(*keys, "id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("best")).select(*keys, "id", (-F.col("best.g")).alias("gt_id"), "best.iou")
         first = pairs.groupBy(*keys, "gt_id").agg(F.max(F.struct("score", (-F.col("id")).alias("d"))).alias("first")).select(*keys, "gt_id", (-F.col("first.d")).alias("id"))
@@ -141,8 +181,7 @@ def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: f
         for c in ("id", "gt_id"):
             pairs = pairs.join(won[-1].select(*keys, c), [*keys, c], "left_anti")
         pairs = written(pairs, "candidates")
-    taken = detections.sparkSession.createDataFrame([], f"{''.join(f'`{k}` {dict(detections.dtypes)[k]}, ' for k in keys)}id bigint, gt_id bigint, iou double") if not won else reduce(DataFrame.unionByName, won)
-    return detections.select(*keys, "id", "score").join(taken, [*keys, "id"], "left").select(*keys, "id", "score", F.col("gt_id").isNotNull().alias("tp"), "gt_id", "iou")
+    return detections.select(*keys, "id", "score").join(reduce(DataFrame.unionByName, won), [*keys, "id"], "left").select(*keys, "id", "score", F.col("gt_id").isNotNull().alias("tp"), "gt_id", "iou")
 
 
 def pr_curve(scored: DataFrame, keys: list[str], tie: str, parts: int = order.PARTS) -> DataFrame:

@@ -107,7 +107,13 @@ def cores_used(samples: DataFrame, key: str, time: str, cpu: str, least: float =
     return rows.groupBy(key).applyInArrow(fold, schema)
 
 
+def frame_summary(ms: str) -> list[Column]:
+    """How many frames, the median, 95th and 99th percentile of their times, and the rate that the median allows."""
+    median = F.median(ms)
+    return [F.count(F.lit(1)).alias("frames"), median.alias("median_ms"), F.percentile(ms, F.lit(0.95)).alias("p95_ms"), F.percentile(ms, F.lit(0.99)).alias("p99_ms"), (1000.0 / F.greatest(median, F.lit(1e-6))).alias("fps")]
+
+
 def frame_times(times: DataFrame, key: str, order: str, ms: str, last: int = 120) -> DataFrame:
     """Median, 95th and 99th percentile and rate of the last frames of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
-    return times.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= last).groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.median(ms).alias("median_ms"), F.percentile(ms, F.lit(0.95)).alias("p95_ms"), F.percentile(ms, F.lit(0.99)).alias("p99_ms"))
+    return times.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= last).groupBy(key).agg(*frame_summary(ms))

@@ -100,3 +100,15 @@ def in_extent(cells: DataFrame, origin: tuple[float, float], tiers: tuple = TIER
 
 def map_stats(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count(F.lit(1)).alias("cells"), F.median("n").alias("median_obs"), F.percentile("n", F.lit(0.9)).alias("p90_obs"), F.avg((F.col("n") == 1).cast("int")).alias("single_share"))
+
+
+def map_sketches(cells: DataFrame, keys: list[str | Column], k: int = 200) -> DataFrame:
+    """(keys, cells, singles, sketch) of cells: their number, those seen once, and a quantile sketch of their observations."""
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("n") == 1).alias("singles"), F.kll_sketch_agg_bigint("n", k).alias("sketch"))
+
+
+def merged_stats(sketches: DataFrame) -> DataFrame:
+    """As ``map_stats``, from sketches of parts of a map: quantiles within the sketches' rank error, the rest exact."""
+    both = sketches.agg(F.sum("cells").alias("cells"), F.sum("singles").alias("singles"), F.kll_merge_agg_bigint("sketch").alias("sketch")).where("cells > 0")
+    at = lambda q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).cast("double")
+    return both.select("cells", at(0.5).alias("median_obs"), at(0.9).alias("p90_obs"), (F.col("singles") / F.col("cells")).alias("single_share"))

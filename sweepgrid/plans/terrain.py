@@ -217,6 +217,27 @@ def frame_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", "frames", *[F.round(c, 6).alias(c) for c in ("median_ms", "p95_ms", "p99_ms")])
 
 
+@_add("q_frame_windows", """SELECT event_type, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS day, count(*) AS frames, round(median(value), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(1000/greatest(median(value), 1e-6), 6) AS fps FROM events GROUP BY ALL""")
+def frame_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Frame times by day of a stream in four micro-batches, some samples sent twice; each day as it is written when it is over."""
+    from sweepgrid.sources.workspace import work_folder
+    from sweepgrid.streaming import telemetry
+
+    folder, e = work_folder(spark, "telemetry"), fx.table(spark, d, "events").select("event_type", "event_id", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts))").alias("ts"), "value")
+    cuts = e.agg(F.percentile_approx("event_id", [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    low = F.lit(True)
+    for high in [*cuts, None]:
+        part = e.where(low & (F.col("event_id") <= high) if high is not None else low)
+        part.unionByName(part.where("event_id % 10 = 0")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        low = F.col("event_id") > high if high is not None else low
+    telemetry.closing(e, "ts", "1 day", "40 days").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    telemetry.write(stream, f"{folder}/out", f"{folder}/checkpoint", "event_type", "ts", "value", "event_id", "1 day", "40 days").awaitTermination()
+    names = ("median_ms", "p95_ms", "p99_ms", "fps")
+    out = spark.read.schema("event_type STRING, start TIMESTAMP, frames BIGINT, " + ", ".join(f"{c} DOUBLE" for c in names)).parquet(f"{folder}/out")
+    return out.select("event_type", F.expr("unix_micros(start) div 86400000000").alias("day"), "frames", *[F.round(c, 6).alias(c) for c in names])
+
+
 @_add("q_validate_scan", f"""WITH {WIDE}, b AS (SELECT frame, least(cast(floor((z+5)/0.05::DOUBLE) as bigint), 199) AS b, count(*) AS c FROM points WHERE z BETWEEN -5 AND 5 GROUP BY ALL),
 m AS (SELECT frame, arg_max(b, c*1000 - b) AS bin FROM b GROUP BY ALL), s AS (SELECT frame, count(*) AS n, min(lab/7.0::DOUBLE) AS i_min, max(lab/7.0::DOUBLE) AS i_max, max(x*x+y*y) AS max_r2 FROM points GROUP BY ALL)
 SELECT s.*, bin*0.05::DOUBLE - 5 AS modal_z, abs(-(bin*0.05::DOUBLE-5) - 1.73) > 0.5 AS warn_height, i_max > 1.001 OR i_max - i_min < 1e-6 AS warn_intensity, n < 60000 AS warn_density FROM s LEFT JOIN m USING (frame)""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,13 @@ class WorldTable:
     Other tiles keep their files: those out of reach leave the manifest, and those that the circle of ``reach`` cuts
     keep the sensor's position, by which their cells are filtered when they are read. Sweeps of a named source, and
     micro-batches of a stream, are counted in the manifest with the cells, so what is repeated after a failure begins
-    with the first sweep that is not in the map. The ``kept`` last versions stay readable.
+    with the first sweep that is not in the map. The ``kept`` last versions stay readable. With ``sketches``, each
+    tile's statistics lie beside its files.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, res: float = 0.4, reach: float = worldmap.PRUNE, common: int = 40, align: bool = True, weighted: bool = False, tile: int = 64, kept: int = 3):
+    def __init__(self, spark: SparkSession, folder: str | None = None, res: float = 0.4, reach: float = worldmap.PRUNE, common: int = 40, align: bool = True, weighted: bool = False, tile: int = 64, kept: int = 3, sketches: bool = False):
         self.spark, self.folder = spark, (folder or work_folder(spark, "world")).rstrip("/")
-        self.res, self.reach, self.common, self.align, self.weighted, self.tile, self.kept = res, reach, common, align, weighted, tile, kept
+        self.res, self.reach, self.common, self.align, self.weighted, self.tile, self.kept, self.sketches = res, reach, common, align, weighted, tile, kept, sketches
         self.store, self.drifts = Store(spark, self.folder), {}
 
     @property
@@ -75,6 +77,18 @@ class WorldTable:
         """The cells of the map; None while it is empty."""
         return self._tiles(self.state["tiles"])
 
+    def stats(self) -> DataFrame | None:
+        """``worldmap.map_stats`` of the map from its tiles' sketches; only tiles that are still to be pruned are read."""
+        tiles = self.state["tiles"]
+        if not self.sketches or not tiles:
+            return worldmap.map_stats(self.read()) if tiles else None
+        parts = []
+        if cut := {k: t for k, t in tiles.items() if t["cuts"]}:
+            parts.append(worldmap.map_sketches(self._tiles(cut), [tile_of(self.tile).alias("tile")]))
+        for files in sorted({t["files"] for t in tiles.values() if not t["cuts"]}):
+            parts.append(self.spark.read.parquet(f"{self.folder}/sketches/{files}").where(F.col("tile").isin([k for k, t in tiles.items() if t["files"] == files and not t["cuts"]])))
+        return worldmap.merged_stats(reduce(DataFrame.unionByName, [p.select("cells", "singles", "sketch") for p in parts]))
+
     def reset(self) -> None:
         """The next sweep begins a new map; its sources begin again too."""
         now = self.state
@@ -89,6 +103,7 @@ class WorldTable:
             for name in old:
                 for files in {t["files"] for t in self.store.get(f"manifest/{name}")["tiles"].values()} - held:
                     self.store.remove(f"cells/{files}")
+                    self.store.remove(f"sketches/{files}")
                 self.store.remove(f"manifest/{name}")
 
     def ingest(self, cells: DataFrame, x: float, y: float, frame: int | None = None, touched: list[str] | None = None, source: str | None = None, batch: int = 0) -> float:
@@ -110,6 +125,8 @@ class WorldTable:
         name = f"{now['version'] + 1:012d}-{uuid.uuid4().hex[:12]}"
         kept = worldmap.prune(merged, x, y, self.res, self.reach).withColumn("tile", tile_of(self.tile))
         kept.repartition("tile").write.partitionBy("tile").parquet(f"{self.folder}/cells/{name}")
+        if self.sketches:
+            worldmap.map_sketches(self.spark.read.schema(kept.schema).parquet(f"{self.folder}/cells/{name}"), ["tile"]).coalesce(1).write.parquet(f"{self.folder}/sketches/{name}")
         tiles = {n.removeprefix("tile="): {"files": name, "cuts": []} for n in self.store.names(f"cells/{name}") if n.startswith("tile=")}
         for k, t in now["tiles"].items():
             if k not in touched and (place := _place(k, x, y, self.res * self.tile, self.reach)) != "out":

@@ -17,13 +17,14 @@ def iou(a, b):
     return float(evaluate.box_iou([a[3:]], [b[3:]])[0])
 
 
+@pytest.mark.parametrize("task_pairs", [0, 150, 10**6])
 @pytest.mark.parametrize("n,spread", [(120, 8), (80, 30)])
-def test_suppression_is_the_greedy_one(spark, n, spread):
+def test_suppression_is_the_greedy_one(spark, n, spread, task_pairs):
     rows, want = crowd(np.random.default_rng(n), n, spread), []
     for b in sorted(rows, key=lambda b: (-b[2], b[1])):
         if all(k[0] != b[0] or iou(k, b) < 0.2 for k in want):
             want.append(b)
-    got = evaluate.nms(spark.createDataFrame(rows, BOXES), ["frame"], 0.2)
+    got = evaluate.nms(spark.createDataFrame(rows, BOXES), ["frame"], 0.2, task_pairs=task_pairs)
     assert sorted(r.id for r in got.collect()) == sorted(b[1] for b in want) and len(want) < n
     assert got.columns == ["frame", "id", "score", *evaluate.BOX]
 
@@ -31,12 +32,13 @@ def test_suppression_is_the_greedy_one(spark, n, spread):
 def test_suppression_along_a_chain(spark):
     """Every box overlaps the next only, scores fall along the chain: as many rounds as boxes go."""
     rows = [(0, k, 1 - k / 100, k * 1.5, 0.0, 0.0, 2.0, 1.0, 1.0, 0.0) for k in range(9)]
-    got = evaluate.nms(spark.createDataFrame([(r[0], r[1], r[2], *map(float, r[3:])) for r in rows], BOXES), ["frame"], 0.1)
+    got = evaluate.nms(spark.createDataFrame([(r[0], r[1], r[2], *map(float, r[3:])) for r in rows], BOXES), ["frame"], 0.1, task_pairs=0)
     assert sorted(r.id for r in got.collect()) == [0, 2, 4, 6, 8]
 
 
 @pytest.mark.parametrize("n,spread", [(90, 8), (240, 16)])
-def test_matching_is_the_greedy_one(spark, n, spread):
+@pytest.mark.parametrize("task_pairs", [0, 100, 10**6])
+def test_matching_is_the_greedy_one(spark, n, spread, task_pairs):
     r = np.random.default_rng(n)
     found, truth = crowd(r, n, spread), crowd(r, n // 2, spread, 1000)
     taken, want = set(), {}
@@ -45,7 +47,7 @@ def test_matching_is_the_greedy_one(spark, n, spread):
         best = min(free, default=(0, None))
         want[b[1]] = best[1] if -best[0] >= 0.15 else None
         taken.add(want[b[1]])
-    got = evaluate.match(spark.createDataFrame(found, BOXES), spark.createDataFrame(truth, BOXES).drop("score"), ["frame"], 0.15).collect()
+    got = evaluate.match(spark.createDataFrame(found, BOXES), spark.createDataFrame(truth, BOXES).drop("score"), ["frame"], 0.15, task_pairs).collect()
     assert {g.id: g.gt_id for g in got} == want and all(g.tp == (g.gt_id is not None) for g in got)
     assert sum(v is not None for v in want.values()) > 10
 
