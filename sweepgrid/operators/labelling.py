@@ -133,6 +133,24 @@ def box_errors(matched: DataFrame) -> DataFrame:
     return matched.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.avg(norm(("cx", "cy", "cz"))).alias("centre"), F.avg(size).alias("size"), F.avg(F.degrees(F.abs(wrap(F.col("a_yaw") - F.col("b_yaw"))))).alias("yaw_deg"))
 
 
+def detected(marked: DataFrame, keys: list[str], model: cluster.Classifier = cluster.geometric_classifier, voxel: float = cluster.VOXEL, least: int = cluster.MIN_POINTS, most: int = cluster.MAX_POINTS) -> tuple[DataFrame, DataFrame]:
+    """Points that are not ground with their cluster_id, and a box with a class for each cluster; both are written."""
+    rest = written(cluster.cluster_points(marked.where("NOT ground"), keys, voxel, least, most), "clusters")
+    boxes = quality.actors(rest.where("cluster_id IS NOT NULL"), [*keys, "cluster_id"], 1, 0.0).select(*keys, "cluster_id", F.col("mx").alias("cx"), F.col("my").alias("cy"), "cz", "l", "w", "h", "yaw")
+    return rest, written(cluster.classify(boxes, model, least=0.0), "boxes")
+
+
+def labelled(marked: DataFrame, rest: DataFrame, boxes: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """Ground and other points with cluster_id, grid and provenance."""
+    named = boxes.select(*keys, "cluster_id", F.col("cls").alias("__cls"))
+    rest = rest.join(named, [*keys, "cluster_id"], "left")
+    rest = checked(rest.withColumn("__cls", F.when(F.col("cluster_id").isNotNull(), F.coalesce("__cls", F.lit(0)))), table, "__cls").drop("__cls")
+    rest = rest.withColumns({"grid": F.coalesce("grid", F.lit(GRID.index("other"))), "provenance": F.coalesce("provenance", F.lit("unclustered"))})
+    ground = marked.where("ground").withColumns({"cluster_id": F.lit(None).cast("bigint"), "grid": F.lit(GRID.index("ground")), "provenance": F.lit("ground")})
+    columns = [*marked.columns, "cluster_id", "grid", "provenance"]
+    return ground.select(*columns).unionByName(rest.select(*columns))
+
+
 def label_points(points: DataFrame, keys: list[str], table: DataFrame, model: cluster.Classifier = cluster.geometric_classifier, voxel: float = cluster.VOXEL, least: int = cluster.MIN_POINTS, most: int = cluster.MAX_POINTS) -> DataFrame:
     """Points (keys, x, y, z, …) with agl, ground, cluster_id, grid and provenance, end to end.
 
@@ -140,15 +158,5 @@ def label_points(points: DataFrame, keys: list[str], table: DataFrame, model: cl
     Ground points are ground; points of no cluster are ``unclustered`` and other; a cluster that the
     model takes for nothing is ``background``. ``table`` is a class table whose class 0 is background.
     """
-    # read twice below: by the ground points and by the others
     marked = written(ground_points(points, tuple(keys)).drop("ri", "ai"), "ground")
-    own = [c for c in marked.columns]
-    rest = cluster.cluster_points(marked.where("NOT ground"), keys, voxel, least, most)
-    boxes = quality.actors(rest.where("cluster_id IS NOT NULL"), [*keys, "cluster_id"], 1, 0.0).select(*keys, "cluster_id", F.col("mx").alias("cx"), F.col("my").alias("cy"), "cz", "l", "w", "h", "yaw")
-    named = cluster.classify(boxes, model, least=0.0).select(*keys, "cluster_id", F.col("cls").alias("__cls"))
-    rest = rest.join(named, [*keys, "cluster_id"], "left")
-    rest = checked(rest.withColumn("__cls", F.when(F.col("cluster_id").isNotNull(), F.coalesce("__cls", F.lit(0)))), table, "__cls").drop("__cls")
-    rest = rest.withColumns({"grid": F.coalesce("grid", F.lit(GRID.index("other"))), "provenance": F.coalesce("provenance", F.lit("unclustered"))})
-    ground = marked.where("ground").withColumns({"cluster_id": F.lit(None).cast("bigint"), "grid": F.lit(GRID.index("ground")), "provenance": F.lit("ground")})
-    columns = [*own, "cluster_id", "grid", "provenance"]
-    return ground.select(*columns).unionByName(rest.select(*columns))
+    return labelled(marked, *detected(marked, keys, model, voxel, least, most), keys, table)

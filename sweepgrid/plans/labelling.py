@@ -247,14 +247,14 @@ def box_errors(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cls", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("centre", "size", "yaw_deg")])
 
 
-@_add("q_point_drift", f"""WITH {WIDE}, m AS (SELECT {_cell('x', 0.4)} AS ix, {_cell('y', 0.4)} AS iy, count(*) AS ng, sum(z) AS gsum FROM points WHERE lab IN (0, 1) AND frame < 5 GROUP BY ALL),
+@_add("q_point_drift", f"""WITH {WIDE}, m AS (SELECT {_cell('x', 1.6)} AS ix, {_cell('y', 1.6)} AS iy, count(*) AS ng, sum(z) AS gsum FROM points WHERE lab IN (0, 1) AND frame < 5 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ok, pk, sk, ln, z) - 1 AS k, count(*) OVER (PARTITION BY frame) AS n FROM points WHERE lab IN (0, 1) AND frame >= 5),
-j AS (SELECT frame, gsum/ng - z AS dz FROM r JOIN m ON m.ix = {_cell('x', 0.4)} AND m.iy = {_cell('y', 0.4)} WHERE ng >= 3 AND k % greatest(n // 12000, 1) = 0), d AS (SELECT frame, median(dz) AS dz, count(*) AS common FROM j GROUP BY ALL)
+j AS (SELECT frame, gsum/ng - z AS dz FROM r JOIN m ON m.ix = {_cell('x', 1.6)} AND m.iy = {_cell('y', 1.6)} WHERE ng >= 3 AND k % greatest(n // 12000, 1) = 0), d AS (SELECT frame, median(dz) AS dz, count(*) AS common FROM j GROUP BY ALL)
 SELECT frame, CASE WHEN common >= 100 AND abs(dz) <= 0.5 THEN round(dz, 9) ELSE 0.0 END AS dz, common FROM d""")
 def point_drift(spark: SparkSession, d: str) -> DataFrame:
     """Drift of each later sweep against the map of the earlier ones, by points."""
     p = fx.points(spark, d, fx.WIDE).where(geo.is_ground())
-    cell = {"ix": geo.cell("x", 0.4), "iy": geo.cell("y", 0.4)}
+    cell = {"ix": geo.cell("x", 1.6), "iy": geo.cell("y", 1.6)}
     world = p.where("frame < 5").withColumns(cell).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("ng"), F.sum("z").alias("gsum"))
     sample = labelling.strided_points(p.where("frame >= 5"), ["frame"], ["ok", "pk", "sk", "ln", "z"])
     return worldmap.point_drift(world, sample.withColumns(cell), ("frame",)).withColumn("dz", F.round("dz", 9))
@@ -268,6 +268,20 @@ def label_points(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("frame", "grid", "provenance").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_add("q_sweep_process")
+def sweep_process(spark: SparkSession, d: str) -> DataFrame:
+    """Every sweep through ground, detection, labels, the map and its drivability; how the cells stand after each."""
+    from sweepgrid.streaming.process import SweepProcess
+    from sweepgrid.streaming.tables import WorldTable
+
+    run = SweepProcess(WorldTable(spark, res=1.6), labelling.class_table(spark, ["Background", "Car", "Pedestrian"]), voxel=0.35, least=8, min_points=3)
+    out = None
+    for sweep in run.all(fx.points(spark, d), fx.poses(spark)):
+        part = sweep.cells.groupBy(F.lit(sweep.frame).alias("frame"), "cls").agg(F.count(F.lit(1)).alias("cells"), F.sum("ng").alias("ground"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @_add("q_export")
 def export(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps as documents of 2 cm integers and classes."""

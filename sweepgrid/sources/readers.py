@@ -98,10 +98,11 @@ def odometry(spark: SparkSession, path: str, tr: np.ndarray | str | None) -> Dat
 
 
 def drive_table(spark: SparkSession, path: str) -> DataFrame:
-    """A simulator's frame table, its last row a frame; path columns are dropped."""
+    """A simulator's frame table, its last row a frame in the order of files and of lines; path columns are dropped."""
     from pyspark.sql import Window
 
-    t = spark.read.option("header", "true").csv(path).withColumn("__at", F.monotonically_increasing_id())
+    # within a split, rows are numbered as they are read; splits are ordered by where they begin
+    t = spark.read.option("header", "true").csv(path).withColumn("__at", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k")))
     last = Window.partitionBy("sample_id").orderBy(F.desc("__at"))
     t = t.withColumn("__r", F.row_number().over(last)).where("__r = 1")
     return t.select(*[F.col(c).try_cast("double").alias(c) for c in t.columns if not c.startswith("__") and "path" not in c])
