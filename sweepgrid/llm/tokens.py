@@ -8,7 +8,7 @@ which are fewer than ``MARGIN``. By induction from the first chunk, the first co
 ``MARGIN`` before its end, is a border of the whole text, and the tokens of the text are those of each chunk
 between its two splices. Token borders inside a pre-token prove nothing and are not used.
 
-Texts up to ``CHUNK`` characters are counted in one pass without a shuffle. Longer ones become rows of
+Texts up to ``CHUNK`` characters are counted in one pass without a shuffle, most of them piece by piece (``counts``). Longer ones become rows of
 chunks, which are dealt over all tasks by text and number, so a huge text is no single task; each chunk tells
 only the borders in its overlaps, and pairs of neighbours meet by (text, number). Where a pair has no common
 border, as in a run of letters longer than the overlap, the chunks of that text are gone through again in
@@ -24,6 +24,7 @@ an empty table; further columns of any name pass through ``with_counts``.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -60,8 +61,28 @@ def tokenizer_of(path: str):
     return out
 
 
-def counts(tokenizer, texts: list[str]) -> list[int]:
-    return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+#: Pieces whose counts a task keeps.
+KEPT_PIECES = 1 << 20
+#: A word with the space before it, white space up to the last of a run, the last one. The tokenizer itself parts there:
+#: words and white space never share a pre-token but for one space before a word, and it looks one character ahead only.
+_PIECES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]").findall
+#: Other white space, or what may be a special string: such texts go to the tokenizer whole.
+_OTHER = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|").search
+
+
+def counts(tokenizer, texts: list[str], known: dict[str, int]) -> list[int]:
+    """Tokens of whole texts. Those of plain spaces and line ends are the sum of their pieces' tokens, and each piece is
+    encoded once while it is in ``known``."""
+    parts = [None if _OTHER(x) else _PIECES(x) for x in texts]
+    new = list({p for ps in parts if ps for p in ps}.difference(known))
+    if len(known) + len(new) > KEPT_PIECES:
+        known.clear()
+        new = list({p for ps in parts if ps for p in ps})
+    for k in range(0, len(new), 4096):
+        part = new[k : k + 4096]
+        known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+    whole = iter(tokenizer.encode_batch_fast([x for x, ps in zip(texts, parts) if ps is None], add_special_tokens=False))
+    return [len(next(whole)) if ps is None else sum(map(known.__getitem__, ps)) for ps in parts]
 
 
 def borders(tokenizer, text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -127,11 +148,11 @@ def with_counts(docs: DataFrame, tokenizer: str | None = None, chunk: int = CHUN
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with its tokens; of a huge one, a row for each chunk instead."""
-        t, row = tokenizer_of(path), TaskContext.get().partitionId() << 33
+        t, row, known = tokenizer_of(path), TaskContext.get().partitionId() << 33, {}
         for batch in slices(batches, text):
             texts = batch.column(text).to_pylist()
             short = [k for k, x in enumerate(texts) if len(x) <= chunk]
-            of = dict(zip(short, counts(t, [texts[k] for k in short])))
+            of = dict(zip(short, counts(t, [texts[k] for k in short], known)))
             taken, out = [], {size: [], tokens: [], key: [], number: [], final: [], text: []}
             for k, x in enumerate(texts):
                 parts = range(0, len(x), chunk) if k not in of else (None,)

@@ -35,6 +35,18 @@ def test_spliced_is_whole(tokenizer):
             assert tokens.spliced(tokenizer, cut(text, n), overlap) == whole(tokenizer, text), (text[:80], n)
 
 
+def test_pieces_add_up_to_the_whole(tokenizer, monkeypatch):
+    rng = random.Random(11)
+    texts = [awkward(rng, rng.randrange(1, 400)) for _ in range(300)] + ["", " ", "\n", "  ", " \n", "\n ", "a\n\nb", "a \n b", "x  \n\n  y", "'s 's's", "it 's", "12 34a", " .. a", "a\u00a0\n\nb", "a\x1c b", "\u180e x"]
+    plain = [" ", "  ", "\n", "\n\n", "   \n", "é", "ab", "'s", "'ll", "'", "12", "1a", ".", "!?", "<", "|", "日本", "😀"]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    want = [whole(tokenizer, t) for t in texts]
+    assert tokens.counts(tokenizer, texts, {}) == want
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    known = {}
+    assert [n for k in range(0, len(texts), 9) for n in tokens.counts(tokenizer, texts[k : k + 9], known)] == want
+
+
 def test_chunks_across_tasks(spark, tokenizer):
     rng = random.Random(6)
     texts = [None, "", "hello", "word " * 5000, "q" * 4000, "<|endoftext|>" * 300] + [awkward(rng, rng.randrange(1, 6000)) for _ in range(80)]
