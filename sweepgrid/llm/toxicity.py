@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -103,28 +103,108 @@ def pattern_votes(p: np.ndarray) -> np.ndarray:
     return np.stack([p[:, 0] >= 2, p[:, 1] >= 1.5, p[:, 2] >= 1, p[:, 3] >= 20, p[:, 4] >= 1], 1)
 
 
+class Votes:
+    """Who votes in which row, by the voters of each row: (row, voter) entries in order of both, no dense matrix."""
+
+    def __init__(self, lists: list[np.ndarray], m: int):
+        self.n, self.m = len(lists), m
+        self.count = np.array([len(x) for x in lists], np.int64)
+        self.row = np.repeat(np.arange(self.n), self.count)
+        self.voter = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Votes:
+        return cls([np.flatnonzero(x) for x in dense], dense.shape[1])
+
+    def by_row(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of the voters' weights in each row."""
+        return np.bincount(self.row, weight[self.voter], self.n)
+
+    def by_voter(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of the rows' weights for each voter."""
+        return np.bincount(self.voter, weight[self.row], self.m)
+
+    def beside(self, parent: np.ndarray) -> np.ndarray:
+        """Entries whose voter's parent votes in the same row; a parent of -1 is none."""
+        keys, at = self.row * self.m + self.voter, np.flatnonzero(parent[self.voter] >= 0)
+        wanted = self.row[at] * self.m + parent[self.voter[at]]
+        place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        return at[keys[place] == wanted]
+
+    def pairs(self, weights: tuple[np.ndarray, ...], block: int = 128, at_once: int = 32_768) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first, pairs) for each block of voters: rows of the block's voters, columns of all from ``first``
+        on, one matrix for each weighting of the rows. Never more than a block is held."""
+        order = np.argsort(self.voter, kind="stable")
+        row, voter = self.row[order], self.voter[order]
+        first = np.searchsorted(voter, np.arange(self.m + 1))
+        for begin in range(0, self.m, block):
+            end = min(begin + block, self.m)
+            own = slice(first[begin], first[end])
+            dense = np.zeros((self.n, end - begin), np.float32)
+            dense[row[own], voter[own] - begin] = 1
+            out = [np.zeros((end - begin, self.m - begin)) for _ in weights]
+            for a in range(first[begin], len(row), at_once):
+                part = slice(a, min(a + at_once, len(row)))
+                starts = np.flatnonzero(np.append(True, np.diff(voter[part]) > 0))
+                seen, who = dense[row[part]], voter[part][starts] - begin
+                for total, w in zip(out, weights):
+                    total[:, who] += np.add.reduceat(seen * w[row[part], None], starts, axis=0).T
+            yield begin, out
+
+
+def spanning(edges: list[tuple[int, int, float, float]]) -> list[tuple[int, int, float, float]]:
+    """The maximum spanning forest of edges (a, b, information, correlation); ties by a, then b."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for e in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = find(e[0]), find(e[1])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(e)
+    return kept
+
+
 class LabelModel:
     """Binary voters of a latent class: in each class, a forest of dependences between them.
 
     ``hit`` and ``false`` are how often each votes in the two classes; ``edges`` are (voter, voter it
-    depends on); ``posterior`` is each row's probability of class 1. ``gold`` is 1, 0 or -1 (not known).
+    depends on); ``correlation`` tells how votes at the ends of an edge are correlated within the
+    classes; ``posterior`` is each row's probability of class 1. ``gold`` is 1, 0 or -1 (not known).
+
+    Pairs of voters are counted by blocks of voters, and only a spanning forest is kept of each block, so
+    memory grows with the votes and with the voters, not with the voters' square.
     """
 
-    def __init__(self, votes: np.ndarray, gold: np.ndarray, rounds: int = 25, prior: float = 1.0, tied: float = 0.2):
+    def __init__(self, votes: Votes | np.ndarray, gold: np.ndarray, rounds: int = 25, prior: float = 1.0, tied: float = 0.2):
+        votes = votes if isinstance(votes, Votes) else Votes.of(votes)
         # rows of equal votes are worked on once
-        rows = np.concatenate([np.packbits(votes, 1), (gold + 1).astype(np.uint8)[:, None]], 1)
-        _, at, place, times = np.unique(rows, axis=0, return_index=True, return_inverse=True, return_counts=True)
-        v, gold, place, n = votes[at].astype(np.float32), gold[at], place.reshape(-1), times.astype(float)
+        ends = np.cumsum(votes.count)
+        rows = [votes.voter[e - k : e] for e, k in zip(ends.tolist(), votes.count.tolist())]
+        place, at = np.zeros(votes.n, np.int64), {}
+        for i, (voters, g) in enumerate(zip(rows, gold.tolist())):
+            place[i] = at.setdefault((voters.tobytes(), g), len(at))
+        _, chosen, times = np.unique(place, return_index=True, return_counts=True)
+        v, gold, n = Votes([rows[i] for i in chosen.tolist()], votes.m), gold[chosen], times.astype(float)
         given, known = (gold == 1) * n, (gold >= 0) * n
-        self.prior, self.total = prior, n.sum()
-        self.all_pairs = ((v * n[:, None].astype(np.float32)).T @ v).astype(float)
+        self.prior, self.total, self.m, self.all = prior, n.sum(), v.m, v.by_voter(n)
+        self.edges: list[tuple[int, int]] = []
         # before anything is counted, the given label is believed, and votes where there is none
-        q = np.where(gold >= 0, np.where(gold == 1, 0.9, 0.02), np.clip(0.02 + 0.45 * v.sum(1), 0.02, 0.95))
+        q = np.where(gold >= 0, np.where(gold == 1, 0.9, 0.02), np.clip(0.02 + 0.45 * v.count, 0.02, 0.95))
         for k in range(rounds):
             w = q * n
             self.count(v, w)
             if k % 5 == 0:
-                self.edges = self.forest(tied)
+                self.edges = self.forest(v, w, n, tied)
+                both = v.beside(self.parent)
+                self.all_both = np.bincount(v.voter[both], n[v.row[both]], v.m)
+            up = np.bincount(v.voter[both], w[v.row[both]], v.m)
+            self.both = [up, np.maximum(self.all_both - up, 0.0)]
             self.share = float(np.clip(w.sum() / self.total, 1e-4, 1 - 1e-4))
             right = (q * given).sum(), ((1 - q) * given).sum()
             self.gold = np.clip((right[0] + prior) / ((q * known).sum() + 2 * prior), 1e-3, 1 - 1e-3), np.clip((right[1] + 0.1 * prior) / (((1 - q) * known).sum() + 2 * prior), 1e-5, 1 - 1e-3)
@@ -135,70 +215,68 @@ class LabelModel:
                 break
         self.posterior = q[place]
 
-    def count(self, v: np.ndarray, w: np.ndarray) -> None:
-        """Rows, votes and pairs of votes in each class; ``w`` is the weight of each row in class 1."""
+    def count(self, v: Votes, w: np.ndarray) -> None:
+        """Rows and votes in each class; ``w`` is the weight of each row in class 1."""
         self.size = w.sum(), self.total - w.sum()
-        up = ((v * w[:, None].astype(np.float32)).T @ v).astype(float)
-        self.pairs = [up, np.maximum(self.all_pairs - up, 0.0)]
-        self.hit = np.clip((np.diag(self.pairs[0]) + self.prior) / (self.size[0] + 2 * self.prior), 1e-4, 1 - 1e-4)
-        self.false = np.clip((np.diag(self.pairs[1]) + 0.1 * self.prior) / (self.size[1] + 2 * self.prior), 1e-6, 1 - 1e-4)
+        up = v.by_voter(w)
+        self.votes = [up, np.maximum(self.all - up, 0.0)]
+        self.hit = np.clip((up + self.prior) / (self.size[0] + 2 * self.prior), 1e-4, 1 - 1e-4)
+        self.false = np.clip((self.votes[1] + 0.1 * self.prior) / (self.size[1] + 2 * self.prior), 1e-6, 1 - 1e-4)
 
     def tables(self, i: np.ndarray, j: np.ndarray, strength: float = 4.0) -> list[np.ndarray]:
-        """For each class, P(voter i votes | voter j does not, does), drawn towards how often i votes at all."""
+        """For each class, P(voter i votes | voter j, its parent, does not, does), drawn towards how often i votes at all."""
         out = []
-        for size, pairs, alone in zip(self.size, self.pairs, (self.hit, self.false)):
-            with_j, both, all_i = pairs[j, j], pairs[i, j], pairs[i, i]
+        for size, votes, pairs, alone in zip(self.size, self.votes, self.both, (self.hit, self.false)):
+            with_j, both, all_i = votes[j], pairs[i], votes[i]
             given = [((all_i - both), size - with_j), (both, with_j)]
             out.append(np.stack([np.clip((n + strength * alone[i]) / (np.maximum(d, 0) + strength), 1e-6, 1 - 1e-6) for n, d in given]))
         return out
 
-    def forest(self, tied: float) -> list[tuple[int, int]]:
+    def forest(self, v: Votes, w: np.ndarray, n: np.ndarray, tied: float) -> list[tuple[int, int]]:
         """The maximum spanning forest, by conditional mutual information, of voters whose votes are correlated within the classes."""
-        m = len(self.hit)
-        total, rest, spread = np.zeros((m, m)), np.zeros((m, m)), np.zeros(m)
-        for size, pairs in zip(self.size, self.pairs):
-            p = np.clip(np.diag(pairs) / max(size, 1e-9), 1e-9, 1 - 1e-9)
-            both = pairs / max(size, 1e-9)
-            rest += size * (both - np.outer(p, p))
-            spread += size * p * (1 - p)
-            for joint, a, b in ((both, p, p), (p[:, None] - both, p, 1 - p), (p[None, :] - both, 1 - p, p), (1 - p[:, None] - p[None, :] + both, 1 - p, 1 - p)):
-                joint = np.maximum(joint, 1e-12)
-                total += size * joint * np.log(joint / np.outer(a, b))
-        self.correlation = rest / np.sqrt(np.outer(spread, spread))
-        a, b = np.nonzero(np.triu(np.abs(self.correlation) > tied, 1))
-        root = list(range(m))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        linked: list[list[int]] = [[] for _ in range(m)]
-        for k in np.lexsort([b, a, -total[a, b]]):
-            x, y = find(int(a[k])), find(int(b[k]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                linked[a[k]].append(int(b[k]))
-                linked[b[k]].append(int(a[k]))
-        edges, seen = [], [False] * m
-        for start in range(m):
-            stack = [] if seen[start] else [start]
-            seen[start] = True
+        p = [np.clip(x / max(size, 1e-9), 1e-9, 1 - 1e-9) for size, x in zip(self.size, self.votes)]
+        spread = sum(size * x * (1 - x) for size, x in zip(self.size, p))
+        kept: list[tuple[int, int, float, float]] = []
+        for begin, (up, every) in v.pairs((w, n)):
+            rows, columns = slice(begin, begin + len(up)), slice(begin, self.m)
+            both = [x / max(size, 1e-9) for size, x in zip(self.size, (up, np.maximum(every - up, 0.0)))]
+            rest = sum(size * (x - np.outer(y[rows], y[columns])) for size, x, y in zip(self.size, both, p))
+            correlation = rest / np.sqrt(np.outer(spread[rows], spread[columns]))
+            a, b = np.nonzero(np.triu(np.abs(correlation) > tied, 1))
+            told = np.zeros(len(a))
+            for size, x, y in zip(self.size, both, p):
+                x, s, t = x[a, b], y[rows][a], y[columns][b]
+                for joint, f, g in ((x, s, t), (s - x, s, 1 - t), (t - x, 1 - s, t), (1 - s - t + x, 1 - s, 1 - t)):
+                    joint = np.maximum(joint, 1e-12)
+                    told += size * joint * np.log(joint / (f * g))
+            kept = spanning(kept + list(zip((a + begin).tolist(), (b + begin).tolist(), told.tolist(), correlation[a, b].tolist())))
+        self.correlation = {e: c for x, y, _, c in kept for e in ((x, y), (y, x))}
+        linked: dict[int, list[int]] = {}
+        for x, y, _, _ in kept:
+            linked.setdefault(x, []).append(y)
+            linked.setdefault(y, []).append(x)
+        edges, self.parent = [], np.full(self.m, -1)
+        seen: set[int] = set()
+        for start in sorted(linked):
+            stack = [] if start in seen else [start]
+            seen.add(start)
             while stack:
                 x = stack.pop()
                 for y in linked[x]:
-                    if not seen[y]:
-                        seen[y] = True
+                    if y not in seen:
+                        seen.add(y)
                         edges.append((y, x))
+                        self.parent[y] = x
                         stack.append(y)
         return edges
 
-    def evidence(self, v: np.ndarray) -> np.ndarray:
+    def evidence(self, v: Votes | np.ndarray) -> np.ndarray:
         """The votes' log likelihood ratio of the two classes, per row."""
+        v = v if isinstance(v, Votes) else Votes.of(v)
         lone, off = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
         linear, constant = lone - off, off.sum()
         if not self.edges:
-            return constant + v @ linear.astype(np.float32)
+            return constant + v.by_row(linear)
         i, j = np.array(self.edges).T
         up, down = self.tables(i, j)
         # log ratios of the four cases of (voter j, voter i)
@@ -206,45 +284,95 @@ class LabelModel:
         constant += (r[0, 0] - off[i]).sum()
         linear[i] += r[0, 1] - r[0, 0] - (lone - off)[i]
         np.add.at(linear, j, r[1, 0] - r[0, 0])
-        return constant + v @ linear.astype(np.float32) + (v[:, i] * v[:, j]) @ (r[1, 1] - r[1, 0] - r[0, 1] + r[0, 0]).astype(np.float32)
+        together = np.zeros(self.m)
+        together[i] = r[1, 1] - r[1, 0] - r[0, 1] + r[0, 0]
+        both = v.beside(self.parent)
+        return constant + v.by_row(linear) + np.bincount(v.row[both], together[v.voter[both]], v.n)
+
+
+class Inputs:
+    """Inputs of the classifier: for each row its voting terms, and some numbers beside them."""
+
+    def __init__(self, votes: Votes, more: np.ndarray):
+        self.votes, self.more = votes, more
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self.votes.by_row(w[: self.votes.m]) + self.more @ w[self.votes.m :]
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.votes.by_voter(r), self.more.T @ r])
+
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        share = self.votes.by_voter(np.ones(self.votes.n)) / max(self.votes.n, 1)
+        return np.concatenate([share, self.more.mean(0)]), np.concatenate([np.sqrt(share * (1 - share)), self.more.std(0)])
+
+    def squares(self, d: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.votes.by_voter(d), (self.more * self.more).T @ d])
 
 
 class Linear:
-    """Logistic regression by Newton's method on standardised inputs (in single precision, solved in double)."""
+    """Logistic regression on standardised inputs by Newton's method, whose steps are solved by conjugate
+    gradients: only products with the inputs are taken, and no matrix of their pairs is held."""
+
+    def __init__(self, x: Inputs, y: np.ndarray, ridge: float = 2.0, rounds: int = 25):
+        mean, scale = x.moments()
+        scale = scale + 1e-3
+        size = len(scale)
+        penalty = np.append(np.full(size, ridge), 1e-6)
+
+        def times(w: np.ndarray) -> np.ndarray:
+            v = w[:-1] / scale
+            return x.times(v) + (w[-1] - v @ mean)
+
+        def transposed(r: np.ndarray) -> np.ndarray:
+            total = r.sum()
+            return np.append((x.transposed(r) - mean * total) / scale, total)
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 25):
-        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
-        z = np.ones((len(x), x.shape[1] + 1), np.float32)
-        z[:, :-1] = (x - self.mean.astype(np.float32)) / self.scale.astype(np.float32)
-        w = np.zeros(z.shape[1])
+        w = np.zeros(size + 1)
         w[-1] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4))
-        penalty = np.full(len(w), ridge)
-        penalty[-1] = 1e-6
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip((z @ w.astype(np.float32)).astype(float), -30, 30)))
-            h = ((z * (p * (1 - p) + 1e-6)[:, None].astype(np.float32)).T @ z).astype(float) + np.diag(penalty)
-            step = np.linalg.solve(h, (z.T @ (y - p).astype(np.float32)).astype(float) - penalty * w)
+            p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+            d = p * (1 - p) + 1e-6
+            curved = np.append((x.squares(d) - 2 * mean * x.transposed(d) + mean * mean * d.sum()) / (scale * scale), d.sum()) + penalty
+            step = conjugate(lambda s: transposed(d * times(s)) + penalty * s, transposed(y - p) - penalty * w, np.maximum(curved, 1e-9))
             w += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
             if np.abs(step).max() < 1e-4:
                 break
-        self.w, self.b = w[:-1] / self.scale, float(w[-1] - (w[:-1] * self.mean / self.scale).sum())
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30)))
-
-
-def inputs(hits: list[Counter], patterns: np.ndarray, strength: np.ndarray) -> np.ndarray:
+        self.w, self.b = w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
+
+    def score(self, x: Inputs) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x.times(self.w) + self.b, -30, 30)))
+
+
+def conjugate(times: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, diagonal: np.ndarray, within: float = 1e-10, rounds: int = 2000) -> np.ndarray:
+    """Solves a positive definite system by conjugate gradients, preconditioned by its diagonal."""
+    s, r = np.zeros_like(wanted), wanted.copy()
+    z = r / diagonal
+    p, rz = z.copy(), r @ z
+    least = within * within * rz
+    for _ in range(rounds):
+        if rz <= least or rz == 0:
+            break
+        hp = times(p)
+        a = rz / (p @ hp)
+        s, r = s + a * p, r - a * hp
+        z = r / diagonal
+        before, rz = rz, r @ z
+        p = z + rz / before * p
+    return s
+
+
+def inputs(hits: list[Counter], patterns: np.ndarray, strength: np.ndarray) -> Inputs:
     """Inputs of the classifier: per document one for each voting term, the sum and the largest of its
     terms' log odds, the number of different terms and of hits, and the pattern values on a logarithmic scale."""
-    m = len(strength)
-    out = np.zeros((len(hits), m + 4 + patterns.shape[1]), np.float32)
+    voters, more = [], np.zeros((len(hits), 4 + patterns.shape[1]))
     for i, c in enumerate(hits):
+        which = np.array(sorted(c), np.int64)
+        voters.append(which)
         if c:
-            which = list(c)
-            out[i, which] = 1
-            out[i, m : m + 4] = np.clip(strength[which].sum(), -50, 50), np.clip(strength[which].max(), -50, 50), np.log1p(len(c)), np.log1p(sum(c.values()))
-    out[:, m + 4 :] = np.log1p(patterns)
-    return out
+            more[i, :4] = np.clip(strength[which].sum(), -50, 50), np.clip(strength[which].max(), -50, 50), np.log1p(len(c)), np.log1p(sum(c.values()))
+    more[:, 4:] = np.log1p(patterns)
+    return Inputs(Votes(voters, len(strength)), more)
 
 
 class Model:
@@ -337,26 +465,24 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
         of = Terms(names)
         for batch in slices(batches):
             seen = [described(t or "", of) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(c) for c, _ in seen], pa.list_(pa.int32())), pa.array([[c[k] for k in sorted(c)] for c, _ in seen], pa.list_(pa.int32())), pa.array([p for _, p in seen], pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["terms", "counts", "patterns", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(c) for c, _ in seen], pa.list_(pa.int32())), pa.array([[c[k] for k in sorted(c)] for c, _ in seen], pa.list_(pa.int32())), pa.array([p for _, p in seen], pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32()), batch.column("key")], names=["terms", "counts", "patterns", "toxic", "key"])
 
-    table_ = sample.mapInArrow(votes, "terms ARRAY<INT>, counts ARRAY<INT>, patterns ARRAY<DOUBLE>, toxic INT").toPandas() if positives and negatives else None
+    keyed = sample.withColumn("key", F.xxhash64("text"))
+    table_ = keyed.mapInArrow(votes, "terms ARRAY<INT>, counts ARRAY<INT>, patterns ARRAY<DOUBLE>, toxic INT, key BIGINT").toPandas() if positives and negatives else None
     if table_ is None:
         strength = np.full(len(names), 3.0)
-        linear = Linear(np.zeros((2, len(names) + 4 + len(PATTERNS)), np.float32), np.array([0.0, 0.0]))
+        linear = Linear(inputs([Counter(), Counter()], np.zeros((2, len(PATTERNS))), strength), np.array([0.0, 0.0]))
         linear.w, linear.b = np.concatenate([np.zeros(len(names)), [0.8, 0.0, 0.0, 0.0, 0.0, 0.3, 0.8, 0.0, 0.3]]), -3.5
         return Model(names, strength, linear)
-    order = np.lexsort([table_["patterns"].map(tuple).map(hash), table_["toxic"]])  # the result must not depend on the order of rows
-    table_ = table_.iloc[order]
+    table_ = table_.sort_values(["toxic", "key"], kind="stable")  # the result must not depend on the order of rows
     hits = [Counter(dict(zip(t, c))) for t, c in zip(table_["terms"], table_["counts"])]
     patterns, gold_ = np.stack(table_["patterns"].to_list()), table_["toxic"].to_numpy(int)
-    matrix = np.zeros((len(hits), len(names)), bool)
-    for i, c in enumerate(hits):
-        matrix[i, list(c)] = True
-    used = matrix.any(0)
-    votes_ = np.concatenate([matrix[:, used], pattern_votes(patterns)], 1)
-    model = LabelModel(votes_, gold_)
+    used = np.zeros(len(names), bool)
+    for c in hits:
+        used[list(c)] = True
+    m, number, by_pattern = int(used.sum()), np.cumsum(used) - 1, pattern_votes(patterns)
+    model = LabelModel(Votes([np.concatenate([number[sorted(c)], m + np.flatnonzero(x)]) for c, x in zip(hits, by_pattern)], m + by_pattern.shape[1]), gold_)
     strength = np.zeros(len(names))
-    m = int(used.sum())
     strength[used] = np.log(model.hit[:m] / model.false[:m]).clip(-1, 12)
     strength[~used] = 1.0
     return Model(names, strength, Linear(inputs(hits, patterns, strength), model.posterior))

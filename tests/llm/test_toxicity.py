@@ -104,3 +104,74 @@ def test_odd_columns_and_long_texts(spark):
     kept = tox.keep_clean(docs, spark.createDataFrame(labels, "doc_id BIGINT, toxic INT"))
     assert kept.columns == docs.columns
     assert {(k.score, k["__text"], k["__score"]) for k in kept.select("score", "__text", "__score").collect()} == {(1.5, "t", 7)}
+
+
+def test_five_thousand_voters_stay_within_a_driver():
+    """Memory of the label model and the classifier at 24,000 rows; no matrix of pairs of voters is held."""
+    import tracemalloc
+    from collections import Counter
+
+    r, n, m = np.random.default_rng(1), 24_000, 5_000
+    y = r.random(n) < 0.15
+    hits = [Counter((a + r.integers(0, 2)) % m for a in r.integers(0, m, r.poisson(30 if t else 0.4)).tolist() for _ in range(2)) for t in y]
+    tracemalloc.start()
+    votes = tox.Votes([np.array(sorted(c), np.int64) for c in hits], m)
+    model = tox.LabelModel(votes, np.where(r.random(n) < 0.97, y, ~y).astype(int), rounds=2)
+    linear = tox.Linear(tox.inputs(hits, np.zeros((n, 5)), r.random(m)), model.posterior)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and len(linear.w) == m + 9 and ((model.posterior > 0.5) == y).mean() > 0.97
+
+
+def test_pairs_by_blocks_and_spanning_forest_against_dense():
+    """Pairs of votes, tied pairs that never vote together among them, and the forest of a dense computation."""
+    r = np.random.default_rng(6)
+    a = r.random(400) < 0.5
+    votes = np.stack([a, ~a & (r.random(400) < 0.9), *(np.where(r.random(400) < 0.8, a, r.random(400) < 0.3) for _ in range(4)), *(r.random((5, 400)) < 0.2)], 1)
+    w = r.random(400)
+    for block in (1, 3, 64):
+        whole = np.zeros((2, 11, 11))
+        for begin, parts in tox.Votes.of(votes).pairs((w, np.ones(400)), block, at_once=50):
+            for k, x in enumerate(parts):
+                whole[k, begin : begin + len(x), begin:] = x
+        assert np.allclose(np.triu(whole[0]), np.triu((votes * w[:, None]).T @ votes)) and np.allclose(np.triu(whole[1]), np.triu(votes.T.astype(float) @ votes))
+    m = tox.LabelModel(votes, np.full(400, -1), rounds=1)
+    q = np.clip(0.02 + 0.45 * votes.sum(1), 0.02, 0.95)
+    told, tie = np.zeros((11, 11)), np.zeros((11, 11))
+    spread = np.zeros(11)
+    for u in (q, 1 - q):
+        p = (votes * u[:, None]).sum(0) / u.sum()
+        spread += u.sum() * p * (1 - p)
+        for i in range(11):
+            for j in range(11):
+                tie[i, j] += (u * votes[:, i] * votes[:, j]).sum() - u.sum() * p[i] * p[j]
+                for x in (0, 1):
+                    for z in (0, 1):
+                        joint = u[(votes[:, i] == x) & (votes[:, j] == z)].sum() / u.sum()
+                        told[i, j] += u.sum() * max(joint, 1e-12) * np.log(max(joint, 1e-12) / ((p[i] if x else 1 - p[i]) * (p[j] if z else 1 - p[j])))
+    tie /= np.sqrt(np.outer(spread, spread))
+    root, want = list(range(11)), set()
+    for i, j in sorted(((i, j) for i in range(11) for j in range(i + 1, 11) if abs(tie[i, j]) > 0.2), key=lambda e: -told[e]):
+        if root[i] != root[j]:
+            root = [root[i] if x == root[j] else x for x in root]
+            want.add(frozenset((i, j)))
+    assert frozenset((0, 1)) in want and {frozenset(e) for e in m.edges} == want
+    assert all(np.isclose(m.correlation[e], tie[e], atol=1e-5) for e in m.edges)
+
+
+def test_classifier_against_dense_newton():
+    from collections import Counter
+
+    r = np.random.default_rng(8)
+    hits = [Counter(r.integers(0, 40, r.poisson(3)).tolist()) for _ in range(800)]
+    x = tox.inputs(hits, r.random((800, 5)), r.normal(size=40))
+    y = np.array([0.95 if c[3] or c[7] else 0.05 for c in hits])
+    got = tox.Linear(x, y)
+    dense = np.concatenate([np.array([[float(k in c) for k in range(40)] for c in hits]), x.more], 1)
+    mean, scale = dense.mean(0), dense.std(0) + 1e-3
+    z, w = np.append((dense - mean) / scale, np.ones((800, 1)), 1), np.zeros(50)
+    penalty = np.append(np.full(49, 2.0), 1e-6)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+    assert np.allclose(got.score(x), 1 / (1 + np.exp(-z @ w)), atol=1e-5)
