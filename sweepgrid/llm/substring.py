@@ -12,7 +12,7 @@ sequence of words, also starts in a document with a smaller ``doc_id``.
    the shuffle, their votes are merged per task.
 3. Automata. Each task streams its segments in key order. Keys are gathered into shards of bounded
    size; in a shard the exact windows that occur in two documents are confirmed, compiled into an
-   Aho-Corasick automaton (a word is one letter of the shard's own alphabet) and every segment is
+   Aho-Corasick automaton (a word is one letter of the shard's own alphabet, or two past a million words) and every segment is
    run through it to locate every occurrence. Results are ranges of words per document.
 
 No text meets more than the shards that can hold its phrases, so the work grows with the input.
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import ahocorasick
 import numpy as np
@@ -49,6 +49,8 @@ SALT_BITS, MOST_BITS = 3, 20
 SHARD_SEGMENTS = 20_000
 #: Windows of one segment at most; longer runs are cut.
 RUN = 64
+#: Words of a shard that are one character: all but the surrogates and the last plane.
+SINGLE = 0x100000 - 0x801
 _WINDOW_SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -151,6 +153,15 @@ def _segments(window: int, phrase: int):
     return work
 
 
+def letter(n: int) -> str:
+    """The n-th word of a shard as text: one character for the first million, two beyond. Leading and following
+    characters of two are used for nothing else, so a match begins and ends with whole words."""
+    if n < SINGLE:
+        return chr(n + 1 if n < 0xD7FF else n + 0x801)
+    lead, follow = divmod(n - SINGLE, 0x8000)
+    return chr(0x100000 + lead) + chr(0x108000 + follow)
+
+
 class Shard:
     """Segments of some keys; ``compile`` confirms the windows that recur and builds the automaton."""
 
@@ -161,20 +172,21 @@ class Shard:
         self.seen: dict[str, list[int]] = {}
         self.automaton = None
 
-    def letters(self, seg: bytes) -> str:
+    def letters(self, seg: bytes) -> list[str]:
         out = []
         for w in seg.split(b" "):
             c = self.alphabet.get(w)
             if c is None:
-                n = len(self.alphabet) + 1
-                c = self.alphabet[w] = chr(n if n < 0xD800 else n + 0x800)
+                c = self.alphabet[w] = letter(len(self.alphabet))
             out.append(c)
-        return "".join(out)
+        return out
 
     def vote(self, seg: bytes, low: int, high: int) -> None:
-        s, n = self.letters(seg), self.window
-        for i in range(len(s) - n + 1):
-            v = self.seen.get(w := s[i : i + n])
+        words, n = self.letters(seg), self.window
+        s = "".join(words)
+        single = len(s) == len(words)
+        for i in range(len(words) - n + 1):
+            v = self.seen.get(w := s[i : i + n] if single else "".join(words[i : i + n]))
             if v is None:
                 self.seen[w] = [low, high]
             else:
@@ -202,10 +214,14 @@ class Shard:
         """(doc, th, first word, after the last word) of what goes in each place of a segment."""
         if not len(self.automaton):
             return
-        n = self.window
-        hits = [(end - n + 1, first) for end, first in self.automaton.iter(self.letters(seg))]
+        n, words = self.window, self.letters(seg)
+        s = "".join(words)
+        hits = [(end - n + 1, first) for end, first in self.automaton.iter(s)]
         if not hits:
             return
+        if len(s) > len(words):
+            ends = {end: k for k, end in enumerate(accumulate(map(len, words)))}
+            hits = [(ends[at + n] - n + 1, first) for at, first in hits]
         lowest = min(f for _, f in hits)
         for doc, th, start in where:
             if doc <= lowest:
