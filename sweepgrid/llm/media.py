@@ -2,11 +2,12 @@
 
 Each payload is stored losslessly as an 8-bit greyscale PNG of 64 samples a row, packed with
 others into ZIP archives (members are stored, the PNG itself is compressed). The data source
-``archive_media`` plans partitions as byte ranges of the archives from their sizes alone, of those
-that a manifest (a Parquet table of archive, members, bytes) names or of all in a folder: a reader
-takes the members whose local header begins in its range, found in the archive's own directory. It
-streams them as Arrow record batches bounded in bytes, and reads each member by its offset with
-retries of its own, so one bad member never costs the others.
+``archive_media`` plans partitions as byte ranges of archives: of those that a manifest names, by
+its stretches (a Parquet table of archive, begin, upto and the part of the archive's directory that
+lists the members between), or of all in a folder, by their sizes. A reader opens its archive once,
+takes the members whose local header begins in its range and streams them as Arrow record batches
+bounded in bytes. It reads each member by its offset with retries of its own, for which alone the
+archive is opened anew, so one bad member never costs the others.
 
 Defined cases: a null payload text counts as empty; payloads are padded with zero bytes to a
 positive multiple of 64 and the length before that is kept in the image (chunk ``noTe``); equal
@@ -99,6 +100,8 @@ class ArchiveWriter:
         fs, path = open_fs(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out, self.at, self.entries = fs.open_output_stream(path, compression=None), 0, []
+        #: (begin, end, begin and end in the directory) of stretches of members, once closed.
+        self.stretches: list[tuple[int, int, int, int]] = []
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -109,11 +112,15 @@ class ArchiveWriter:
         self.entries.append((raw, crc, len(data), self.at))
         self._put(struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0x800, 0, 0, 33, crc, len(data), len(data), len(raw), 0) + raw + data)
 
-    def close(self) -> None:
-        begin = self.at
+    def close(self, range_bytes: int = 64 << 20) -> None:
+        """Write the directory; a stretch of members, each of about ``range_bytes``, is told with its part of the directory."""
+        begin, cuts = self.at, []
         for raw, crc, size, at in self.entries:
+            if not cuts or at - cuts[-1][0] >= range_bytes:
+                cuts.append((at, self.at))
             extra = struct.pack("<HHQ", 1, 8, at)
             self._put(struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + raw + extra)
+        self.stretches = [(at, to, part, part_end) for (at, part), (to, part_end) in zip(cuts, [*cuts[1:], (begin, self.at)])]
         size, n, where = self.at - begin, len(self.entries), self.at
         self._put(struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, n, n, size, begin))
         self._put(struct.pack("<IIQI", 0x07064B50, 0, where, 1))
@@ -134,8 +141,13 @@ def directory(file: pa.NativeFile) -> Iterator[tuple[str, int, int, int]]:
     if locator >= 0 and (0xFFFF in (n,) or 0xFFFFFFFF in (size, begin)):
         where = struct.unpack_from("<Q", tail, locator + 8)[0]
         n, size, begin = struct.unpack_from("<QQQ", file.read_at(56, where), 32)
-    data, at = file.read_at(size, begin), 0
-    for _ in range(n):
+    yield from members_of(file.read_at(size, begin))
+
+
+def members_of(data: bytes) -> Iterator[tuple[str, int, int, int]]:
+    """(name, crc, size, offset of the local header) of each member that a part of a directory lists."""
+    at = 0
+    while at < len(data):
         crc, _, plain, name_size, extra_size, note_size = struct.unpack_from("<IIIHHH", data, at + 16)
         offset = struct.unpack_from("<I", data, at + 42)[0]
         name = data[at + 46 : at + 46 + name_size].decode()
@@ -146,10 +158,27 @@ def directory(file: pa.NativeFile) -> Iterator[tuple[str, int, int, int]]:
 
 
 class ByteRange(InputPartition):
-    """The members of ``archive`` whose local header begins in [begin, end)."""
+    """The members of ``archive`` whose local header begins in [begin, end); ``listed`` is where its directory lists them, if known."""
+
+    def __init__(self, archive: str, begin: int, end: int, listed: tuple[int, int] | None = None):
+        self.archive, self.begin, self.end, self.listed = archive, begin, end, listed
+
+
+class Handle:
+    """An archive opened once for a range of its members, and anew after a failure only."""
 
-    def __init__(self, archive: str, begin: int, end: int):
-        self.archive, self.begin, self.end = archive, begin, end
+    def __init__(self, fs: pafs.FileSystem, archive: str):
+        self.fs, self.archive, self.file = fs, archive, None
+
+    def read_at(self, size: int, offset: int) -> bytes:
+        if self.file is None:
+            self.file = self.fs.open_input_file(self.archive)
+        return self.file.read_at(size, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            file, self.file = self.file, None
+            file.close()
 
 
 class ArchiveReader(DataSourceReader):
@@ -160,46 +189,60 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        """A row of the manifest, or a file of the folder, for each archive: bounded by archives, not members."""
+        """A stretch of the manifest, or ``range_bytes`` of a file of the folder, for each range: bounded by bytes, not members."""
         if self.manifest is not None:
             fs, path = open_fs(self.manifest)
-            rows = pq.read_table(path, filesystem=fs, columns=["archive", "bytes"])
-            found = [(open_fs(a)[1], n) for a, n in zip(rows["archive"].to_pylist(), rows["bytes"].to_pylist())]
-        else:
-            fs, path = open_fs(self.folder)
-            info = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
-            found = [(x.path, x.size) for x in info if x.type == pafs.FileType.File and x.path.endswith(".zip")]
+            rows = pq.read_table(path, filesystem=fs, columns=["archive", "begin", "upto", "listed", "listed_end"])
+            out = [ByteRange(open_fs(a)[1], begin, end, (x, y)) for a, begin, end, x, y in sorted(zip(*(c.to_pylist() for c in rows.columns)))]
+            return out or [ByteRange("", 0, 0)]
+        fs, path = open_fs(self.folder)
+        info = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
+        found = [(x.path, x.size) for x in info if x.type == pafs.FileType.File and x.path.endswith(".zip")]
         out = [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in sorted(found) for at in range(0, size, self.range_bytes)]
         return out or [ByteRange("", 0, 0)]
 
-    def member(self, fs: pafs.FileSystem, archive: str, offset: int, size: int, crc: int) -> tuple[bytes | None, int, str | None]:
-        """(bytes, attempts, error) of one member: each attempt opens the archive anew at the offset."""
+    def member(self, file: Handle, offset: int, size: int, crc: int) -> tuple[bytes | None, int, str | None]:
+        """(bytes, attempts, error) of one member: after a failed attempt the archive is opened anew at the offset."""
         error = None
         for attempt in range(1, self.retries + 2):
             try:
-                with fs.open_input_file(archive) as file:
-                    head = file.read_at(30, offset)
-                    magic, name_size, extra_size = struct.unpack_from("<I", head)[0], *struct.unpack_from("<HH", head, 26)
-                    if magic != 0x04034B50:
-                        raise ValueError("no member begins here")
-                    data = file.read_at(size, offset + 30 + name_size + extra_size)
+                head = file.read_at(30, offset)
+                magic, name_size, extra_size = struct.unpack_from("<I", head)[0], *struct.unpack_from("<HH", head, 26)
+                if magic != 0x04034B50:
+                    raise ValueError("no member begins here")
+                data = file.read_at(size, offset + 30 + name_size + extra_size)
                 if len(data) != size or zlib.crc32(data) != crc:
                     raise ValueError("member is damaged")
                 return data, attempt, None
             except (OSError, ValueError, struct.error) as e:
                 error = f"{type(e).__name__}: {e}"
+                file.close()
                 time.sleep(min(1.0, 0.05 * 2 ** (attempt - 1)) if attempt <= self.retries else 0)
         return None, self.retries + 1, error
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        fs, _ = open_fs(self.folder)
-        with fs.open_input_file(partition.archive) as file:
-            members = sorted((o, n, c, s) for n, c, s, o in directory(file) if partition.begin <= o < partition.end)
+        file = Handle(open_fs(self.folder)[0], partition.archive)
+        try:
+            yield from self.members(file, partition)
+        finally:
+            file.close()
+
+    def listed(self, file: Handle, partition: ByteRange) -> list[tuple[int, str, int, int]]:
+        """(offset, name, crc, size) of the range's members, from its part of the directory where that is known."""
+        if partition.listed is None:
+            with file.fs.open_input_file(partition.archive) as whole:
+                found = list(directory(whole))
+        else:
+            begin, end = partition.listed
+            found = members_of(file.read_at(end - begin, begin))
+        return sorted((o, n, c, s) for n, c, s, o in found if partition.begin <= o < partition.end)
+
+    def members(self, file: Handle, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for offset, name, crc, length in members:
-            data, attempts, error = self.member(fs, partition.archive, offset, length, crc)
+        for offset, name, crc, length in self.listed(file, partition):
+            data, attempts, error = self.member(file, offset, length, crc)
             key = name.rpartition("/")[2].removesuffix(".png")
             rows.append((partition.archive, name, None if key == "null" else int(key), offset, data, attempts, error))
             size += length
@@ -228,8 +271,9 @@ class ArchiveMedia(DataSource):
         return ArchiveReader(dict(self.options))
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> str:
-    """Encode every row's text and write archives; the path of the manifest (archive, members, bytes).
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20, range_bytes: int = 64 << 20) -> str:
+    """Encode every row's text and write archives; the path of the manifest (archive, begin, upto, listed, listed_end):
+    for each stretch of about ``range_bytes`` of an archive, where its members are and where the directory lists them.
 
     A repeated task writes archives of its own below ``attempts``; the manifest names those that count.
     """
@@ -238,8 +282,9 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20)
         attempt, n, seq, writer = uuid.uuid4().hex, 0, 0, None
 
         def closed() -> pa.RecordBatch:
-            writer.close()
-            return pa.RecordBatch.from_pydict({"archive": [writer.uri], "members": [len(writer.entries)], "bytes": [writer.at]})
+            writer.close(range_bytes)
+            columns = zip(*((writer.uri, *x) for x in writer.stretches))
+            return pa.RecordBatch.from_pydict(dict(zip(("archive", "begin", "upto", "listed", "listed_end"), map(list, columns))))
 
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
@@ -259,12 +304,12 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 256 << 20)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = f"{folder}-manifest"
-    rows.mapInArrow(write, "archive STRING, members BIGINT, bytes BIGINT").write.parquet(path)
+    rows.mapInArrow(write, "archive STRING, begin BIGINT, upto BIGINT, listed BIGINT, listed_end BIGINT").write.parquet(path)
     return path
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: str | None = None, **options) -> DataFrame:
-    """All members below ``folder``; with a manifest, only the archives that it names are planned."""
+    """All members below ``folder``; with a manifest, only the archives that it names are planned, by its stretches."""
     spark.dataSource.register(ArchiveMedia)
     given = options if manifest is None else options | {"manifest": manifest}
     return spark.read.format("archive_media").options(**{k: str(v) for k, v in given.items()}).load(folder)

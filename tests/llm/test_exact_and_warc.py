@@ -215,6 +215,56 @@ def test_media_members_fail_by_themselves(tmp_path):
         media.decode_png(b"none")
 
 
+def test_media_ranges_open_their_archive_once(spark, tmp_path, monkeypatch):
+    """One open a range and one more for each failed attempt; a range reads its own part of the directory."""
+    docs = spark.createDataFrame([(i, "text %d " % i * (i % 40)) for i in range(200)], "doc_id BIGINT, text STRING").coalesce(1)
+    folder = shared_folder(spark, "opened")
+    manifest = media.write_archives(docs, folder, archive_bytes=20_000, range_bytes=4000)
+    reader = media.ArchiveReader({"path": folder, "manifest": manifest, "retries": "2"})
+    plain = media.open_fs
+    opened, reads, failing = [], [], set()
+
+    class File:
+        def __init__(self, file):
+            self.file = file
+
+        def read_at(self, size, offset):
+            reads.append(size)
+            if offset in failing:
+                failing.discard(offset)
+                raise OSError("lost")
+            return self.file.read_at(size, offset)
+
+        def close(self):
+            self.file.close()
+
+    class Files:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, path):
+            opened.append(path)
+            return File(self.fs.open_input_file(path))
+
+    planned = reader.partitions()
+    monkeypatch.setattr(media, "open_fs", lambda uri: (Files(plain(uri)[0]), plain(uri)[1]))
+    assert len({p.archive for p in planned}) > 1 and len(planned) > 2 * len({p.archive for p in planned})
+    rows = [x for p in planned for b in reader.read(p) for x in b.to_pylist()]
+    assert sorted(x["doc_id"] for x in rows) == list(range(200)) and len(opened) == len(planned)
+    # for each range its part of the directory, then two reads a member
+    assert len(reads) == len(planned) + 2 * 200
+    opened.clear()
+    failing |= {rows[3]["offset"]}
+    again = [x for b in reader.read(planned[0]) for x in b.to_pylist()]
+    assert [x["attempts"] for x in again if x["offset"] == rows[3]["offset"]] == [2] and all(x["error"] is None for x in again) and len(opened) == 2
+
+
+def test_media_of_an_empty_table(spark):
+    folder = shared_folder(spark, "bare")
+    manifest = media.write_archives(spark.createDataFrame([], "doc_id BIGINT, text STRING"), folder)
+    assert media.described(media.read_archives(spark, folder, manifest)).collect() == []
+
+
 @pytest.mark.parametrize("fraction,epochs", [(1.0, 3), (0.3, 1), (9.0, 2)])
 def test_mixing_budgets(spark, fraction, epochs):
     r = random.Random(6)
