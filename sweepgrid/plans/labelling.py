@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sweepgrid.functions import geometry as geo
 from sweepgrid.operators import cluster, evaluate, frames, labelling, worldmap
-from sweepgrid.plans.detection import _E3, _PRED, _embedded
+from sweepgrid.plans.detection import _E3, _PRED, _YAW, _embedded
 from sweepgrid.plans.mapping import CAMERA, EXTRINSIC, PTS, WIDE, _cell
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
@@ -59,35 +59,57 @@ def pca3_frame(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("det", F.round(det, 6)).join(v, "label").select("label", "n", F.round("scale", 6).alias("scale"), "degenerate", "det", *[F.round(n, 6).alias(n) for n in ("along", "across", "up")])
 
 
-@_add("q_canonical_round_trip", f"WITH {_E3} SELECT label, count(*)*3 AS n, 0.0::DOUBLE AS error FROM e GROUP BY ALL")
+# headings, and the largest distance from the centre, of each cluster
+_HEADED = f"""{_E3}, {_YAW}, o AS (SELECT e.label, id, x - w.mx AS dx, y - w.my AS dy, z - avg(z) OVER (PARTITION BY e.label) AS dz, yaw FROM e JOIN yaw w ON w.label = e.label),
+g AS (SELECT *, max(sqrt(dx*dx + dy*dy + dz*dz)) OVER (PARTITION BY label) AS far FROM o)"""
+
+
+@_add("q_canonical_round_trip", f"""WITH {_HEADED} SELECT label, count(*)*3 AS n, 0.0::DOUBLE AS error, round(avg(dx/far*(id % 7)), 6) + 0.0 AS centred,
+round(avg((cos(yaw)*dx + sin(yaw)*dy)/far*(id % 7)), 6) + 0.0 AS along, round(avg((cos(yaw)*dy - sin(yaw)*dx)/far*(id % 7)), 6) + 0.0 AS aside FROM g GROUP BY ALL""")
 def canonical_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Into each of the three kinds of frame and back."""
+    """Into each of the three kinds of frame and back; and coordinates in two of them, weighted by the point's number."""
     e, out = _embedded(spark, d), None
     for mode in frames.MODES:
         f = frames.frames(e, ["label"], mode)
-        there = frames.into(e, f, ["label"]).select("label", "cx", "cy", "cz", *[F.col(c).alias(f"o{c}") for c in "xyz"])
-        miss = frames.back(there, f, ["label"]).select("label", F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in "xyz"]).alias("miss"))
-        out = miss if out is None else out.unionByName(miss)
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("miss"), 6).alias("error"))
+        there = frames.into(e, f, ["label"]).select("label", "id", "cx", "cy", "cz", *[F.col(c).alias(f"o{c}") for c in "xyz"])
+        miss = F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in "xyz"]).alias("miss")
+        part = frames.back(there, f, ["label"]).select("label", F.lit(mode).alias("mode"), miss, *[(F.col(c) * (F.col("id") % 7)).alias(c) for c in ("cx", "cy")])
+        out = part if out is None else out.unionByName(part)
+    told = {"centred": ("none", "cx"), "along": ("pca2_yaw", "cx"), "aside": ("pca2_yaw", "cy")}
+    means = [(F.round(F.avg(F.when(F.col("mode") == mode, F.col(c))), 6) + 0.0).alias(name) for name, (mode, c) in told.items()]
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("miss"), 6).alias("error"), *means)
+
 
+# rotations about the vertical by A, then about the side by B
+_TURNS = {"a_": ("(k % 8)*3/10.0", "(k % 5)/10.0"), "b_": ("(k % 11)/4.0", "(k % 3)/5.0")}
 
-_POSES2 = "o AS (SELECT a.frame, degrees(acos(least((a.r00*b.r00+a.r01*b.r01+a.r02*b.r02+a.r10*b.r10+a.r11*b.r11+a.r12*b.r12+a.r20*b.r20+a.r21*b.r21+a.r22*b.r22 - 1)/2, 1))) AS error, abs(degrees(atan2(a.r10, a.r00) - atan2(b.r10, b.r00))) AS yaw_error FROM poses a JOIN poses b ON b.frame = a.frame + 1)"
 
+def _rotation(prefix: str, end: str = "") -> list[str]:
+    """The nine numbers of a rotation, in SQL; ``end`` follows decimal numbers."""
+    a, b = (t + end for t in _TURNS[prefix])
+    nine = f"cos({a})*cos({b})", f"-sin({a})", f"cos({a})*sin({b})", f"sin({a})*cos({b})", f"cos({a})", f"sin({a})*sin({b})", f"-sin({b})", f"0.0{end}", f"cos({b})"
+    return [f"{e} AS {prefix}{r}" for r, e in zip(frames.ROTATION, nine)]
 
-@_add("q_disagreement", f"WITH {fx.poses_sql()}, {_POSES2} SELECT frame, round(error, 5) AS error, round(yaw_error, 6) AS yaw_error FROM o")
+
+_TRACE = " + ".join(f"a_{r}*b_{r}" for r in frames.ROTATION)
+
+
+@_add("q_disagreement", f"""WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k, {', '.join(_rotation('a_', '::DOUBLE') + _rotation('b_', '::DOUBLE'))} FROM p),
+t AS (SELECT k, degrees(acos(greatest(least(({_TRACE} - 1)/2, 1), -1))) AS error, abs(degrees(atan2(a_r10, a_r00) - atan2(b_r10, b_r00))) AS turn FROM r)
+SELECT k AS id, round(error, 5) AS error, round(least(turn, 360 - turn), 6) AS yaw_error FROM t""")
 def disagreement(spark: SparkSession, d: str) -> DataFrame:
-    """Angle between the rotations of each sweep and the next."""
-    p = fx.poses(spark)
-    side = lambda f, x: f.select("frame", *[F.col(r).alias(x + r) for r in frames.ROTATION])
-    both = side(p, "a_").join(side(p.withColumn("frame", F.col("frame") - 1), "b_"), "frame")
-    return both.select("frame", F.round(frames.disagreement(), 5).alias("error"), F.round(frames.yaw_disagreement(), 6).alias("yaw_error"))
+    """Angle between two rotations that follow from the number of each part."""
+    p = fx.table(spark, d, "part").selectExpr("p_partkey AS k").selectExpr("k", *_rotation("a_", "D"), *_rotation("b_", "D"))
+    return p.select(F.col("k").alias("id"), F.round(frames.disagreement(), 5).alias("error"), F.round(frames.yaw_disagreement(), 6).alias("yaw_error"))
 
 
-@_add("q_canon_study", f"WITH {_E3}, l AS (SELECT DISTINCT label FROM e) SELECT label, 4 AS trials, 0.0::DOUBLE AS error FROM l")
+@_add("q_canon_study", f"WITH {_E3}, {_YAW} SELECT label, 4 AS trials, 0.0::DOUBLE AS error, round(yaw, 6) + 0.0 AS yaw FROM yaw")
 def canon_study(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters turned about the vertical: the frame by their heading turns with them."""
-    out = frames.equivariance(_embedded(spark, d), ["label"], "pca2_yaw")
-    return out.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("trials"), F.round(F.max("error"), 3).alias("error"))
+    """Clusters turned about the vertical: the frame by their heading turns with them; and that heading."""
+    e = _embedded(spark, d)
+    out = frames.equivariance(e, ["label"], "pca2_yaw").groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("trials"), F.round(F.max("error"), 3).alias("error"))
+    heading = frames.frames(e, ["label"], "pca2_yaw").select("label", (F.round(F.atan2("r01", "r00"), 6) + 0.0).alias("yaw"))
+    return out.join(heading, "label")
 
 
 @_add("q_viewpoints")
@@ -134,15 +156,26 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "cls", *[(F.round(c, 6) + 0.0).alias(c) for c in ("ox", "oy", "oz", "sl", "sw", "sh")], "head_bin")
 
 
-@_add("q_augment", f"WITH {_E3}, c AS (SELECT label, count(*) AS n FROM e GROUP BY ALL) SELECT label, 256 AS slots, 1.0::DOUBLE AS stretched FROM c")
+@_add("q_augment", f"""WITH {_E3}, c AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) - min(x) AS l, max(y) - min(y) AS w FROM e GROUP BY ALL),
+s AS (SELECT label, avg((x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz)) AS spread FROM e JOIN c USING (label) GROUP BY ALL)
+SELECT label, 256 AS slots, round(l/w, 6) AS shape, round(spread, 6) AS spread, round(sqrt((lx-mx)*(lx-mx) + (ly-my)*(ly-my) + (lz-mz)*(lz-mz)), 6) AS away, round(cos(0.25::DOUBLE - atan2(ly-my, lx-mx)), 6) + 0.0 AS facing
+FROM c JOIN s USING (label)""")
 def augment(spark: SparkSession, d: str) -> DataFrame:
-    """Augmented clusters have all their slots; without jitter, distances in a box grow by its scale."""
+    """Augmented clusters have all their slots. Without dropout and jitter, points and a box at the cluster's lowest corner are
+    turned, mirrored and scaled alike: undone by the box's own growth, the points' spread, the box's distance from
+    their centre and its heading against the direction there are the plain cluster's."""
     e = _embedded(spark, d)
-    box = e.groupBy("label").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"]).withColumns({"cls": F.lit(1), "l": F.lit(4.0), "w": F.lit(2.0), "h": F.lit(1.5), "yaw": F.lit(0.25)})
-    p, b = frames.augmented(e, box, ["label"], ["id"], seed=3, jitter=0.0)
-    far = p.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("slots"))
-    grown = b.select("label", F.round(F.col("l") / F.col("w") / 2, 6).alias("stretched"))
-    return far.join(grown, "label")
+    box = e.groupBy("label").agg(*[F.min(c).alias(f"c{c}") for c in "xyz"], *[(F.max(c) - F.min(c)).alias(n) for c, n in zip("xyz", "lwh")]).withColumns({"cls": F.lit(1), "yaw": F.lit(0.25)})
+    slots = frames.augmented(e, box, ["label"], ["id"], seed=3, jitter=0.0)[0].groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("slots"))
+    p, b = frames.augmented(e, box, ["label"], ["id"], seed=3, drop=0.0, jitter=0.0)
+    centre = p.groupBy("label").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], sum((F.var_pop(c) for c in "xyz"), F.lit(0.0)).alias("spread"))
+    both = b.join(centre, "label").join(box.select("label", F.col("l").alias("plain")), "label").withColumn("grown", F.col("l") / F.col("plain"))
+    off = [F.col(f"c{c}") - F.col(f"m{c}") for c in "xyz"]
+    told = {
+        "shape": F.col("l") / F.col("w"), "spread": F.col("spread") / (F.col("grown") * F.col("grown")),
+        "away": F.sqrt(sum((o * o for o in off), F.lit(0.0))) / F.col("grown"), "facing": F.cos(F.col("yaw") - F.atan2(off[1], off[0])),
+    }
+    return both.select("label", *[(F.round(x, 6) + 0.0).alias(n) for n, x in told.items()]).join(slots, "label")
 
 
 @_add("q_display_to_grid", f"WITH {PTS} SELECT CASE lab WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 3 ELSE CASE WHEN lab IN (0, 1) OR lab BETWEEN 0 AND 2 THEN 1 ELSE 7 END END AS grid, count(*) AS n FROM points GROUP BY ALL")
@@ -239,11 +272,14 @@ def diagnosis(spark: SparkSession, d: str) -> DataFrame:
     return out.select("gt_cls", "n", "missed", "mislabelled", F.round("median_iou", 6).alias("median_iou"), F.round("at_50", 9).alias("at_50"))
 
 
-@_add("q_box_errors", f"WITH {fx.boxes_sql()}, d AS (SELECT id, cls, sqrt(pow((id % 5 - 2)/8.0::DOUBLE, 2) + pow((id % 3 - 1)/4.0::DOUBLE, 2)) AS c FROM boxes WHERE id % 7 <> 0) SELECT cls, count(*) AS n, round(avg(c), 6) AS centre, 0.0::DOUBLE AS size, 0.0::DOUBLE AS yaw_deg FROM d GROUP BY ALL")
+@_add("q_box_errors", f"""WITH {fx.boxes_sql()}, d AS (SELECT id, cls, sqrt(pow((id % 5 - 2)/8.0::DOUBLE, 2) + pow((id % 3 - 1)/4.0::DOUBLE, 2)) AS c, (l*(id % 3) + w*(id % 2))/24.0::DOUBLE AS s, abs(id % 4 - 1)/8.0::DOUBLE AS y FROM boxes WHERE id % 7 <> 0)
+SELECT cls, count(*) AS n, round(avg(c), 6) AS centre, round(avg(s), 6) AS size, round(avg(degrees(y)), 6) AS yaw_deg FROM d GROUP BY ALL""")
 def box_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of detections that are moved, grown and turned by amounts that follow from their number."""
     a = fx.boxes(spark, d).select("id", "cls", *[F.col(c).alias(f"a_{c}") for c in evaluate.BOX])
-    b = fx.detections(spark, d).select("id", *[F.col(c).alias(f"b_{c}") for c in evaluate.BOX])
-    out = labelling.box_errors(a.join(b, "id"))
+    k = F.col("id")
+    b = fx.detections(spark, d).withColumns({"l": F.col("l") * (1 + k % 3 / F.lit(8.0)), "w": F.col("w") * (1 + k % 2 / F.lit(8.0)), "yaw": F.col("yaw") + (k % 4 - 1) / F.lit(8.0)})
+    out = labelling.box_errors(a.join(b.select("id", *[F.col(c).alias(f"b_{c}") for c in evaluate.BOX]), "id"))
     return out.select("cls", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("centre", "size", "yaw_deg")])
 
 
