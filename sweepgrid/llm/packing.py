@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from sweepgrid.llm.shared import materialise, table
 from sweepgrid.llm.words import slices
 
-#: Words whose ids a worker keeps; beyond that, only those of the slice at hand stay.
+#: Parts of words whose ids a worker keeps; beyond that, only those of the slice at hand stay.
 CACHE_WORDS = 400_000
 #: Bytes of text encoded at once: the more, the fewer distinct words are looked up again.
 SLICE_BYTES = 6 << 20
@@ -49,6 +51,7 @@ def _alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _alphabet()
+_ID = attrgetter("id")
 
 
 def default_tokenizer() -> str:
@@ -80,7 +83,7 @@ class WordTokenizer:
 
     Texts are split at white space, each distinct word is encoded once, and ids are laid out by
     array operations. A word is taken apart further where its pieces are sure to part: a tail of
-    ``.,;:!?`` after an ASCII digit or one of ``plain_letters``. Words of ASCII characters are
+    ASCII punctuation after an ASCII digit or one of ``plain_letters``; the parts are what is kept. Words of ASCII characters are
     lowered first, as the tokenizer does; others are not, as composing comes before lowering. Words
     that may hold a special token are left as they are. Words of plain letters only, composed, are
     one piece for the tokenizer and go to its model directly, as bytes in its alphabet; whether
@@ -93,10 +96,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         probe = ("a", "lower", "été", "straße", "漢字", "слово", "ñandú", "x" * 40)
-        self.direct = all(self._direct(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        self.direct = all([t.id for t in found] == self.tokenizer.encode(w, add_special_tokens=False).ids for w, found in zip(probe, self._direct(probe)))
         self.letters = re.compile(f"[{plain_letters()}]+").fullmatch
-        self.tailed = re.compile(f"(.*[0-9{plain_letters()}])([.,;:!?]+)", re.DOTALL).fullmatch
+        self.parts_after = re.compile(f"[0-9{plain_letters()}]").fullmatch
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -116,75 +120,84 @@ class WordTokenizer:
         self.known.update(zip(words, range(k, k + n)))
         self.used += len(ids)
 
-    def _direct(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET))]
+    def _direct(self, words: Sequence[str]) -> list[list]:
+        """The model's tokens of words that are one piece each."""
+        return [self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_ALPHABET)) for w in words]
 
     def _learn(self, words: list[str]) -> None:
         letters, other = [], []
         for w in words:
             plain = self.direct and (w.isascii() and w.isalpha() or self.letters(w) and unicodedata.is_normalized("NFC", w))
             (letters if plain else other).append(w)
-        for begin in range(0, len(letters), 20_000):
-            part = letters[begin : begin + 20_000]
-            self._keep(part, [self._direct(w) for w in part])
+        for begin in range(0, len(letters), 2000):
+            part = letters[begin : begin + 2000]
+            found = self._direct(part)
+            self._put(part, np.fromiter(map(_ID, chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
         for begin in range(0, len(other), 2000):
             part = other[begin : begin + 2000]
-            self._keep(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
-
-    def _keep(self, words: list[str], found: list[list[int]]) -> None:
-        self._put(words, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-
-    def _parts(self, word: str) -> tuple[str, str]:
-        if word and word[-1] in ".,;:!?" and "<|" not in word and (m := self.tailed(word)):
-            return m[1], m[2]
-        return word, ""
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._put(part, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _parted(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """(each word without the tail that is sure to part, which words have one, those tails)."""
+        special = pc.match_substring(words, "<|")
+        words = pc.if_else(pc.or_(special, pc.invert(pc.string_is_ascii(words))), words, pc.ascii_lower(words))
+        core = pc.ascii_rtrim(words, string.punctuation)
+        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+        parts = np.array([self.parts_after(c) is not None for c in last.dictionary.to_pylist()], bool)[np.asarray(last.indices)]
+        cut = parts & np.asarray(pc.less(pc.binary_length(core), pc.binary_length(words))) & ~np.asarray(special)
+        core, at = pc.if_else(pa.array(cut), core, words), pa.array(np.flatnonzero(cut))
+        return core, cut, [w[len(c) :] for w, c in zip(words.take(at).to_pylist(), core.take(at).to_pylist())]
 
     def _slots(self, words: list[str]) -> np.ndarray:
-        """Where the ids of each distinct word are kept; those of new ones are found first."""
+        """Where the ids of each distinct part are kept; those of new ones are found first."""
         slots = list(map(self.known.get, words))
         missing = [w for w, k in zip(words, slots) if k is None]
         if not missing:
             return np.array(slots, np.int64)
-        if len(self.known) + 2 * len(missing) > CACHE_WORDS:
+        if len(self.known) + len(missing) > CACHE_WORDS:
             # words that have come back stay, the others go
             kept = [(w, k) for w, k in zip(words, slots) if k is not None]
             of = np.array([k for _, k in kept], np.int64)
-            ids, sizes = self._laid(of), self.size[of]
+            ids, sizes = _laid(self.ids, self.start[of], self.size[of]), self.size[of]
             self._clear()
             self._put([w for w, _ in kept], ids, sizes)
-        parts = [self._parts(w) for w in missing]
-        if new := [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.known]:
-            self._learn(new)
-        both = [(w, self.known[a], self.known[b]) for w, (a, b) in zip(missing, parts) if b]
-        if both:
-            joined, core, tail = zip(*both)
-            of = np.stack([core, tail], 1).reshape(-1)
-            self._put(joined, self._laid(of), self.size[of].reshape(-1, 2).sum(1))
+        self._learn(missing)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def _laid(self, slots: np.ndarray) -> np.ndarray:
-        """The ids kept in the slots, one after the other."""
-        size = self.size[slots]
-        ends = np.cumsum(size, dtype=np.int64)
-        return self.ids[np.repeat(self.start[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each text)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat, at = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+        at = np.asarray(lists.offsets).astype(np.int64)
         at = at - at[0]
-        flat = pc.if_else(pc.or_(pc.match_substring(flat, "<|"), pc.invert(pc.string_is_ascii(flat))), flat, pc.ascii_lower(flat))
-        coded = flat.dictionary_encode()
-        slots = self._slots(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        sums = np.concatenate([[0], np.cumsum(self.size[slots], dtype=np.int64)])
+        coded = lists.flatten().dictionary_encode()
+        core, cut, tails = self._parted(coded.dictionary)
+        parts = pa.concat_arrays([core, pa.array(tails, core.type)]).dictionary_encode()
+        slots = self._slots(parts.dictionary.to_pylist())[np.asarray(parts.indices)]
+        # the ids of each distinct word: its core's, and its tail's where it has one
+        place = np.arange(len(core)) + np.cumsum(cut) - cut
+        own = np.empty(len(slots), np.int64)
+        own[place], own[place[cut] + 1] = slots[: len(core)], slots[len(core) :]
+        word_ids, size = _laid(self.ids, self.start[own], self.size[own]), self.size[slots[: len(core)]].astype(np.int64)
+        size[cut] += self.size[slots[len(core) :]]
+        words = np.asarray(coded.indices)
+        sums = np.concatenate([[0], np.cumsum(size[words])])
         per_text = np.diff(sums[at])
-        ids = self._laid(slots)
+        ids = _laid(word_ids, (np.cumsum(size) - size)[words], size[words])
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(per_text), np.uint32(end_id))
             per_text = per_text + 1
         return ids, per_text
 
 
+def _laid(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids``, one after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at))
+    return ids[at]
+
+
 @cache
 def encoder_of(path: str) -> WordTokenizer:
     """One tokenizer for all tasks of a Python worker."""
@@ -209,7 +222,9 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
             columns = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), packed]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carry], names=["part", "begin", "n", "ids", *carry])
             at += int(ends[-1])
+        batch = ids = packed = columns = None
         encoder._clear()
+        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
     return materialise(docs.select(*[F.col(f"`{c}`") for c in carry], text).mapInArrow(work, schema.rstrip(", ")), "tokens")

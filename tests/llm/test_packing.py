@@ -77,3 +77,9 @@ def test_mixed_scripts(tokenizer):
     r = random.Random(5)
     pool = [c for c in map(chr, range(1, 0x3000)) if unicodedata.category(c) != "Cn"] + list("abcABCHTWYJI.,;:!?'<|09 ") * 60 + list("\u0301\u0308\u030a\u030c\u0331\u0307") * 80
     same(tokenizer, packing.WordTokenizer(packing.default_tokenizer()), ["".join(r.choices(pool, k=r.randint(1, 14))) for _ in range(60_000)])
+
+
+def test_a_word_is_learned_once_whatever_punctuation_follows(tokenizer):
+    encoder = packing.WordTokenizer(packing.default_tokenizer())
+    same(tokenizer, encoder, ["onedor$$$ onedor%%% Onedor, onedor", "onedor.", "x<|endoftext|>$$$", "don't'", "a'.", "7$", "été@"])
+    assert {"onedor", "$$$", "%%%", ",", ".", "don't", "'", "a", "'.", "7", "$", "été", "@", "x<|endoftext|>$$$"} == set(encoder.known)
