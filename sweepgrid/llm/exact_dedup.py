@@ -68,6 +68,11 @@ class DigestIndex:
         self._recover()
         return self.spark.table(self.name) if self._exists() else None
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows of each bucket in one partition, by Spark's own number of the bucket, so that each
+        bucket gets one file: with tasks times buckets of them, listing takes the driver's memory."""
+        return rows.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
+
     def add(self, hashed: DataFrame, run: str = "") -> None:
         """Append the digests of ``hashed`` (doc_id, digest) that the index does not hold.
 
@@ -77,7 +82,7 @@ class DigestIndex:
         known = self.table()
         if known is not None:
             new = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        self._dealt(new).write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
     def add_in_batches(self, hashed: DataFrame, batches: int = 2, run: str = "") -> None:
         """Append ``hashed`` by ranges of doc_id, smallest first and null last.
@@ -96,7 +101,7 @@ class DigestIndex:
         if self.table() is None:
             return
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_compacted")
-        self.table().repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(f"{self.name}_compacted")
+        self._dealt(self.table()).write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(f"{self.name}_compacted")
         self._rename("", "_replaced")
         self._rename("_compacted", "")
         self._recover()

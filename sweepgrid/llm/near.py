@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sweepgrid.llm.components import components
@@ -297,7 +297,8 @@ def _joined(docs: DataFrame, n: int, threshold: float, trees: int, longest: int,
     leaves = of.select(F.col("id").alias("rep_id"), "n", "labels").mapInArrow(_leaves(trees, longest, shortest), "root BIGINT, label BINARY, id BIGINT, n BIGINT")
     met = leaves.repartition("root").sortWithinPartitions("root", "label").mapInArrow(_climb(k, longest, shortest, room, threshold), "a BIGINT, b BIGINT")
     cells = components(met).withColumnRenamed("label", "cell").join(of.select("id", "rep_id", "set_a", "set_b", "n", F.col("n_copies").alias("copies")), "id")
-    placed = _places(cells, threshold, block)
+    # written, so that the plan that verifies stays small: the driver keeps every state of a plan
+    placed = materialise(_places(cells, threshold, block), "placed")
     active = rows.where("doc_id IS NOT NULL").join(placed.withColumnRenamed("rep_id", "doc_id"), "doc_id")
     members = active.select("id", "text", "set_a", "set_b", "copies", *_PLACE).mapInArrow(_sets(n), "id BIGINT, copies BIGINT, cell BIGINT, class INT, place INT, blocks INT, before INT, after INT, shingles BINARY")
     verified = materialise(_pairs(members).groupBy("cell", "low", "step", "x", "y").applyInArrow(_verify(threshold), "id BIGINT, to BIGINT, links BIGINT, linked_rows BIGINT"), "links")
@@ -325,15 +326,18 @@ def _joined(docs: DataFrame, n: int, threshold: float, trees: int, longest: int,
 def _places(cells: DataFrame, threshold: float, block: int) -> DataFrame:
     """Adds each item's size class, its place among the blocks of the class, and how many blocks its
     own class, the one before and the one after have. Cells of one block have one class."""
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("items"))
     # a little wider than the threshold, so that rounding never sets linked sizes two classes apart
     by_size = F.floor(F.log("n") / F.lit(-1.000001 * math.log(threshold))).cast("int") if threshold < 1 else F.col("n").cast("int")
-    classed = cells.join(sizes, "cell").withColumn("class", F.when(F.col("items") <= block, 0).otherwise(by_size))
-    held = classed.groupBy("cell", "class").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    for name, step in (("before", 1), ("after", -1)):
-        other = held.select("cell", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
-        held = held.join(other, ["cell", "class"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    out = classed.join(held, ["cell", "class"]).withColumn("place", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("size", by_size)
+    # a row per cell and size class, of which a cell has few
+    whole, order = Window.partitionBy("cell"), Window.partitionBy("cell").orderBy("size")
+    held = cells.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("held")).withColumn("items", F.sum("held").over(whole))
+    several = F.col("items") > block
+    held = held.withColumn("class", F.when(several, F.col("size")).otherwise(0)).withColumn("blocks", F.when(several, F.ceil(F.col("held") / block)).otherwise(1).cast("int"))
+    for name, other, step in (("before", F.lag, -1), ("after", F.lead, 1)):
+        next_to = several & (other("size").over(order) == F.col("size") + step)
+        held = held.withColumn(name, F.when(next_to, other("blocks").over(order)).otherwise(0))
+    out = cells.join(held, ["cell", "size"]).withColumn("place", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return out.select("id", "rep_id", "set_a", "set_b", "copies", *_PLACE)
 
 

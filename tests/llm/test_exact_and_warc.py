@@ -52,6 +52,18 @@ def test_batches_meet_the_index_by_anti_join(spark, monkeypatch):
     assert seen == [(0, False), (30, True)] and spark.catalog.listTables() == before
 
 
+def test_an_append_adds_one_file_a_bucket_however_many_partitions_keys_go_to(spark, monkeypatch):
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols, f=frame.repartition: f(self, max(n, 13), *cols))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    for k, files in ((0, 4), (500, 8)):
+        index.add(exact_dedup.digests(spark.createDataFrame([(k + i, f"t{k + i}") for i in range(300)], "doc_id BIGINT, text STRING")))
+        assert len(index.table().inputFiles()) == files
+    index.compact()
+    assert len(index.table().inputFiles()) == 4 and index.table().count() == 600
+    index.drop()
+
+
 @pytest.mark.parametrize("ask", ["exact_dedup", "keep_first"])
 @pytest.mark.parametrize("dies_after", [1, 2])
 def test_a_run_that_died_after_its_appends_is_repeated(spark, monkeypatch, ask, dies_after):

@@ -131,6 +131,23 @@ def test_components(spark):
     assert got == {v: x for v, x in label.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+def test_edges_of_one_task_need_no_round(spark, monkeypatch):
+    """A long chain and a crowd were three rounds of eight stages; a task that holds them makes stars of them."""
+    from sweepgrid.llm import components as c
+
+    written, materialise = [], c.materialise
+    monkeypatch.setattr(c, "materialise", lambda df, what: written.append(df._jdf.queryExecution().executedPlan().toString()) or materialise(df, what))
+    edges = [(i + 1, i) for i in range(500)] + [(1000 + i, 1000 + j) for i in range(30) for j in range(i)]
+    got = {x.id: x.label for x in components(spark.createDataFrame(edges, "a BIGINT, b BIGINT").coalesce(1)).collect()}
+    assert got == {i: 0 for i in range(501)} | {1000 + i: 1000 for i in range(30)}
+    assert len(written) == 2 and not any("Join" in p for p in written)
+    # tasks that hold parts of one component still take rounds
+    r = random.Random(6)
+    edges = [(i, r.randrange(i)) for i in range(1, 400)]
+    monkeypatch.setattr(c, "AT_ONCE", 7)
+    assert {x.id: x.label for x in components(spark.createDataFrame(edges, "a BIGINT, b BIGINT").repartition(9)).collect()} == dict.fromkeys(range(400), 0)
+
+
 def edges_of(labels, sizes, least=7, shortest=near.SHORTEST, room=near.ROOM):
     """Pairs of items (by place) that meet in some tree."""
     met = set()
