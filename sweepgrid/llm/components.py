@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import materialise
+from sweepgrid.llm.shared import handing_back, materialise
 
 #: Edges that a task takes together at most.
 AT_ONCE = 1 << 18
@@ -47,9 +47,15 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def contracting(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, which yields edges (a, b), with stars made of them in the same worker: a second
+    mapInArrow behind it would give each task two workers, and the executor would hold them all."""
+    return lambda batches: _contracted(work(batches))
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b), a the larger, with the same components: stars within each task."""
-    return edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").mapInArrow(_contracted, "a BIGINT, b BIGINT")
+    return edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").mapInArrow(handing_back(_contracted), "a BIGINT, b BIGINT")
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -58,15 +64,16 @@ def are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contract: bool = True) -> DataFrame:
     """(id, label): the smallest id of each vertex's component, for vertices that have an edge.
 
     Alternates large-star and small-star rounds, each linear in the edges and with partial
     aggregation of the smallest neighbour, until the edges form stars. Before each round every task
     makes stars of the edges it reads, so that rounds, whose stages cost the driver memory, are few.
     Every step is cut off by a written table; nothing is gathered but whether the edges are stars.
+    Without ``contract`` the edges come from tasks that have made stars of them (``contracting``).
     """
-    now = materialise(contracted(edges).distinct(), "edges")
+    now = materialise((contracted(edges) if contract else edges).distinct(), "edges")
     while not are_stars(now := materialise(contracted(now), "edges")):
         # large star: every larger neighbour of a vertex is tied to the vertex's smallest neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

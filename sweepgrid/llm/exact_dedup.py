@@ -168,7 +168,7 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, run: str | Non
     kept = materialise(kept.select(F.col("best.place").alias("place")), "kept-rows")
     if index is None:
         target.drop()
-    return tagged.join(kept.withColumnRenamed("place", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return tagged.join(kept.withColumnRenamed("place", row).hint("merge"), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

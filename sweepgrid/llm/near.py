@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.components import components
-from sweepgrid.llm.shared import materialise, table, unused
+from sweepgrid.llm.components import components, contracting
+from sweepgrid.llm.shared import handing_back, materialise, table, unused
 from sweepgrid.llm.words import Words, mix, ngrams, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -289,18 +289,18 @@ def _joined(docs: DataFrame, n: int, threshold: float, trees: int, longest: int,
     shortest = min(shortest, k)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    keyed = materialise(marked.mapInArrow(_items(n, trees, longest), "doc_id BIGINT, mark BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, labels BINARY"), "items")
+    keyed = materialise(marked.mapInArrow(handing_back(_items(n, trees, longest)), "doc_id BIGINT, mark BIGINT, set_a BIGINT, set_b BIGINT, n BIGINT, labels BINARY"), "items")
     full = keyed.where("n > 0 AND doc_id IS NOT NULL")
     sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.min("n").alias("n"), F.min("labels").alias("labels"))
     # the numbers are fixed by writing them
     of = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    leaves = of.select(F.col("id").alias("rep_id"), "n", "labels").mapInArrow(_leaves(trees, longest, shortest), "root BIGINT, label BINARY, id BIGINT, n BIGINT")
-    met = leaves.repartition("root").sortWithinPartitions("root", "label").mapInArrow(_climb(k, longest, shortest, room, threshold), "a BIGINT, b BIGINT")
-    cells = components(met).withColumnRenamed("label", "cell").join(of.select("id", "rep_id", "set_a", "set_b", "n", F.col("n_copies").alias("copies")), "id")
+    leaves = of.select(F.col("id").alias("rep_id"), "n", "labels").mapInArrow(handing_back(_leaves(trees, longest, shortest)), "root BIGINT, label BINARY, id BIGINT, n BIGINT")
+    met = leaves.repartition("root").sortWithinPartitions("root", "label").mapInArrow(handing_back(contracting(_climb(k, longest, shortest, room, threshold))), "a BIGINT, b BIGINT")
+    cells = components(met, contract=False).withColumnRenamed("label", "cell").join(of.select("id", "rep_id", "set_a", "set_b", "n", F.col("n_copies").alias("copies")), "id")
     # written, so that the plan that verifies stays small: the driver keeps every state of a plan
     placed = materialise(_places(cells, threshold, block), "placed")
     active = rows.where("doc_id IS NOT NULL").join(placed.withColumnRenamed("rep_id", "doc_id"), "doc_id")
-    members = active.select("id", "text", "set_a", "set_b", "copies", *_PLACE).mapInArrow(_sets(n), "id BIGINT, copies BIGINT, cell BIGINT, class INT, place INT, blocks INT, before INT, after INT, shingles BINARY")
+    members = active.select("id", "text", "set_a", "set_b", "copies", *_PLACE).mapInArrow(handing_back(_sets(n)), "id BIGINT, copies BIGINT, cell BIGINT, class INT, place INT, blocks INT, before INT, after INT, shingles BINARY")
     verified = materialise(_pairs(members).groupBy("cell", "low", "step", "x", "y").applyInArrow(_verify(threshold), "id BIGINT, to BIGINT, links BIGINT, linked_rows BIGINT"), "links")
     counts = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
     linked = components(verified.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).join(of.select("id", "rep_id"), "id")
@@ -371,7 +371,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # wordless texts in full: each is a document of its own
     kept = first.unionByName(all_.where("group IS NULL").select("doc_id", "mark").distinct()).toDF(of, mark)
     hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = docs.join(kept, (F.col("doc_id").cast("bigint") == F.col(of)) & (hashed == F.col(mark)), "left_semi")
+    same = docs.join(kept.hint("merge"), (F.col("doc_id").cast("bigint") == F.col(of)) & (hashed == F.col(mark)), "left_semi")
     return same.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in names])
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import materialise, table
+from sweepgrid.llm.shared import handing_back, materialise, table
 from sweepgrid.llm.words import slices
 
 #: Parts of words whose ids a worker keeps; beyond that, only those of the slice at hand stay.
@@ -224,10 +224,9 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
             at += int(ends[-1])
         batch = ids = packed = columns = None
         encoder._clear()
-        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
-    return materialise(docs.select(*[F.col(f"`{c}`") for c in carry], text).mapInArrow(work, schema.rstrip(", ")), "tokens")
+    return materialise(docs.select(*[F.col(f"`{c}`") for c in carry], text).mapInArrow(handing_back(work), schema.rstrip(", ")), "tokens")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -265,7 +264,7 @@ def pieces(tokens: DataFrame, length: int = 2048, carry: tuple[str, ...] = ("doc
             columns += [pa.array(x) for x in (start, size, np.fromiter(map(zlib.crc32, data), np.int64, len(data)), n[row], sequence, begin - sequence * length)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], names=[*carry, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return offsets(tokens).select("at", "n", "ids", *[F.col(f"`{c}`") for c in carry]).mapInArrow(work, schema)
+    return offsets(tokens).select("at", "n", "ids", *[F.col(f"`{c}`") for c in carry]).mapInArrow(handing_back(work), schema)
 
 
 def packed(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:

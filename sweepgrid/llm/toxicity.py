@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import materialise, table, unused
+from sweepgrid.llm.shared import handing_back, materialise, table, unused
 from sweepgrid.llm.words import Words, ngrams, slices
 
 HELD_OUT = 2
@@ -429,7 +429,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def mined(labelled: DataFrame, positives: int, negatives: int) -> list[str]:
     """Terms far more frequent in toxic rows, the most significant first. Only these leave Spark."""
-    counted = labelled.select("text", "toxic").mapInArrow(_document_frequencies, "term STRING, toxic INT, n BIGINT")
+    counted = labelled.select("text", "toxic").mapInArrow(handing_back(_document_frequencies), "term STRING, toxic INT, n BIGINT")
     up, down = F.col("up").cast("double"), F.col("down").cast("double")
     both, share = up + down, positives / (positives + negatives)
     counted = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("up"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("down"))
@@ -454,7 +454,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     # at most ``labelled`` ids, so this side is bounded; written, so that the documents are read once
     chosen = rows.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     # near copies tell the same once
-    marked = chosen.mapInArrow(_marked, "text STRING, toxic INT, mark BIGINT")
+    marked = chosen.mapInArrow(handing_back(_marked), "text STRING, toxic INT, mark BIGINT")
     sample = materialise(marked.groupBy("mark", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = size.get(1, 0), size.get(0, 0)
@@ -468,7 +468,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
             yield pa.RecordBatch.from_arrays([pa.array([sorted(c) for c, _ in seen], pa.list_(pa.int32())), pa.array([[c[k] for k in sorted(c)] for c, _ in seen], pa.list_(pa.int32())), pa.array([p for _, p in seen], pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32()), batch.column("key")], names=["terms", "counts", "patterns", "toxic", "key"])
 
     keyed = sample.withColumn("key", F.xxhash64("text"))
-    table_ = keyed.mapInArrow(votes, "terms ARRAY<INT>, counts ARRAY<INT>, patterns ARRAY<DOUBLE>, toxic INT, key BIGINT").toPandas() if positives and negatives else None
+    table_ = keyed.mapInArrow(handing_back(votes), "terms ARRAY<INT>, counts ARRAY<INT>, patterns ARRAY<DOUBLE>, toxic INT, key BIGINT").toPandas() if positives and negatives else None
     if table_ is None:
         strength = np.full(len(names), 3.0)
         linear = Linear(inputs([Counter(), Counter()], np.zeros((2, len(PATTERNS))), strength), np.array([0.0, 0.0]))
@@ -499,7 +499,7 @@ def scored(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), score: st
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(of([t or "" for t in batch.column(text).to_pylist()]))], names=[*carry, score])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
-    return rows.mapInArrow(work, ", ".join([*(f"`{c}` {types[c]}" for c in carry), f"`{score}` DOUBLE"]))
+    return rows.mapInArrow(handing_back(work), ", ".join([*(f"`{c}` {types[c]}" for c in carry), f"`{score}` DOUBLE"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from sweepgrid.llm import mixing, near, toxicity
+from sweepgrid.llm import components, exact_dedup, mixing, near, packing, shared, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +105,62 @@ def test_empty_and_odd_documents(spark, folder):
     for name, stage in p.STAGES[:-1]:
         odd = stage(spark, odd, folder)
     assert [r.doc_id for r in odd.where("doc_id IS NOT NULL").collect()] == [5]
+
+
+def written(spark, monkeypatch, run):
+    """The physical plan of every table that ``run`` writes on its way, by its name."""
+    plans = []
+
+    def spy(df, what, write=shared.materialise):
+        plans.append((what, df._jdf.queryExecution().executedPlan()))
+        return write(df, what)
+
+    for module in (components, exact_dedup, mixing, near, packing, toxicity):
+        monkeypatch.setattr(module, "materialise", spy)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows its exchanges
+    try:
+        out = run()
+        plans.append(("result", out._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return plans
+
+
+def nodes(plan):
+    yield plan.nodeName()
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def python_in_a_task(plan, held=0):
+    """The most Python nodes that stand in one another's stage."""
+    name = plan.nodeName()
+    held = 0 if "Exchange" in name else held + ("InArrow" in name)
+    return max([held, *(python_in_a_task(plan.children().apply(i), held) for i in range(plan.children().size()))])
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "exact_dedup", "near_join", "mixing", "packing"])
+def test_one_worker_a_task(spark, folder, monkeypatch, stage):
+    """Each further Python node of a stage is a further worker for every task, which the executor keeps beside those of later stages."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plans = written(spark, monkeypatch, lambda: dict(p.STAGES)[stage](spark, docs, folder))
+    assert {what: n for what, x in plans if (n := python_in_a_task(x)) > 1} == {}
+
+
+def test_texts_move_alike_at_any_size(spark, folder, monkeypatch):
+    """Texts are joined with what grows with the input by sort-merge also while that is small."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plans = dict(written(spark, monkeypatch, lambda: exact_dedup.keep_first(docs)))
+    assert "SortMergeJoin" in set(nodes(plans["result"])) and not [n for n in nodes(plans["result"]) if n.startswith("Broadcast")]
+    plans = dict(written(spark, monkeypatch, lambda: near.keep_one(docs)))
+    assert "SortMergeJoin" in set(nodes(plans["result"]))
+
+
+def test_workers_hand_back_after_the_last_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(shared, "give_back", lambda: seen.append("given back"))
+    for batch in shared.handing_back(lambda batches: (b * 2 for b in batches))(iter([1, 2])):
+        seen.append(batch)
+    assert seen == [2, 4, "given back"]
