@@ -299,7 +299,8 @@ def _joined(docs: DataFrame, n: int, threshold: float, trees: int, longest: int,
     cells = components(met, contract=False).withColumnRenamed("label", "cell").join(of.select("id", "rep_id", "set_a", "set_b", "n", F.col("n_copies").alias("copies")), "id")
     # written, so that the plan that verifies stays small: the driver keeps every state of a plan
     placed = materialise(_places(cells, threshold, block), "placed")
-    active = rows.where("doc_id IS NOT NULL").join(placed.withColumnRenamed("rep_id", "doc_id"), "doc_id")
+    # by sort-merge at any size: what is placed grows with the input
+    active = rows.where("doc_id IS NOT NULL").join(placed.withColumnRenamed("rep_id", "doc_id").hint("merge"), "doc_id")
     members = active.select("id", "text", "set_a", "set_b", "copies", *_PLACE).mapInArrow(handing_back(_sets(n)), "id BIGINT, copies BIGINT, cell BIGINT, class INT, place INT, blocks INT, before INT, after INT, shingles BINARY")
     verified = materialise(_pairs(members).groupBy("cell", "low", "step", "x", "y").applyInArrow(_verify(threshold), "id BIGINT, to BIGINT, links BIGINT, linked_rows BIGINT"), "links")
     counts = verified.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))

@@ -155,7 +155,9 @@ def test_texts_move_alike_at_any_size(spark, folder, monkeypatch):
     plans = dict(written(spark, monkeypatch, lambda: exact_dedup.keep_first(docs)))
     assert "SortMergeJoin" in set(nodes(plans["result"])) and not [n for n in nodes(plans["result"]) if n.startswith("Broadcast")]
     plans = dict(written(spark, monkeypatch, lambda: near.keep_one(docs)))
-    assert "SortMergeJoin" in set(nodes(plans["result"]))
+    for what in ("links", "result"):
+        assert "SortMergeJoin" in set(nodes(plans[what]))
+    assert not [n for n in nodes(plans["links"]) if n.startswith("Broadcast")]
 
 
 def test_workers_hand_back_after_the_last_batch(monkeypatch):
