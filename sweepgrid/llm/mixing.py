@@ -9,12 +9,14 @@ before ancestors. All of it is integer arithmetic in windows over the children o
 A leaf with budget b and t tokens gives b div t whole epochs and a token prefix of one more. Every
 epoch has its own order, by md5 of seed, epoch and id. Prefix sums take two levels: totals of 4,096
 ranges of the order find the range in which the prefix ends, and only its rows are summed one by
-one, so a leaf that holds most rows is never one task's work.
+one, so a leaf that holds most rows is never one task's work. That gives each leaf the row of its
+cut, and one pass over the documents compares each with it; texts are shuffled only where there are
+more leaves than are broadcast.
 
 Defined cases: tokens are words ``[^\\x20\\x09-\\x0D]+``; null texts have none and are never taken;
 null languages or sources are values of their own, of the default weight; a null ``doc_id`` is
-ordered as "null"; repeated ids are rows of their own, ordered by the digest of their text; an empty
-table gives an empty result. Further columns are left alone.
+ordered as "null"; repeated ids are rows of their own, ordered by the digest of their text, equal ones
+by their place in the input; an empty table gives an empty result. Further columns are left alone.
 """
 
 from __future__ import annotations
@@ -95,28 +97,36 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), fraction: float = 1.0, m
     """One row per document and epoch taken: the carried columns, __id, __domain, __lang, __source,
     __n (tokens), __epoch, __taken (tokens taken) and __budget (the leaf's)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(
+    # a filter on the count would count twice, and regexp_count lists a text's words; without such a list, every word and the blanks around it are one letter
+    some = docs.where(text.rlike("[^\\x20\\x09-\\x0D]"))
+    n = F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*", "w"))
+    base = some.select(
         F.col("doc_id").cast("bigint").alias("__id"), domain_of().alias("__domain"), F.col("lang").alias("__lang"), F.col("source").alias("__source"),
-        F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("__n"), F.md5(F.encode(text, "UTF-8")).alias("__md5"), *[F.col(f"`{c}`") for c in carry],
+        n.cast("bigint").alias("__n"), F.md5(F.encode(text, "UTF-8")).alias("__md5"), F.monotonically_increasing_id().alias("__at"), *[F.col(f"`{c}`") for c in carry],
     )
-    base = materialise(base.where("__n > 0"), "mixing")
+    base = materialise(base, "mixing")
     leaves = materialise(leaf_budgets(base.groupBy(*_LEAF).agg(F.sum("__n").alias("tokens")), fraction, max_epochs), "leaves")
     small = leaves.count() <= broadcast_leaves
     leaves = leaves.select(*_LEAF, F.col("leaf_budget").alias("__budget"), F.expr("leaf_budget div tokens").alias("__whole"), F.expr("leaf_budget % tokens").alias("__rest"))
     key = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit("null"))), "UTF-8"))
-    rows = _joined(base, leaves, _LEAF, small=small).withColumn("__key", key).withColumn("__range", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
-    totals = rows.where("__rest > 0").groupBy(*_LEAF, "__rest", "__range").agg(F.sum("__n").alias("__sum"))
+    # where the last epoch ends: the range by sums over ranges, then the row by sums over the range's rows; texts take no part
+    rows = _joined(base.select("__id", *_LEAF, "__n", "__md5", "__at"), leaves.where("__rest > 0").drop("__budget"), _LEAF, small=small)
+    rows = rows.withColumn("__key", key).withColumn("__range", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int")).drop("__id", "__whole")
+    totals = rows.groupBy(*_LEAF, "__rest", "__range").agg(F.sum("__n").alias("__sum"))
     upto = F.sum("__sum").over(Window.partitionBy(*_LEAF).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = totals.withColumn("__upto", upto).where("__upto >= __rest AND __upto - __sum < __rest").select(*_LEAF, F.col("__range").alias("__end"), (F.col("__upto") - F.col("__sum")).alias("__before"))
-    ends = materialise(ends, "mixing-ends")
-    rows = _joined(rows, ends, _LEAF, "left", small)
-    # the last epoch's rows: those in ranges before the end whole, those in the end range by their own prefix sum
-    inside = rows.where("__range = __end").withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__n").over(Window.partitionBy(*_LEAF).orderBy("__key", "__id", "__md5").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = rows.where("__range < __end").withColumn("__ahead", F.lit(0).cast("bigint")).unionByName(inside.where("__ahead < __rest"))
-    last = last.withColumn("__epoch", F.col("__whole")).withColumn("__taken", F.when(F.col("__range") == F.col("__end"), F.least("__n", F.col("__rest") - F.col("__ahead"))).otherwise(F.col("__n")))
-    whole = rows.where("__whole > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__whole") - 1))).withColumn("__taken", F.col("__n"))
-    columns = [*[F.col(f"`{c}`") for c in carry], "__id", *_LEAF, "__n", "__epoch", "__taken", "__budget"]
-    return whole.select(*columns).unionByName(last.select(*columns))
+    inside = _joined(rows, ends, _LEAF, small=small).where("__range = __end")
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*_LEAF).orderBy("__key", "__md5", "__at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cuts = inside.withColumn("__upto", upto).where("__upto >= __rest AND __upto - __n < __rest")
+    cuts = cuts.select(*_LEAF, F.struct("__key", "__md5", "__at").alias("__cut"), (F.col("__rest") - F.col("__upto") + F.col("__n")).alias("__part"))
+    # the key tells ids apart, so each row knows by itself whether it lies before the cut of its leaf
+    leaves = _joined(leaves, cuts, _LEAF, "left", small)
+    rows = _joined(base, leaves, _LEAF, small=small).withColumn("__own", F.struct(key.alias("__key"), F.col("__md5"), F.col("__at")))
+    epochs = F.col("__whole") + F.coalesce(F.col("__own") <= F.col("__cut"), F.lit(False)).cast("bigint")
+    rows = rows.withColumn("__epochs", epochs).where("__epochs > 0")
+    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__epochs") - 1)))
+    rows = rows.withColumn("__taken", F.when((F.col("__epoch") == F.col("__whole")) & (F.col("__at") == F.col("__cut.__at")), F.col("__part")).otherwise(F.col("__n")))
+    return rows.select(*[F.col(f"`{c}`") for c in carry], "__id", *_LEAF, "__n", "__epoch", "__taken", "__budget")
 
 
 def keep_mix(docs: DataFrame, fraction: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:

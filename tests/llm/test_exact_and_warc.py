@@ -298,3 +298,18 @@ def test_mixing_budgets(spark, fraction, epochs):
     assert mixing.mixed(docs.where("false")).collect() == []
     kept = mixing.keep_mix(docs, fraction=0.5)
     assert kept.columns == docs.columns and sum(len(k.text.split()) for k in kept.collect()) == int(total * 0.5)
+
+
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_mixing_cuts_between_equal_rows(spark, broadcast):
+    """A cut that falls among rows of equal id and text takes each of them once, and whatever stands between words is no token."""
+    same = [(7, " a\tb\x0b\nc\u00a0c d ", "en", "src0")] * 5
+    docs = spark.createDataFrame([*same, (8, " \n\t", "en", "src0"), (9, None, "en", "src0"), (10, "\U0001f600", "en", "src0")], "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    for fraction in (0.3, 0.5, 0.95, 1.5):
+        got = mixing.mixed(docs, (), fraction, 3, broadcast_leaves=broadcast).collect()
+        whole, rest = divmod(int(21 * fraction), 21)
+        assert {(g["__id"], g["__n"]) for g in got} <= {(7, 4), (10, 1)}
+        for epoch, tokens in [*((e, 21) for e in range(whole)), (whole, rest)]:
+            taken = [(g["__taken"], g["__n"]) for g in got if g["__epoch"] == epoch]
+            assert sum(t for t, _ in taken) == tokens and sum(t < n for t, n in taken) <= 1 and all(t > 0 for t, _ in taken)
+        assert len(got) <= 6 * (whole + 1)

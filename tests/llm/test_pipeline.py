@@ -160,6 +160,18 @@ def test_texts_move_alike_at_any_size(spark, folder, monkeypatch):
     assert not [n for n in nodes(plans["links"]) if n.startswith("Broadcast")]
 
 
+def test_a_mix_reads_texts_once(spark, folder, monkeypatch):
+    """Texts are read once for the counts and once for the mix and never shuffled, and only the counts and the leaves are written on the way:
+    each file costs the executor two processes (chmod), which hold its memory until they have begun."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plans = written(spark, monkeypatch, lambda: mixing.keep_mix(docs))
+    assert [what for what, _ in plans] == ["mixing", "leaves", "result"]
+    below = lambda plan: [plan, *(x for i in range(plan.children().size()) for x in below(plan.children().apply(i)))]
+    result = [p.nodeName() for p in below(plans[-1][1]) if "carried_1#" in p.output().mkString(",")]  # nodes that pass texts on
+    assert sum("Scan" in n for n in result) == 1 and not [n for n in result if "Exchange" in n or "Union" in n]
+    assert "regexp_extract_all" not in plans[0][1].toString()
+
+
 def test_workers_hand_back_after_the_last_batch(monkeypatch):
     seen = []
     monkeypatch.setattr(shared, "give_back", lambda: seen.append("given back"))
