@@ -4,8 +4,8 @@ The index is a table with one row per distinct normalised text, bucketed and sor
 SHA-256 digest. New data comes in batches by ranges of the id, so that what is stored first has the
 smallest one. Each batch is reduced to one row per digest before any shuffle of it, anti-joined with
 the index by sort-merge on the buckets, and what is new is appended. Every append adds a file to each
-bucket; ``compact`` writes them as one again. An index that no name was given for is dropped once its
-answers are written. A named one keeps with each digest the run that brought it, and digests of the run
+bucket; ``compact`` writes them as one again. An index that no name was given for lies in the folder that
+driver and executors share, asks for no warehouse, and is dropped once its answers are written. A named one keeps with each digest the run that brought it, and digests of the run
 itself count as new: a run that died between its appends and its answer can be repeated, and gives the
 answer it would have given. A run is named by the caller or by a fingerprint of its ids and digests.
 
@@ -24,7 +24,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.shared import materialise, table, unused
+from sweepgrid.llm.shared import materialise, shared_folder, table, unused
+from sweepgrid.sources.store import Store
 
 #: Characters that count as white space, as a character class.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -46,9 +47,9 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.name, self.folder = name or f"digest_index_{uuid.uuid4().hex}", None if name else shared_folder(spark, "digest-index")
         home = spark.conf.get("spark.sql.warehouse.dir", "").removeprefix("file:").rstrip("/")
-        if not spark.sparkContext.master.startswith("local") and os.path.normpath(home or "spark-warehouse") in ("spark-warehouse", os.path.join(os.getcwd(), "spark-warehouse")):
+        if name and not spark.sparkContext.master.startswith("local") and os.path.normpath(home or "spark-warehouse") in ("spark-warehouse", os.path.join(os.getcwd(), "spark-warehouse")):
             raise ValueError("spark.sql.warehouse.dir must name a folder that driver and executors share")
 
     def _exists(self, suffix: str = "") -> bool:
@@ -73,6 +74,13 @@ class DigestIndex:
         bucket gets one file: with tasks times buckets of them, listing takes the driver's memory."""
         return rows.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
 
+    def _save(self, rows: DataFrame, suffix: str = "") -> None:
+        """Append to a table, which the first rows make; without a name it lies in the index's own folder."""
+        out = self._dealt(rows).write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
+        if self.folder and not self._exists(suffix):
+            out = out.option("path", f"{self.folder}/{uuid.uuid4().hex}")
+        out.saveAsTable(self.name + suffix)
+
     def add(self, hashed: DataFrame, run: str = "") -> None:
         """Append the digests of ``hashed`` (doc_id, digest) that the index does not hold.
 
@@ -82,7 +90,7 @@ class DigestIndex:
         known = self.table()
         if known is not None:
             new = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        self._dealt(new).write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        self._save(new)
 
     def add_in_batches(self, hashed: DataFrame, batches: int = 2, run: str = "") -> None:
         """Append ``hashed`` by ranges of doc_id, smallest first and null last.
@@ -101,13 +109,15 @@ class DigestIndex:
         if self.table() is None:
             return
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_compacted")
-        self._dealt(self.table()).write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(f"{self.name}_compacted")
+        self._save(self.table(), "_compacted")
         self._rename("", "_replaced")
         self._rename("_compacted", "")
         self._recover()
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.folder:  # a table with a path of its own leaves its files
+            Store(self.spark, self.folder).remove("")
 
 
 def run_of(hashed: DataFrame) -> str:

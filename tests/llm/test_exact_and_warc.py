@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import zlib
+from types import SimpleNamespace
 
 import pytest
 from sweepgrid.llm import exact_dedup, media, mixing, warc
@@ -131,6 +133,23 @@ def test_compacting_may_die_at_any_step(spark, monkeypatch, step):
         spark.sql(f"DROP TABLE IF EXISTS {index.name}{left}")
 
 
+def test_an_index_without_a_name_needs_no_warehouse(spark):
+    """Its files lie in the shared folder, also where the warehouse is none that executors see, and leave with it."""
+    own = exact_dedup.DigestIndex(spark, buckets=2)
+    own.add(exact_dedup.digests(spark.createDataFrame([(k, f"t{k}") for k in range(20)], "doc_id BIGINT, text STRING")))
+    own.compact()
+    files, shared = own.table().inputFiles(), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert own.table().count() == 20 and all(f.removeprefix("file://").startswith(shared) for f in files)
+    own.drop()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+    settings = {"spark.sql.warehouse.dir": "spark-warehouse", "spark.checkpoint.dir": "file:///shared"}
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://head:7077"), conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d)))
+    assert exact_dedup.DigestIndex(cluster).folder.startswith("file:///shared/")
+    with pytest.raises(ValueError, match="warehouse"):
+        exact_dedup.DigestIndex(cluster, "kept")
+
+
 def test_extra_columns_of_any_name_come_through(spark):
     docs = spark.createDataFrame([(1, "a", 5, "x", 7), (2, "a", 6, "y", 8), (3, "b", 7, None, 9)], "doc_id BIGINT, text STRING, row INT, Digest STRING, __row INT")
     assert sorted(tuple(r) for r in exact_dedup.keep_first(docs).collect()) == [(1, "a", 5, "x", 7), (3, "b", 7, None, 9)]
