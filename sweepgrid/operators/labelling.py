@@ -94,19 +94,16 @@ def closest(pairs: DataFrame, order: str, ids: list[str], n: int) -> DataFrame:
 def best_pairs(truth: DataFrame, detections: DataFrame, keys: list[str], bucket: float = 8.0) -> DataFrame:
     """(keys, gt_id, gt_cls, id, cls, score, iou): for every true box the detection that overlaps it most; null if none does.
 
-    Boxes meet by the buckets of their extents, so the join is on equality.
+    Only different boxes meet: of equal detections the one with the smallest id stands for all, and equal true boxes have
+    the same best one. Overlaps that agree to nine digits are ties, which go to the smaller id.
     """
-    def dealt(b: DataFrame, p: str) -> DataFrame:
-        reach = F.sqrt(F.col("l") * F.col("l") + F.col("w") * F.col("w")) / 2
-        span = lambda c: F.sequence(F.floor((F.col(c) - reach) / bucket), F.floor((F.col(c) + reach) / bucket))
-        named = b.withColumn("__bx", F.explode(span("cx"))).withColumn("__by", F.explode(span("cy")))
-        return named.select(*keys, "__bx", "__by", *[F.col(c).alias(p + c) for c in b.columns if c not in keys])
-
-    met = dealt(truth, "a_").join(dealt(detections, "b_"), [*keys, "__bx", "__by"]).drop("__bx", "__by").dropDuplicates([*keys, "a_id", "b_id"])
-    found = evaluate.with_iou(met).where("iou > 0")
-    best = found.groupBy(*keys, "a_id").agg(F.max(F.struct("iou", (-F.col("b_id")).alias("k"), F.col("b_cls").alias("cls"), F.col("b_score").alias("score"))).alias("b"))
-    t = truth.select(*keys, F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"))
-    return t.join(best.withColumnRenamed("a_id", "gt_id"), [*keys, "gt_id"], "left").select(*keys, "gt_id", "gt_cls", (-F.col("b.k")).alias("id"), "b.cls", "b.score", F.coalesce("b.iou", F.lit(0.0)).alias("iou"))
+    first = F.min(F.struct(F.col("id").alias("i"), "cls", "score")).alias("f")
+    found = detections.groupBy(*keys, *evaluate.BOX).agg(first).select(*keys, *evaluate.BOX, F.col("f.i").alias("id"), "f.cls", "f.score")
+    named = {f"t_{c}": F.col(f"a_{c}") for c in evaluate.BOX} | {c: F.col(f"b_{c}") for c in ("id", "cls", "score")}
+    met = evaluate.overlaps(truth.select(*keys, *evaluate.BOX).distinct(), found, keys, named, bucket).where("iou > 0")
+    best = met.groupBy(*keys, *[F.col(f"t_{c}").alias(c) for c in evaluate.BOX]).agg(F.max(F.struct(F.round("iou", 9).alias("near"), (-F.col("id")).alias("k"), "cls", "score", "iou")).alias("b"))
+    t = truth.select(*keys, F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"), *evaluate.BOX)
+    return t.join(best, [*keys, *evaluate.BOX], "left").select(*keys, "gt_id", "gt_cls", (-F.col("b.k")).alias("id"), "b.cls", "b.score", F.coalesce("b.iou", F.lit(0.0)).alias("iou"))
 
 
 def diagnosis(pairs: DataFrame, levels: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7)) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from sweepgrid.operators import cluster, evaluate, tiles
+from sweepgrid.operators import cluster, evaluate, labelling, tiles
 
 BOXES = "frame INT, id BIGINT, score DOUBLE, " + ", ".join(f"{c} DOUBLE" for c in evaluate.BOX)
 
@@ -157,3 +157,13 @@ def test_overlap_without_headings_is_not_rounded():
     a, b = (np.concatenate([r.integers(-24, 24, (4000, 3)) / 8, r.integers(4, 40, (4000, 3)) / 8, np.zeros((4000, 1))], 1) for _ in "ab")
     shared = np.prod([np.maximum(np.minimum(a[:, k] + a[:, k + 3] / 2, b[:, k] + b[:, k + 3] / 2) - np.maximum(a[:, k] - a[:, k + 3] / 2, b[:, k] - b[:, k + 3] / 2), 0) for k in range(3)], axis=0)
     assert (evaluate.box_iou(a, b) == shared / (a[:, 3:6].prod(1) + b[:, 3:6].prod(1) - shared)).all()
+
+
+def test_best_pairs_of_equal_boxes(spark, pairs_met):
+    r = np.random.default_rng(8)
+    found, truth = copies(r, 12, 20), copies(r, 6, 15, 1000)
+    want = {t[1]: min(((-round(iou(t, b), 9), b[1]) for b in found if iou(t, b) > 0), default=(0, None))[1] for t in truth}
+    typed = [spark.createDataFrame(x, BOXES).withColumn("cls", F.col("id") % 3) for x in (truth, found)]
+    got = labelling.best_pairs(typed[0].drop("score"), typed[1], ["frame"]).collect()
+    assert {g.gt_id: g.id for g in got} == want and all(g.cls == g.id % 3 and g.gt_cls == g.gt_id % 3 for g in got if g.id is not None)
+    assert pairs_met and max(pairs_met) <= 12 * 6
