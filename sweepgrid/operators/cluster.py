@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sweepgrid.operators.order import numbered
+from sweepgrid.sources.workspace import written
 
 VOXEL, MIN_POINTS, MAX_POINTS, SAMPLE = 0.30, 20, 6000, 256
+#: Narrow rows that every executor may hold beside the points they meet; more meet them by sort-merge.
+BROADCAST = 200_000
 
 
 def voxel_labels(ix: np.ndarray, iy: np.ndarray, iz: np.ndarray) -> np.ndarray:
@@ -43,20 +47,30 @@ def voxel_labels(ix: np.ndarray, iy: np.ndarray, iz: np.ndarray) -> np.ndarray:
 def cluster_points(points: DataFrame, keys: list[str], voxel: float = VOXEL, least: int = MIN_POINTS, most: int = MAX_POINTS) -> DataFrame:
     """Adds cluster_id per sweep: 0, 1, … by the clusters' smallest voxel; null outside the size limits.
 
-    A sweep is the unit of work and bounded by the sensor; ``tiles.clusters`` does the same to clouds of any size.
+    Points are counted by voxel, and a sweep's voxels, which the sensor bounds however many points they hold, are the unit
+    of work; ``tiles.clusters`` does the same to clouds of any extent. The points are read three times.
     """
-    schema = T.StructType([*points.schema.fields, T.StructField("cluster_id", T.LongType())])
-
-    def work(t: pd.DataFrame) -> pd.DataFrame:
-        xyz = t[["x", "y", "z"]].to_numpy(float)
-        i = np.floor((xyz - xyz.min(0)) / voxel).astype(np.int64)
-        label = voxel_labels(*i.T)
-        kinds, place, count = np.unique(label, return_inverse=True, return_counts=True)
+    named = lambda df: df.withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    low = points.groupBy(*keys).agg(*[F.min(F.col(c).cast("double")).alias(f"__low_{c}") for c in "xyz"])
+    places = [f"__v{c}" for c in "xyz"]
+    at = {v: F.when(~F.isnan(F.col(c).cast("double")), F.floor((F.col(c).cast("double") - F.col(f"__low_{c}")) / voxel)) for c, v in zip("xyz", places)}
+    p = points.join(F.broadcast(named(low)), met).select(*points.columns, *[e.alias(v) for v, e in at.items()])  # a row a sweep
+    types = dict(points.dtypes)
+
+    def work(t: pa.Table) -> pa.Table:
+        kinds, place = np.unique(voxel_labels(*(t.column(v).to_numpy() for v in places)), return_inverse=True)
+        count = np.bincount(place, t.column("__n").to_numpy(), len(kinds))
         good = (count >= least) & (count <= most)
-        number = np.where(good, np.cumsum(good) - 1, -1)[place]
-        return t.assign(cluster_id=pd.array(np.where(number < 0, 0, number), "Int64")).assign(cluster_id=lambda d: d["cluster_id"].mask(number < 0))
-
-    return points.groupBy(*keys).applyInPandas(work, schema)
+        keep = pa.array(good[place])
+        number = np.where(good, np.cumsum(good) - 1, 0)[place]
+        return t.drop_columns(["__n"]).append_column("cluster_id", pa.array(number, pa.int64())).filter(keep)
+
+    count = p.groupBy(*keys, *places).agg(F.count(F.lit(1)).alias("__n")).where(" AND ".join(f"{v} IS NOT NULL" for v in places))
+    voxels = written(count.groupBy(*keys).applyInArrow(work, "".join(f"`{k}` {types[k]}, " for k in keys) + "".join(f"{v} BIGINT, " for v in places) + "cluster_id BIGINT"), "voxels")
+    voxels = named(voxels.withColumnsRenamed({v: f"_{v}" for v in places}))
+    voxels = F.broadcast(voxels) if voxels.count() <= BROADCAST else voxels.hint("merge")
+    return p.join(voxels, [*met, *[F.col(v) == F.col(f"_{v}") for v in places]], "left").select(*points.columns, "cluster_id")
 
 
 def pca_yaw(points: DataFrame, keys: list[str]) -> DataFrame:

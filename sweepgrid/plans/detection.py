@@ -10,6 +10,7 @@ from sweepgrid.operators import cluster, evaluate, quality, sectors, tables, til
 from sweepgrid.plans.mapping import EXTRINSIC, PTS, WIDE
 from sweepgrid.sources import fixtures as fx
 from sweepgrid.sources import sinks
+from sweepgrid.sources.workspace import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,18 +47,23 @@ SELECT id, frame, cls, count(*) AS n, count(*) FILTER (lab = 6) AS walkers FROM
 
 @_add("q_points_in_box", _IN_BOX)
 def points_in_box(spark: SparkSession, d: str) -> DataFrame:
-    hit = evaluate.points_in_boxes(fx.points(spark, d, fx.WIDE), fx.boxes(spark, d), ["frame"], 0.1)
-    return hit.groupBy("id", "frame", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lab") == 6).alias("walkers"))
+    boxes, kinds = fx.boxes(spark, d), evaluate.different(fx.boxes(spark, d), ["frame"])
+    hit = evaluate.points_in_boxes(fx.points(spark, d, fx.WIDE), kinds, ["frame"], 0.1)
+    held = hit.groupBy("frame", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lab") == 6).alias("walkers"))
+    return evaluate.of_equals(boxes, kinds, held, ["frame"]).select("id", "frame", "cls", "n", "walkers")
 
 
 @_add("q_box_buckets_sql", _IN_BOX)
 def box_buckets_sql(spark: SparkSession, d: str) -> DataFrame:
     """The same in SQL, with the table function that deals a box to its buckets."""
     tables.register(spark)
-    return spark.sql("""WITH dealt AS (SELECT b.*, t.bx, t.by FROM {boxes} b, LATERAL box_buckets(b.cx, b.cy, b.l, b.w, 0.1D, 4.0D) t),
+    boxes = fx.boxes(spark, d)
+    kinds = evaluate.different(boxes, ["frame"]).withColumn("cls", F.lit(0))
+    held = spark.sql("""WITH dealt AS (SELECT b.*, t.bx, t.by FROM {boxes} b, LATERAL box_buckets(b.cx, b.cy, b.l, b.w, 0.1D, 4.0D) t),
         held AS (SELECT d.id, d.frame, d.cls, p.lab, p.z - d.cz AS up, d.l, d.w, d.h, cos(d.yaw) * (p.x - d.cx) + sin(d.yaw) * (p.y - d.cy) AS u, cos(d.yaw) * (p.y - d.cy) - sin(d.yaw) * (p.x - d.cx) AS v
                  FROM {points} p JOIN dealt d ON d.frame = p.frame AND d.bx = floor(p.x / 4) AND d.by = floor(p.y / 4))
-        SELECT id, frame, cls, count(*) AS n, count_if(lab = 6) AS walkers FROM held WHERE abs(u) <= l / 2 + 0.1D AND abs(v) <= w / 2 + 0.1D AND abs(up) <= h / 2 + 0.1D GROUP BY id, frame, cls""", boxes=fx.boxes(spark, d), points=fx.points(spark, d, fx.WIDE))
+        SELECT id, frame, cls, count(*) AS n, count_if(lab = 6) AS walkers FROM held WHERE abs(u) <= l / 2 + 0.1D AND abs(v) <= w / 2 + 0.1D AND abs(up) <= h / 2 + 0.1D GROUP BY id, frame, cls""", boxes=kinds, points=fx.points(spark, d, fx.WIDE))
+    return evaluate.of_equals(boxes, kinds, held.drop("cls"), ["frame"]).select("id", "frame", "cls", "n", "walkers")
 
 
 @_add("q_sweep_clusters_sql")
@@ -238,10 +244,10 @@ def suggest_params(spark: SparkSession, d: str) -> DataFrame:
     return n.select("frame", s["min_points"].alias("min_points"), s["n_sample"].alias("n_sample"), F.round(s["voxel"], 6).alias("voxel"))
 
 
-def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.points(spark, d)
-    above = sectors.ground_points(p, ("frame",)).where("NOT ground")
-    return cluster.cluster_points(above.select(*p.columns, "agl"), ["frame"], voxel=0.35, least=8)
+def _clustered(spark: SparkSession, d: str, ids: tuple[str, ...] = ()) -> DataFrame:
+    """(frame, ids, x, y, z, cluster_id) of what is not ground; written once, as it is read more than once."""
+    above = sectors.ground_points(fx.points(spark, d).drop("lab"), ("frame",)).where("NOT ground")
+    return cluster.cluster_points(written(above.select("frame", *ids, "x", "y", "z"), "above"), ["frame"], voxel=0.35, least=8)
 
 
 @_add("q_cluster")
@@ -251,7 +257,8 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("q_cluster_sample")
 def cluster_sample(spark: SparkSession, d: str) -> DataFrame:
-    s = cluster.sample(_clustered(spark, d).where("cluster_id IS NOT NULL"), ["frame", "cluster_id"], ["ok", "pk", "sk", "ln"])
+    ids = ("ok", "pk", "sk", "ln")
+    s = cluster.sample(_clustered(spark, d, ids).where("cluster_id IS NOT NULL"), ["frame", "cluster_id"], list(ids))
     return s.groupBy("frame", "cluster_id").agg(F.count(F.lit(1)).alias("slots"), F.countDistinct("ok", "pk", "sk", "ln").alias("points"))
 
 
@@ -330,6 +337,8 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
     c = _clustered(spark, d).where("cluster_id IS NOT NULL")
     size = c.groupBy("frame", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     boxes = fx.boxes(spark, d).withColumns({"l": F.col("l") * 4, "w": F.col("w") * 4, "ignored": F.col("id") % 9 == 0})
+    # of equal boxes that agree in being ignored, the one with the smallest id wins whatever the points
+    boxes = boxes.join(evaluate.different(boxes, ["frame", "ignored"]).select("frame", "id"), ["frame", "id"], "left_semi")
     hit = evaluate.points_in_boxes(c, boxes, ["frame"], 0.1).groupBy("frame", "cluster_id", F.col("id").alias("gt"), "cls", "ignored").agg(F.count(F.lit(1)).alias("k"))
     shares = size.join(hit, ["frame", "cluster_id"], "left").select("frame", "cluster_id", F.coalesce("gt", F.lit(-1)).alias("gt"), F.coalesce("cls", F.lit(0)).alias("cls"), F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)).alias("frac"), F.coalesce("ignored", F.lit(False)).alias("ignored"))
     return cluster.proposal_labels(shares, ["frame", "cluster_id"])

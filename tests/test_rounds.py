@@ -167,3 +167,29 @@ def test_best_pairs_of_equal_boxes(spark, pairs_met):
     got = labelling.best_pairs(typed[0].drop("score"), typed[1], ["frame"]).collect()
     assert {g.gt_id: g.id for g in got} == want and all(g.cls == g.id % 3 and g.gt_cls == g.gt_id % 3 for g in got if g.id is not None)
     assert pairs_met and max(pairs_met) <= 12 * 6
+
+
+def test_a_sweep_is_clustered_by_its_voxels(spark):
+    """No task holds a sweep's points, and points without a place are in no cluster."""
+    r = np.random.default_rng(9)
+    xyz = np.concatenate([r.normal(c, 0.3, (60, 3)) for c in ((0, 0, 0), (9, 0, 0), (0, 9, 1))])
+    p = spark.createDataFrame(pd.DataFrame({"frame": 0, "pid": range(len(xyz)), **dict(zip("xyz", xyz.T))}))
+    odd = spark.createDataFrame([(0, 900, None, 0.0, 0.0), (0, 901, float("nan"), 0.0, 0.0), (None, 902, 0.0, 0.0, 0.0)], "frame BIGINT, pid BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+    got = cluster.cluster_points(p.unionByName(odd), ["frame"], 0.5, 20, 200)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    rows = {g.pid: g.cluster_id for g in got.collect()}
+    want = {g.pid: g.cluster_id for g in tiles.clusters(p, ["frame"], 0.5, 20, 200, tile=8).collect()}
+    assert rows == want | {900: None, 901: None, 902: None} and len(set(want.values())) > 2
+
+
+@pytest.mark.parametrize("dealt", [0, 10**6])
+def test_points_meet_different_boxes(spark, monkeypatch, dealt):
+    monkeypatch.setattr(evaluate, "DEALT", dealt)
+    r = np.random.default_rng(10)
+    boxes = spark.createDataFrame(copies(r, 5, 8), BOXES).withColumn("cls", F.col("id") % 3).drop("score")
+    points = spark.createDataFrame([(0, *(float(v) for v in r.uniform(-6, 6, 3) * (1, 1, 0.1))) for _ in range(400)], "frame INT, x DOUBLE, y DOUBLE, z DOUBLE")
+    count = lambda b: evaluate.points_in_boxes(points, b, ["frame"]).groupBy("frame", "id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = evaluate.different(boxes, ["frame"])
+    got = evaluate.of_equals(boxes, kinds, count(kinds), ["frame"])
+    assert kinds.count() == 5 and {g.id: g.n for g in got.collect()} == {g.id: g.n for g in count(boxes).collect()}
+    assert ("merge" in count(boxes)._jdf.queryExecution().logical().toString().lower()) == (dealt == 0)
