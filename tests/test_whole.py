@@ -28,3 +28,23 @@ def test_nn_truth_reads_every_row(spark):
         thirds.add(best[3])
     got = {(r.ok, r.pk, r.sk, r.ln): r.cls for r in catalogue.queries()["q_nn_truth"](spark, SF).collect()}
     assert got == want and thirds >= {1, 2}
+
+
+def test_pieces_make_the_document(spark, monkeypatch):
+    """Pieces of six points; the document is what pandas makes of the whole sweep."""
+    import base64
+
+    import numpy as np
+    import pandas as pd
+    from sweepgrid.sources import sinks
+
+    monkeypatch.setattr(sinks, "PIECE", 6)
+    r = np.random.default_rng(3)
+    t = pd.DataFrame({"frame": [0] * 40 + [7] * 6 + [8], "ok": r.permutation(47), "ln": 1, **dict(zip("xyz", r.uniform(-40, 40, (3, 47)))), "lab": r.integers(0, 255, 47)})
+    points, want = spark.createDataFrame(t), {}
+    for frame, own in t.sort_values(["ok", "ln"]).groupby("frame"):
+        xyz = np.clip(np.round(own[["x", "y", "z"]].to_numpy() * 50.0), -32768, 32767).astype("<i2")
+        want[frame] = pd.Series({"frame": int(frame), "n": len(own), "scale": 50.0, "xyz": base64.b64encode(xyz.tobytes()).decode(), "cls": base64.b64encode(own["lab"].to_numpy().astype("u1").tobytes()).decode()}).to_json()
+    pieces = sinks.document_pieces(points, ["ok", "ln"]).collect()
+    assert max(len(p.text) for p in pieces if p.section in (1, 3)) <= 2 * 48 and len(pieces) == 2 * (7 + 1 + 1) + 9
+    assert {g.frame: g.document for g in sinks.exported(points, ["ok", "ln"]).collect()} == want
