@@ -172,19 +172,28 @@ class _Moving(ds.DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
-    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
+        """(name, what comes next in that file), None once it is whole."""
         raise NotImplementedError
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, path = opened(self.path)
         fs.create_dir(path, recursive=True)
-        done = []
+        done, streams = [], {}
         try:
-            for name, content in self.files(batches):
-                hidden = f"{path}/.{self.job}-{uuid.uuid4().hex}"
-                done.append((hidden, f"{path}/{name}"))
-                with fs.open_output_stream(hidden) as out:
-                    out.write(content)
+            try:
+                for name, content in self.files(batches):
+                    if content is None:
+                        streams.pop(name).close()
+                        continue
+                    if name not in streams:
+                        hidden = f"{path}/.{self.job}-{uuid.uuid4().hex}"
+                        done.append((hidden, f"{path}/{name}"))
+                        streams[name] = fs.open_output_stream(hidden)
+                    streams[name].write(content)
+            finally:
+                for out in streams.values():
+                    out.close()
         except Exception:
             self._taken_away(done)
             raise
@@ -222,18 +231,24 @@ class _Moving(ds.DataSourceArrowWriter):
                 fs.delete_file(f.path)
 
 
-def _by(batches: Iterator[pa.RecordBatch], key) -> Iterator[tuple[int, pa.Table]]:
-    """Rows of equal key, which come one after the other."""
-    held, name = [], None
+def _runs(batches: Iterator[pa.RecordBatch], key) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of equal key within a batch; the next batch may go on with the last key."""
     for batch in batches:
         keys = key(batch)
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
         for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != name:
-                yield name, pa.Table.from_batches(held)
-                held = []
-            name = int(keys[a])
-            held.append(batch.slice(a, b - a))
+            yield int(keys[a]), batch.slice(a, b - a)
+
+
+def _by(batches: Iterator[pa.RecordBatch], key) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of equal key, which come one after the other."""
+    held, name = [], None
+    for own, rows in _runs(batches, key):
+        if held and own != name:
+            yield name, pa.Table.from_batches(held)
+            held = []
+        name = own
+        held.append(rows)
     if held:
         yield name, pa.Table.from_batches(held)
 
@@ -241,11 +256,16 @@ def _by(batches: Iterator[pa.RecordBatch], key) -> Iterator[tuple[int, pa.Table]
 class ScanWriter(_Moving):
     suffixes = (".bin", ".label")
 
-    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-        for frame, t in _by(batches, lambda b: b.column("frame").to_numpy()):
-            number = lambda c: np.nan_to_num(t.column(c).to_numpy())  # noqa: B023, E731
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
+        """A scan grows with the batches; a task holds one of them, never a scan."""
+        last = None
+        for frame, t in _runs(batches, lambda b: b.column("frame").to_numpy()):
+            number = lambda c: np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False))  # noqa: B023, E731
+            if last is not None and frame != last:
+                yield from ((f"{last:06d}{s}", None) for s in self.suffixes)
             yield f"{frame:06d}.bin", np.stack([number(c) for c in ("x", "y", "z", "intensity")], 1).astype("<f4").tobytes()
             yield f"{frame:06d}.label", (number("semantic").astype(np.uint32) | number("instance").astype(np.uint32) << np.uint32(16)).astype("<u4").tobytes()
+            last = frame
 
 
 class ScanSource(ds.DataSource):
@@ -298,12 +318,13 @@ class ShardWriter(_Moving):
         super().__init__(path, overwrite)
         self.frames = frames
 
-    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
         for shard, t in _by(batches, lambda b: b.column("frame").to_numpy() // self.frames):
             out = io.BytesIO()
             points = t.column("points").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(t), -1, CHANNELS)
             np.savez_compressed(out, points=points, meta=np.stack([t.column(c).to_numpy() for c in META], 1).astype(np.float32), frame=t.column("frame").to_numpy().astype(np.int32))
             yield f"shard_{shard:04d}.npz", out.getvalue()
+            yield f"shard_{shard:04d}.npz", None
 
 
 class ShardSource(ds.DataSource):

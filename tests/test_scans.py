@@ -131,3 +131,31 @@ def test_a_failed_task_leaves_no_shard(spark, tmp_path, proposals):
         scans.write_proposals(bad, f"file://{tmp_path}/s", 7, "overwrite")
     assert [p.name for p in Path(tmp_path / "s").iterdir()] == ["shard_0000.npz"]
     assert spark.read.format("proposal_shards").option("path", f"{tmp_path}/s").load().count() == 21
+
+
+def test_a_scan_is_written_as_its_rows_come():
+    """The first piece of a file is there after the first batch, and pieces of a frame make one file."""
+    import numpy as np
+    import pyarrow as pa
+    from sweepgrid.sources import scans
+
+    taken = []
+
+    def batches():
+        for k in range(4):
+            taken.append(k)
+            frame = np.array([0, 0, 0] if k < 2 else [0, 1, 1])
+            yield pa.RecordBatch.from_pydict({"frame": frame, **{c: np.full(3, float(k)) for c in ("x", "y", "z", "intensity")}, "semantic": np.full(3, k), "instance": np.full(3, 7)})
+            if k == 2:
+                return
+
+    files, whole, when = {}, [], None
+    for name, content in scans.ScanWriter("/nowhere", False).files(batches()):
+        when = when or list(taken)
+        if content is None:
+            whole.append(name)
+        else:
+            files[name] = files.get(name, b"") + content
+    assert when == [0] and whole == ["000000.bin", "000000.label"]
+    assert np.frombuffer(files["000000.bin"], "<f4").reshape(-1, 4)[:, 0].tolist() == [0, 0, 0, 1, 1, 1, 2]
+    assert np.frombuffer(files["000001.label"], "<u4").tolist() == [2 | 7 << 16] * 2
