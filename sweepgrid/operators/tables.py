@@ -13,6 +13,7 @@ partitions itself where the query does not name any.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,27 @@ class BoxBuckets:
                 yield bx, by
 
 
+#: Points whose voxels are worked out at once.
+STEP = 1 << 19
+
+
+def told(names: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different rows of ``names`` in order, each with its points' number and bounds."""
+    kinds, place = np.unique(names, axis=0, return_inverse=True)
+    place, count = place.reshape(-1), np.zeros(len(kinds), np.int64)
+    bounds = np.full((len(kinds), 3), np.inf), np.full((len(kinds), 3), -np.inf)
+    np.add.at(count, place, n)
+    np.minimum.at(bounds[0], place, low)
+    np.maximum.at(bounds[1], place, high)
+    return kinds, count, *bounds
+
+
 @udtf
 class SweepClusters:
-    """A sweep is one partition and bounded by the sensor."""
+    """A sweep is one partition, of which a task holds three numbers a point and the voxels."""
 
     def __init__(self, analyzed: AnalyzeResult | None = None):
-        self.xyz, self.frame, self.options = [], None, None
+        self.xyz, self.frame, self.options = array("d"), None, None
 
     @staticmethod
     def analyze(points: AnalyzeArgument, voxel: AnalyzeArgument, least: AnalyzeArgument, most: AnalyzeArgument) -> AnalyzeResult:
@@ -57,19 +73,24 @@ class SweepClusters:
 
     def eval(self, row, voxel, least, most) -> None:
         self.frame, self.options = row["frame"], (float(voxel), int(least), int(most))
-        self.xyz.append((row["x"], row["y"], row["z"]))
+        for c in "xyz":
+            v = row[c]
+            self.xyz.append(math.nan if v is None else v)
 
     def terminate(self) -> Iterator[tuple]:
         if not self.xyz:
             return
         voxel, least, most = self.options
-        xyz = np.array(self.xyz, float)
-        label = voxel_labels(*np.floor((xyz - xyz.min(0)) / voxel).astype(np.int64).T)
-        kinds, count = np.unique(label, return_counts=True)
-        for k, name in enumerate(kinds[(count >= least) & (count <= most)]):
-            own = xyz[label == name]
-            low, high = own.min(0), own.max(0)
-            yield (self.frame, k, len(own), *(float(v) for pair in zip(low, high) for v in pair))
+        xyz = np.frombuffer(self.xyz).reshape(-1, 3)
+        origin, parts = xyz.min(0), []
+        for k in range(0, len(xyz), STEP):
+            p = xyz[k : k + STEP]
+            parts.append(told(np.floor((p - origin) / voxel).astype(np.int64), np.ones(len(p), np.int64), p, p))
+        v, n, low, high = told(*(np.concatenate(c) for c in zip(*parts)))
+        _, n, low, high = told(voxel_labels(*v.T)[:, None], n, low, high)
+        good = np.flatnonzero((n >= least) & (n <= most))
+        for k, c in enumerate(good):
+            yield (self.frame, k, int(n[c]), *(float(e) for pair in zip(low[c], high[c]) for e in pair))
 
 
 def register(spark: SparkSession) -> None:

@@ -48,3 +48,20 @@ def test_tracks_for_any_cut_and_after_a_restart(spark, tmp_path):
     tracker.write(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), ["s"], "k", "v", f"{folder}/out", f"{folder}/c").awaitTermination()
     extra = sorted((x.k, x.cls) for x in spark.read.parquet(f"{folder}/out").where("s = 0 AND k IN (5, 40)").collect() if (x.k, x.cls) not in [(w[1], w[3]) for w in want if w[0] == 0 and w[1] == 5])
     assert extra[0] == (5, None) and extra[1][0] == 40 and extra[1][1] == [w[3] for w in want if w[0] == 0][-1]
+
+
+def test_a_sweep_is_held_as_numbers():
+    """A task holds three numbers a point (each in 8 bytes), not objects."""
+    import tracemalloc
+
+    from sweepgrid.operators import tables
+
+    one = tables.SweepClusters.func()
+    tracemalloc.start()
+    for k in range(20_000):
+        one.eval({"frame": 1, "x": k / 7, "y": float(k % 5), "z": k / 9}, 0.5, 1, 10**6)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40 * 20_000
+    got = list(one.terminate())
+    assert sum(g[2] for g in got) == 20_000 and (got[0][3], max(g[6] for g in got), max(g[8] for g in got)) == (0.0, 4.0, 19_999 / 9)
