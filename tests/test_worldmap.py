@@ -194,3 +194,31 @@ def test_idle_tiles_are_cleared_by_their_timer(spark, tmp_path, started):
     points, poses = (spark.createDataFrame(d).withColumn("frame", F.col("frame").cast("int")) for d in (points, poses))
     left = started(str(tmp_path / "t"), points, poses, [(k, k + 1) for k in range(4)], tiers=(2.0,), tile=8, late="0 seconds", idle_ms=1)
     assert left.where("ix < 650").isEmpty() and left.count() > 50
+
+
+def test_a_tile_folds_its_points_as_they_come(monkeypatch):
+    """However many points a micro-batch has for a tile, one chunk of them is held."""
+    import numpy as np
+    import pandas as pd
+    from sweepgrid.streaming import keyed
+
+    class Held:
+        def __init__(self):
+            self.rows, self.value = {}, None
+
+        iterator = lambda self: iter(self.rows.items())
+        updateValue = lambda self, k, v: self.rows.__setitem__(k, v)
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    r, seen, cells_of = np.random.default_rng(1), [], keyed.cells_of
+    monkeypatch.setattr(keyed, "cells_of", lambda p: seen.append(len(p)) or cells_of(p))
+    n = 4000
+    t = pd.DataFrame({"frame": r.integers(0, 2, n), "prev": 0, "kind": 1, "ix": r.integers(0, 9, n), "iy": r.integers(0, 9, n), "z": r.integers(0, 64, n) / 64, "lab": r.integers(0, 7, n), "w": 1.0, "ts": pd.Timestamp("2000-01-01"), "sx": np.nan, "sy": np.nan})
+    state = keyed.TileState((0.4,), 1e9, 1000)
+    state.cells, state.heard = Held(), Held()
+    rows = list(state.handleInputRows(("m", 0, 0, 0), (t[k : k + 100] for k in range(0, n, 100)), None))
+    assert max(seen) <= 100 and rows[0]["cells"].tolist() == [81] and state.heard.value == (1, None)
+    want = cells_of(t)
+    assert all(np.allclose([np.nan if v is None else v for v in state.cells.rows[k]], want.loc[k].to_numpy(float), equal_nan=True) for k in want.index)
